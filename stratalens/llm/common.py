@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, shared_dir  # noqa: F401
@@ -27,7 +28,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         start = held = 0
-        for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()):
+        for i, n in enumerate(pc.fill_null(pc.binary_length(col), 0).to_pylist()):
             if held and held + n > max_bytes:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
