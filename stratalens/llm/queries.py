@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, simhash
+from . import bpe, decontaminate, jpeg, simhash
 from .common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -21,4 +21,25 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_simhash_near_dedup)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def bpe_digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = jpeg.read(jpeg.store(table(spark, sf_dir, "documents")))
+    tail = F.crc32(F.expr("substring(thumbnail, -64)"))
+    feature = F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash")
+    return seen.select("doc_id", "n_bytes", F.octet_length("thumbnail").cast("long").alias("payload_bytes"), F.sha2("thumbnail", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_simhash_near_dedup, op6_bpe_encode_decode, op10_media_columns)}
