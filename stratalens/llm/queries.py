@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jpeg, simhash
+from . import bpe, decontaminate, jpeg, simhash, warc_zip
 from .common import table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -42,4 +42,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "n_bytes", F.octet_length("thumbnail").cast("long").alias("payload_bytes"), F.sha2("thumbnail", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op4_simhash_near_dedup, op6_bpe_encode_decode, op10_media_columns)}
+def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc_zip.new_store(spark)
+    warc_zip.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc_zip.read_archives(spark.read.parquet(path), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_warc_zip, op4_simhash_near_dedup, op6_bpe_encode_decode, op10_media_columns)}
