@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jpeg, simhash, warc_zip
-from .common import table
+from . import bpe, decontaminate, jpeg, langid, simhash, toxicity, warc_zip
+from .common import held_out, table
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -49,4 +49,22 @@ def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_warc_zip, op4_simhash_near_dedup, op6_bpe_encode_decode, op10_media_columns)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    found = langid.predict(docs.select("doc_id", "text", "held_out"), langid.fit(docs.where("not held_out")))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def toxicity_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled texts outside the held-out third; repeated labels of an id agree on the largest."""
+    y = labels.where(~held_out()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    return docs.select("doc_id", "text").join(y, "doc_id")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    found = toxicity.predict(docs, toxicity.fit(toxicity_training(docs, table(spark, sf_dir, "labels"))))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_warc_zip, op4_simhash_near_dedup, op6_bpe_encode_decode, op8_language_id, op9_toxicity, op10_media_columns)}
