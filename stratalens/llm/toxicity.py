@@ -37,12 +37,13 @@ from .simhash import link_forest, simhash
 
 SAMPLE, SAMPLE_CHARS, CACHE, THRESHOLD = 3000, 20_000, 400_000, 0.7
 CARRIER = b"\x01\x02carrier\x03of\x04a\x05window\x06\x07"
-ORDINARY_BYTES, ROUNDS, LEVELS, EVIDENCE, RELATIVE = 8192, 3, 5, 16.0, 0.08
+TAIL = b"\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16"  # zstandard starts no match in the last 8 bytes
+ORDINARY_BYTES, ROUNDS, LEVELS, EVIDENCE, RELATIVE = 8192, 3, 5, 16.0, 0.03
 
 
 def _compressor(content: bytes) -> zs.ZstdCompressor:
     params = zs.ZstdCompressionParameters(
-        format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=16, chain_log=17, search_log=8, min_match=4, target_length=32, strategy=zs.STRATEGY_BTLAZY2,
+        format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=32, strategy=zs.STRATEGY_LAZY2,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
@@ -70,7 +71,7 @@ class Scorer:
         self.memory: dict[bytes, int] = {}
 
     def difference(self, word: bytes) -> int:
-        window = CARRIER + b" " + word + b" "
+        window = CARRIER + b" " + word + b" " + TAIL
         return len(self.plain.compress(window)) - len(self.toxic.compress(window))
 
     def counts(self, text: str | None) -> np.ndarray:
