@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jpeg, langid, simhash, toxicity, warc_zip
+from . import bpe, decontaminate, html_tree, jpeg, langid, simhash, toxicity, warc_zip
 from .common import held_out, table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -67,4 +67,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_warc_zip, op4_simhash_near_dedup, op6_bpe_encode_decode, op8_language_id, op9_toxicity, op10_media_columns)}
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_tree.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_warc_zip, op4_simhash_near_dedup, op5_html_extraction, op6_bpe_encode_decode, op8_language_id, op9_toxicity, op10_media_columns)}
