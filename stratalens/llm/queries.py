@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_tree, jpeg, langid, simhash, toxicity, warc_zip
+from . import bpe, decontaminate, html_tree, jpeg, langid, license_scan, simhash, toxicity, url_filter, warc_zip
 from .common import held_out, table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -72,4 +72,65 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op3_warc_zip, op4_simhash_near_dedup, op5_html_extraction, op6_bpe_encode_decode, op8_language_id, op9_toxicity, op10_media_columns)}
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op7_license_scan"] = license_scan.oracle()
+
+
+def _drawn(text: str, first: int) -> F.Column:
+    """A number from 0 to 255 from two hex digits of a text's MD5."""
+    return F.conv(F.expr(f"substring(md5({text}), {first}, 2)"), 16, 10).cast("int")
+
+
+def capture_times(pages: DataFrame) -> DataFrame:
+    """The tables have no time of fetching: the id gives one within a year."""
+    minute = F.expr("pmod(page_id * 7919, 525600)").cast("long")
+    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + 60 * minute).cast("timestamp_ntz").alias("fetched_at"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """Nor do they have filter lists: the MD5 of each registered domain and host says
+    whether and when lists add it, drop it and add it again."""
+    host = url_filter.host_of(F.col("url"))
+    names = pages.select(F.explode(F.array(host, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))).alias("pattern")).where("pattern <> ''").distinct()
+    day = lambda n: (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(n))
+    a, b, c = _drawn("pattern", 1), _drawn("pattern", 3), _drawn("pattern", 5)
+    entries = F.array(
+        F.when(a < 160, F.struct(F.lit("abuse").alias("list_name"), F.lit("add").alias("action"), day(a).alias("at"))),
+        F.when((a < 160) & (b < 192), F.struct(F.lit("abuse").alias("list_name"), F.lit("remove").alias("action"), day(a + 1 + b).alias("at"))),
+        F.when((a < 160) & (b < 96), F.struct(F.lit("abuse").alias("list_name"), F.lit("add").alias("action"), day(a + 31 + b).alias("at"))),
+        F.when(c < 64, F.struct(F.lit("spam").alias("list_name"), F.lit("add").alias("action"), day(c * 4).alias("at"))),
+    )
+    return names.select("pattern", F.explode(F.array_compact(entries)).alias("e")).select("pattern", "e.*")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filter.filter_urls(capture_times(pages), dated_list(pages), "page_id")
+    return found.select("page_id", "url", "fetched_at", "n_active", "lists", "blocked")
+
+
+ORACLE_SQL["op2_url_filter"] = r"""
+WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(CAST((page_id * 7919) % 525600 AS BIGINT)) AS fetched_at,
+  lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host,
+  list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+names AS (SELECT DISTINCT pattern FROM (SELECT host AS pattern FROM c UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM c) WHERE pattern <> ''),
+drawn AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 2) AS INT) AS a, CAST('0x' || substr(md5(pattern), 3, 2) AS INT) AS b, CAST('0x' || substr(md5(pattern), 5, 2) AS INT) AS x FROM names),
+entries AS (
+  SELECT pattern, 'abuse' AS list_name, 'add' AS action, TIMESTAMP '2024-01-01' + to_days(a) AS since FROM drawn WHERE a < 160
+  UNION ALL SELECT pattern, 'abuse', 'remove', TIMESTAMP '2024-01-01' + to_days(a + 1 + b) FROM drawn WHERE a < 160 AND b < 192
+  UNION ALL SELECT pattern, 'abuse', 'add', TIMESTAMP '2024-01-01' + to_days(a + 31 + b) FROM drawn WHERE a < 160 AND b < 96
+  UNION ALL SELECT pattern, 'spam', 'add', TIMESTAMP '2024-01-01' + to_days(x * 4) FROM drawn WHERE x < 64),
+spans AS (SELECT * FROM (SELECT pattern, list_name, action, since AS a, lead(since) OVER (PARTITION BY pattern, list_name ORDER BY since) AS z FROM entries) WHERE action = 'add'),
+asked AS (SELECT page_id, url, fetched_at, host AS pattern FROM c
+  UNION SELECT page_id, url, fetched_at, array_to_string(string_split(host, '.')[i:], '.') FROM c, range(2, 12) r(i) WHERE i < len(string_split(host, '.'))
+  UNION SELECT page_id, url, fetched_at, lower(host || '/' || array_to_string(parts[:i], '/')) FROM c, range(1, 12) r(i) WHERE i <= len(parts)),
+m AS (SELECT page_id, url, fetched_at, count(DISTINCT (list_name, s.pattern)) AS n, array_to_string(list_sort(list(DISTINCT list_name)), ',') AS l
+  FROM asked JOIN spans s ON asked.pattern = s.pattern AND fetched_at >= a AND (z IS NULL OR fetched_at < z) GROUP BY ALL)
+SELECT c.page_id, c.url, c.fetched_at, CAST(coalesce(n, 0) AS BIGINT) AS n_active, coalesce(l, '') AS lists, n IS NOT NULL AS blocked
+FROM c LEFT JOIN m ON c.page_id = m.page_id AND c.url = m.url AND c.fetched_at = m.fetched_at"""
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filter, op3_warc_zip, op4_simhash_near_dedup, op5_html_extraction, op6_bpe_encode_decode, op7_license_scan, op8_language_id, op9_toxicity, op10_media_columns)}
