@@ -55,15 +55,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
-def toxicity_training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts outside the held-out third; repeated labels of an id agree on the largest."""
-    y = labels.where(~held_out()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(y, "doc_id")
-
-
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
-    found = toxicity.predict(docs, toxicity.fit(toxicity_training(docs, table(spark, sf_dir, "labels"))))
+    found = toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out())))
     return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 

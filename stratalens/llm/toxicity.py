@@ -218,13 +218,16 @@ def fit_texts(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """``train``: labelled rows (label 0 or 1)."""
-    rows = train.where(F.col(label).isin(0, 1)).select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y"), F.col(key).cast("string").alias("k"))
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """``labels``: the rows to learn from (key, label 0 or 1; of repeated keys the largest
+    label holds). The sample is drawn from them first, about ``sample`` keys of either
+    label whatever their number, so that it can be broadcast and no text is shuffled."""
+    y = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     rate = F.when(F.col("y") == 1, min(1.0, sample / counts.get(1, 1))).otherwise(min(1.0, sample / counts.get(0, 1)))
-    drawn = rows.where((F.char_length("t") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64(F.lit("toxic"), "k"), F.lit(1 << 20)) < rate * (1 << 20)))
-    found = sorted({(r["t"], r["y"]) for r in drawn.collect()})
+    drawn = y.where(F.pmod(F.xxhash64(F.lit("toxic"), "k"), F.lit(1 << 20)) < rate * (1 << 20))
+    rows = docs.select(F.col(text).cast("string").alias("t"), F.col(key).alias("id")).where(F.char_length("t") <= SAMPLE_CHARS)
+    found = sorted({(r["t"], r["y"]) for r in rows.join(F.broadcast(drawn), F.col("id") == F.col("k")).select("t", "y").collect()})
     return fit_texts([t for t, _ in found], [y for _, y in found])
 
 
