@@ -1,9 +1,16 @@
-"""The analytics operators bound to the relational tables, with their SQL twins."""
+"""The analytics operators bound to the relational tables, with their SQL twins.
+
+Every query reads whole tables; limits stand only where a page or a top list is the result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import exprs as X
+from ..operators import attributes, components, forest, identity, network, series, space, tables as T
+from ..sources.files import time_range
+
 QUERIES = {}
 ORACLE_SQL = {}
 
@@ -20,3 +27,397 @@ def query(sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with customer, nation and region: the star lookup the group queries share.
+    Spark broadcasts the dimensions where their size allows."""
+    o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+
+
+STAR = "orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, o_orderstatus, c_mktsegment, n_name, r_name, p_brand, s_name, l_quantity
+FROM lineitem LEFT JOIN ({'SELECT * FROM ' + STAR}) ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey""")
+def enriched_lookup_join(spark, d):
+    p, s = table(spark, d, "part"), table(spark, d, "supplier")
+    j = table(spark, d, "lineitem").join(enriched(spark, d), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(p, F.col("l_partkey") == F.col("p_partkey"), "left").join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return j.select("l_orderkey", "l_linenumber", "o_orderstatus", "c_mktsegment", "n_name", "r_name", "p_brand", "s_name", "l_quantity")
+
+
+PAGE = f"FROM {STAR} WHERE CAST(c_nationkey AS VARCHAR) = '7' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"
+
+
+def _page(spark, d):
+    return T.filtered(enriched(spark, d), {"c_nationkey": 7}, "o_orderdate", "1996-01-01", "1999-12-31")
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, n_name, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS ordered {PAGE} ORDER BY o_orderkey LIMIT 25 OFFSET 50")
+def filtered_page(spark, d):
+    return T.page(_page(spark, d), ["o_orderkey"], 50, 25).select("o_orderkey", "o_orderstatus", "n_name", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("ordered"))
+
+
+@query(f"SELECT count(*) AS n {PAGE}")
+def filtered_count(spark, d):
+    return _page(spark, d).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, ts, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'")
+def time_range_scan(spark, d):
+    return time_range(table(spark, d, "events"), "ts", "2024-01-05", "2024-01-12").select("event_id", "ts", "user_id", "event_type")
+
+
+AGO = "(SELECT *, date_diff('day', CAST(o_orderdate AS DATE), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS ago"
+
+
+@query(f"""SELECT n_name, n_rows, recent, prior, round(recent / nullif(prior, 0), 2) AS velocity FROM (
+SELECT n_name, count(*) AS n_rows, CAST(sum(CAST(ago < 180 AS INT)) AS BIGINT) AS recent, CAST(sum(CAST(ago >= 180 AND ago < 360 AS INT)) AS BIGINT) AS prior FROM {AGO} FROM {STAR}) GROUP BY n_name)""")
+def group_velocity(spark, d):
+    return series.group_velocity(enriched(spark, d), ["n_name"], "o_orderdate", 180)
+
+
+@query(f"SELECT n_name, count(*) AS n FROM {STAR} WHERE n_name IS NOT NULL GROUP BY 1")
+def overview_by_group(spark, d):
+    return enriched(spark, d).where("n_name is not null").groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT coalesce(o_orderstatus, 'Unknown') AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_counts(spark, d):
+    return table(spark, d, "orders").groupBy(F.coalesce("o_orderstatus", F.lit("Unknown")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT coalesce(p_type, 'Unknown') AS kind, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, kind LIMIT 10")
+def top10_types(spark, d):
+    return table(spark, d, "part").groupBy(F.coalesce("p_type", F.lit("Unknown")).alias("kind")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(10)
+
+
+@query("""SELECT CASE WHEN p_size BETWEEN 0 AND 17 THEN '0-17' WHEN p_size <= 25 THEN '18-25' WHEN p_size <= 35 THEN '26-35' WHEN p_size <= 45 THEN '36-45' WHEN p_size <= 60 THEN '46-60' WHEN p_size <= 200 THEN '61+' ELSE 'Unknown' END AS band, count(*) AS n FROM part GROUP BY 1""")
+def size_bands(spark, d):
+    return table(spark, d, "part").groupBy(X.band(F.col("p_size")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, round(avg(o_totalprice), 4) AS mean_price, count(DISTINCT o_custkey) AS customers, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM orders")
+def dataset_summary(spark, d):
+    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.countDistinct("o_custkey").alias("customers"), F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
+
+
+@query(f"SELECT c_mktsegment, n_name, count(DISTINCT o_orderkey) AS orders, count(DISTINCT o_custkey) AS customers, min(c_name) AS first_name FROM {STAR} GROUP BY 1, 2")
+def ranked_entities(spark, d):
+    return enriched(spark, d).groupBy("c_mktsegment", "n_name").agg(F.countDistinct("o_orderkey").alias("orders"), F.countDistinct("o_custkey").alias("customers"), F.min("c_name").alias("first_name"))
+
+
+@query("SELECT c.c_custkey, count(*) AS others FROM customer c JOIN customer o ON c.c_nationkey IS NOT DISTINCT FROM o.c_nationkey AND c.c_mktsegment IS NOT DISTINCT FROM o.c_mktsegment AND c.c_custkey <> o.c_custkey GROUP BY 1")
+def entity_other_records(spark, d):
+    """How many other records share the attributes, nulls included: group sizes, not pairs."""
+    c = table(spark, d, "customer")
+    g = c.groupBy(F.col("c_nationkey").alias("gn"), F.col("c_mktsegment").alias("gs")).agg((F.count("*") - 1).alias("others"))
+    return c.join(g, F.col("c_nationkey").eqNullSafe(F.col("gn")) & F.col("c_mktsegment").eqNullSafe(F.col("gs"))).where("others > 0").select("c_custkey", "others")
+
+
+DENSE = """w AS (SELECT o_orderpriority AS k, ago // 7 AS w FROM (SELECT o_orderpriority, date_diff('day', CAST(o_orderdate AS DATE), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS ago FROM orders)),
+s AS (SELECT k, r.w, count(x.w) AS n FROM (SELECT DISTINCT k FROM w WHERE w < 10) CROSS JOIN range(10) r(w) LEFT JOIN w x USING (k, w) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {DENSE} SELECT k AS o_orderpriority, CAST(w AS INT) AS week, n FROM s")
+def dense_weekly_series(spark, d):
+    s = series.dense_counts(table(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", 7, 10)
+    return s.select("o_orderpriority", F.posexplode("counts").alias("week", "n"))
+
+
+TREND = f"""WITH {DENSE},
+m AS (SELECT k, sum(n) FILTER (w < 2) AS recent_total, median(n) FILTER (w >= 2) AS med FROM s GROUP BY k),
+d AS (SELECT k, median(abs(n - med)) AS mad FROM s JOIN m USING (k) WHERE w >= 2 GROUP BY k),
+z AS (SELECT k, recent_total, med, mad, round((recent_total / 2 - med) / greatest(1.4826 * mad, 1.0), 2) AS z FROM m JOIN d USING (k))
+SELECT k AS o_orderpriority, CAST(recent_total AS BIGINT) AS recent_total, med AS median, mad, z, round((recent_total / 2 - med) / nullif(med, 0) * 100, 1) AS pct_change,
+CASE WHEN z >= 5 THEN 'critical' WHEN z >= 3.5 THEN 'serious' WHEN z >= 2.5 THEN 'warning' END AS severity FROM z WHERE recent_total >= 5 AND z >= -5.0"""
+
+
+def _trends(spark, d):
+    return series.trend_alerts(table(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", min_z=-5.0).drop("weekly")
+
+
+@query(TREND)
+def weekly_trend_alerts(spark, d):
+    return _trends(spark, d)
+
+
+@query(f"SELECT coalesce(severity, 'none') AS severity, count(*) AS n FROM ({TREND}) GROUP BY 1")
+def severity_tally(spark, d):
+    return _trends(spark, d).groupBy(F.coalesce("severity", F.lit("none")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+FEATURES = f"""WITH a AS (SELECT n_name, ago // 30 AS w FROM {AGO} FROM {STAR}) WHERE n_name IS NOT NULL),
+g AS (SELECT n_name, r.w, count(a.w) AS n FROM (SELECT DISTINCT n_name FROM a) CROSS JOIN range((SELECT max(w) + 1 FROM a)) r(w) LEFT JOIN a USING (n_name, w) GROUP BY 1, 2),
+f AS (SELECT n_name, w, n AS recent, lead(n, 1, 0) OVER o AS prior, lead(n, 2, 0) OVER o AS prior2, lag(n) OVER o AS target FROM g WINDOW o AS (PARTITION BY n_name ORDER BY w)),
+feat AS (SELECT n_name, CAST(w AS INT) AS w, recent, prior, prior2, round(recent / greatest(prior, 1), 3) AS velocity, round((recent + prior + prior2) / 3, 3) AS rolling_mean_3, round((recent - prior2) / 2, 3) AS trend_slope,
+CAST(month((SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - CAST((w - 1) * 30 AS INT)) AS INT) AS month, target FROM f)"""
+
+
+def _features(spark, d):
+    return series.window_features(enriched(spark, d).where("n_name is not null"), ["n_name"], "o_orderdate")
+
+
+@query(f"{FEATURES} SELECT * EXCLUDE (w, target) FROM feat WHERE w = 0")
+def lag_window_features(spark, d):
+    return _features(spark, d).where("w = 0").drop("w", "target")
+
+
+@query(f"{FEATURES} SELECT * FROM feat WHERE w >= 1 AND w <= (SELECT max(w) - 2 FROM feat)")
+def training_rows(spark, d):
+    f = _features(spark, d)
+    last = f.agg(F.max("w").alias("last"))
+    return f.crossJoin(F.broadcast(last)).where("w >= 1 and w <= last - 2").drop("last")
+
+
+@query(f"""{FEATURES} SELECT n_name, rolling_mean_3 AS expected, CASE WHEN rolling_mean_3 >= hi THEN 'high' WHEN rolling_mean_3 >= lo THEN 'medium' ELSE 'low' END AS level
+FROM feat, (SELECT quantile_cont(rolling_mean_3, 1.0/3) AS lo, quantile_cont(rolling_mean_3, 2.0/3) AS hi FROM feat WHERE w = 0) WHERE w = 0""")
+def risk_tertiles(spark, d):
+    return series.forecast(_features(spark, d), lambda f: f.withColumn("expected", F.col("rolling_mean_3"))).select("n_name", "expected", "level")
+
+
+@query("""WITH l AS (SELECT o_orderkey, any_value(o_orderpriority) AS p, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+m AS (SELECT p, median(lines) AS med, count(*) AS n FROM l GROUP BY 1), a AS (SELECT p, median(abs(lines - med)) AS mad FROM l JOIN m USING (p) GROUP BY 1)
+SELECT o_orderkey, p AS o_orderpriority, lines, round((lines - med) / greatest(1.4826 * mad, 1.0), 4) AS z FROM l JOIN m USING (p) JOIN a USING (p) WHERE n >= 10 AND round((lines - med) / greatest(1.4826 * mad, 1.0), 4) >= 1.5""")
+def robust_count_outliers(spark, d):
+    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    o = table(spark, d, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "o_orderpriority", F.coalesce("lines", F.lit(0)).alias("lines"))
+    return series.count_outliers(o, "o_orderpriority", "lines", min_score=1.5).select("o_orderkey", "o_orderpriority", "lines", "z")
+
+
+@query("""WITH e AS (SELECT event_id, event_type, hour(ts) AS h FROM events),
+m AS (SELECT event_type, count(*) AS n, atan2(round(avg(sin(h * (2 * 3.141592653589793 / 24))), 9), round(avg(cos(h * (2 * 3.141592653589793 / 24))), 9)) * (24 / (2 * 3.141592653589793)) AS t FROM e GROUP BY 1),
+c AS (SELECT event_type, n, round(CASE WHEN t < 0 THEN t + 24 ELSE t END, 6) AS centre FROM m),
+x AS (SELECT event_id, event_type, h, n, centre, least(abs(h - centre), 24 - abs(h - centre)) AS distance FROM e JOIN c USING (event_type)),
+a AS (SELECT event_type, median(distance) AS mad FROM x GROUP BY 1)
+SELECT event_id, event_type, CAST(h AS INT) AS hour, centre, round(distance / greatest(1.4826 * mad, 1.5), 4) AS score FROM x JOIN a USING (event_type) WHERE n >= 8 AND round(distance / greatest(1.4826 * mad, 1.5), 4) >= 1.2""")
+def circular_hour_outliers(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", F.hour("ts").alias("hour"))
+    return series.hour_outliers(e, "event_type", "hour", min_score=1.2).select("event_id", "event_type", "hour", "centre", "score")
+
+
+@query("""WITH p AS (SELECT c_nationkey, c_mktsegment, count(*) AS observed FROM customer GROUP BY 1, 2), t AS (SELECT c_nationkey, sum(observed) AS total FROM p GROUP BY 1), k AS (SELECT c_mktsegment, sum(observed) / (SELECT count(*) FROM customer) AS share FROM p GROUP BY 1)
+SELECT c_nationkey, c_mktsegment, observed, round(total * share, 4) AS expected, round((total * share - observed) / sqrt(total * share), 4) AS z FROM p JOIN t USING (c_nationkey) JOIN k USING (c_mktsegment) WHERE total >= 20 AND share >= 0.01 AND total * share >= 3 AND observed <= 0.8 * total * share""")
+def rare_pair(spark, d):
+    return series.rare_pairs(table(spark, d, "customer"), "c_nationkey", "c_mktsegment", at_most=0.8)
+
+
+@query("""WITH s AS (SELECT event_type, round(avg(CAST(hour(ts) IN (21, 22, 23, 0, 1, 2) AS INT)), 3) AS night_share FROM events GROUP BY 1)
+SELECT event_type, CAST(hour(ts) AS INT) AS hour, count(*) AS n, any_value(night_share) AS night_share FROM events JOIN s USING (event_type) GROUP BY 1, 2""")
+def hour_histogram_share(spark, d):
+    e = table(spark, d, "events").withColumn("hour", F.hour("ts"))
+    g = e.groupBy("event_type").agg(F.round(F.avg(F.col("hour").isin(21, 22, 23, 0, 1, 2).cast("int")), 3).alias("night_share"), F.array(*(F.sum((F.col("hour") == h).cast("long")) for h in range(24))).alias("h"))
+    return g.select("event_type", "night_share", F.posexplode("h").alias("hour", "n")).where("n > 0").select("event_type", "hour", "n", "night_share")
+
+
+@query("""SELECT c_nationkey, min(c_mktsegment) FILTER (n = top) AS modal, min_by(c_mktsegment, first) FILTER (n = top) AS first_top FROM (SELECT *, max(n) OVER (PARTITION BY c_nationkey) AS top FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1, 2)) GROUP BY 1""")
+def mode_and_top(spark, d):
+    """The smallest of the commonest values, and the one met first in key order."""
+    g = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+    return g.groupBy("c_nationkey").agg(F.min_by("c_mktsegment", F.struct(-F.col("n"), "c_mktsegment")).alias("modal"), F.min_by("c_mktsegment", F.struct(-F.col("n"), "first")).alias("first_top"))
+
+
+def _points(spark, d):
+    """The tables have no coordinates: key and nation give them, dense in the middle."""
+    k = F.col("c_custkey")
+    spread = ((k % 7) + 1) / F.lit(7.0)
+    return table(spark, d, "customer").select(k.alias("id"), (F.lit(12.0) + F.col("c_nationkey") * 0.1 + ((k * 37) % 101 - 50) / F.lit(5000.0) * spread * spread).alias("lat"), (F.lit(77.0) + F.col("c_nationkey") * 0.1 + ((k * 91) % 103 - 51) / F.lit(5000.0) * spread * spread).alias("lon"), F.col("c_mktsegment").alias("kind"))
+
+
+POINTS = """p AS (SELECT c_custkey AS id, 12.0::DOUBLE + c_nationkey * 0.1::DOUBLE + ((c_custkey * 37) % 101 - 50) / 5000.0::DOUBLE * (((c_custkey % 7) + 1) / 7.0::DOUBLE) * (((c_custkey % 7) + 1) / 7.0::DOUBLE) AS lat, 77.0::DOUBLE + c_nationkey * 0.1::DOUBLE + ((c_custkey * 91) % 103 - 51) / 5000.0::DOUBLE * (((c_custkey % 7) + 1) / 7.0::DOUBLE) * (((c_custkey % 7) + 1) / 7.0::DOUBLE) AS lon, c_mktsegment AS kind FROM customer)"""
+HAV = "2 * 6371000.0 * asin(sqrt(least(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2), 1.0)))"
+NEAR = f"{POINTS}, n AS (SELECT a.id AS a, b.id AS b, {HAV.format(a='a.', b='b.')} AS m FROM p a, p b WHERE a.id <> b.id AND abs(a.lat - b.lat) < 0.01 AND abs(a.lon - b.lon) < 0.02)"
+
+
+@query(f"WITH {NEAR} SELECT a, b, round(m, 3) AS metres FROM n WHERE a < b AND m <= 150")
+def haversine_pairs(spark, d):
+    return space.neighbour_pairs(_points(spark, d), 150).where("a < b").select("a", "b", F.round("metres", 3).alias("metres"))
+
+
+@query(f"""WITH RECURSIVE {NEAR}, e AS (SELECT a, b FROM n WHERE m <= 250), core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) + 1 >= 8),
+r(id, c) AS (SELECT id, id FROM core UNION SELECT e.b, r.c FROM r JOIN e ON r.id = e.a JOIN core ON core.id = e.b),
+l AS (SELECT id, min(c) AS cluster FROM r GROUP BY id),
+al AS (SELECT * FROM l UNION ALL SELECT e.a, min(l.cluster) FROM e JOIN l ON e.b = l.id WHERE e.a NOT IN (SELECT id FROM core) GROUP BY e.a),
+c AS (SELECT cluster, count(*) AS n_points, avg(lat) AS lat, avg(lon) AS lon FROM al JOIN p USING (id) GROUP BY 1),
+k AS (SELECT cluster, kind, count(*) AS n FROM al JOIN p USING (id) GROUP BY 1, 2)
+SELECT cluster, n_points, round(any_value(c.lat), 6) AS lat, round(any_value(c.lon), 6) AS lon, round(max({HAV.format(a='p.', b='c.')}), 1) AS radius_m, (SELECT kind FROM k WHERE k.cluster = c.cluster ORDER BY n DESC, kind LIMIT 1) AS top_kind
+FROM c JOIN al USING (cluster) JOIN p USING (id) GROUP BY cluster, n_points""")
+def hotspot_clusters(spark, d):
+    p = _points(spark, d)
+    return space.cluster_summary(p, space.density_clusters(p, 250, 8), "kind")
+
+
+CO = """i AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS m FROM lineitem), ok AS (SELECT g FROM i GROUP BY g HAVING count(*) BETWEEN 2 AND 20),
+e AS (SELECT a.m AS a, b.m AS b, count(*) AS weight FROM i a JOIN i b USING (g) JOIN ok USING (g) WHERE a.m < b.m GROUP BY 1, 2)"""
+
+
+def _edges(spark, d):
+    return network.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+
+
+@query("WITH i AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS m FROM lineitem), ok AS (SELECT g FROM i GROUP BY g HAVING count(*) BETWEEN 2 AND 20) SELECT a.m AS a, b.m AS b, count(*) AS weight FROM i a JOIN i b USING (g) JOIN ok USING (g) WHERE a.m < b.m GROUP BY 1, 2")
+def cooccurrence_edges(spark, d):
+    return network.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_partkey) AS members FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) > 9")
+def cooccurrence_over_cap(spark, d):
+    return network.over_cap(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 9)
+
+
+@query(f"WITH {CO}, n AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT a AS node, count(*) AS degree, round(count(*) / greatest((SELECT count(DISTINCT a) FROM n) - 1, 1), 6) AS centrality FROM n GROUP BY a")
+def degree_centrality(spark, d):
+    return network.degrees(_edges(spark, d))
+
+
+@query(f"""WITH {CO}, n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), g AS (SELECT a, count(*) AS d FROM n GROUP BY a),
+s AS (SELECT e.a, e.b, count(*) AS k FROM e JOIN n x ON e.a = x.a JOIN n y ON e.b = y.a AND x.b = y.b GROUP BY 1, 2)
+SELECT e.a, e.b, round(coalesce(k, 0) / (ga.d + gb.d - coalesce(k, 0)), 6) AS jaccard FROM e LEFT JOIN s ON e.a = s.a AND e.b = s.b JOIN g ga ON ga.a = e.a JOIN g gb ON gb.a = e.b""")
+def neighbour_jaccard(spark, d):
+    return network.jaccard(_edges(spark, d))
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, -1 - c_nationkey AS b FROM customer), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, c) AS (SELECT a, a FROM n UNION SELECT n.b, r.c FROM r JOIN n ON r.node = n.a) SELECT node, min(c) AS component FROM r GROUP BY node""")
+def connected_components(spark, d):
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (-1 - F.col("c_nationkey")).cast("long").alias("dst"))
+    return components.connected_components(e)
+
+
+STAR_EDGES = "e AS (SELECT o_orderkey AS a, -o_custkey AS b FROM orders)"
+
+
+def _star(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (-F.col("o_custkey")).alias("b"))
+
+
+@query(f"WITH {STAR_EDGES}, n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), one AS (SELECT b AS node FROM n WHERE a = 1), two AS (SELECT DISTINCT n.b AS node FROM one JOIN n ON one.node = n.a WHERE n.b <> 1) SELECT 1 AS node, 0 AS depth UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two WHERE node NOT IN (SELECT node FROM one)")
+def bfs_depth2(spark, d):
+    return network.within_steps(_star(spark, d), 1, 2)
+
+
+@query("""SELECT DISTINCT 'CASE:' || o_orderkey AS node_id, 'CASE' AS node_type FROM orders UNION ALL SELECT 'PERSON:' || c_custkey, 'PERSON' FROM customer UNION ALL SELECT 'AREA:' || n_nationkey, 'AREA' FROM nation""")
+def graph_projection_nodes(spark, d):
+    kinds = (("CASE", "orders", "o_orderkey"), ("PERSON", "customer", "c_custkey"), ("AREA", "nation", "n_nationkey"))
+    parts = [table(spark, d, t).select(F.concat(F.lit(f"{k}:"), F.col(c).cast("string")).alias("node_id"), F.lit(k).alias("node_type")).dropDuplicates(["node_id"]) for k, t, c in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""SELECT 'INVOLVES|CASE:' || o_orderkey || '|PERSON:' || o_custkey || '|' || o_orderkey AS edge_id, 'INVOLVES' AS rel FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'LIVES_IN|PERSON:' || c_custkey || '|AREA:' || c_nationkey || '|' || c_custkey, 'LIVES_IN' FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def graph_projection_edges(spark, d):
+    o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
+    ref = lambda kind, col: F.concat(F.lit(f"{kind}:"), F.col(col).cast("string"))
+    a = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(X.composite_id(F.lit("INVOLVES"), ref("CASE", "o_orderkey"), ref("PERSON", "o_custkey"), F.col("o_orderkey").cast("string")).alias("edge_id"), F.lit("INVOLVES").alias("rel"))
+    b = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select(X.composite_id(F.lit("LIVES_IN"), ref("PERSON", "c_custkey"), ref("AREA", "c_nationkey"), F.col("c_custkey").cast("string")).alias("edge_id"), F.lit("LIVES_IN").alias("rel"))
+    return a.unionByName(b)
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS ref, count(*) AS n_rows FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
+def dangling_counts(spark, d):
+    return T.dangling(table(spark, d, "documents"), "doc_id", table(spark, d, "labels"), "doc_id")
+
+
+# A caller's lexicon over product names; precedence decides before length.
+COLOURS = [("red", "warm", 1, 0.7), ("rust", "warm", 2, 0.8), ("blue", "cold", 1, 0.7), ("steel", "metal", 3, 0.9), ("gold", "metal", 3, 0.9), ("small", "size", 1, 0.6), ("large", "size", 1, 0.6), ("a", "letter", 0, 0.5)]
+
+
+@query("SELECT p_partkey, CASE WHEN e IS NULL THEN 'UNKNOWN' ELSE e.v END AS value, CASE WHEN e IS NULL THEN 0.5 ELSE e.s END AS confidence, CASE WHEN e IS NOT NULL THEN CAST(strpos(lower(trim(p_name)), e.w) - 1 AS INT) END AS at FROM (SELECT p_partkey, p_name, list_max(list_filter([" + ", ".join(f"{{'p': {p}, 'l': {len(w)}, 's': {s}::DOUBLE, 'o': {-i}, 'w': '{w}', 'v': '{v}'}}" for i, (w, v, p, s) in enumerate(COLOURS)) + "], lambda x: contains(lower(trim(p_name)), x.w))) AS e FROM part WHERE length(trim(p_name)) >= 3)")
+def lexicon_extract(spark, d):
+    got = attributes.extract(table(spark, d, "part"), "p_name", {"colour": COLOURS}, min_chars=3)
+    return got.select("p_partkey", F.col("colour.value").alias("value"), F.col("colour.confidence").alias("confidence"), F.col("colour.start").alias("at"))
+
+
+@query("""WITH a AS (SELECT p_partkey, p_brand, p_type, coalesce(CASE WHEN p_size <= 17 THEN 'small' WHEN p_size <= 35 THEN 'mid' ELSE 'big' END, 'UNKNOWN') AS s FROM part), t AS (SELECT * FROM a WHERE p_partkey = 1),
+m AS (SELECT a.p_partkey, CAST(a.p_brand = t.p_brand AS INT) AS b, CAST(a.p_type = t.p_type AS INT) AS y, CAST(a.s = t.s AS INT) AS z FROM a, t WHERE a.p_partkey <> 1)
+SELECT p_partkey, b + y + z AS matched, round((b * 1.0 + y * 1.6 + z * 0.8) / 3.4, 4) AS score FROM m WHERE b + y + z >= 2 AND round((b * 1.0 + y * 1.6 + z * 0.8) / 3.4, 4) >= 0.35""")
+def attribute_similarity(spark, d):
+    s = F.coalesce(F.when(F.col("p_size") <= 17, "small").when(F.col("p_size") <= 35, "mid").otherwise("big"), F.lit("UNKNOWN"))
+    a = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", s.alias("s"))
+    return attributes.similar_to(a, a.where("p_partkey = 1"), {"p_brand": 1.0, "p_type": 1.6, "s": 0.8}, "p_partkey")
+
+
+@query("SELECT doc_id, lang, substr(text, 1, 160) AS preview FROM documents WHERE lang = 'en' AND (contains(CAST(doc_id AS VARCHAR), 'mit') OR contains(lower(text), 'license')) ORDER BY doc_id LIMIT 20 OFFSET 5")
+def text_search_page(spark, d):
+    hit = F.contains(F.col("doc_id").cast("string"), F.lit("mit")) | F.contains(F.lower("text"), F.lit("license"))
+    return T.page(table(spark, d, "documents").where((F.col("lang") == "en") & hit), ["doc_id"], 5, 20).select("doc_id", "lang", F.substring("text", 1, 160).alias("preview"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(url, '^([a-z]+)://', 1), '') AS scheme, TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS BIGINT) AS number FROM pages")
+def regex_extract(spark, d):
+    part = lambda p: F.nullif(F.regexp_extract("url", p, 1), F.lit(""))
+    return table(spark, d, "pages").select("page_id", part("^([a-z]+)://").alias("scheme"), part("/([0-9]+)").try_cast("long").alias("number"))
+
+
+@query("SELECT 'customer' AS role, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
+def union_roles(spark, d):
+    c = table(spark, d, "customer").select(F.lit("customer").alias("role"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return c.unionByName(table(spark, d, "supplier").select(F.lit("supplier").alias("role"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")))
+
+
+@query("SELECT * FROM (SELECT round(avg(CAST(d.doc_id IS NULL AS INT)), 4) AS doc_id, round(avg(CAST(quality IS NULL AS INT)), 4) AS quality, round(avg(CAST(toxic IS NULL AS INT)), 4) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) UNPIVOT (rate FOR \"column\" IN (doc_id, quality, toxic))")
+def null_and_unknown_rates(spark, d):
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "quality", "toxic")
+    return T.null_rates(j)
+
+
+@query("SELECT conv_id, min(turn) AS turn, arg_min(role, turn) AS role, arg_min(text, turn) AS text FROM conversations GROUP BY 1")
+def dedupe_first_wins(spark, d):
+    return T.keep_first(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), ["conv_id"], ["turn"])
+
+
+@query("SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY 1")
+def upsert_latest(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return T.upsert(c.where("role = 'user'"), c.where("not role <=> 'user'"), ["conv_id"], "turn")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, row(o_orderpriority, -o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")
+def argmin_priority(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
+    return T.best_by_priority(o, ["o_custkey"], [F.col("o_orderpriority"), -F.col("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def scope_filter(spark, d):
+    return T.scoped(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(spark, d, "customer"), "c_custkey", "c_nationkey", "3")
+
+
+@query("WITH RECURSIVE u AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region UNION ALL SELECT 'world', NULL), r AS (SELECT id, parent AS ancestor, 1 AS steps FROM u WHERE parent IS NOT NULL UNION ALL SELECT r.id, u.parent, steps + 1 FROM r JOIN u ON r.ancestor = u.id WHERE u.parent IS NOT NULL) SELECT id, ancestor, steps, false AS cycle FROM r")
+def hierarchy_walk(spark, d):
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("world").alias("parent"))
+    top = spark.range(1).select(F.lit("world").alias("id"), F.lit(None).cast("string").alias("parent"))
+    return T.ancestors(n.unionByName(r).unionByName(top))
+
+
+def _people(spark, d):
+    """Distinct product names stand for person names, sizes for ages."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("int").alias("age"), F.substring("p_type", 1, 1).alias("gender"))
+
+
+@query()
+def identity_candidates(spark, d):
+    one = _people(spark, d).groupBy("name", "age", "gender").agg(F.min("id").alias("id"))
+    return identity.candidates(one)
+
+
+@query()
+def similar_search(spark, d):
+    return identity.similar_people(_people(spark, d), "red widge", partial=True, limit=20)
+
+
+@query()
+def isolation_forest_flags(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.hour("o_orderdate").alias("hour"), F.month("o_orderdate").alias("month"))
+    return forest.isolation_scores(o, ["o_totalprice", "hour", "month"], "o_orderkey").select("o_orderkey", F.round("isolation", 6).alias("isolation"), (F.col("isolation") > 0.5).alias("confirmed"))
+
+
+@query()
+def path_betweenness(spark, d):
+    return network.betweenness(table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (-1 - F.col("c_nationkey")).cast("long").alias("b")), pivots=100)
+
+
+@query()
+def label_communities(spark, d):
+    return network.communities(_edges(spark, d))
