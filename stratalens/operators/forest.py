@@ -8,6 +8,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _norm(n: float) -> float:
@@ -47,7 +48,7 @@ def isolation_scores(df: DataFrame, features: list[str], key: str, trees: int =
     forest = [_grow(drawn[r.choice(len(drawn), n, replace=False)], r, math.ceil(math.log2(n))) for _ in range(trees)]
     shared = df.sparkSession.sparkContext.broadcast((forest, _norm(n)))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(*cols: pd.Series) -> pd.Series:
         trees_, c = shared.value
         m = np.column_stack([s.to_numpy(float) for s in cols])
