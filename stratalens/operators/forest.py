@@ -36,10 +36,10 @@ def _depth(tree: tuple, x: np.ndarray, at: np.ndarray, level: int, out: np.ndarr
     _depth(tree[3], x, at[~left], level + 1, out)
 
 
-def isolation_scores(df: DataFrame, features: list[str], key: str, trees: int = 200, psi: int = 256, seed: int = 0, min_rows: int = 20) -> DataFrame:
+def isolation_scores(df: DataFrame, features: list[str], key: str, trees: int = 200, psi: int = 256, seed: int = 0, min_rows: int = 20, history: DataFrame | None = None) -> DataFrame:
     """``df`` with ``isolation`` (over one half: isolated early); null below ``min_rows``
-    complete rows. Rows with a null feature score null."""
-    x = df.select(key, *(F.col(c).cast("double") for c in features)).dropna()
+    complete rows. Rows with a null feature score null. Trees grow from ``history`` if given."""
+    x = (df if history is None else history).select(key, *(F.col(c).cast("double") for c in features)).dropna()
     drawn = x.orderBy(F.xxhash64(F.lit(seed), key)).limit(trees * 16 + psi).toPandas()[features].to_numpy()
     if len(drawn) < min_rows:
         return df.withColumn("isolation", F.lit(None).cast("double"))

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from .components import connected_components
 
 
-def cooccurrence(rows: DataFrame, group: str, member: str, cap: int = 20) -> DataFrame:
-    """``a, b, weight``: members that share a group, by number of groups. Groups of more than
-    ``cap`` members give no pairs (part of the measure); see ``over_cap`` for their list."""
+def cooccurrence_by_group(rows: DataFrame, group: str, member: str, cap: int = 20) -> DataFrame:
+    """``g, a, b``: pairs of members of a group, a before b. Groups of more than ``cap``
+    members give no pairs (part of the measure); see ``over_cap`` for their list."""
     r = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).dropna().distinct()
     ok = r.groupBy("g").count().where(F.col("count").between(2, cap)).select(F.col("g").alias("g2"))
     r = r.join(ok, r["g"] == ok["g2"], "left_semi")
-    return r.withColumnRenamed("m", "a").join(r.withColumnRenamed("m", "b"), "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    return r.withColumnRenamed("m", "a").join(r.withColumnRenamed("m", "b"), "g").where("a < b").select("g", "a", "b")
+
+
+def cooccurrence(rows: DataFrame, group: str, member: str, cap: int = 20) -> DataFrame:
+    """``a, b, weight``: members that share a group, by number of groups."""
+    return cooccurrence_by_group(rows, group, member, cap).groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def over_cap(rows: DataFrame, group: str, member: str, cap: int = 20) -> DataFrame:
@@ -53,6 +59,67 @@ def within_steps(edges: DataFrame, seed, steps: int = 2, limit: int | None = Non
     return seen.orderBy("depth", "node").limit(limit) if limit else seen
 
 
+def subgraph(edges: DataFrame, seed: str, depth: int = 2, limit: int = 500, in_scope: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Breadth-first from the seed over ``edges`` (edge_id, src, dst, ...), nodes of a level
+    in the order of their finders and edge ids, ``limit`` nodes in all. Returns the nodes
+    (node, depth, place), the edges among them, and stubs: per node the edges that the limit
+    cut (``more_edges``) and those outside the scope (``cross_scope``)."""
+    scope = F.lit(True) if in_scope is None else F.coalesce(in_scope, F.lit(False))
+    e = edges.withColumn("_in", scope)
+    ends = e.select("edge_id", "_in", F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(e.select("edge_id", "_in", F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b")
+    spark = edges.sparkSession
+    seen = spark.createDataFrame([(seed, 0, 0)], "node string, depth int, place int")
+    cut, total = [], 1
+    for k in range(depth):
+        front = ends.where("_in").join(seen.where(F.col("depth") == k), F.col("a") == F.col("node")).select("a", "b", "edge_id", "place")
+        fresh = materialize(front.join(seen.select(F.col("node").alias("_s")), F.col("b") == F.col("_s"), "left_anti"))
+        first = fresh.groupBy("b").agg(F.min(F.struct("place", "edge_id")).alias("o")).orderBy("o").limit(limit - total)
+        ranked = first.withColumn("place", (F.row_number().over(Window.orderBy("o")) + total).cast("int"))
+        more = materialize(ranked.select(F.col("b").alias("node"), F.lit(k + 1).alias("depth"), "place"))
+        total += more.count()  # at most the limit
+        if total >= limit:
+            left = fresh.join(more.select(F.col("node").alias("_s")), F.col("b") == F.col("_s"), "left_anti")
+            cut.append(left.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("more_edges")))
+        seen = seen.unionByName(more)
+    among = e.where("_in").join(seen.select(F.col("node").alias("src")), "src", "left_semi").join(seen.select(F.col("node").alias("dst")), "dst", "left_semi").select(*edges.columns)
+    cross = ends.where("not _in").join(seen.select("node"), F.col("a") == F.col("node"), "left_semi").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("cross_scope"))
+    stubs = reduce(DataFrame.unionByName, cut) if cut else seen.where("false").select("node", F.lit(0).cast("long").alias("more_edges"))
+    stubs = stubs.groupBy("node").agg(F.sum("more_edges").alias("more_edges")).join(cross, "node", "full").select("node", F.coalesce("more_edges", F.lit(0)).cast("long").alias("more_edges"), F.coalesce("cross_scope", F.lit(0)).cast("long").alias("cross_scope"))
+    return seen, among, stubs
+
+
+# What a measure may be called, and its bounds.
+ARTIFACT = "single-case clique — case-size artifact, excluded from bridge ranking"
+BRIDGE = "high-connectivity bridge in the observed case-association graph"
+HUB = "frequently co-occurring accused record"
+BRIDGES, HUB_DEGREE = 3, 3
+
+
+def graph_metrics(pairs: DataFrame, pivots: int = 500) -> DataFrame:
+    """``pairs``: a, b, case_id. Per node: component, community, degree, centrality,
+    co-occurrences, path betweenness, whether its component is one case's clique, and the
+    words that may describe it: artifact before bridge before hub."""
+    p = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "case_id").distinct())
+    e = materialize(p.groupBy("a", "b").agg(F.count("*").alias("weight")))
+    comp = materialize(connected_components(e, "a", "b"))
+    near = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+    shared = near.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("co_occurrences"))
+    size = comp.groupBy("component").agg(F.count("*").alias("n_nodes"))
+    inside = p.join(comp, F.col("a") == F.col("node")).groupBy("component").agg(F.countDistinct("a", "b").alias("n_edges"), F.min("case_id").alias("c1"), F.max("case_id").alias("c2"))
+    clique = size.join(inside, "component").select("component", "n_nodes", ((F.col("c1") == F.col("c2")) & (F.col("n_edges") * 2 == F.col("n_nodes") * (F.col("n_nodes") - 1))).alias("artifact"))
+    m = comp.join(clique, "component").join(degrees(e), "node").join(shared, "node").join(betweenness(e, pivots), "node").join(communities(e), "node")
+    m = m.withColumn("betweenness", F.when(F.col("n_nodes") > 2, F.col("betweenness") * 2 / ((F.col("n_nodes") - 1) * (F.col("n_nodes") - 2))).otherwise(0.0))
+    # the third largest of each component, by three grouped maxima: no component is sorted
+    value = m.select("component", "node", "betweenness")
+    third = value
+    for _ in range(BRIDGES - 1):
+        best = third.groupBy("component").agg(F.max(F.struct("betweenness", "node")).alias("top"))
+        third = third.join(best.select(F.col("component").alias("_c"), F.col("top.node").alias("_n")), (F.col("component") == F.col("_c")) & (F.col("node") == F.col("_n")), "left_anti")
+    bound = third.groupBy("component").agg(F.max("betweenness").alias("bound"))
+    words = F.when(F.col("artifact"), ARTIFACT).when((F.col("betweenness") > 0) & (F.col("betweenness") >= F.coalesce("bound", F.lit(0.0))), BRIDGE).when(F.col("degree") >= HUB_DEGREE, HUB)
+    return m.join(bound, "component", "left").select("node", "component", "community", "degree", "centrality", F.round("betweenness", 6).alias("betweenness"), "co_occurrences", "artifact", words.alias("interpretation"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.select("node")
     return edges.join(n.withColumnRenamed("node", "a"), "a", "left_semi").join(n.withColumnRenamed("node", "b"), "b", "left_semi")

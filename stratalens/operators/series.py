@@ -1,7 +1,8 @@
 """Trends, window features and baselines over groups of dated rows.
 
 All are grouped aggregates with map-side combination; the one global value each needs (the
-newest date) is a one-row aggregate joined back.
+newest date) is a one-row aggregate joined back. Baselines of groups are joined without a
+hint: Spark broadcasts them while they are small.
 """
 
 from __future__ import annotations
@@ -83,10 +84,10 @@ def forecast(features: DataFrame, predictor=None) -> DataFrame:
 def count_outliers(df: DataFrame, group: str, value: str, min_n: int = 10, floor: float = 1.0, min_score: float = 2.5) -> DataFrame:
     """Rows whose value stands out of their group's median by the modified z."""
     med = df.groupBy(group).agg(F.median(value).alias("median"), F.count("*").alias("n"))
-    dev = df.join(F.broadcast(med), group)
+    dev = df.join(med, group)
     mad = dev.groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
     z = modified_z(F.col(value), F.col("median"), F.col("mad"), floor)
-    return dev.where(F.col("n") >= min_n).join(F.broadcast(mad), group).withColumn("z", F.round(z, 4)).where(F.col("z") >= min_score)
+    return dev.where(F.col("n") >= min_n).join(mad, group).withColumn("z", F.round(z, 4)).where(F.col("z") >= min_score)
 
 
 def hour_outliers(df: DataFrame, group: str, hour: str, min_n: int = 8, floor: float = 1.5, min_score: float = 2.5) -> DataFrame:
@@ -94,10 +95,10 @@ def hour_outliers(df: DataFrame, group: str, hour: str, min_n: int = 8, floor: f
     a = F.col(hour) * (2 * 3.141592653589793 / 24)
     mean = df.groupBy(group).agg(F.count("*").alias("n"), F.atan2(F.round(F.avg(F.sin(a)), 9), F.round(F.avg(F.cos(a)), 9)).alias("t"))
     mean = mean.select(group, "n", F.round(F.pmod(F.col("t") * (24 / (2 * 3.141592653589793)), F.lit(24.0)), 6).alias("centre"))
-    d = df.join(F.broadcast(mean), group).withColumn("distance", hour_distance(F.col(hour), F.col("centre")))
+    d = df.join(mean, group).withColumn("distance", hour_distance(F.col(hour), F.col("centre")))
     mad = d.groupBy(group).agg(F.median("distance").alias("mad"))
     score = F.round(F.col("distance") / F.greatest(1.4826 * F.col("mad"), F.lit(floor)), 4)
-    return d.where(F.col("n") >= min_n).join(F.broadcast(mad), group).withColumn("score", score).where(F.col("score") >= min_score)
+    return d.where(F.col("n") >= min_n).join(mad, group).withColumn("score", score).where(F.col("score") >= min_score)
 
 
 def rare_pairs(df: DataFrame, place: str, kind: str, min_total: int = 20, min_share: float = 0.01, min_expected: float = 3.0, at_most: float = 0.4) -> DataFrame:
@@ -105,7 +106,7 @@ def rare_pairs(df: DataFrame, place: str, kind: str, min_total: int = 20, min_sh
     pair = df.groupBy(place, kind).agg(F.count("*").alias("observed"))
     total = pair.groupBy(place).agg(F.sum("observed").alias("place_total"))
     share = pair.groupBy(kind).agg(F.sum("observed").alias("kind_total")).crossJoin(F.broadcast(pair.agg(F.sum("observed").alias("all"))))
-    j = pair.join(F.broadcast(total), place).join(F.broadcast(share), kind)
+    j = pair.join(total, place).join(share, kind)
     j = j.withColumn("share", F.col("kind_total") / F.col("all")).withColumn("expected", F.col("place_total") * F.col("share"))
     j = j.where((F.col("place_total") >= min_total) & (F.col("share") >= min_share) & (F.col("expected") >= min_expected) & (F.col("observed") <= at_most * F.col("expected")))
     return j.select(place, kind, "observed", F.round("expected", 4).alias("expected"), F.round((F.col("expected") - F.col("observed")) / F.sqrt("expected"), 4).alias("z"))

@@ -14,6 +14,14 @@ EVIDENCE = "run_id string, claim string, case_ids array<long>, method string, li
 CLASSES = ("FACT", "DERIVED_METRIC", "PREDICTION", "AI_DERIVED")
 
 
+# Roles by precedence, scopes by breadth, who sees the whole state, and who
+# may read the audit log.
+ROLES = ("SYSTEM_ADMIN", "SCRB_STATE_ANALYST", "SUPERVISOR", "DISTRICT_ANALYST", "INVESTIGATOR")
+SCOPES = ("STATE", "DISTRICT", "UNIT")
+STATEWIDE, AUDIT_READERS = ROLES[:2], ROLES[:1]
+DECISION = "target string, decision string, actor string, note string, decided_at timestamp"
+
+
 @dataclass
 class Run:
     kind: str
@@ -59,8 +67,44 @@ def envelope(df: DataFrame, classification: str, method: str, limitations: list[
 
 
 def audit(events: DataFrame, role: str, event_type: str | None = None, actor: str | None = None, limit: int = 200) -> DataFrame:
-    if role not in ("ADMIN", "AUDITOR"):
+    if role not in AUDIT_READERS:
         raise PermissionError("the role may not read the audit log")
     out = events if event_type is None else events.where(F.col("event_type") == event_type)
     out = out if actor is None else out.where(F.col("actor") == actor)
     return out.orderBy(F.desc("at"), F.desc("event_id")).limit(limit)
+
+
+def effective_roles(assignments: DataFrame) -> DataFrame:
+    """``assignments``: user_id, role, scope_type, scope_id. The one that holds for each
+    user: first role by precedence, then the broadest scope, then the smallest id. Users
+    without a valid one are absent, and what is absent is denied."""
+    a = assignments.where(F.col("role").isin(*ROLES) & F.col("scope_type").isin(*SCOPES) & (F.col("scope_id").isNull() == (F.col("scope_type") == "STATE")))
+    rank = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c))
+    best = a.groupBy("user_id").agg(F.min_by(F.struct("role", "scope_type", "scope_id"), F.struct(rank(ROLES, "role"), rank(SCOPES, "scope_type"), F.coalesce("scope_id", F.lit(-1)))).alias("r"))
+    return best.select("user_id", "r.*").withColumn("statewide", (F.col("scope_type") == "STATE") | F.col("role").isin(*STATEWIDE))
+
+
+def visible(rows: DataFrame, role: dict | None, district: str = "district_id", station: str = "station_id") -> DataFrame:
+    """Rows that a role (a row of ``effective_roles``) may see: a unit's by station, a
+    district's by district; without a role none."""
+    if role is None:
+        return rows.where("false")
+    if role["statewide"]:
+        return rows
+    return rows.where(F.col(station if role["scope_type"] == "UNIT" else district) == role["scope_id"])
+
+
+def decide(spark: SparkSession, path: str, target: str, decision: str, actor: str, note: str | None = None) -> None:
+    """A decision is a row of a log; the latest of a target holds (``decisions``)."""
+    spark.createDataFrame([(target, decision, actor, note, dt.datetime.now(dt.timezone.utc))], DECISION).write.mode("append").parquet(path)
+
+
+def decisions(log: DataFrame) -> DataFrame:
+    rest = [c for c in log.columns if c != "target"]
+    return log.groupBy("target").agg(F.max_by(F.struct(*rest), "decided_at").alias("r")).select("target", "r.*")
+
+
+def evidence_page(evidence: DataFrame, run_id: str, offset: int = 0, limit: int = 50, shown_cases: int = 25) -> DataFrame:
+    """A run's evidence with a preview of its cases and their number."""
+    e = evidence.where(F.col("run_id") == run_id).withColumn("n_cases", F.size("case_ids")).withColumn("case_ids", F.slice("case_ids", 1, shown_cases))
+    return e.orderBy("claim", "method").offset(offset).limit(limit)
