@@ -74,7 +74,7 @@ def subgraph(edges: DataFrame, seed: str, depth: int = 2, limit: int = 500, in_s
         front = ends.where("_in").join(seen.where(F.col("depth") == k), F.col("a") == F.col("node")).select("a", "b", "edge_id", "place")
         fresh = materialize(front.join(seen.select(F.col("node").alias("_s")), F.col("b") == F.col("_s"), "left_anti"))
         first = fresh.groupBy("b").agg(F.min(F.struct("place", "edge_id")).alias("o")).orderBy("o").limit(limit - total)
-        ranked = first.withColumn("place", (F.row_number().over(Window.orderBy("o")) + total).cast("int"))
+        ranked = first.withColumn("place", (F.row_number().over(Window.orderBy("o")) + (total - 1)).cast("int"))
         more = materialize(ranked.select(F.col("b").alias("node"), F.lit(k + 1).alias("depth"), "place"))
         total += more.count()  # at most the limit
         if total >= limit:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import exprs as X
-from ..operators import attributes, components, forest, identity, network, series, space, tables as T
+from ..operators import anomalies, association, attributes, components, forest, identity, network, series, space, tables as T
 from ..sources.files import time_range
 
 QUERIES = {}
@@ -407,6 +407,88 @@ def similar_search(spark, d):
     return identity.similar_people(_people(spark, d), "red widge", partial=True, limit=20)
 
 
+@query(f"""WITH t AS ({TREND}) SELECT 'total' AS part, 'orders' AS label, CAST(count(*) AS DOUBLE) AS value FROM orders
+UNION ALL SELECT 'severity', coalesce(severity, 'none'), CAST(count(*) AS DOUBLE) FROM t GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'alert', o_orderpriority, z FROM t ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'serious' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, z DESC, o_orderpriority LIMIT 3)""")
+def overview_composition(spark, d):
+    """Total, tally of alerts by severity, and the three strongest alerts."""
+    alerts = _trends(spark, d)
+    order = F.coalesce(F.array_position(F.array(*map(F.lit, ("critical", "serious", "warning"))), F.col("severity")), F.lit(4))
+    top = alerts.orderBy(order, F.desc("z"), "o_orderpriority").limit(3).select(F.lit("alert").alias("part"), F.col("o_orderpriority").alias("label"), F.col("z").cast("double").alias("value"))
+    tally = severity_tally(spark, d).select(F.lit("severity").alias("part"), F.col("severity").alias("label"), F.col("n").cast("double").alias("value"))
+    total = table(spark, d, "orders").agg(F.count("*").cast("double").alias("value")).select(F.lit("total").alias("part"), F.lit("orders").alias("label"), "value")
+    return total.unionByName(tally).unionByName(top)
+
+
+def _as_cases(spark, d):
+    """Orders stand for cases, their suppliers for accused and victims."""
+    e = enriched(spark, d)
+    cases = e.select(F.col("o_orderkey").alias("case_id"), F.col("c_nationkey").alias("station_id"), F.col("n_regionkey").alias("district_id"), F.col("o_orderpriority").alias("subhead_id"), F.to_date("o_orderdate").alias("registered_date"))
+    l, s = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    role = F.when(F.col("l_linestatus") == "F", "accused").otherwise("victim")
+    people = l.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(role.alias("role"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("record_id"), F.col("l_orderkey").alias("case_id"), F.col("s_name").alias("name"), F.col("l_quantity").cast("int").alias("age"), F.col("l_returnflag").alias("gender"))
+    return cases, people
+
+
+AS_CASES = f"""c AS (SELECT o_orderkey AS case_id, c_nationkey AS station_id, n_regionkey AS district_id, o_orderpriority AS subhead_id, CAST(o_orderdate AS DATE) AS registered_date FROM {STAR}),
+p AS (SELECT CASE WHEN l_linestatus = 'F' THEN 'accused' ELSE 'victim' END AS role, l_orderkey * 10 + l_linenumber AS record_id, l_orderkey AS case_id, s_name AS name, CAST(l_quantity AS INT) AS age, l_returnflag AS gender FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+@query(f"""WITH {AS_CASES}, e AS (
+SELECT 'REGISTERED_AT' AS rel, 'CASE:' || case_id AS src, 'POLICE_STATION:' || station_id AS dst FROM c WHERE case_id = 2 UNION ALL SELECT 'OCCURRED_IN', 'CASE:' || case_id, 'DISTRICT:' || district_id FROM c WHERE case_id = 2
+UNION ALL SELECT 'CLASSIFIED_AS', 'CASE:' || case_id, 'CRIME_SUBHEAD:' || subhead_id FROM c WHERE case_id = 2
+UNION ALL SELECT CASE role WHEN 'accused' THEN 'ACCUSED_IN' ELSE 'VICTIM_IN' END, CASE role WHEN 'accused' THEN 'ACCUSED_RECORD:' ELSE 'VICTIM_RECORD:' END || record_id, 'CASE:' || case_id FROM p WHERE case_id = 2)
+SELECT rel, 'FACT' AS classification, src, dst, 1.0::DOUBLE AS weight, 2::BIGINT AS case_id, rel || '|' || src || '|' || dst AS edge_id FROM e""")
+def association_overview(spark, d):
+    return association.seed_edges(*_as_cases(spark, d), 2)
+
+
+@query(f"""WITH {AS_CASES} SELECT case_id FROM c WHERE case_id <> 2 AND station_id = (SELECT station_id FROM c WHERE case_id = 2) AND registered_date BETWEEN DATE '1996-01-01' AND DATE '2000-06-30'
+AND case_id IN (SELECT case_id FROM p WHERE contains(lower(name), '3')) AND case_id IN (SELECT case_id FROM p WHERE role = 'accused' AND gender = 'R') AND case_id IN (SELECT case_id FROM p WHERE role = 'accused' AND age BETWEEN 10 AND 40)""")
+def association_same_station(spark, d):
+    """The whole channel of one place under all filters; pages are cut from it."""
+    cases, people = _as_cases(spark, d)
+    none = people.where("false").select(F.col("record_id").alias("id"), F.lit("").alias("cluster"))
+    found = association.related_cases(cases, people, none, 2, "POLICE_STATION:0", date_from="1996-01-01", date_to="2000-06-30", name_contains="3", gender="R", age_min=10, age_max=40)
+    return found.select("case_id")
+
+
+@query("""WITH e AS (SELECT 'R|' || o_orderkey || '|' || o_custkey AS edge_id, 'O:' || o_orderkey AS src, 'C:' || o_custkey AS dst FROM orders UNION ALL SELECT 'L|' || c_custkey AS edge_id, 'C:' || c_custkey, 'N:' || c_nationkey FROM customer),
+n AS (SELECT edge_id, src AS a, dst AS b FROM e UNION ALL SELECT edge_id, dst, src FROM e),
+f1 AS (SELECT b, min(edge_id) AS o FROM n WHERE a = 'N:3' GROUP BY b), one AS (SELECT * FROM (SELECT b AS node, row_number() OVER (ORDER BY o) AS place FROM f1) WHERE place <= 59),
+f2 AS (SELECT b, min(row(one.place, edge_id)) AS o FROM one JOIN n ON a = node WHERE b <> 'N:3' AND b NOT IN (SELECT node FROM one) GROUP BY b),
+two AS (SELECT * FROM (SELECT b AS node, row_number() OVER (ORDER BY o) + (SELECT count(*) FROM one) AS place FROM f2) WHERE place <= 59)
+SELECT 'N:3' AS node, 0 AS depth, 0 AS place UNION ALL SELECT node, 1, CAST(place AS INT) FROM one UNION ALL SELECT node, 2, CAST(place AS INT) FROM two""")
+def subgraph_limited(spark, d):
+    ref = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    o = table(spark, d, "orders").select(F.concat_ws("|", F.lit("R"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("edge_id"), ref("O", "o_orderkey").alias("src"), ref("C", "o_custkey").alias("dst"))
+    c = table(spark, d, "customer").select(F.concat_ws("|", F.lit("L"), F.col("c_custkey").cast("string")).alias("edge_id"), ref("C", "c_custkey").alias("src"), ref("N", "c_nationkey").alias("dst"))
+    nodes, _, _ = network.subgraph(o.unionByName(c), "N:3", 2, 60)
+    return nodes
+
+
+def _phrase_sql(attribute: str) -> str:
+    entries = ", ".join(f"{{'p': {p}, 'l': {len(w)}, 's': {s}::DOUBLE, 'o': {-i}, 'w': '{w}', 'v': '{v}'}}" for i, (w, v, p, s) in enumerate(attributes.lexicon(attribute)))
+    return f"coalesce(list_max(list_filter([{entries}], lambda x: contains(low, x.w))).v, 'UNKNOWN') AS {attribute}"
+
+
+@query(f"SELECT p_partkey, {', '.join(map(_phrase_sql, attributes.PHRASES))} FROM (SELECT p_partkey, lower(trim(p_name)) AS low FROM part WHERE length(trim(p_name)) >= 3)")
+def narrative_profiles(spark, d):
+    """The stated phrases as substrings. Of the tables' texts only product names hold one
+    ("rod"), so they stand for narratives."""
+    found = attributes.profile_values(attributes.profiles(table(spark, d, "part"), "p_partkey", "p_name", 3), "p_partkey")
+    return found.select("p_partkey", *attributes.PHRASES)
+
+
+@query()
+def anomaly_flags(spark, d):
+    """Orders as cases: lines for accused, the key's remainder for the missing hour."""
+    l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("accused"))
+    o = enriched(spark, d).join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    cases = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"), F.col("c_nationkey").alias("place"), F.col("o_orderpriority").alias("kind"), F.coalesce("accused", F.lit(0)).alias("accused"), (8 + F.pmod("o_orderkey", F.lit(11))).cast("int").alias("hour"))
+    return anomalies.anomaly_flags(cases, 90, 1.5).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
+
+
 @query()
 def isolation_forest_flags(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.hour("o_orderdate").alias("hour"), F.month("o_orderdate").alias("month"))

@@ -227,6 +227,15 @@ class Engine:
     def graph(self) -> Projection:
         return Projection(self.tables)
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The graph's nodes, built once; ``edges`` likewise."""
+        return materialize(self.graph.nodes())
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return materialize(self.graph.edges())
+
     def metrics(self, extra_pairs: DataFrame | None = None) -> DataFrame:
         """Of accused records that share a case; ``extra_pairs`` (a, b, case_id) adds others."""
         a = self.tables("Accused")
@@ -237,19 +246,19 @@ class Engine:
         """Edges with ``_mine``: whether their case is of the district and of the station."""
         mine = self.cases.select(F.col("case_id").alias("_case"), F.lit(True).alias("_mine"), "district_id", "station_id")
         mine = T.filtered(mine, {k: v for k, v in (("district_id", district_id), ("station_id", station_id)) if v is not None}).select("_case", "_mine")
-        return self.graph.edges().join(mine, F.col("case_id") == F.col("_case"), "left").drop("_case")
+        return self.edges.join(mine, F.col("case_id") == F.col("_case"), "left").drop("_case")
 
     def subgraph(self, seed: str, depth: int = 2, limit: int = 500, district_id=None, station_id=None):
         """Nodes, edges and stubs around a node; without a scope all cases are in sight."""
         if not 0 <= depth <= 2 or not 1 <= limit <= 500:
             raise ValueError("depth is 0 to 2, limit 1 to 500")
         nodes, edges, stubs = network.subgraph(self._in_scope(district_id, station_id), seed, depth, limit, F.col("_mine"))
-        return nodes.join(self.graph.nodes(), F.col("node") == F.col("node_id"), "left").select("node", "node_type", "label", "depth", "place"), edges.drop("_mine"), stubs
+        return nodes.join(self.nodes, F.col("node") == F.col("node_id"), "left").select("node", "node_type", "label", "depth", "place"), edges.drop("_mine"), stubs
 
     def node_detail(self, node: str, district_id=None, station_id=None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The node, its edges in scope by type, and their cases. Out of scope: all empty."""
         e = self._in_scope(district_id, station_id).where(F.col("_mine") & ((F.col("src") == node) | (F.col("dst") == node)))
-        n = self.graph.nodes().where(F.col("node_id") == node).join(e.select(F.lit(node).alias("_n")).distinct(), F.col("node_id") == F.col("_n"), "left_semi")
+        n = self.nodes.where(F.col("node_id") == node).join(e.select(F.lit(node).alias("_n")).distinct(), F.col("node_id") == F.col("_n"), "left_semi")
         return n, e.groupBy("edge_type").agg(F.count("*").alias("n")), e.select("case_id").distinct()
 
     def associations(self, case_id: int, focus: str | None = None, limit: int = 40, offset: int = 0, **filters) -> DataFrame:

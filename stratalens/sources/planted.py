@@ -53,14 +53,14 @@ def _cases(spark: SparkSession, background: int) -> DataFrame:
     lat, lon = near("hot")
     scheme = F.lit("Two men riding a motorcycle came from behind and snatched the gold chain of the complainant at night, and sped away towards the ring road.")
     same = lambda unit, kind: (F.lit(unit).cast("long").alias("unit"), F.lit(kind).cast("long").alias("kind"))
-    hot = spark.range(HOT["cases"]).select(*same(HOT["unit"], HOT["kind"]), draw(HOT["days"], i, "hotday").alias("ago"), F.pmod(21 + draw(6, i, "hothour"), F.lit(24)).alias("hour"), lat.alias("lat"), lon.alias("lon"), F.when(i < SCHEME_CASES, scheme).otherwise(_narrative(F.lit(HOT["kind"]))).alias("narrative"), F.lit(2).cast("long").alias("accused"), F.lit("hotspot").alias("plan"), i.alias("k"))
+    hot = spark.range(0, HOT["cases"], 1, 1).select(*same(HOT["unit"], HOT["kind"]), draw(HOT["days"], i, "hotday").alias("ago"), F.pmod(21 + draw(6, i, "hothour"), F.lit(24)).alias("hour"), lat.alias("lat"), lon.alias("lon"), F.when(i < SCHEME_CASES, scheme).otherwise(_narrative(F.lit(HOT["kind"]))).alias("narrative"), F.lit(2).cast("long").alias("accused"), F.lit("hotspot").alias("plan"), i.alias("k"))
 
     def steady(n, ago, plan):
-        return spark.range(n).select(*same(SPIKE["unit"], SPIKE["kind"]), ago.cast("long").alias("ago"), (9 + draw(9, i, plan)).alias("hour"), spread(13.0, plan + "lat").alias("lat"), spread(77.5, plan + "lon").alias("lon"), _narrative(F.lit(SPIKE["kind"])).alias("narrative"), F.lit(1).cast("long").alias("accused"), F.lit(plan).alias("plan"), i.alias("k"))
+        return spark.range(0, n, 1, 1).select(*same(SPIKE["unit"], SPIKE["kind"]), ago.cast("long").alias("ago"), (9 + draw(9, i, plan)).alias("hour"), spread(13.0, plan + "lat").alias("lat"), spread(77.5, plan + "lon").alias("lon"), _narrative(F.lit(SPIKE["kind"])).alias("narrative"), F.lit(1).cast("long").alias("accused"), F.lit(plan).alias("plan"), i.alias("k"))
 
     weekly = steady(SPIKE["weekly"] * 26, F.floor(i / SPIKE["weekly"]) * 7 + i % SPIKE["weekly"], "weekly")
     spike = steady(SPIKE["extra"], i % SPIKE["days"], "spike")
-    one = lambda unit, kind, plan, hour=11, accused=1: spark.range(1).select(*same(unit, kind), F.lit(5).cast("long").alias("ago"), F.lit(hour).cast("long").alias("hour"), F.lit(13.3).alias("lat"), F.lit(77.9).alias("lon"), _narrative(F.lit(kind)).alias("narrative"), F.lit(accused).cast("long").alias("accused"), F.lit(plan).alias("plan"), i.alias("k"))
+    one = lambda unit, kind, plan, hour=11, accused=1: spark.range(0, 1, 1, 1).select(*same(unit, kind), F.lit(5).cast("long").alias("ago"), F.lit(hour).cast("long").alias("hour"), F.lit(13.3).alias("lat"), F.lit(77.9).alias("lon"), _narrative(F.lit(kind)).alias("narrative"), F.lit(accused).cast("long").alias("accused"), F.lit(plan).alias("plan"), i.alias("k"))
     single = [one(d * 100 + 31, 35, f"person {k}") for k, (_, _, d) in enumerate(FRAGMENT + NAMESAKES)] + [one(ODD["unit"], ODD["kind"], "odd", ODD["hour"], ODD["accused"])]
     # numbers: background first, then each plan behind the one before
     out, start = [], 1

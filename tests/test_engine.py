@@ -104,11 +104,11 @@ def test_profiles(engine):
 
 
 def test_graph(engine):
-    kinds = {r.edge_type for r in engine.graph.edges().select("edge_type").distinct().collect()}
+    kinds = {r.edge_type for r in engine.edges.select("edge_type").distinct().collect()}
     assert kinds == {"REGISTERED_AT", "OCCURRED_IN", "CLASSIFIED_AS", "ACCUSED_IN", "VICTIM_IN", "SHARES_CASE_WITH", "LINKED_TO_SECTION", "ARRESTED_IN", "PRODUCED_AT"}
     assert engine.graph.skips().count() == 0
     n = engine.case_count().first().n
-    assert engine.graph.edges().where(f"edge_type = 'SHARES_CASE_WITH' and case_id = {n}").count() == 15
+    assert engine.edges.where(f"edge_type = 'SHARES_CASE_WITH' and case_id = {n}").count() == 15
     nodes, edges, stubs = engine.subgraph(f"CASE:{n}", 2, 12)
     assert nodes.count() == 12 and nodes.where("place = 0").first().node == f"CASE:{n}" and stubs.where("more_edges > 0").count() > 0
     nodes, edges, stubs = engine.subgraph(f"CASE:{n}", 1, 500, district_id=12)
