@@ -13,8 +13,11 @@ driver; the model is a few hundred numbers. Pages are read whole, in the tasks t
 them, without a shuffle.
 
 Null and empty html give an empty text. Broken markup never fails: unclosed elements end
-where HTML would end them, a tag without ``>`` is text. Repeated rows and extra columns
-are no matter.
+where HTML would end them, a tag without ``>`` is text. Only the elements whose content is
+raw text (``RAW``) reach their own end tag or the end of the page; what else is hidden
+(``HIDDEN``) stands in the tree and ends with what it stands in (so do object, select and
+template, which HTML would let run on). ``head`` bounds nothing, as HTML ends it at the first
+content. Repeated rows and extra columns are no matter.
 """
 
 from __future__ import annotations
@@ -34,18 +37,25 @@ from .common import map_batches
 # Fixed values of HTML: elements by how they are laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-HIDDEN = "script style noscript template iframe object svg math canvas audio video select textarea head title"
+RAW = frozenset("script style noscript iframe textarea title".split())
+HIDDEN = frozenset("template object svg math canvas audio video select".split())
+SCOPE = frozenset("template object select foreignobject desc annotation-xml".split())  # inner tags end nothing outside
+FOREIGN = frozenset("svg math".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())  # HTML again within FOREIGN
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+ENDS_SELECT = frozenset("input keygen textarea select caption table tbody tfoot thead tr td th".split())
 CLOSES_P = frozenset("address article aside blockquote body details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tr", "td", "th"}}
 BARRIER = frozenset("article aside body div fieldset footer form header html main nav ol section table ul dl".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<hidden>" + "|".join(HIDDEN.split()) + r")(?=[\s/>])[^>]*+>(?:.*?</(?P=hidden)[^>]*+>|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?/][^>]*+>",
     re.S | re.I,
 )
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
+QUOTED, BARE_LAST = re.compile("\"[^\"]*+\"|'[^']*+'"), re.compile(r"=\s*[^\s\"]\S*\Z")
 ATTR = re.compile(r"([a-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Words in class, id and role that hint at a block's part; stated together, by part.
@@ -77,13 +87,18 @@ class Node:
     y: int | None = None
 
 
+def _self_closed(attrs: str) -> bool:
+    """A slash at the end that is not part of a value without quotes."""
+    return attrs.endswith("/") and not BARE_LAST.search(QUOTED.sub('""', attrs))
+
+
 def parse(page: str | None) -> list[Node]:
     """Block elements in page order, node 0 the document."""
-    nodes, stack, link = [Node("document", -1)], [("document", 0)], 0
+    nodes, stack, link, hidden = [Node("document", -1)], [("document", 0, False)], 0, 0  # tag, block, whether inner tags are foreign
     spans: list[tuple[int, str]] = []  # block and piece of text, in page order
 
     def say(piece: str) -> None:
-        if piece:
+        if piece and not hidden:
             if "&" in piece:
                 piece = _html.unescape(piece)
             at = stack[-1][1]
@@ -93,13 +108,14 @@ def parse(page: str | None) -> list[Node]:
                 nodes[at].linked += len(piece.strip())
 
     def close(i: int) -> None:
-        nonlocal link
-        for tag, _ in stack[i:]:
+        nonlocal link, hidden
+        for tag, *_ in stack[i:]:
             link -= tag == "a"
+            hidden -= tag in HIDDEN
         del stack[i:]
 
     page, last = page or "", 0
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, last):
         say(page[last : m.start()])
         last = m.end()
         tag = m["tag"]
@@ -108,19 +124,44 @@ def parse(page: str | None) -> list[Node]:
                 say(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = tag.lower()
+        if stack[-1][2] and (tag in ("p", "br") if m["end"] else tag in BREAKOUT or (tag == "font" and re.search(r"(?<![^\s/])(?:color|face|size)\s*(?:=|\Z|\s)", m["attrs"], re.I))):
+            while stack[-1][2]:
+                close(len(stack) - 1)
         if m["end"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     close(i)
                     break
-                if tag in INLINE and stack[i][0] in BARRIER:
+                if tag in INLINE and (stack[i][0] in BARRIER or stack[i][0] in SCOPE):
+                    break
+            continue
+        if stack[-1][2]:
+            if not _self_closed(m["attrs"]):
+                link, hidden = link + (tag == "a"), hidden + (tag in HIDDEN)
+                stack.append((tag, stack[-1][1], tag not in INTEGRATION))
+            continue
+        if hidden and tag in ENDS_SELECT:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] == "select":
+                    close(i)
+                    break
+                if stack[i][0] not in ("option", "optgroup") and stack[i][0] not in INLINE:
                     break
+            else:
+                i = 0
+            if tag == "select" and i and len(stack) == i:
+                continue
+        if tag == "head":
+            continue
+        if tag in RAW:
+            end = RAW_END[tag].search(page, last)
+            last = end.end() if end else len(page)
             continue
         if tag in INLINE:
             if tag in VOID:
                 say(" ")
             else:
-                stack.append((tag, stack[-1][1]))
+                stack.append((tag, stack[-1][1], False))
                 link += tag == "a"
             continue
         # a block ends open inline elements' reach and what HTML ends with it
@@ -129,17 +170,22 @@ def parse(page: str | None) -> list[Node]:
             if stack[i][0] in shut:
                 close(i)
                 break
-            if stack[i][0] in BARRIER and not (tag in ("li", "dt", "dd", "tr", "td", "th", "tbody") and stack[i][0] not in ("ul", "ol", "dl", "table")):
+            if stack[i][0] in SCOPE or stack[i][0] in BARRIER and not (tag in ("li", "dt", "dd", "tr", "td", "th", "tbody") and stack[i][0] not in ("ul", "ol", "dl", "table")):
                 break
         if tag in VOID:
             say(" ")
             continue
+        if hidden or tag in HIDDEN:
+            if not (tag in FOREIGN and _self_closed(m["attrs"])):
+                hidden += tag in HIDDEN
+                stack.append((tag, stack[-1][1], tag in FOREIGN))
+            continue
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m["attrs"])} if m["attrs"] else {}
         words = frozenset(PART_OF[w] for k in ("class", "id", "role", "aria-label") for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get(k, "")).lower()) if w in PART_OF)
         if "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", ""):
             words |= {"notice"}
         nodes.append(Node(tag, stack[-1][1], words, y=int(attrs["data-y"]) if attrs.get("data-y") in ("0", "1") else None))
-        stack.append((tag, len(nodes) - 1))
+        stack.append((tag, len(nodes) - 1, False))
     say(page[last:])
     return nodes
 

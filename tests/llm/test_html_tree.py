@@ -58,3 +58,30 @@ def test_edges(spark, model, tmp_path):
     assert by[1, 0] == by[2, 0] == ""
     assert by[4, 9] == "just text"
     assert (6, 20_000 * 17 - 1) in by and "1 < 2 and 3 > 2." in by.values()
+
+
+def said(page):
+    return [t for x in H.parse(page) if (t := H._tidy(x))]
+
+
+def test_hidden_elements_end_in_the_tree(model):
+    # </head> may be left out, and </header> does not end it
+    page = "<html><head><title>t</title><meta charset=x><body><header><p>Top</header><article><h1>Head line</h1><p>First long sentence here.<p>Second one, as long.</article>"
+    assert said(page) == ["Top", "Head line", "First long sentence here.", "Second one, as long."]
+    assert "First long sentence here. Second one, as long." in model.extract(page)
+    assert said("<head><title>t</title><p>Body without its tags.") == ["Body without its tags."]
+    # an end tag's name is whole
+    assert said("<p>a<script>x = '</scripts>' </script >b") == ["ab"] and said("<title>t</titles><p>no</title><p>b") == ["b"]
+    # a slash ends svg and math, and only them; a value without quotes may end in one
+    assert said("<p>a<svg width='1'/>b<math/>c<svg class=x/>d</svg>e") == ["abce"]
+    assert said("<div>a<video/>b</div><p>c") == ["a", "c"]
+    # inside svg and math, and what ends them
+    assert said("<p>a<svg><title/><path/><text>x</text><style/></svg>b") == ["ab"]
+    assert said("<div><svg><path d='M0'></div><p>b") == ["b"] and said("<svg><g><circle><p>b") == ["b"]
+    assert said("<svg><foreignObject><p>x</p><script>'</svg>'</script></foreignObject><p>b") == ["b"]
+    # without end tags they end with their block
+    for tag in "object audio video canvas select template".split():
+        assert said(f"<div><p>a<{tag} x=1>gone</div><p>b") == ["a", "b"], tag
+        assert said(f"<div>a<{tag}><div>x</div>gone</{tag}>b</div>") == ["ab"], tag
+    assert said("<select><option>x<input><p>b") == said("<select><option>x<select><p>b") == ["b"]
+    assert said("<table><tr><td>a<template><tr><td>x</template>b<td>c") == ["ab", "c"]
