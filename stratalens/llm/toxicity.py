@@ -1,13 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary text, one on the
-passages that set toxic texts apart. The toxic dictionary also holds the ordinary one in
-the same place, so ordinary windows compress to the same length with either, and a window
-that is shorter with the toxic dictionary owes that to toxic text. A window is a word
-between blanks behind a fixed carrier known to both dictionaries (without it zstandard does
-not compress anything as short). A text's windows give counts of length differences by
-byte; a logistic regression on the labelled sample turns the counts into a calibrated
-probability, and 0.7 is the threshold.
+Two zstandard dictionaries are trained by its trainer on labelled texts, one on toxic and
+one on ordinary ones. Windows of ``PASSAGE`` words, starting every ``STEP``, are compressed
+with both; a window that is shorter with the toxic dictionary speaks for toxic text. How
+much shorter tells, is read from the windows of ordinary texts (``RARE``). One text in
+``FOLDS`` is kept from the trainer and calibrates.
+
+Rare words are too few for the trainer, so single words have two dictionaries of their own:
+an ordinary one, and one that also holds the word parts that set toxic texts apart, with the
+ordinary one in the same place, so that ordinary words compress to the same length with
+either. A word stands between blanks behind a fixed carrier known to both (without it
+zstandard does not compress anything as short). These are chosen, not trained by zstandard.
+
+A text's windows and words give counts of length differences; a logistic regression on the
+labelled sample turns the counts into a calibrated probability, and 0.7 is the threshold.
 
 Distinctive passages: words and word parts (5 to 8 bytes) that stand in many toxic and
 hardly any ordinary sample texts are picked by their evidence, near copies counting once. The
@@ -38,6 +44,7 @@ from .simhash import link_forest, simhash
 SAMPLE, SAMPLE_CHARS, CACHE, THRESHOLD = 3000, 20_000, 400_000, 0.7
 CARRIER = b"\x01\x02carrier\x03of\x04a\x05window\x06\x07"
 TAIL = b"\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16"  # zstandard starts no match in the last 8 bytes
+PASSAGE, STEP, FOLDS, PASSAGE_BYTES, RARE = 8, 4, 3, 65_536, (0.9, 0.99, 0.999, 0.9999)
 ORDINARY_BYTES, ROUNDS, LEVELS, EVIDENCE, RELATIVE = 8192, 3, 5, 16.0, 0.03
 
 
@@ -51,11 +58,41 @@ def _compressor(content: bytes) -> zs.ZstdCompressor:
     return zs.ZstdCompressor(dict_data=d, compression_params=params)
 
 
+def _trained(content: bytes) -> zs.ZstdCompressor:
+    params = zs.ZstdCompressionParameters.from_level(3, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+    d = zs.ZstdCompressionDict(content or b" " * 8)
+    d.precompute_compress(compression_params=params)
+    return zs.ZstdCompressor(dict_data=d, compression_params=params)
+
+
+def passages(words: list[bytes], size: int = PASSAGE, step: int = STEP) -> list[bytes]:
+    """All words, the last window shorter."""
+    return [b" ".join(words[i : i + size]) for i in range(0, max(1, len(words) - size + step), step)] if words else []
+
+
+class Passages:
+    """Length differences of passages under two trained dictionaries."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.plain, self.toxic = _trained(ordinary), _trained(toxic)
+
+    def differences(self, words: list[bytes]) -> np.ndarray:
+        plain, toxic = self.plain.compress, self.toxic.compress
+        return np.array([len(plain(w)) - len(toxic(w)) for w in passages(words)], np.int64)
+
+
+def train_passages(texts: list[list[bytes]]) -> bytes:
+    return train_dictionary([w for words in texts for w in passages(words, 32, 32)], PASSAGE_BYTES)
+
+
 @dataclass
 class Model:
     ordinary: bytes = b""
     toxic: bytes = b""
-    coef: list[float] = field(default_factory=list)  # of the counts, then the constant
+    plain_passages: bytes = b""
+    toxic_passages: bytes = b""
+    bounds: list[int] = field(default_factory=list)  # differences of passages that tell
+    coef: list[float] = field(default_factory=list)  # of the features, the constant among them
 
     def scorer(self) -> "Scorer":
         return Scorer(self)
@@ -65,7 +102,8 @@ class Scorer:
     """Window lengths under both dictionaries, with a bounded memory of windows met."""
 
     def __init__(self, model: Model):
-        self.coef = np.array(model.coef)
+        self.coef, self.bounds = np.array(model.coef), model.bounds
+        self.passages = Passages(model.plain_passages, model.toxic_passages)
         shared = model.ordinary + CARRIER
         self.plain, self.toxic = _compressor(shared), _compressor(model.toxic + shared)
         self.memory: dict[bytes, int] = {}
@@ -74,10 +112,10 @@ class Scorer:
         window = CARRIER + b" " + word + b" " + TAIL
         return len(self.plain.compress(window)) - len(self.toxic.compress(window))
 
-    def counts(self, text: str | None) -> np.ndarray:
+    def counts(self, words: list[bytes]) -> np.ndarray:
         """How many windows are shorter by 1, 2, ... ``LEVELS`` or more bytes, and all."""
         out, memory = np.zeros(LEVELS + 1), self.memory
-        for w, n in Counter(words_of(text)).items():
+        for w, n in Counter(words).items():
             d = memory.get(w)
             if d is None:
                 d = self.difference(w)
@@ -92,14 +130,23 @@ class Scorer:
     def score(self, text: str | None) -> float:
         if not len(self.coef):
             return 0.0
-        return float(1 / (1 + math.exp(-max(-40.0, min(40.0, _features(self.counts(text)) @ self.coef)))))
+        words = words_of(text)
+        x = np.concatenate((_features(self.counts(words)), passage_features(self.passages.differences(words), self.bounds)))
+        return float(1 / (1 + math.exp(-max(-40.0, min(40.0, x @ self.coef)))))
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
-    """At least so many bytes shorter: windows (3 at most tell no more), and by length."""
+    """At least so many bytes shorter: words, and by length."""
     at_least = np.cumsum(counts[..., LEVELS - 1 :: -1], axis=-1)[..., ::-1]
     size = np.log1p(counts[..., LEVELS:])
-    return np.concatenate((np.minimum(at_least, 3), size / 8, np.ones_like(size)), axis=-1)
+    beyond = np.log1p(np.maximum(at_least - 3, 0))  # the first three tell most
+    return np.concatenate((np.minimum(at_least, 3), beyond, size / 8, np.ones_like(size)), axis=-1)
+
+
+def passage_features(d: np.ndarray, bounds: list[int]) -> np.ndarray:
+    """Passages that differ by more than each bound: how many, their share; the mean."""
+    n = [int((d > b).sum()) for b in bounds]
+    return np.array([*np.log1p(n), *(5 * k / max(1, len(d)) for k in n), d.mean() if len(d) else 0.0, 1.0])
 
 
 def _parts(words: set[bytes]) -> set[bytes]:
@@ -173,17 +220,18 @@ def _one_of_each(texts: list[str]) -> list[str]:
 
 
 def train_dictionary(texts: list[bytes], size: int) -> bytes:
-    """zstandard's trainer where the samples suffice, else the samples themselves."""
+    """By zstandard's trainer; the samples themselves where it refuses them as too few."""
     try:
         return zs.train_dictionary(size, texts).as_bytes()
     except (zs.ZstdError, ValueError):
         return b"".join(texts)[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50, known: np.ndarray | float = 0.0) -> np.ndarray:
+    """``known``: log odds that are given."""
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + known, -40, 40)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
         w += step
@@ -194,15 +242,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50)
 
 def fit_texts(texts: list[str], labels: list[int]) -> Model:
     """From a sample in memory."""
+    words, y = [words_of(t) for t in texts], np.array(labels, float)
     toxic = [set(words_of(t)) for t in _one_of_each([t for t, y in zip(texts, labels) if y])]
-    ordinary = [set(words_of(t)) for t, y in zip(texts, labels) if not y]
+    ordinary = [set(w) for w, y in zip(words, labels) if not y]
     if not toxic or not ordinary:
         return Model()
     picked = distinctive(toxic, ordinary)
     common = Counter(w for s in ordinary for w in s)
-    plain = [b" " + w + b" " for w, n in common.most_common(20_000) if n > 1]
+    plain = [b" " + w + b" " for w, n in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:20_000] if n > 1]
     base = train_dictionary(plain, ORDINARY_BYTES)
-    spoken = train_dictionary(picked, 4096) if sum(map(len, picked)) > 100_000 else b"".join(reversed(picked))
+    spoken = b"".join(reversed(picked))
     # ordinary words that the toxic dictionary still shortens belong in the ordinary one
     model = Model(base, spoken)
     for _ in range(ROUNDS):
@@ -212,9 +261,23 @@ def fit_texts(texts: list[str], labels: list[int]) -> Model:
             break
         more = b"".join(b" " + w + b" " for _, w in sorted(fooled, reverse=True))[:ORDINARY_BYTES]
         model = Model(more + model.ordinary, spoken)
+    # one text in FOLDS of either label calibrates: the passages' dictionaries have not seen it
+    seen = np.ones(len(texts), bool)
+    for label in (0, 1):
+        at = np.flatnonzero(y == label)
+        seen[at[::FOLDS]] = len(at) == 1
+    model.plain_passages, model.toxic_passages = (train_passages([w for w, v, a in zip(words, labels, seen) if v == label and a]) for label in (0, 1))
+    compared = Passages(model.plain_passages, model.toxic_passages)
+    rest = [i for i in range(len(texts)) if not seen[i] or seen.all()]
+    found = [compared.differences(words[i]) for i in rest]
+    plain = np.concatenate([np.zeros(1, np.int64), *(d for d, i in zip(found, rest) if not labels[i])])
+    model.bounds = sorted({max(0, math.ceil(q)) for q in np.quantile(plain, RARE)})
+    # words by every text; passages, by those that calibrate, tell what words leave open
     scorer = model.scorer()
-    x = _features(np.array([scorer.counts(t) for t in texts]))
-    model.coef = logistic(x, np.array(labels, float)).tolist()
+    x = _features(np.array([scorer.counts(w) for w in words]))
+    by_word = logistic(x, y)
+    more = np.array([passage_features(d, model.bounds) for d in found])
+    model.coef = [*by_word.tolist(), *logistic(more, y[rest], 1.0, known=(x @ by_word)[rest]).tolist()]
     return model
 
 

@@ -79,3 +79,28 @@ def test_window_lengths_and_letters():
     assert s.difference(b"idiot") > 0 and s.difference(b"theing") == 0
     assert s.score(None) == s.score("") < 0.5
     assert len(L.grams("é")) and not len(L.grams("12 　")) and len(L.grams("\U00010400"))
+
+
+def phrased(n, seed, phrase="vale mira tonde kelu sapo"):
+    """Toxic texts differ by a phrase; its words are as common in ordinary texts."""
+    r = random.Random(0)
+    vocabulary = ["".join(r.choice("bdfgklmnprstv") + r.choice("aeiou") for _ in range(2)) for _ in range(300)] + phrase.split() * 3
+    r, rows = random.Random(seed), []
+    for _ in range(n):
+        y = int(r.random() < 0.3)
+        words = r.choices(vocabulary, k=r.randint(40, 120))
+        for _ in range(2 * y):
+            words.insert(r.randrange(len(words)), phrase)
+        rows.append((" ".join(words), y))
+    return [t for t, _ in rows], [y for _, y in rows]
+
+
+def test_toxic_phrase_of_ordinary_words():
+    s = X.fit_texts(*phrased(600, 5)).scorer()
+    texts, labels = phrased(200, 6)
+    assert np.mean([(s.score(t) >= X.THRESHOLD) == y for t, y in zip(texts, labels)]) > 0.9
+
+
+def test_counts_are_not_capped():
+    few, many = (X._features(np.array([n, 0, 0, 0, 0, 100.0])) for n in (3, 30))
+    assert (many >= few).all() and (many > few).any()
