@@ -1,35 +1,44 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained by its trainer on labelled texts, one on toxic and
-one on ordinary ones. Windows of ``PASSAGE`` words, starting every ``STEP``, are compressed
-with both; a window that is shorter with the toxic dictionary speaks for toxic text. How
-much shorter tells, is read from the windows of ordinary texts (``RARE``). One text in
-``FOLDS`` is kept from the trainer and calibrates.
-
-Rare words are too few for the trainer, so single words have two dictionaries of their own:
-an ordinary one, and one that also holds the word parts that set toxic texts apart, with the
-ordinary one in the same place, so that ordinary words compress to the same length with
-either. A word stands between blanks behind a fixed carrier known to both (without it
-zstandard does not compress anything as short). These are chosen, not trained by zstandard.
-
-A text's windows and words give counts of length differences; a logistic regression on the
-labelled sample turns the counts into a calibrated probability, and 0.7 is the threshold.
-
-Distinctive passages: words and word parts (5 to 8 bytes) that stand in many toxic and
-hardly any ordinary sample texts are picked by their evidence, near copies counting once. The
-sample is bounded: about ``SAMPLE`` texts of either label, none longer than
-``SAMPLE_CHARS``; it is drawn by hash. Prediction reads every window of every whole text.
+Every dictionary is made by zstandard's own trainer. Two of them stand for the classes: one is
+trained on windows of toxic texts, one on windows of ordinary texts; behind both stands a
+common one of ordinary language, so that what has nothing to do with the class compresses to
+the same length with either. Windows of several words are compressed with both; what tells
+is by how many bytes the toxic dictionary is shorter.
+
+The trainer keeps what is frequent, and most of a toxic text is ordinary language. So its
+samples are mined: texts are dealt to ``FOLDS``; a fold's windows are compressed with the
+dictionaries of the other folds, and only those that the toxic one shortens more than it does
+nearly all ordinary windows are samples of the next round. Ordinary windows that are shortened
+so too are the ordinary trainer's samples. There are two pairs of dictionaries, from the rounds
+of ``PHRASES`` (windows of two words) and from those of ``WORDS`` (single words of the windows
+that the former kept), each with its own size and step of the windows it is asked about.
+
+Words are runs of ASCII letters, digits and non-ASCII characters; the first ``HEAD`` bytes of
+each are written in an alphabet of their own (bit 7 turned), because where a word begins
+matters more than what it holds. A window stands behind a fixed carrier that all
+dictionaries hold and before a tail, since zstandard stores short blocks uncompressed and
+starts no match in the last 8 bytes.
+
+A text's counts and rates of windows beyond the byte thresholds of ``BOUNDS``, and the mean
+difference, go into a logistic regression. It is fitted on the folds' differences, which come
+from dictionaries that have not seen the text, with weights that undo the sample's rates;
+its probability is the score, and 0.7 the threshold.
+
+The sample is bounded: about ``SAMPLE`` labelled texts of either label, none longer than
+``SAMPLE_CHARS``, drawn by a hash of the id. Prediction reads every window of every whole
+text; nothing is shuffled but the labels.
 
 Null and empty texts have no windows and get the score of a text without differences. Null
-labels are not learned from. Without toxic rows to learn from every score is 0. Repeated
-rows score alike. Extra columns stay.
+labels are not learned from. Without toxic or without ordinary rows to learn from every score
+is 0. Repeated rows score alike; of repeated labels the largest holds. Very long texts are
+scored in pieces of ``PIECE`` words. Extra columns stay.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import Counter
+import random
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,18 +48,50 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches
 from .decontaminate import words_of
-from .simhash import link_forest, simhash
 
-SAMPLE, SAMPLE_CHARS, CACHE, THRESHOLD = 3000, 20_000, 400_000, 0.7
+SAMPLE, SAMPLE_CHARS, THRESHOLD = 1500, 20_000, 0.7
+FOLDS, HEAD, PIECE = 3, 3, 24 << 10
+COMMON_BYTES, TRAINER_WINDOWS, SEGMENT, GRAM = 8192, 60_000, 24, 6
+
+
+@dataclass(frozen=True)
+class Stage:
+    """Words of a mined window; rounds over such windows and over the single words of those
+    kept, each with the bytes of a class's dictionary and the share of ordinary windows
+    that a toxic window must exceed to be kept; bytes of the dictionaries that are asked;
+    words and step of the windows they are asked about."""
+
+    mined: int
+    rounds: tuple[tuple[int, float], ...]
+    single: tuple[tuple[int, float], ...]
+    size: int
+    words: int
+    step: int
+
+
+STAGES = (
+    Stage(2, ((8192, 0.99), (4096, 0.99)), ((4096, 0.9), (4096, 0.9)), 2048, 4, 4),
+    Stage(4, ((8192, 0.99), (8192, 0.99)), (), 8192, 8, 6),
+)
+BOUNDS = np.array([1, 2, 3, 4, 5, 6, 8])
 CARRIER = b"\x01\x02carrier\x03of\x04a\x05window\x06\x07"
-TAIL = b"\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16"  # zstandard starts no match in the last 8 bytes
-PASSAGE, STEP, FOLDS, PASSAGE_BYTES, RARE = 8, 4, 3, 65_536, (0.9, 0.99, 0.999, 0.9999)
-ORDINARY_BYTES, ROUNDS, LEVELS, EVIDENCE, RELATIVE = 8192, 3, 5, 16.0, 0.03
+TAIL = b" \x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16"
+TURNED = bytes(b ^ 0x80 for b in range(256))
+
+
+def marked(text: str | None) -> list[bytes]:
+    """The words, their heads in the other alphabet."""
+    return [w[:HEAD].translate(TURNED) + w[HEAD:] for w in words_of(text)]
+
 
+def windows(words: list[bytes], size: int, step: int) -> list[bytes]:
+    """All words, the last window shorter; each word stands behind a blank."""
+    return [b" " + b" ".join(words[i : i + size]) for i in range(0, max(1, len(words) - size + step), step)] if words else []
 
-def _compressor(content: bytes) -> zs.ZstdCompressor:
+
+def compressor(content: bytes) -> zs.ZstdCompressor:
     params = zs.ZstdCompressionParameters(
-        format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=4, target_length=32, strategy=zs.STRATEGY_LAZY2,
+        format=zs.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=14, chain_log=14, search_log=3, min_match=4, target_length=16, strategy=zs.STRATEGY_LAZY,
         write_content_size=False, write_checksum=False, write_dict_id=False,
     )
     d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
@@ -58,227 +99,153 @@ def _compressor(content: bytes) -> zs.ZstdCompressor:
     return zs.ZstdCompressor(dict_data=d, compression_params=params)
 
 
-def _trained(content: bytes) -> zs.ZstdCompressor:
-    params = zs.ZstdCompressionParameters.from_level(3, format=zs.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
-    d = zs.ZstdCompressionDict(content or b" " * 8)
-    d.precompute_compress(compression_params=params)
-    return zs.ZstdCompressor(dict_data=d, compression_params=params)
-
-
-def passages(words: list[bytes], size: int = PASSAGE, step: int = STEP) -> list[bytes]:
-    """All words, the last window shorter."""
-    return [b" ".join(words[i : i + size]) for i in range(0, max(1, len(words) - size + step), step)] if words else []
-
-
-class Passages:
-    """Length differences of passages under two trained dictionaries."""
+def trained(samples: list[bytes], size: int) -> bytes:
+    """By zstandard's trainer, of at most ``TRAINER_WINDOWS`` drawn windows; the samples
+    themselves where it refuses them as too few."""
+    r = random.Random(0)
+    samples = r.sample(samples, min(len(samples), TRAINER_WINDOWS))
+    try:
+        return zs.train_dictionary(size, samples, k=SEGMENT, d=GRAM).as_bytes()
+    except (zs.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.plain, self.toxic = _trained(ordinary), _trained(toxic)
 
-    def differences(self, words: list[bytes]) -> np.ndarray:
-        plain, toxic = self.plain.compress, self.toxic.compress
-        return np.array([len(plain(w)) - len(toxic(w)) for w in passages(words)], np.int64)
+class Pair:
+    """Window lengths under the dictionaries of both classes."""
 
+    def __init__(self, ordinary: bytes, toxic: bytes, common: bytes):
+        self.ordinary, self.toxic = (compressor(own + common + CARRIER) for own in (ordinary, toxic))
 
-def train_passages(texts: list[list[bytes]]) -> bytes:
-    return train_dictionary([w for words in texts for w in passages(words, 32, 32)], PASSAGE_BYTES)
+    def differences(self, found: list[bytes]) -> np.ndarray:
+        """Bytes by which each window is shorter with the toxic dictionary."""
+        plain, toxic, tail = self.ordinary.compress, self.toxic.compress, TAIL
+        return np.array([len(plain(w)) - len(toxic(w)) for w in [CARRIER + w + tail for w in found]], np.int64)
 
 
 @dataclass
 class Model:
-    ordinary: bytes = b""
-    toxic: bytes = b""
-    plain_passages: bytes = b""
-    toxic_passages: bytes = b""
-    bounds: list[int] = field(default_factory=list)  # differences of passages that tell
-    coef: list[float] = field(default_factory=list)  # of the features, the constant among them
+    common: bytes = b""
+    contents: list[tuple[bytes, bytes]] = field(default_factory=list)  # ordinary, toxic, of each stage
+    coef: list[float] = field(default_factory=list)
 
     def scorer(self) -> "Scorer":
         return Scorer(self)
 
 
 class Scorer:
-    """Window lengths under both dictionaries, with a bounded memory of windows met."""
-
     def __init__(self, model: Model):
-        self.coef, self.bounds = np.array(model.coef), model.bounds
-        self.passages = Passages(model.plain_passages, model.toxic_passages)
-        shared = model.ordinary + CARRIER
-        self.plain, self.toxic = _compressor(shared), _compressor(model.toxic + shared)
-        self.memory: dict[bytes, int] = {}
-
-    def difference(self, word: bytes) -> int:
-        window = CARRIER + b" " + word + b" " + TAIL
-        return len(self.plain.compress(window)) - len(self.toxic.compress(window))
-
-    def counts(self, words: list[bytes]) -> np.ndarray:
-        """How many windows are shorter by 1, 2, ... ``LEVELS`` or more bytes, and all."""
-        out, memory = np.zeros(LEVELS + 1), self.memory
-        for w, n in Counter(words).items():
-            d = memory.get(w)
-            if d is None:
-                d = self.difference(w)
-                if len(memory) >= CACHE:
-                    memory.clear()
-                memory[w] = d
-            if d > 0:
-                out[min(d, LEVELS) - 1] += n
-            out[LEVELS] += n
-        return out
+        self.coef = np.array(model.coef)
+        self.pairs = [Pair(*c, model.common) for c in model.contents]
 
     def score(self, text: str | None) -> float:
         if not len(self.coef):
             return 0.0
-        words = words_of(text)
-        x = np.concatenate((_features(self.counts(words)), passage_features(self.passages.differences(words), self.bounds)))
-        return float(1 / (1 + math.exp(-max(-40.0, min(40.0, x @ self.coef)))))
-
-
-def _features(counts: np.ndarray) -> np.ndarray:
-    """At least so many bytes shorter: words, and by length."""
-    at_least = np.cumsum(counts[..., LEVELS - 1 :: -1], axis=-1)[..., ::-1]
-    size = np.log1p(counts[..., LEVELS:])
-    beyond = np.log1p(np.maximum(at_least - 3, 0))  # the first three tell most
-    return np.concatenate((np.minimum(at_least, 3), beyond, size / 8, np.ones_like(size)), axis=-1)
-
-
-def passage_features(d: np.ndarray, bounds: list[int]) -> np.ndarray:
-    """Passages that differ by more than each bound: how many, their share; the mean."""
-    n = [int((d > b).sum()) for b in bounds]
-    return np.array([*np.log1p(n), *(5 * k / max(1, len(d)) for k in n), d.mean() if len(d) else 0.0, 1.0])
-
-
-def _parts(words: set[bytes]) -> set[bytes]:
-    out = set()
-    for w in words:
-        w = b" " + w + b" "
-        if len(w) > 5:
-            out.add(w)
-        for k in (5, 6, 7, 8):
-            out.update(w[i : i + k] for i in range(len(w) - k + 1))
-    return out
-
-
-def distinctive(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """Word parts that set toxic texts apart, strongest evidence first. Evidence is the
-    log-likelihood gain of the number of toxic over the number of ordinary texts with the
-    part; once a part is picked, the words it stands in count for no other."""
-    na, nb = len(toxic), len(ordinary)
-    by_word: dict[bytes, set[int]] = {}
-    for i, words in enumerate(toxic):
-        for w in words:
-            by_word.setdefault(w, set()).add(i)
-    plain = Counter(w for words in ordinary for w in words)
-    pure = lambda a, b: b <= 0.01 * a * nb / na
-    evidence = lambda a, b: a * math.log(max(1e-9, (a / na) / ((b + 0.5) / (nb + 0.5)))) if pure(a, b) else 0.0
-    # words that may stand for themselves or as bearers of a part
-    words = {w: d for w, d in by_word.items() if pure(len(d), plain[w])}
-    bound = Counter()
-    for w, docs in words.items():
-        for p in _parts({w}):
-            bound[p] += len(docs)
-    # what a part must show: a share of what the strongest single word shows
-    need = max(EVIDENCE, RELATIVE * max((evidence(len(d), plain[w]) for w, d in words.items()), default=0))
-    live = {p for p, n in bound.items() if evidence(n, 0) >= need}
-    bearers: dict[bytes, list[bytes]] = {}
-    for w in words:
-        for p in _parts({w}) & live:
-            bearers.setdefault(p, []).append(w)
-    against = Counter()
-    for w, n in plain.items():
-        for p in _parts({w}) & live:
-            against[p] += n
-
-    def worth(p):
-        return evidence(len(set().union(*(words[w] for w in bearers[p] if w in words))), against[p])
-
-    heap = [(-worth(p), -len(p), p) for p in live]
-    heap = [h for h in heap if -h[0] >= need]
-    heapq.heapify(heap)
-    picked = []
-    while heap:
-        _, length, p = heapq.heappop(heap)
-        now = worth(p)
-        if now < need:
-            continue
-        if heap and -now > heap[0][0]:
-            heapq.heappush(heap, (-now, length, p))
-            continue
-        picked.append(p)
-        for w in bearers[p]:
-            words.pop(w, None)
-    return picked
-
-
-def _one_of_each(texts: list[str]) -> list[str]:
-    """One of each group of near copies (SimHash, as in the operator of that name)."""
-    fps = np.array([simhash(t) for t in texts], np.uint64)
-    moved, _ = link_forest(np.zeros(len(texts), np.int64), fps)
-    gone = set(moved.tolist())
-    return [t for i, t in enumerate(texts) if i not in gone]
-
-
-def train_dictionary(texts: list[bytes], size: int) -> bytes:
-    """By zstandard's trainer; the samples themselves where it refuses them as too few."""
-    try:
-        return zs.train_dictionary(size, texts).as_bytes()
-    except (zs.ZstdError, ValueError):
-        return b"".join(texts)[-size:]
+        words, x = marked(text), []
+        for stage, pair in zip(STAGES, self.pairs):
+            n, total, seen = np.zeros(len(BOUNDS)), 0, 0
+            for piece in pieces(words, stage):
+                d = pair.differences(piece)
+                n += (d[:, None] >= BOUNDS).sum(axis=0)
+                total, seen = total + int(d.sum()), seen + len(d)
+            x.append(features(n, total, seen))
+        return float(1 / (1 + math.exp(-max(-40.0, min(40.0, np.concatenate(x) @ self.coef)))))
+
+
+def pieces(words: list[bytes], stage: Stage):
+    """A text's windows, in lists of bounded length; the same as in one list."""
+    for at in range(0, len(words), PIECE):
+        found = words[at : at + PIECE + stage.words - stage.step]
+        if at and len(found) <= stage.words - stage.step:
+            break  # these words ended the last window already
+        yield windows(found, stage.words, stage.step)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50, known: np.ndarray | float = 0.0) -> np.ndarray:
-    """``known``: log odds that are given."""
+def features(n: np.ndarray, total: int, seen: int) -> np.ndarray:
+    """Windows beyond each bound: how many, their rate, the first three; the mean
+    difference, the length, a constant."""
+    return np.array([*np.log1p(n), *np.log1p(1000 * n / max(20, seen)) / 2, *np.minimum(n, 3) / 2, total / max(1, seen), math.log1p(seen) / 8, 1.0])
+
+
+def features_of(d: np.ndarray) -> np.ndarray:
+    return features((d[:, None] >= BOUNDS).sum(axis=0), int(d.sum()), len(d))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + known, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit_texts(texts: list[str], labels: list[int]) -> Model:
-    """From a sample in memory."""
-    words, y = [words_of(t) for t in texts], np.array(labels, float)
-    toxic = [set(words_of(t)) for t in _one_of_each([t for t, y in zip(texts, labels) if y])]
-    ordinary = [set(w) for w, y in zip(words, labels) if not y]
-    if not toxic or not ordinary:
+class Miner:
+    """The rounds over a sample in memory; ``kept[i]`` are the windows of text i that are
+    samples of the next round."""
+
+    def __init__(self, words: list[list[bytes]], labels: list[int], mined: int, common: bytes = b""):
+        self.words, self.y = words, np.array(labels)
+        self.texts = {c: np.flatnonzero(self.y == c).tolist() for c in (0, 1)}
+        self.fold = np.zeros(len(words), np.int64)
+        for c in (0, 1):
+            self.fold[self.texts[c]] = np.arange(len(self.texts[c])) % FOLDS
+        # a window that repeats counts where it is met first, so copies do not lead
+        met: set[bytes] = set()
+        self.own = self.kept = [[w for w in windows(x, mined, 1 + mined // 4) if not (w in met or met.add(w))] for x in words]
+        self.common = common or trained([w for i in self.texts[0] for w in self.own[i]], COMMON_BYTES)
+
+    def contents(self, fold: int | None, size: int) -> tuple[bytes, bytes]:
+        """Ordinary and toxic content, of all folds but one."""
+        toxic = [w for i in self.texts[1] if self.fold[i] != fold for w in self.kept[i]]
+        fooled = [w for i in self.texts[0] if self.fold[i] != fold for w in self.kept[i]]
+        rest = [w for i in self.texts[0] if self.fold[i] != fold for w in self.own[i]]
+        rest = random.Random(1).sample(rest, min(len(rest), len(toxic) // 2))
+        return trained(fooled + rest, size), trained(toxic, size)
+
+    def differences(self, size: int, of) -> list[np.ndarray]:
+        """Of each text's windows ``of(i)``, with the dictionaries of the other folds."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(self.words)
+        for f in range(FOLDS):
+            pair = Pair(*self.contents(f, size), self.common)
+            for i in np.flatnonzero(self.fold == f).tolist():
+                out[i] = pair.differences(of(i))
+        return out
+
+    def round(self, size: int, share: float) -> None:
+        d = self.differences(size, lambda i: self.own[i])
+        cut = max(0, math.ceil(np.quantile(np.concatenate([d[i] for i in self.texts[0]]), share, method="lower")))
+        self.kept = [[w for w, n in zip(own, x.tolist()) if n > cut] for own, x in zip(self.own, d)]
+
+    def mine(self, stage: Stage) -> tuple[tuple[bytes, bytes], list[np.ndarray]]:
+        """The contents of a stage, and every text's differences from the other folds'."""
+        for size, share in stage.rounds:
+            self.round(size, share)
+        if stage.single:
+            self.own = self.kept = [[b" " + v for v in sorted({v for w in kept for v in w.split(b" ") if v})] for kept in self.kept]
+            for size, share in stage.single:
+                self.round(size, share)
+        seen = self.differences(stage.size, lambda i: windows(self.words[i], stage.words, stage.step))
+        return self.contents(None, stage.size), seen
+
+
+def fit_texts(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """From a sample in memory; ``weights``: how many texts an ordinary and a toxic one
+    stand for."""
+    if len(set(labels)) < 2:
         return Model()
-    picked = distinctive(toxic, ordinary)
-    common = Counter(w for s in ordinary for w in s)
-    plain = [b" " + w + b" " for w, n in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:20_000] if n > 1]
-    base = train_dictionary(plain, ORDINARY_BYTES)
-    spoken = b"".join(reversed(picked))
-    # ordinary words that the toxic dictionary still shortens belong in the ordinary one
-    model = Model(base, spoken)
-    for _ in range(ROUNDS):
-        scorer = model.scorer()
-        fooled = [(n * d, w) for w, n in common.items() if (d := scorer.difference(w)) > 0 and not any(p in b" " + w + b" " for p in picked)]
-        if not fooled:
-            break
-        more = b"".join(b" " + w + b" " for _, w in sorted(fooled, reverse=True))[:ORDINARY_BYTES]
-        model = Model(more + model.ordinary, spoken)
-    # one text in FOLDS of either label calibrates: the passages' dictionaries have not seen it
-    seen = np.ones(len(texts), bool)
-    for label in (0, 1):
-        at = np.flatnonzero(y == label)
-        seen[at[::FOLDS]] = len(at) == 1
-    model.plain_passages, model.toxic_passages = (train_passages([w for w, v, a in zip(words, labels, seen) if v == label and a]) for label in (0, 1))
-    compared = Passages(model.plain_passages, model.toxic_passages)
-    rest = [i for i in range(len(texts)) if not seen[i] or seen.all()]
-    found = [compared.differences(words[i]) for i in rest]
-    plain = np.concatenate([np.zeros(1, np.int64), *(d for d, i in zip(found, rest) if not labels[i])])
-    model.bounds = sorted({max(0, math.ceil(q)) for q in np.quantile(plain, RARE)})
-    # words by every text; passages, by those that calibrate, tell what words leave open
-    scorer = model.scorer()
-    x = _features(np.array([scorer.counts(w) for w in words]))
-    by_word = logistic(x, y)
-    more = np.array([passage_features(d, model.bounds) for d in found])
-    model.coef = [*by_word.tolist(), *logistic(more, y[rest], 1.0, known=(x @ by_word)[rest]).tolist()]
-    return model
+    words, common, mined = [marked(t) for t in texts], b"", []
+    for stage in STAGES:
+        miner = Miner(words, labels, stage.mined, common)
+        mined.append(miner.mine(stage))
+        common = miner.common
+    contents, seen = zip(*mined)
+    x, y = np.array([np.concatenate([features_of(d) for d in ds]) for ds in zip(*seen)]), np.array(labels, float)
+    weight = np.where(y == 1, weights[1], weights[0])
+    coef = logistic(x, y, weight * len(y) / weight.sum())
+    return Model(common, list(contents), coef.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -287,11 +254,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
     label whatever their number, so that it can be broadcast and no text is shuffled."""
     y = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
-    rate = F.when(F.col("y") == 1, min(1.0, sample / counts.get(1, 1))).otherwise(min(1.0, sample / counts.get(0, 1)))
-    drawn = y.where(F.pmod(F.xxhash64(F.lit("toxic"), "k"), F.lit(1 << 20)) < rate * (1 << 20))
+    rates = [min(1.0, sample / counts.get(c, 1)) for c in (0, 1)]
+    drawn = y.where(F.pmod(F.xxhash64(F.lit("toxic"), "k"), F.lit(1 << 20)) < F.when(F.col("y") == 1, rates[1]).otherwise(rates[0]) * (1 << 20))
     rows = docs.select(F.col(text).cast("string").alias("t"), F.col(key).alias("id")).where(F.char_length("t") <= SAMPLE_CHARS)
     found = sorted({(r["t"], r["y"]) for r in rows.join(F.broadcast(drawn), F.col("id") == F.col("k")).select("t", "y").collect()})
-    return fit_texts([t for t, _ in found], [y for _, y in found])
+    return fit_texts([t for t, _ in found], [y for _, y in found], (1 / rates[0], 1 / rates[1]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
