@@ -50,7 +50,7 @@ from .common import map_batches
 from .decontaminate import words_of
 
 SAMPLE, SAMPLE_CHARS, THRESHOLD = 1500, 20_000, 0.7
-FOLDS, HEAD, PIECE = 3, 3, 24 << 10
+FOLDS, HEAD, PIECE = 3, 3, 45 << 9  # a piece is a multiple of each step
 COMMON_BYTES, TRAINER_WINDOWS, SEGMENT, GRAM = 8192, 60_000, 24, 6
 
 
@@ -70,8 +70,8 @@ class Stage:
 
 
 STAGES = (
-    Stage(2, ((8192, 0.99), (4096, 0.99)), ((4096, 0.9), (4096, 0.9)), 2048, 4, 4),
-    Stage(4, ((8192, 0.99), (8192, 0.99)), (), 8192, 8, 6),
+    Stage(2, ((8192, 0.99), (4096, 0.99)), ((4096, 0.9), (4096, 0.9)), 2048, 5, 5),
+    Stage(4, ((8192, 0.99), (8192, 0.99)), (), 8192, 12, 9),
 )
 BOUNDS = np.array([1, 2, 3, 4, 5, 6, 8])
 CARRIER = b"\x01\x02carrier\x03of\x04a\x05window\x06\x07"

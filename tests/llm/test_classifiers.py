@@ -95,7 +95,7 @@ def test_scores_equal_windows_one_by_one(monkeypatch):
     m = X.fit_texts([t for _, t, *_ in docs], [y for *_, y in labels])
     s = m.scorer()
     texts = [t for _, t, *_ in corpus(12, 8)[0]] + [None, "", "one", "a b c d e", "idiot " * 9]
-    for piece in (X.PIECE, 12):
+    for piece in (X.PIECE, 45):
         monkeypatch.setattr(X, "PIECE", piece)
         for t in texts:
             assert abs(s.score(t) - slow_score(m, t)) < 1e-9
