@@ -47,6 +47,13 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, with underscores in front until no column's name starts with it."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base = "_" + base
+    return base
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
