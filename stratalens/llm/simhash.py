@@ -1,7 +1,7 @@
 """SimHash near-duplicates with bit-sliced fingerprint comparison.
 
 1. Fingerprints: per document, in one pass over the text, no shuffle.
-2. Distinct fingerprints only go on, each under its smallest document id.
+2. Distinct fingerprints only go on; each is a node.
 3. Candidates: two fingerprints at most ``radius`` bits apart agree on at least two of
    ``radius + 2`` segments, so each is dealt once per pair of segments (15 keys at radius
    4). A key with more than ``block`` fingerprints is cut into blocks and every pair of
@@ -13,9 +13,10 @@
 5. A unit emits a spanning forest of its links, never the pairs; components over all
    forests are the components over all links.
 
-Nulls and empty or all-blank texts have fingerprint zero and link like any other. Null
-ids are ignored by the linking step and keep a null component. Repeated rows share
-everything. Extra columns stay.
+Nulls and empty or all-blank texts have fingerprint zero and link like any other. Rows with
+a null id link too and keep a null component. Repeated rows share everything. A very long
+text takes memory of a few times its size, in its task alone. Extra columns do not matter to
+``near_duplicates``; ``one_of_each`` returns them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..session import materialize
-from .common import map_batches
+from .common import free_name, map_batches
 
 SHINGLE, SEED, RADIUS, BLOCK = 4, 42, 4, 2048
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -54,14 +55,15 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` (fp: the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *keep: str) -> DataFrame:
+    """``doc_id, fp`` (fp: the 64 bits as a long) and binary columns to ``keep``."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], ["doc_id", "fp", *keep])
 
-    return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")), run, "doc_id long, fp long", "t")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"), *keep)
+    return map_batches(rows, run, ", ".join(["doc_id long, fp long", *(f"`{c}` binary" for c in keep)]), "t")
 
 
 def _planes(fps: np.ndarray, slot: np.ndarray, words: int) -> np.ndarray:
@@ -202,13 +204,40 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     return sorted_units.mapInArrow(run, "src long, dst long")
 
 
+def groups(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """``fp2, component``: the smallest fingerprint (as a long) reachable from each of the
+    column ``fp``. Nodes are distinct fingerprints, so copies cost nothing."""
+    nodes = materialize(fps.select("fp").distinct())
+    found = connected_components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius, block))
+    return materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "fp").alias("component")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """``doc_id, fp, component_id``: the smallest document id reachable over links."""
     fps = materialize(fingerprints(docs, doc_id, text))
-    nodes = materialize(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = connected_components(links(nodes, radius, block))
-    by_fp = materialize(nodes.join(found, "node", "left").select(F.col("fp").alias("fp2"), F.coalesce("component", "node").alias("component_id")))
-    return (
-        fps.join(by_fp, fps["fp"] == by_fp["fp2"], "left")
-        .select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-    )
+    found = groups(fps, radius, block)
+    low = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("low"))
+    named = found.join(low, F.col("fp2") == F.col("fp"), "left").groupBy("component").agg(F.min("low").alias("component_id"))
+    by_fp = materialize(found.join(named.withColumnRenamed("component", "c2"), F.col("component") == F.col("c2")).select("fp2", "component_id"))
+    return fps.join(by_fp, fps["fp"] == by_fp["fp2"], "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """One row of each group of linked documents, with its own columns: that with the smallest
+    id (a null id comes last), then the smallest digest of id and text. Different texts
+    under one id are judged by their fingerprints like any others. Of rows with one id and
+    one text the one with the smallest digest of all columns stays. Texts meet small sets
+    of digests only: those that go and those that repeat."""
+    key = free_name(docs.columns, "key_")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.length(text), F.coalesce(F.col(text).cast("string"), F.lit(""))))))
+    rows = fingerprints(keyed, doc_id, text, key)
+    keys = materialize(rows.groupBy("doc_id", F.col(key).alias("key"), "fp").agg(F.count("*").alias("n")))
+    found = groups(keys, radius, block)
+    best = keys.join(found, keys["fp"] == found["fp2"]).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "n")).alias("b"))
+    best = materialize(best.select(F.col("b.key").alias("kept"), F.col("b.n").alias("rows")))
+    repeated = best.where("rows > 1").select(F.col("kept").alias("key"))
+    gone = keys.select("key").join(best, F.col("key") == F.col("kept"), "left_anti").unionByName(repeated)
+    single = keyed.join(gone, keyed[key] == gone["key"], "left_anti")
+    copies = keyed.join(repeated, keyed[key] == repeated["key"], "left_semi")
+    first = copies.groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.sha2(F.to_json(F.struct(*docs.columns)), 256)).alias(f"{key}row")).select(f"{key}row.*")
+    return single.select(*docs.columns).unionByName(first)
