@@ -4,8 +4,9 @@ A page is parsed leniently into its block elements (inline ones melt into their
 Each node is content or not; local evidence is a logistic regression on its tag, class and
 id words, length, links and punctuation; a parent-child potential for each kind of child
 says how the label passes down. Both are trained from labelled pages. Sum-product messages
-run upward and downward once, which is exact on a tree, and give each node's marginal (siblings beyond
-``EQUAL`` speak with less weight each, as they are much alike); the text of blocks above one half, in page order, is the result.
+run upward and downward once, in log odds, which is exact on a tree, and give each node's
+marginal; the text of blocks above one half, in page order, is the result. Runs of text that
+stand in the body or outside of any element are blocks of their own (``bare``).
 
 Labelled pages: ``labelled_pages`` writes varied layouts whose blocks carry their label;
 ``fit`` takes any others in the same form (attribute ``data-y``). Training is a second on the
@@ -17,7 +18,10 @@ where HTML would end them, a tag without ``>`` is text. Only the elements whose
 raw text (``RAW``) reach their own end tag or the end of the page; what else is hidden
 (``HIDDEN``) stands in the tree and ends with what it stands in (so do object, select and
 template, which HTML would let run on). ``head`` bounds nothing, as HTML ends it at the first
-content. Repeated rows and extra columns are no matter.
+content. Once a quoted value never ends, the rest of the page is read without quotes.
+Parsing takes time in proportion to a page's length, however it is marked up; a very long
+page takes memory of a few times its size, in its task alone. Repeated rows and extra columns
+are no matter.
 """
 
 from __future__ import annotations
@@ -48,15 +52,12 @@ CLOSES_P = frozenset("address article aside blockquote body details div dl field
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tr", "td", "th"}}
 BARRIER = frozenset("article aside body div fieldset footer form header html main nav ol section table ul dl".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+NAME = re.compile(r"<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)", re.I)
+QUOTING, PLAIN = re.compile("((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), re.compile("([^>]*+)>")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 QUOTED, BARE_LAST = re.compile("\"[^\"]*+\"|'[^']*+'"), re.compile(r"=\s*[^\s\"]\S*\Z")
-ATTR = re.compile(r"([a-z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LONG_NUMBER = re.compile(r"&#0*+([0-9]{8,})")
+ATTR = re.compile(r"(?<![-\w:.])([a-z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Words in class, id and role that hint at a block's part; stated together, by part.
 PARTS = {
@@ -73,8 +74,7 @@ PARTS = {
     "form": "form newsletter subscribe subscription signup login search",
 }
 PART_OF = {w: k for k, words in PARTS.items() for w in words.split()}
-KINDS = ["article", "block", "part", "text"]
-EQUAL = 12
+KINDS = ["article", "bare", "block", "part", "text"]
 
 
 @dataclass
@@ -85,6 +85,7 @@ class Node:
     text: list = field(default_factory=list)
     linked: int = 0
     y: int | None = None
+    bare: int | None = None  # label of the runs of text that stand in it
 
 
 def _self_closed(attrs: str) -> bool:
@@ -92,65 +93,134 @@ def _self_closed(attrs: str) -> bool:
     return attrs.endswith("/") and not BARE_LAST.search(QUOTED.sub('""', attrs))
 
 
+class Open:
+    """The open elements, with the places of those that decide what a tag ends, so that no
+    tag makes us walk the stack."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool]] = [("document", 0, False)]  # tag, block, whether inner tags are foreign
+        self.at: dict[str, list[int]] = {}
+        self.barriers, self.scopes, self.lists, self.others = [], [], [], []
+        self.links = self.hidden = 0
+
+    def push(self, tag: str, block: int, foreign: bool) -> None:
+        i = len(self.stack)
+        self.stack.append((tag, block, foreign))
+        for places in self._kinds(tag):
+            places.append(i)
+        self.links += tag == "a"
+        self.hidden += tag in HIDDEN
+
+    def _kinds(self, tag: str) -> list[list[int]]:
+        kinds = [self.at.setdefault(tag, [])]
+        if tag in BARRIER or tag in SCOPE:
+            kinds.append(self.barriers)
+        if tag in SCOPE or tag in ("ul", "ol", "dl", "table"):
+            kinds.append(self.lists)
+        if tag not in INLINE and tag not in ("option", "optgroup", "select"):
+            kinds.append(self.others)
+        return kinds
+
+    def close(self, i: int) -> None:
+        while len(self.stack) > i:
+            tag, *_ = self.stack.pop()
+            for places in self._kinds(tag):
+                places.pop()
+            self.links -= tag == "a"
+            self.hidden -= tag in HIDDEN
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else 0
+
+    def end(self, tag: str) -> None:
+        """An end tag; one of an inline element ends nothing outside its block."""
+        i = self.last(tag)
+        if i and not (tag in INLINE and self.barriers and self.barriers[-1] > i):
+            self.close(i)
+
+    def start(self, tag: str) -> None:
+        """What the start of a block ends."""
+        shut = CLOSED_BY.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
+        i = max(map(self.last, shut), default=0)
+        stops = self.lists if tag in ("li", "dt", "dd", "tr", "td", "th", "tbody") else self.barriers
+        if i and not (stops and stops[-1] > i):
+            self.close(i)
+
+    def end_select(self) -> bool:
+        i = self.last("select")
+        if not i or (self.others and self.others[-1] > i):
+            return False
+        self.close(i)
+        return True
+
+
+def _decoded(piece: str) -> str:
+    """Character references; a number beyond all characters is the replacement character."""
+    return _html.unescape(LONG_NUMBER.sub("&#99999999", piece)) if "&" in piece else piece
+
+
 def parse(page: str | None) -> list[Node]:
     """Block elements in page order, node 0 the document."""
-    nodes, stack, link, hidden = [Node("document", -1)], [("document", 0, False)], 0, 0  # tag, block, whether inner tags are foreign
-    spans: list[tuple[int, str]] = []  # block and piece of text, in page order
+    nodes, now, spans = [Node("document", -1)], Open(), 0
+    page, last, quoting = page or "", 0, True
 
     def say(piece: str) -> None:
-        if piece and not hidden:
-            if "&" in piece:
-                piece = _html.unescape(piece)
-            at = stack[-1][1]
-            nodes[at].text.append((len(spans), piece))
-            spans.append((at, piece))
-            if link:
-                nodes[at].linked += len(piece.strip())
-
-    def close(i: int) -> None:
-        nonlocal link, hidden
-        for tag, *_ in stack[i:]:
-            link -= tag == "a"
-            hidden -= tag in HIDDEN
-        del stack[i:]
-
-    page, last = page or "", 0
-    while m := TOKEN.search(page, last):
-        say(page[last : m.start()])
-        last = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                say(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        nonlocal spans
+        if not piece or now.hidden:
+            return
+        piece = _decoded(piece)
+        at = now.stack[-1][1]
+        if nodes[at].tag in ("document", "html", "body"):
+            if not (nodes[-1].tag == "bare" and nodes[-1].parent == at):
+                if piece.isspace():
+                    return
+                nodes.append(Node("bare", at, y=nodes[at].bare))
+            at = len(nodes) - 1
+        nodes[at].text.append((spans, piece))
+        spans += 1
+        if now.links:
+            nodes[at].linked += len(piece.strip())
+
+    end_of_tags = page.rfind(">")
+    while (i := page.find("<", last)) >= 0:
+        m = NAME.match(page, i) if i < end_of_tags else None
+        if m is None:
+            opening = page[i : i + 9]
+            if opening.startswith("<!--"):
+                end = page.find("-->", i + 4)
+                after = end + 3 if end >= 0 else len(page)
+            elif opening == "<![CDATA[":
+                end = page.find("]]>", i)
+                after = end + 3 if end >= 0 else len(page)
+            elif opening[1:2] in ("!", "?", "/") and i < end_of_tags:
+                after = page.find(">", i) + 1
+            else:  # no tag: text
+                say(page[last : i + 1])
+                last = i + 1
+                continue
+            say(page[last:i])
+            if opening == "<![CDATA[":
+                say(page[i + 9 : end if end >= 0 else len(page)].replace("&", "&amp;"))
+            last = after
             continue
-        tag = tag.lower()
-        if stack[-1][2] and (tag in ("p", "br") if m["end"] else tag in BREAKOUT or (tag == "font" and re.search(r"(?<![^\s/])(?:color|face|size)\s*(?:=|\Z|\s)", m["attrs"], re.I))):
-            while stack[-1][2]:
-                close(len(stack) - 1)
+        body = QUOTING.match(page, m.end()) if quoting else None
+        if body is None:
+            quoting, body = False, PLAIN.match(page, m.end())
+        say(page[last:i])
+        last, tag, attrs = body.end(), m["tag"].lower(), body[1]
+        if now.stack[-1][2] and (tag in ("p", "br") if m["end"] else tag in BREAKOUT or (tag == "font" and re.search(r"(?<![^\s/])(?:color|face|size)\s*(?:=|\Z|\s)", attrs, re.I))):
+            while now.stack[-1][2]:
+                now.close(len(now.stack) - 1)
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and (stack[i][0] in BARRIER or stack[i][0] in SCOPE):
-                    break
+            now.end(tag)
             continue
-        if stack[-1][2]:
-            if not _self_closed(m["attrs"]):
-                link, hidden = link + (tag == "a"), hidden + (tag in HIDDEN)
-                stack.append((tag, stack[-1][1], tag not in INTEGRATION))
+        if now.stack[-1][2]:
+            if not _self_closed(attrs):
+                now.push(tag, now.stack[-1][1], tag not in INTEGRATION)
+            continue
+        if now.hidden and tag in ENDS_SELECT and now.end_select() and tag == "select":
             continue
-        if hidden and tag in ENDS_SELECT:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "select":
-                    close(i)
-                    break
-                if stack[i][0] not in ("option", "optgroup") and stack[i][0] not in INLINE:
-                    break
-            else:
-                i = 0
-            if tag == "select" and i and len(stack) == i:
-                continue
         if tag == "head":
             continue
         if tag in RAW:
@@ -161,31 +231,23 @@ def parse(page: str | None) -> list[Node]:
             if tag in VOID:
                 say(" ")
             else:
-                stack.append((tag, stack[-1][1], False))
-                link += tag == "a"
+                now.push(tag, now.stack[-1][1], False)
             continue
-        # a block ends open inline elements' reach and what HTML ends with it
-        shut = CLOSED_BY.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in shut:
-                close(i)
-                break
-            if stack[i][0] in SCOPE or stack[i][0] in BARRIER and not (tag in ("li", "dt", "dd", "tr", "td", "th", "tbody") and stack[i][0] not in ("ul", "ol", "dl", "table")):
-                break
+        now.start(tag)
         if tag in VOID:
             say(" ")
             continue
-        if hidden or tag in HIDDEN:
-            if not (tag in FOREIGN and _self_closed(m["attrs"])):
-                hidden += tag in HIDDEN
-                stack.append((tag, stack[-1][1], tag in FOREIGN))
+        if now.hidden or tag in HIDDEN:
+            if not (tag in FOREIGN and _self_closed(attrs)):
+                now.push(tag, now.stack[-1][1], tag in FOREIGN)
             continue
-        attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m["attrs"])} if m["attrs"] else {}
-        words = frozenset(PART_OF[w] for k in ("class", "id", "role", "aria-label") for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get(k, "")).lower()) if w in PART_OF)
-        if "hidden" in attrs or "display:none" in attrs.get("style", "").replace(" ", ""):
+        given = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
+        words = frozenset(PART_OF[w] for k in ("class", "id", "role", "aria-label") for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", given.get(k, "")).lower()) if w in PART_OF)
+        if "hidden" in given or "display:none" in given.get("style", "").replace(" ", ""):
             words |= {"notice"}
-        nodes.append(Node(tag, stack[-1][1], words, y=int(attrs["data-y"]) if attrs.get("data-y") in ("0", "1") else None))
-        stack.append((tag, len(nodes) - 1, False))
+        label = lambda k: int(given[k]) if given.get(k) in ("0", "1") else None
+        nodes.append(Node(tag, now.stack[-1][1], words, y=label("data-y"), bare=label("data-bare")))
+        now.push(tag, len(nodes) - 1, False)
     say(page[last:])
     return nodes
 
@@ -210,14 +272,21 @@ def evidence(node: Node, text: str) -> list[str]:
 
 
 def kind(node: Node) -> str:
-    """Which parent-child potential: named parts, article elements, other blocks, text."""
+    """Which parent-child potential: named parts, article elements, text, text without an element, other blocks."""
     if node.words - {"body"} or node.tag in ("nav", "header", "footer", "aside", "form", "button", "label", "fieldset", "dialog", "menu"):
         return "part"
     if node.tag in ("article", "main") or "body" in node.words:
         return "article"
+    if node.tag == "bare":
+        return "bare"
     return "text" if node.tag in ("p", "pre", "blockquote", "figcaption", "li", "td", "th", "dt", "dd") or re.fullmatch("h[1-6]", node.tag) else "block"
 
 
+def _share(z: float) -> float:
+    """Probability of log odds."""
+    return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -226,58 +295,28 @@ class Model:
 
     def marginals(self, nodes: list[Node], texts: list[str]) -> list[float]:
         """P(content) of each node: one pass of messages up, one down."""
-        n = len(nodes)
-        local = [(1.0, 0.0)] * n  # the document itself is no content
-        for i in range(1, n):
-            z = self.bias + sum(self.weights.get(f, 0.0) for f in evidence(nodes[i], texts[i]))
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-            local[i] = (1 - p, p)
-        kids = [0] * n
-        for x in nodes[1:]:
-            kids[x.parent] += 1
-        up: list[tuple[float, float]] = list(local)  # belief from below
-        message: list[tuple[float, float]] = [(1.0, 1.0)] * n
-        for i in range(n - 1, 0, -1):
-            t = self.pair[kind(nodes[i])]
-            a, b = up[i]
-            m0, m1 = t[0][0] * a + t[0][1] * b, t[1][0] * a + t[1][1] * b
-            s = m0 + m1 or 1.0
-            m0, m1 = m0 / s, m1 / s
-            if kids[nodes[i].parent] > EQUAL:
-                m0, m1 = m0 ** (EQUAL / kids[nodes[i].parent]), m1 ** (EQUAL / kids[nodes[i].parent])
-            message[i] = (m0, m1)
-            q0, q1 = up[nodes[i].parent]
-            q0, q1 = q0 * m0, q1 * m1
-            s = q0 + q1 or 1.0
-            up[nodes[i].parent] = (q0 / s, q1 / s)
-        out = [0.0] * n
-        belief: list[tuple[float, float]] = [(1.0, 0.0)] * n
-        for i in range(1, n):
-            t = self.pair[kind(nodes[i])]
-            # the parent's belief without this child's own message
-            p0, p1 = belief[nodes[i].parent]
-            p0, p1 = p0 / max(message[i][0], 1e-12), p1 / max(message[i][1], 1e-12)
-            s = p0 + p1 or 1.0
-            p0, p1 = p0 / s, p1 / s
-            a = up[i][0] * (p0 * t[0][0] + p1 * t[1][0])
-            b = up[i][1] * (p0 * t[0][1] + p1 * t[1][1])
-            s = a + b or 1.0
-            belief[i] = (a / s, b / s)
-            out[i] = b / s
-        return out
+        up = [-1e9]  # log odds from below; the document itself is no content
+        for node, text in zip(nodes[1:], texts[1:]):
+            up.append(max(-30.0, min(30.0, self.bias + sum(self.weights.get(f, 0.0) for f in evidence(node, text)))))
+        tables = [None, *(self.pair[kind(x)] for x in nodes[1:])]
+        message = [0.0] * len(nodes)
+        for i in range(len(nodes) - 1, 0, -1):
+            t, p = tables[i], _share(up[i])
+            message[i] = math.log((t[1][0] * (1 - p) + t[1][1] * p) / (t[0][0] * (1 - p) + t[0][1] * p))
+            up[nodes[i].parent] += message[i]
+        belief = [-1e9]
+        for i in range(1, len(nodes)):
+            t, p = tables[i], _share(belief[nodes[i].parent] - message[i])  # the parent without this child
+            belief.append(up[i] + math.log(((1 - p) * t[0][1] + p * t[1][1]) / ((1 - p) * t[0][0] + p * t[1][0])))
+        return [0.0, *map(_share, belief[1:])]
 
     def extract(self, page: str | None) -> str:
         nodes = parse(page)
         texts = [_tidy(x) for x in nodes]
-        if len(nodes) == 1 or (texts[0] and sum(map(len, texts[1:])) < len(texts[0])):
-            nodes = [nodes[0], *nodes[1:]]
-            loose = True  # mostly text outside of any element: a bare text
-        else:
-            loose = False
         p = self.marginals(nodes, texts)
         pieces: list[tuple[int, str]] = []
         for i, node in enumerate(nodes):
-            if texts[i] and (p[i] > 0.5 or (i == 0 and loose)):
+            if texts[i] and p[i] > 0.5:
                 # a block's text is cut where other blocks stand in its midst
                 run: list[str] = []
                 first = before = None
@@ -352,8 +391,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
             main = f"<main data-y=1>{inside}</main>"
         elif style < 0.9:
             main = f'<div {r.choice(["class", "id"])}="{r.choice(PARTS["body"].split())}{r.choice(["", "-body", " wide"])}" data-y=1>{inside}</div>'
-        else:
+        elif style < 0.93:
             main = inside
+        else:  # bare text
+            main = "<br><br>".join(r.choice([_sentences(r, r.randint(1, 5)), words(r.randint(1, 5))]) for _ in range(r.choice([1, r.randint(1, 6)])))
         top = r.choice([lambda: part("head", ["header", "header", "div"], f"<p data-y=0>{words(3)}</p>" + r.choice(["", links(4)])), lambda: "", lambda: f"<div data-y=0>{links(5)}</div>"])()
         menu = r.choice([lambda: part("menu", ["nav", "nav", "div"], links(r.randint(2, 7))), lambda: ""])()
         foot = r.choice([lambda: part("foot", ["footer", "footer", "div"], r.choice(["&copy; ", ""]) + words(3) + " " + plain(1)), lambda: ""])()
@@ -362,7 +403,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
             r.shuffle(mid)
         if r.random() < 0.3:
             mid = ["<div class=wrapper data-y=0>", *mid, "</div>"]
-        pages.append("<html><body data-y=0>" + top + menu + "".join(mid) + foot + "</body></html>")
+        pages.append("<html><body data-y=0 data-bare=1>" + top + menu + "".join(mid) + foot + "</body></html>")
     return pages
 
 

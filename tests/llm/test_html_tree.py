@@ -1,3 +1,4 @@
+from html.parser import HTMLParser
 from itertools import product
 
 import pytest
@@ -85,3 +86,77 @@ def test_hidden_elements_end_in_the_tree(model):
         assert said(f"<div>a<{tag}><div>x</div>gone</{tag}>b</div>") == ["ab"], tag
     assert said("<select><option>x<input><p>b") == said("<select><option>x<select><p>b") == ["b"]
     assert said("<table><tr><td>a<template><tr><td>x</template>b<td>c") == ["ab", "c"]
+
+
+def test_many_children_equal_enumeration(model):
+    """30 alike children: their joint sum by counts instead of all 2^30 labellings."""
+    import math
+
+    nodes = H.parse("<article>" + "<p>Some words here, and more of them.</p>" * 30 + "</article>")
+    texts = [H._tidy(x) for x in nodes]
+    z = lambda i: model.bias + sum(model.weights.get(f, 0.0) for f in H.evidence(nodes[i], texts[i]))
+    local = lambda i, y: 1 / (1 + math.exp(-z(i) if y else z(i)))
+    top, low = model.pair[H.kind(nodes[1])], model.pair[H.kind(nodes[2])]
+    total, on, kid = 0.0, 0.0, 0.0
+    for y in (0, 1):
+        for k in range(31):
+            w = top[0][y] * local(1, y) * math.comb(30, k) * (low[y][1] * local(2, 1)) ** k * (low[y][0] * local(2, 0)) ** (30 - k)
+            total, on, kid = total + w, on + w * y, kid + w * k / 30
+    got = model.marginals(nodes, texts)
+    assert got[1] == pytest.approx(on / total, abs=1e-9) and got[2] == pytest.approx(kid / total, abs=1e-9) and got[31] == pytest.approx(got[2])
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    shapes = ["<a ", "<span><p>x</p>", '<a ">" ', "<!x", "<p><object><span>", "<span><input>", "<select><b>", "</b", "<![CDATA[", "<i><li>", "&#9", "<table><tr><td><font>"]
+    for shape in shapes:
+        took = []
+        for n in (20_000, 80_000):
+            page = "<object>" * (shape == "<span><input>") + shape * n + '"' * (shape[-2:] == '" ')
+            began = time.process_time()
+            H.parse(page)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.2, (shape, took)
+    began = time.process_time()
+    H.parse("<div " + "a" * 1_000_000 + "> &#" + "9" * 1_000_000 + ";x")
+    assert time.process_time() - began < 3
+
+
+def test_bare_text(model):
+    assert model.extract("just text") == "just text"
+    assert model.extract("<body>First sentence of it.<br>Second sentence here.<nav><a href=x>Home</a></nav></body>") == "First sentence of it. Second sentence here."
+    assert said("a &#00000000065; &#999999999999; b") == ["a A \ufffd b"]
+
+
+class Article(HTMLParser):
+    """Text inside ``article`` but for scripts and styles, read by the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.raw = 0
+        self.out = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.raw += tag in ("script", "style")
+        self.out.append(" " * (tag not in H.INLINE or tag in H.VOID))
+
+    def handle_endtag(self, tag):
+        self.out.append(" " * (tag not in H.INLINE))
+        self.inside -= tag == "article"
+        self.raw -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.out.append(data)
+
+
+def test_pages_of_the_tables_against_the_standard_parser(spark):
+    got = Q.op5_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    html = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(got) == len(html) == 250
+    for r in got:
+        p = Article()
+        p.feed(html[r.page_id])
+        assert r.text == " ".join("".join(p.out).split())
