@@ -2,6 +2,7 @@
 
 Names are scored once per distinct pair inside a block (gender, first token); a block is
 an equi-join key, so a common first name is a skewed key and adaptive execution splits it.
+The confidence of a cluster is the mean over its pairs.
 """
 
 from __future__ import annotations
@@ -21,17 +22,27 @@ def cleaned(people: DataFrame) -> DataFrame:
 
 
 def linked_pairs(people: DataFrame) -> DataFrame:
-    """``a, b, score``: pairs of a block that are alike in name and age."""
+    """``a, b, score, pairs``: links that join the persons of a block who are alike in name and age.
+    Persons with one clean name, gender and age are one group: its smallest id stands for
+    it, the others are linked to that one. Groups are compared, so a name that many
+    records share costs pairs of its ages, not pairs of its records; ``pairs`` says how many
+    pairs of records a link stands for."""
     p = cleaned(people).where("gender is not null and first is not null")
-    names = p.select("gender", "first", "clean").distinct()
+    groups = materialize(p.groupBy("gender", "first", "clean", "age").agg(F.min("id").alias("g"), F.count("*").alias("n")))
+    names = groups.select("gender", "first", "clean").distinct()
     pairs = names.join(names.withColumnRenamed("clean", "clean2"), ["gender", "first"]).where("clean <= clean2")
     alike = pairs.withColumn("name_score", F.when(F.col("clean") == F.col("clean2"), 1.0).otherwise(name_similarity("clean", "clean2"))).where(F.col("name_score") >= MIN_NAME)
-    a = p.select(F.col("id").alias("a"), F.col("age").alias("age_a"), "gender", "clean")
-    b = p.select(F.col("id").alias("b"), F.col("age").alias("age_b"), "gender", F.col("clean").alias("clean2"))
-    j = alike.join(a, ["gender", "clean"]).join(b, ["gender", "clean2"]).where((F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & (F.col("clean") != F.col("clean2"))))
+    a = groups.select(F.col("g").alias("a"), F.col("age").alias("age_a"), F.col("n").alias("n_a"), "gender", "clean")
+    b = groups.select(F.col("g").alias("b"), F.col("age").alias("age_b"), F.col("n").alias("n_b"), "gender", F.col("clean").alias("clean2"))
+    j = alike.join(a, ["gender", "clean"]).join(b, ["gender", "clean2"]).where((F.col("clean") != F.col("clean2")) | (F.col("a") < F.col("b")))
     gap = F.abs(F.col("age_a") - F.col("age_b"))
-    j = j.withColumn("score", F.round(NAME_WEIGHT * F.col("name_score") + AGE_WEIGHT * age_score(gap), 4)).where((F.col("score") >= MIN_SCORE) & (gap.isNull() | (gap <= MAX_GAP)))
-    return j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
+    score = lambda name, gap: F.round(NAME_WEIGHT * name + AGE_WEIGHT * age_score(gap), 4)
+    j = j.withColumn("score", score(F.col("name_score"), gap)).where((F.col("score") >= MIN_SCORE) & (gap.isNull() | (gap <= MAX_GAP)))
+    between = j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score", (F.col("n_a") * F.col("n_b")).cast("double").alias("pairs"))
+    same = F.col("clean").eqNullSafe(F.col("c2")) & (F.col("gender") == F.col("g2")) & F.col("age").eqNullSafe(F.col("age2"))
+    one = groups.select("g", F.col("clean").alias("c2"), F.col("gender").alias("g2"), F.col("age").alias("age2"), "n")
+    inside = p.join(one, same).where("id <> g").select(F.col("g").alias("a"), F.col("id").alias("b"), score(F.lit(1.0), F.col("age") - F.col("age")).alias("score"), (F.col("n") / 2).alias("pairs"))
+    return between.unionByName(inside.where(F.col("score") >= MIN_SCORE)).distinct()
 
 
 def candidates(people: DataFrame, min_size: int = 2) -> DataFrame:
@@ -52,7 +63,7 @@ def candidates(people: DataFrame, min_size: int = 2) -> DataFrame:
     folded = ages.select("component", F.aggregate(F.transform("ages", lambda x: x.cast("int")), start, step).alias("f"))
     banded = m.join(folded, "component", "left").select("component", "id", F.coalesce(F.element_at("f.of", F.col("age").cast("int")), F.col("f.band"), F.lit(0)).alias("band"))
     own = links.join(banded.select(F.col("id").alias("a"), F.col("component").alias("ca"), F.col("band").alias("ba")), "a").join(banded.select(F.col("id").alias("b"), F.col("band").alias("bb")), "b").where("ba = bb")
-    conf = own.groupBy(F.col("ca").alias("component"), F.col("ba").alias("band")).agg(F.round(F.avg("score"), 3).alias("confidence"))
+    conf = own.groupBy(F.col("ca").alias("component"), F.col("ba").alias("band")).agg(F.round(F.sum(F.col("score") * F.col("pairs")) / F.sum("pairs"), 3).alias("confidence"))
     size = banded.groupBy("component", "band").agg(F.count("*").alias("members")).where(F.col("members") >= min_size)
     return banded.join(size, ["component", "band"]).join(conf, ["component", "band"]).select(F.concat_ws("-", F.lit("id"), "component", "band").alias("cluster"), "id", "band", "members", "confidence")
 

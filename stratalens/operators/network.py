@@ -38,15 +38,28 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(n)).select(F.col("a").alias("node"), "degree", F.round(F.col("degree") / F.greatest(F.col("n") - 1, F.lit(1)), 6).alias("centrality"))
 
 
+LIST = 512
+
+
 def jaccard(edges: DataFrame) -> DataFrame:
-    """Of each linked pair: shared neighbours over all neighbours."""
-    n = both_ways(edges)
+    """Of each linked pair: shared neighbours over all neighbours. Neighbour lists are cut
+    into cells by a hash of the neighbour, so that no row holds more than about ``LIST``
+    of them; an edge meets the lists of its end with fewer links first, then those of the
+    other end in the same cells, and only counts travel on. No row is made for a pair of
+    neighbours."""
+    n = materialize(both_ways(edges))
     d = n.groupBy("a").agg(F.count("*").alias("deg"))
-    e = edges.select("a", "b")
-    shared = e.join(n.select("a", F.col("b").alias("c")), "a").join(n.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    j = e.join(shared, ["a", "b"], "left").join(d.select("a", F.col("deg").alias("da")), "a").join(d.select(F.col("a").alias("b"), F.col("deg").alias("db")), "b")
+    cells = max(1, -(-(d.agg(F.max("deg")).first()[0] or 0) // LIST))
+    lists = materialize(n.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(cells)).alias("cell")).agg(F.collect_list("b").alias("near")))
+    e = edges.select("a", "b").join(d.select("a", F.col("deg").alias("da")), "a").join(d.select(F.col("a").alias("b"), F.col("deg").alias("db")), "b")
+    e = materialize(e)
+    first = F.col("da") <= F.col("db")
+    asked = e.select("a", "b", F.when(first, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("high"))
+    low, high = (lists.select(F.col("a").alias(end), "cell", F.col("near").alias(f"near_{end}")) for end in ("low", "high"))
+    met = asked.join(low, "low").join(high, ["high", "cell"]).select("a", "b", F.size(F.array_intersect("near_low", "near_high")).alias("k"))
+    shared = met.groupBy("a", "b").agg(F.sum("k").alias("shared"))
     s = F.coalesce("shared", F.lit(0))
-    return j.select("a", "b", F.round(s / (F.col("da") + F.col("db") - s), 6).alias("jaccard"))
+    return e.join(shared, ["a", "b"], "left").select("a", "b", F.round(s / (F.col("da") + F.col("db") - s), 6).alias("jaccard"))
 
 
 def within_steps(edges: DataFrame, seed, steps: int = 2, limit: int | None = None) -> DataFrame:
@@ -125,25 +138,28 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(n.withColumnRenamed("node", "a"), "a", "left_semi").join(n.withColumnRenamed("node", "b"), "b", "left_semi")
 
 
-def betweenness(edges: DataFrame, pivots: int = 500, max_depth: int = 60) -> DataFrame:
-    """``node, betweenness`` from shortest paths of ``pivots`` sources (all of them up to
-    that number; a hash draws beyond), scaled to all sources. Breadth-first levels and
-    back-propagation are joins on (source, node), so no task holds a graph."""
+def betweenness(edges: DataFrame, pivots: int = 500, exact: int = 2000) -> DataFrame:
+    """``node, betweenness`` from shortest paths. Every node of a component of at most
+    ``exact`` nodes is a source; of a larger one a hash draws about ``pivots``, and the
+    component's scores are scaled by its nodes over its sources. Breadth-first levels,
+    until none is left, and back-propagation are joins on (source, node), so no task holds
+    a graph."""
     n = materialize(both_ways(edges))
-    nodes = n.select(F.col("a").alias("node")).distinct()
-    total = nodes.count()
-    rate = min(1.0, pivots / max(1, total))
-    src = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < rate * (1 << 20)).select(F.col("node").alias("s"))
-    used = src.count()
-    level = src.select("s", F.col("s").alias("node"), F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
+    comp = materialize(connected_components(n.where("a < b"), "a", "b"))
+    size = comp.groupBy("component").agg(F.count("*").alias("n"))
+    drawn = comp.join(size, "component").where((F.col("n") <= exact) | (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(pivots * (1 << 20)) / F.col("n")))
+    src = materialize(drawn.select("component", "node"))
+    scale = size.join(src.groupBy("component").agg(F.count("*").alias("used")), "component").select("component", (F.col("n") / F.col("used")).alias("scale"))
+    level = src.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
     levels, seen = [level], level.select("s", "node")
-    while len(levels) < max_depth:
+    while True:
         step = levels[-1].join(n, F.col("node") == F.col("a")).groupBy("s", F.col("b").alias("node")).agg(F.sum("sigma").alias("sigma"))
         step = materialize(step.join(seen, ["s", "node"], "left_anti").withColumn("d", F.lit(len(levels))).select("s", "node", "d", "sigma"))
         if step.isEmpty():
             break
         levels.append(step)
-        seen = seen.unionByName(step.select("s", "node"))
+        # an undirected link leads to the level before, the same one or the next
+        seen = levels[-2].select("s", "node").unionByName(step.select("s", "node"))
     delta, parts = levels[-1].withColumn("delta", F.lit(0.0)), []
     for up in reversed(levels[:-1]):
         parts.append(delta)
@@ -153,21 +169,27 @@ def betweenness(edges: DataFrame, pivots: int = 500, max_depth: int = 60) -> Dat
     gone = reduce(DataFrame.unionByName, parts) if parts else delta.limit(0)
     score = gone.where("s <> node").groupBy("node").agg(F.sum("delta").alias("x"))
     # each path is met from either end
-    return nodes.join(score, "node", "left").select("node", F.round(F.coalesce("x", F.lit(0.0)) / 2 * (total / max(1, used)), 6).alias("betweenness"))
+    found = comp.join(scale, "component", "left").join(score, "node", "left")
+    return found.select("node", F.round(F.coalesce(F.col("x") * F.col("scale"), F.lit(0.0)) / 2, 6).alias("betweenness"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``node, community`` by weighted label propagation; the smallest of equal labels."""
+def communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """``node, community`` by weighted label propagation: a node takes the label with most
+    weight around it, the smallest of equal ones, and leaves its own for a better one only.
+    Half of the nodes, drawn by a hash, may move in a round, so neighbours do not swap for
+    ever; it ends when no node would move, and fails if that takes more than ``rounds``."""
     w = edges.select("a", "b", F.col("weight").cast("double"))
     n = materialize(w.unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
-    label = n.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct()
-    for _ in range(rounds):
+    label = materialize(n.select(F.col("a").alias("node"), F.col("a").alias("community")).distinct())
+    for k in range(rounds):
         votes = n.join(label, F.col("b") == F.col("node")).groupBy("a", "community").agg(F.sum("weight").alias("v"))
-        own = label.select(F.col("node").alias("a"), "community", F.lit(0.5).alias("v"))
-        votes = votes.unionByName(own).groupBy("a", "community").agg(F.sum("v").alias("v"))
-        new = materialize(votes.groupBy("a").agg(F.min_by("community", F.struct(-F.col("v"), "community")).alias("community")).withColumnRenamed("a", "node"))
-        moved = new.join(label.withColumnRenamed("community", "was"), "node").where("community <> was").count()
-        label = new
-        if not moved:
-            break
-    return label
+        best = votes.join(label.select(F.col("node").alias("a"), F.col("community").alias("was")), "a").groupBy("a", "was").agg(
+            F.min_by("community", F.struct(-F.col("v"), "community")).alias("best"), F.max("v").alias("top"), F.coalesce(F.max(F.when(F.col("community") == F.col("was"), F.col("v"))), F.lit(0.0)).alias("own")
+        )
+        moves = F.col("top") > F.col("own")
+        turn = F.pmod(F.xxhash64("a", F.lit(k)), F.lit(2)) == 0
+        new = materialize(best.select(F.col("a").alias("node"), F.when(moves & turn, F.col("best")).otherwise(F.col("was")).alias("community"), moves.alias("moves")))
+        label = new.select("node", "community")
+        if new.where("moves").isEmpty():
+            return label
+    raise RuntimeError(f"communities did not settle in {rounds} rounds")

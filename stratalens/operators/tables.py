@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first by ``order``."""
@@ -21,9 +23,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return all_rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*").select(*old.columns)
 
 
-def split_new_rows(rows: DataFrame, existing: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Accepted (new keys, first of repeats) and the number rejected."""
-    fresh = rows.where(F.col(key).isNotNull()).join(existing.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti").dropDuplicates([key])
+def split_new_rows(rows: DataFrame, existing: DataFrame, key: str, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Accepted (new keys; of repeats the first by ``order``, without one by the row's text)
+    and the number rejected."""
+    fresh = rows.where(F.col(key).isNotNull()).join(existing.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
+    by = F.struct(*order) if order else F.to_json(F.struct(*rows.columns))
+    fresh = fresh.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*rows.columns), by).alias("_r")).select("_r.*")
     counts = rows.agg(F.count("*").alias("read")).crossJoin(fresh.agg(F.count("*").alias("accepted")))
     return fresh, counts.select("read", "accepted", (F.col("read") - F.col("accepted")).alias("rejected"))
 
@@ -66,19 +71,49 @@ def scoped(edges: DataFrame, evidence: str, owners: DataFrame, owner_key: str, o
     return edges.join(mine, F.col(evidence) == F.col("_k"), "left_semi")
 
 
-def ancestors(units: DataFrame, key: str = "id", parent: str = "parent", depth: int = 10) -> DataFrame:
-    """``id, ancestor, steps, cycle`` by bounded self-joins that carry the path."""
+def ancestors(units: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """``id, ancestor, steps, cycle``: self-joins that carry the path, level by level until no
+    unit has a parent left; a parent already met ends the walk as a cycle, one that does
+    not exist ends it without."""
     u = units.select(F.col(key).alias("id"), F.col(parent).alias("up"))
-    hop = u.select(F.col("id").alias("h"), F.col("up").alias("next"))
+    hop = u.where("up is not null").select(F.col("id").alias("h"), F.col("up").alias("next"))
     known = u.select(F.col("id").alias("known"))
-    now = u.where("up is not null").join(known, F.col("up") == F.col("known"), "left_semi").select("id", F.col("up").alias("ancestor"), F.lit(1).alias("steps"), F.array("id", "up").alias("path"), F.col("id").eqNullSafe(F.col("up")).alias("cycle"))
+    hop = materialize(hop.join(known, F.col("next") == F.col("known"), "left_semi"))
+    now = hop.select(F.col("h").alias("id"), F.col("next").alias("ancestor"), F.lit(1).alias("steps"), F.array("h", "next").alias("path"), (F.col("h") == F.col("next")).alias("cycle"))
     parts = [now]
-    for k in range(2, depth + 1):
-        nxt = parts[-1].where("not cycle").join(hop, F.col("ancestor") == F.col("h")).where("next is not null").join(known, F.col("next") == F.col("known"), "left_semi")
-        parts.append(nxt.select("id", F.col("next").alias("ancestor"), F.lit(k).alias("steps"), F.concat("path", F.array("next")).alias("path"), F.array_contains("path", F.col("next")).alias("cycle")))
-    return reduce(DataFrame.unionByName, parts).drop("path")
+    while True:
+        nxt = parts[-1].where("not cycle").join(hop, F.col("ancestor") == F.col("h"))
+        nxt = nxt.select("id", F.col("next").alias("ancestor"), (F.col("steps") + 1).alias("steps"), F.concat("path", F.array("next")).alias("path"), F.array_contains("path", F.col("next")).alias("cycle"))
+        nxt = materialize(nxt)
+        if nxt.isEmpty():
+            return reduce(DataFrame.unionByName, parts).drop("path")
+        parts.append(nxt)
+
+
+def inherited(units: DataFrame, columns: list[str], key: str = "id", parent: str = "parent") -> DataFrame:
+    """``key, columns, chain_length, cycle``: a value that a unit lacks is its nearest
+    ancestor's that has one."""
+    walk = ancestors(units, key, parent)
+    up = walk.join(units.select(F.col(key).alias("_k"), *columns), F.col("ancestor") == F.col("_k"))
+    near = up.groupBy(F.col("id").alias("_id")).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("steps"))).alias(f"_{c}") for c in columns), F.max(F.when(~F.col("cycle"), F.col("steps"))).alias("_n"), F.max("cycle").alias("_cycle"))
+    j = units.join(near, units[key] == F.col("_id"), "left")
+    return j.select(units[key], *(F.coalesce(units[c], F.col(f"_{c}")).alias(c) for c in columns), F.coalesce("_n", F.lit(0)).alias("chain_length"), F.coalesce("_cycle", F.lit(False)).alias("cycle"))
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Rank of a bounded result (alerts, clusters): one global order is the feature."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """A number for each row in a global order, in which no two rows may be equal. Rows are
+    dealt by ranges of the order and numbered inside them; only the ranges' counts meet."""
+    spark = df.sparkSession
+    dealt = materialize(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.join(sizes.select(F.col("_part").alias("_p"), F.col("_n").alias("_m")), F.col("_p") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn(name, inside).join(F.broadcast(before), "_part").withColumn(name, (F.col(name) + F.col("_before")).cast("int")).select(*df.columns, name)
+
+
+def districts_of_cases(arrests: DataFrame, cases: DataFrame, case: str, district: str) -> DataFrame:
+    """``case, districts``: the distinct districts of the arrests of the asked cases, sorted;
+    arrests without a district do not count, cases without any are absent."""
+    asked = cases.select(F.col(case).alias("_case")).distinct()
+    found = arrests.where(F.col(district).isNotNull()).join(asked, F.col(case) == F.col("_case"), "left_semi")
+    return found.groupBy(case).agg(F.array_sort(F.collect_set(district)).alias("districts"))

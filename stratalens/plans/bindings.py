@@ -248,12 +248,12 @@ def hotspot_clusters(spark, d):
     return space.cluster_summary(p, space.density_clusters(p, 250, 8), "kind")
 
 
-CO = """i AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS m FROM lineitem), ok AS (SELECT g FROM i GROUP BY g HAVING count(*) BETWEEN 2 AND 20),
+CO = """i AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS m FROM lineitem), ok AS (SELECT g FROM i GROUP BY g HAVING count(*) BETWEEN 2 AND 20),
 e AS (SELECT a.m AS a, b.m AS b, count(*) AS weight FROM i a JOIN i b USING (g) JOIN ok USING (g) WHERE a.m < b.m GROUP BY 1, 2)"""
 
 
 def _edges(spark, d):
-    return network.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+    return network.cooccurrence(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("WITH i AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS m FROM lineitem), ok AS (SELECT g FROM i GROUP BY g HAVING count(*) BETWEEN 2 AND 20) SELECT a.m AS a, b.m AS b, count(*) AS weight FROM i a JOIN i b USING (g) JOIN ok USING (g) WHERE a.m < b.m GROUP BY 1, 2")
@@ -278,23 +278,28 @@ def neighbour_jaccard(spark, d):
     return network.jaccard(_edges(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, -1 - c_nationkey AS b FROM customer), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, c) AS (SELECT a, a FROM n UNION SELECT n.b, r.c FROM r JOIN n ON r.node = n.a) SELECT node, min(c) AS component FROM r GROUP BY node""")
-def connected_components(spark, d):
-    e = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (-1 - F.col("c_nationkey")).cast("long").alias("dst"))
-    return components.connected_components(e)
+# The tables hold no sparse graph with cycles; customers' keys give one: blocks of 40 keys,
+# each a path with chords.
+BLOCKS = """e AS (SELECT c_custkey AS a, c_custkey + 1 AS b FROM customer WHERE c_custkey % 40 <> 39
+  UNION ALL SELECT c_custkey, c_custkey + 7 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 40 < 33),
+n AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"""
 
 
-STAR_EDGES = "e AS (SELECT o_orderkey AS a, -o_custkey AS b FROM orders)"
+def _blocks(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"))
+    path = c.where("a % 40 <> 39").withColumn("b", F.col("a") + 1)
+    return path.unionByName(c.where("a % 5 = 0 and a % 40 < 33").withColumn("b", F.col("a") + 7))
 
 
-def _star(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), (-F.col("o_custkey")).alias("b"))
+@query(f"WITH RECURSIVE {BLOCKS}, r(node, c) AS (SELECT a, a FROM n UNION SELECT n.b, r.c FROM r JOIN n ON r.node = n.a) SELECT node, min(c) AS component FROM r GROUP BY node")
+def connected_components(spark, d):
+    return components.connected_components(_blocks(spark, d), "a", "b")
 
 
-@query(f"WITH {STAR_EDGES}, n AS (SELECT a, b FROM e UNION SELECT b, a FROM e), one AS (SELECT b AS node FROM n WHERE a = 1), two AS (SELECT DISTINCT n.b AS node FROM one JOIN n ON one.node = n.a WHERE n.b <> 1) SELECT 1 AS node, 0 AS depth UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two WHERE node NOT IN (SELECT node FROM one)")
+@query(f"""WITH RECURSIVE {BLOCKS}, r(node, k) AS (SELECT 10::BIGINT, 0 UNION SELECT n.b, k + 1 FROM r JOIN n ON r.node = n.a WHERE k < 2)
+SELECT node, CAST(min(k) AS INT) AS depth FROM r GROUP BY node""")
 def bfs_depth2(spark, d):
-    return network.within_steps(_star(spark, d), 1, 2)
+    return network.within_steps(_blocks(spark, d), 10, 2)
 
 
 @query("""SELECT DISTINCT 'CASE:' || o_orderkey AS node_id, 'CASE' AS node_type FROM orders UNION ALL SELECT 'PERSON:' || c_custkey, 'PERSON' FROM customer UNION ALL SELECT 'AREA:' || n_nationkey, 'AREA' FROM nation""")
@@ -495,11 +500,50 @@ def isolation_forest_flags(spark, d):
     return forest.isolation_scores(o, ["o_totalprice", "hour", "month"], "o_orderkey").select("o_orderkey", F.round("isolation", 6).alias("isolation"), (F.col("isolation") > 0.5).alias("confirmed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BLOCKS}, walk(s, t, d) AS (SELECT DISTINCT a, a, 0 FROM n UNION SELECT w.s, n.b, d + 1 FROM walk w JOIN n ON w.t = n.a WHERE d < 39),
+dist AS (SELECT s, t, min(d) AS d FROM walk GROUP BY s, t),
+paths(s, t, d, k) AS (SELECT s, t, d, 1::DOUBLE FROM dist WHERE d = 0
+  UNION ALL SELECT p.s, x.t, x.d, sum(p.k) FROM paths p JOIN n ON p.t = n.a JOIN dist x ON x.s = p.s AND x.t = n.b AND x.d = p.d + 1 GROUP BY p.s, x.t, x.d),
+b AS (SELECT u.t AS node, sum(u.k * v.k / w.k) AS x FROM paths u JOIN paths v ON u.t = v.s JOIN paths w ON w.s = u.s AND w.t = v.t AND w.d = u.d + v.d
+  WHERE u.s < v.t AND u.s <> u.t AND v.t <> u.t GROUP BY u.t)
+SELECT node, round(coalesce(x, 0), 6) AS betweenness FROM (SELECT DISTINCT a AS node FROM n) LEFT JOIN b USING (node)""")
 def path_betweenness(spark, d):
-    return network.betweenness(table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (-1 - F.col("c_nationkey")).cast("long").alias("b")), pivots=100)
+    return network.betweenness(_blocks(spark, d))
 
 
 @query()
 def label_communities(spark, d):
-    return network.communities(_edges(spark, d))
+    return network.communities(_blocks(spark, d).withColumn("weight", F.lit(1)))
+
+
+@query("""WITH u AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent, NULL::VARCHAR AS area FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world', CASE WHEN r_regionkey % 2 = 0 THEN r_name END FROM region UNION ALL SELECT 'world', NULL, 'all')
+SELECT u.id, coalesce(u.area, p.area, g.area) AS area, CAST((p.id IS NOT NULL)::INT + (g.id IS NOT NULL)::INT AS INT) AS chain_length, false AS cycle FROM u LEFT JOIN u p ON u.parent = p.id LEFT JOIN u g ON p.parent = g.id""")
+def inherited_area(spark, d):
+    """What a nation lacks it has from its region, what that lacks from the world."""
+    none = F.lit(None).cast("string")
+    n = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), none.alias("area"))
+    r = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("world").alias("parent"), F.when(F.col("r_regionkey") % 2 == 0, F.col("r_name")).alias("area"))
+    top = spark.range(1).select(F.lit("world").alias("id"), none.alias("parent"), F.lit("all").alias("area"))
+    return T.inherited(n.unionByName(r).unionByName(top), ["area"])
+
+
+@query("SELECT o_custkey, array_to_string(list_sort(list(DISTINCT l_suppkey)), ',') AS suppliers FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5) GROUP BY 1")
+def sets_of_asked_keys(spark, d):
+    """Suppliers of the customers of one nation: case to districts in other words."""
+    rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    asked = table(spark, d, "customer").where("c_nationkey = 5").select(F.col("c_custkey").alias("o_custkey"))
+    found = T.districts_of_cases(rows, asked, "o_custkey", "l_suppkey")
+    return found.select("o_custkey", F.array_join(F.col("districts").cast("array<string>"), ",").alias("suppliers"))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderkey FROM orders")
+def ranked_orders(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    return T.ranked(o, [F.desc("o_totalprice"), F.col("o_orderkey")]).select(F.col("rank").cast("long").alias("rank"), "o_orderkey")
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(event_type AS BIGINT) AS bad, length(props) AS n FROM events")
+def coerced_casts(spark, d):
+    """A cell that is not of the wanted type is null, not an error."""
+    e = table(spark, d, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.col("event_type").try_cast("long").alias("bad"), F.length("props").cast("long").alias("n"))

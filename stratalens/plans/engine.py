@@ -33,9 +33,16 @@ class CaseTables:
             if self.form == "csv":
                 self._read[name] = read_strict_csv(self.spark, path, schema)
             else:
-                self._read[name] = self.spark.read.parquet(path).select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+                self._read[name] = self.spark.read.parquet(path).select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema))
         return self._read[name]
 
+    def lost_cells(self, name: str) -> DataFrame:
+        """``column, n``: cells of a Parquet table that are not of their column's type and
+        therefore read as null. (Strict CSV fails on such cells instead.)"""
+        raw = self.spark.read.parquet(f"{self.folder}/{name}.{self.form}")
+        lost = raw.agg(*(F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in SPECS[name].schema))
+        return lost.unpivot([], lost.columns, "column", "n").where("n > 0")
+
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str, form: str = "csv"):
@@ -119,6 +126,18 @@ class Engine:
         found = identity.candidates(p.select(F.col("record_id").alias("id"), "name", "age", "gender"), min_size)
         return found.withColumn("status", F.lit("pending_review"))
 
+    def arrest_districts(self, cases: DataFrame) -> DataFrame:
+        """``case_id, districts`` of the asked cases (column case_id)."""
+        a = self.tables("ArrestSurrender").select(F.col("CaseMasterID").alias("case_id"), F.col("ArrestSurrenderDistrictId").alias("district_id"))
+        return T.districts_of_cases(a, cases, "case_id", "district_id")
+
+    def units(self) -> DataFrame:
+        """``UnitID, DistrictID, StateID, chain_length, cycle``: what a unit lacks it has from
+        its nearest ancestor; a state still missing is its district's."""
+        u = T.inherited(self.tables("Unit"), ["DistrictID", "StateID"], "UnitID", "ParentUnit")
+        d = self.tables("District").select(F.col("DistrictID").alias("_d"), F.col("StateID").alias("_s"))
+        return u.join(d, F.col("DistrictID") == F.col("_d"), "left").withColumn("StateID", F.coalesce("StateID", "_s")).drop("_d", "_s")
+
     # -- analytics --------------------------------------------------------------------
 
     def hotspots(self, subhead_id=None, district_id=None, days: int | None = None, eps_m: float = 400, min_samples: int = 8) -> tuple[DataFrame, DataFrame]:

@@ -100,8 +100,10 @@ def decide(spark: SparkSession, path: str, target: str, decision: str, actor: st
 
 
 def decisions(log: DataFrame) -> DataFrame:
+    """The latest of each target; of equal times the last by decision, actor and note."""
     rest = [c for c in log.columns if c != "target"]
-    return log.groupBy("target").agg(F.max_by(F.struct(*rest), "decided_at").alias("r")).select("target", "r.*")
+    order = F.struct("decided_at", "decision", "actor", F.coalesce("note", F.lit("")))
+    return log.groupBy("target").agg(F.max_by(F.struct(*rest), order).alias("r")).select("target", "r.*")
 
 
 def evidence_page(evidence: DataFrame, run_id: str, offset: int = 0, limit: int = 50, shown_cases: int = 25) -> DataFrame:

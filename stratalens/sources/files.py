@@ -45,3 +45,25 @@ def append_log(df: DataFrame, path: str, forbidden: tuple[str, ...] = ("name", "
     if bad:
         raise ValueError(f"personal fields {bad}")
     df.write.mode("append").parquet(path)
+
+
+def write_json(df: DataFrame, path: str, version: str | None = None) -> None:
+    """One JSON object a line; ``version`` is kept as ``model_version`` with every row, as
+    ``read_versioned_json`` asks for it. Nulls are written out."""
+    out = df if version is None else df.withColumn("model_version", F.lit(version))
+    out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def replace_by_run(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
+    """All tables of a run or none: they are written to the run's own folder first, and one
+    appended row of ``current`` then names the run. A failed write leaves the last run."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.withColumn("run_id", F.lit(run_id)).write.mode("errorifexists").parquet(f"{path}/runs/{run_id}/{name}")
+    spark.createDataFrame([(run_id,)], "run_id string").select("run_id", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/current")
+
+
+def read_current(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the run that was named last."""
+    last = spark.read.parquet(f"{path}/current").orderBy(F.desc("at"), F.desc("run_id")).first()
+    return spark.read.parquet(f"{path}/runs/{last['run_id']}/{name}")

@@ -105,7 +105,7 @@ def test_expressions(spark):
     assert val(X.severity(F.lit(3.6))) == "serious" and val(X.severity(F.lit(1.0))) is None
     assert val(X.hour_distance(F.lit(23), F.lit(1))) == 2 and val(X.percent_change(F.lit(15), F.lit(10))) == 50
     assert val(X.numbers_safe(F.lit("3 of 4"), F.lit("4 3 9"))) and not val(X.numbers_safe(F.lit("5"), F.lit("4")))
-    assert X._name_similarity("ravi kumar", "ravi k") > 0.82 and X._name_similarity("ravi kumar", "ravi shetty") == 0.3 and X._partial("rav kum", "ravi kumar") == 0.9
+    assert X._name_similarity("ravi kumar", "ravi k") > 0.82 and X._name_similarity("ravi kumar", "ravi shetty") == 0.3 and X._name_similarity("ravi kumar", "ravi") == X._name_similarity("ravi", "ravi shankar") == X._name_similarity("ravi kumar s", "ravi shankar") == 0.3 and X._name_similarity("ravi k", "ravi") == 1.0 and X._name_similarity("anil rao", "ravi rao") == X._name_similarity("", "ravi") == 0.0 and X._partial("rav kum", "ravi kumar") == 0.9
 
 
 def test_loading_discipline(spark, tmp_path):
@@ -147,3 +147,107 @@ def test_streaming_counts_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) FROM velocity_counts").first()[0] == e.count()
+
+
+def test_names_without_a_surname_join_nobody(spark):
+    rows = [(1, "Ravi", 30, "M"), (2, "Ravi Shankar", 30, "M"), (3, "Ravi Kumar S", 31, "M"), (4, "Ravi Kumar", 31, "M"), (5, "Ravi Kumar", 31, "M"), (6, "ravi kumar", 31, "M")]
+    df = spark.createDataFrame(rows, "id long, name string, age int, gender string")
+    got = identity.candidates(df).collect()
+    assert {r.id for r in got} == {3, 4, 5, 6} and len({r.cluster for r in got}) == 1
+    # all pairs, as the links stand for them: three of one name and age, each linked to the longer name
+    assert {r.confidence for r in got} == {1.0}
+
+
+def test_neighbours_at_any_latitude(spark):
+    def pairs(points, eps=350):
+        df = spark.createDataFrame([(i, float(a), float(o)) for i, (a, o) in enumerate(points)], "id long, lat double, lon double")
+        return {(r.a, r.b) for r in space.neighbour_pairs(df, eps).collect()}
+
+    import math
+    import random
+
+    for lat in (0.0, 75.0, -75.0, 89.99, 60.0):
+        for lon in (0.0, 10.0, 179.9999, -179.9999, 77.5012):
+            step = min(180.0, math.degrees(328 / X.EARTH_M) / math.cos(math.radians(lat)))
+            east = (lon + step + 180) % 360 - 180
+            assert pairs([(lat, lon), (lat, east)]) == {(0, 1), (1, 0)}, (lat, lon)
+    r = random.Random(4)
+    points = [(r.uniform(74.9, 75.1), (179.8 + r.uniform(0, 0.4) + 180) % 360 - 180) for _ in range(150)] + [(89.999 + r.uniform(0, 0.001), r.uniform(-180, 180)) for _ in range(30)]
+
+    def metres(p, q):
+        (a, o), (b, u) = ([math.radians(v) for v in x] for x in (p, q))
+        return 2 * X.EARTH_M * math.asin(math.sqrt(min(1.0, math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((u - o) / 2) ** 2)))
+
+    want = {(i, j) for i, p in enumerate(points) for j, q in enumerate(points) if i != j and metres(p, q) <= 900}
+    assert pairs(points, 900) == want and len(want) > 100
+
+
+def test_long_paths_are_followed(spark):
+    n = 64
+    e = spark.createDataFrame([(i, i + 1, 1) for i in range(n - 1)], "a long, b long, weight long")
+    got = {r.node: r.betweenness for r in network.betweenness(e).collect()}
+    assert got == {i: float(i * (n - 1 - i)) for i in range(n)}
+    units = spark.createDataFrame([(i, i + 1 if i < 24 else None, 7 if i == 24 else None) for i in range(25)] + [(90, 91, None), (91, 90, None), (92, 555, 3)], "id long, parent long, district long")
+    assert tables.ancestors(units).where("id = 0").count() == 24
+    up = {r.id: (r.district, r.chain_length, r.cycle) for r in tables.inherited(units, ["district"]).collect()}
+    assert up[0] == (7, 24, False) and up[24] == (7, 0, False) and up[90] == (None, 1, True) and up[92] == (3, 0, False)
+
+
+def test_pivots_are_drawn_by_component(spark):
+    parts = [(10 * k, 10 * k + j) for k in range(40) for j in (1, 2)] + [(1000 + i, 1001 + i) for i in range(30)]
+    e = spark.createDataFrame([(a, b, 1) for a, b in parts], "a long, b long, weight long")
+    got = {r.node: r.betweenness for r in network.betweenness(e, pivots=15, exact=10).collect()}
+    assert all(got[10 * k] == 1.0 for k in range(40)) and got[1015] > 0
+
+
+def test_communities_end_settled(spark):
+    star = [(i, 100 + j, 1) for i in range(4) for j in range(5)]
+    clique = [(a, b, 3) for a in range(200, 206) for b in range(200, a)] + [(200, 0, 1)]
+    e = spark.createDataFrame(star + clique, "a long, b long, weight long")
+    got = {r.node: r.community for r in network.communities(e).collect()}
+    assert len({got[k] for k in range(200, 206)}) == 1 and len(got) == 15
+    near = {}
+    for a, b, w in star + clique:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    for k, links in near.items():
+        v = {}
+        for x, w in links:
+            v[got[x]] = v.get(got[x], 0) + w
+        assert v.get(got[k], 0) == max(v.values())
+
+
+def test_ranks_over_many_partitions(spark):
+    df = spark.range(0, 5000, 1, 40).select(F.pmod(F.xxhash64("id"), F.lit(37)).alias("x"), "id")
+    got = tables.ranked(df, [F.desc("x"), F.col("id")]).collect()
+    assert [(r.x, r.id) for r in sorted(got, key=lambda r: r["rank"])] == sorted(((r.x, r.id) for r in got), key=lambda v: (-v[0], v[1]))
+    assert sorted(r["rank"] for r in got) == list(range(1, 5001))
+    assert tables.ranked(df.where("false"), [F.col("id")]).count() == 0
+
+
+def test_one_target_only(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, "a", "b")], "id long, p string, q string")
+    with pytest.raises(ValueError):
+        attributes.similar_to(df, df, {"p": 1.0, "q": 1.0}, "id")
+    assert attributes.similar_to(df, df.where("id = 9"), {"p": 1.0, "q": 1.0}, "id").count() == 0
+
+
+def test_replace_by_run_and_json(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
+    files.replace_by_run({"nodes": df, "edges": df}, f"{tmp_path}/g", "r1")
+    files.replace_by_run({"nodes": df.limit(1), "edges": df}, f"{tmp_path}/g", "r2")
+    assert files.read_current(spark, f"{tmp_path}/g", "nodes").count() == 1
+    with pytest.raises(Exception):
+        files.replace_by_run({"nodes": df, "edges": df.select((F.col("id") / F.raise_error(F.lit("no"))).alias("x"))}, f"{tmp_path}/g", "r3")
+    assert {r.run_id for r in files.read_current(spark, f"{tmp_path}/g", "edges").collect()} == {"r2"}
+    files.write_json(df, f"{tmp_path}/j", "m1")
+    good, bad = files.read_versioned_json(spark, f"{tmp_path}/j", "id long, v string, model_version string", "m1", "v is not null")
+    assert good.count() == 1 and bad.count() == 1
+    with pytest.raises(ValueError):
+        files.read_versioned_json(spark, f"{tmp_path}/j", "id long, v string, model_version string", "m2", "true")
+
+
+def test_districts_of_cases(spark):
+    a = spark.createDataFrame([(1, 44), (1, 12), (1, 44), (2, None), (3, 9)], "case_id long, d long")
+    got = tables.districts_of_cases(a, spark.createDataFrame([(1,), (2,), (7,)], "case_id long"), "case_id", "d").collect()
+    assert [tuple(r) for r in got] == [(1, [12, 44])]
