@@ -12,13 +12,17 @@ once), and the DC coefficients of the luminance give the thumbnail, an eighth of
 Any baseline image is read, with any Huffman tables, subsampling and restart interval;
 AC coefficients are passed over. Progressive or damaged files give a null thumbnail.
 
-Null and empty texts are 64 zero bytes. Equal texts give equal values. Nothing is
-shuffled; tasks hold a few MB of payload at a time.
+Null and empty texts are 64 zero bytes. Equal texts give equal values, repeated rows and ties
+are no matter. Nothing is shuffled. Values are encoded and decoded in groups of frames of
+about ``GROUP`` bytes, so a task holds a few MB besides the values themselves, and a very
+long text costs a few times its own size. Extra columns of ``read`` stay; their names must
+differ from those it adds.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import map_batches
 
-ROW, MAX_ROWS = 64, 8191
+ROW, MAX_ROWS, GROUP = 64, 8191, 1 << 20
 # The DC luminance code lengths of the JPEG standard's annex K (number of
 # codes of 1..16 bits); the categories 0..11 follow in order.
 DC_COUNTS = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]
@@ -80,8 +84,33 @@ def _head(rows: int) -> bytes:
     )
 
 
+def grouped(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of neighbours whose sizes add up to ``most`` at most, if more than one."""
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield first, len(sizes)
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """The JPEG stream of each payload (a positive multiple of 64 bytes each)."""
+    """The JPEG stream of each payload (a positive multiple of 64 bytes each), frame by
+    frame: what is held besides the streams is bounded by ``GROUP`` bytes of payload."""
+    cut = ROW * MAX_ROWS
+    spans = [(i, a, min(a + cut, len(p))) for i, p in enumerate(payloads) for a in range(0, len(p), cut)]
+    media: list[list[bytes]] = [[] for _ in payloads]
+    for first, end in grouped([b - a for _, a, b in spans], GROUP):
+        made = _encode_frames([payloads[i][a:b] for i, a, b in spans[first:end]])
+        for (i, *_), frame in zip(spans[first:end], made):
+            media[i].append(frame)
+    return [b"".join(frames) for frames in media]
+
+
+def _encode_frames(payloads: list[bytes]) -> list[bytes]:
+    """One image of each payload of at most ``MAX_ROWS`` rows."""
     rows_of = [len(p) // ROW for p in payloads]
     v = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, ROW).astype(np.int16) - 128
     diff = v.copy()
@@ -104,10 +133,9 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     pad = (8 * nbytes - total).astype(np.int64)
     out[start + nbytes - 1] |= ((1 << pad) - 1).astype(np.uint8)
     # 0xFF is followed by 0; a restart marker ends each row but the last of its frame
-    number = np.concatenate([np.arange(r) % MAX_ROWS for r in rows_of]) if rows_of else np.zeros(0, np.int64)
+    number = np.concatenate([np.arange(r) for r in rows_of])
     last = np.zeros(len(number), bool)
     last[np.cumsum(rows_of) - 1] = True
-    last |= number == MAX_ROWS - 1
     full = out == 255
     row_at = np.repeat(np.arange(len(nbytes)), nbytes)
     shift = np.cumsum(full) - full + (2 * np.concatenate(([0], np.cumsum(~last)[:-1])))[row_at]
@@ -119,13 +147,9 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     scan[row_end[mid]], scan[row_end[mid] + 1] = 255, 0xD0 + number[mid] % 8
     data, media, at, row = scan.tobytes(), [], 0, 0
     for rows in rows_of:
-        frames = []
-        for first in range(0, rows, MAX_ROWS):
-            n = min(MAX_ROWS, rows - first)
-            end = int(row_end[row + n - 1])
-            frames.append(_head(n) + data[at:end] + b"\xff\xd9")
-            at, row = end, row + n
-        media.append(b"".join(frames))
+        end = int(row_end[row + rows - 1])
+        media.append(_head(rows) + data[at:end] + b"\xff\xd9")
+        at, row = end, row + rows
     return media
 
 
@@ -334,12 +358,14 @@ def thumbnails(media: list[bytes | None]) -> list[np.ndarray | None]:
             key = (tuple(f.scan), tuple(f.components), f.interval > 0, tuple(sorted(f.tables.items())))
             groups.setdefault(key, []).append((i, j))
     found: dict[tuple[int, int], np.ndarray | None] = {}
-    for which in groups.values():
-        try:
-            made = _decode_alike([(media[i], parsed[i][j]) for i, j in which])
-        except (ValueError, IndexError, KeyError):
-            made = [None] * len(which)
-        found |= dict(zip(which, made))
+    for alike in groups.values():
+        for first, end in grouped([parsed[i][j].data[1] - parsed[i][j].data[0] for i, j in alike], GROUP):
+            which = alike[first:end]
+            try:
+                made = _decode_alike([(media[i], parsed[i][j]) for i, j in which])
+            except (ValueError, IndexError, KeyError):
+                made = [None] * len(which)
+            found |= dict(zip(which, made))
     out = []
     for i, frames in enumerate(parsed):
         own = [found[i, j] for j in range(len(frames))]
@@ -350,11 +376,12 @@ def thumbnails(media: list[bytes | None]) -> list[np.ndarray | None]:
 def thumbnail_hash(thumb: np.ndarray) -> str:
     """64-bit average hash and 64-bit gradient hash over a 9 x 8 grid of cell means."""
     h, w = thumb.shape
-    sums = np.zeros((h + 1, w + 1))
-    sums[1:, 1:] = thumb.cumsum(0, dtype=np.float64).cumsum(1)
     y0, x0 = np.arange(8) * h // 8, np.arange(9) * w // 9
     y1, x1 = np.maximum(y0 + 1, (np.arange(8) + 1) * h // 8), np.maximum(x0 + 1, (np.arange(9) + 1) * w // 9)
-    cell = (sums[np.ix_(y1, x1)] - sums[np.ix_(y0, x1)] - sums[np.ix_(y1, x0)] + sums[np.ix_(y0, x0)]) / ((y1 - y0)[:, None] * (x1 - x0)[None, :])
+    cell = np.zeros((8, 9))
+    for i in range(8):  # a band's column sums at a time
+        sums = np.concatenate(([0], np.cumsum(thumb[y0[i] : y1[i]].sum(axis=0, dtype=np.int64))))
+        cell[i] = (sums[x1] - sums[x0]) / ((y1[i] - y0[i]) * (x1 - x0))
     bits = np.packbits(np.concatenate(((cell[:, :8] >= cell[:, :8].mean()).ravel(), (cell[:, 1:] > cell[:, :-1]).ravel())))
     return bits.tobytes().hex()
 

@@ -90,3 +90,29 @@ def test_query(spark, tmp_path):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert rows[3].feature == rows[5].feature
     assert J.read(J.store(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_groups_do_not_change_bytes(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    payloads = [r.integers(0, 256, 64 * n, dtype=np.uint8).tobytes() for n in (1, 3, 8191, 8192, 20_000, 2)]
+    whole = J.encode(payloads)
+    thumbs = J.thumbnails(whole)
+    assert [t.tobytes() for t in thumbs] == payloads
+    monkeypatch.setattr(J, "GROUP", 64 * 100)
+    assert J.encode(payloads) == whole
+    assert [t.tobytes() for t in J.thumbnails(whole)] == payloads
+
+
+def test_memory_of_a_long_text_is_bounded():
+    import tracemalloc
+
+    payload = b"some text of a very long document " * (64 * 8000)
+    payload += bytes(-len(payload) % 64)
+    tracemalloc.start()
+    [media] = J.encode([payload])
+    [thumb] = J.thumbnails([media])
+    assert thumb.tobytes() == payload and len(J.thumbnail_hash(thumb)) == 32
+    assert tracemalloc.get_traced_memory()[1] < 8 * len(payload) + (200 << 20)
+    tracemalloc.stop()
