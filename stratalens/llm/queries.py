@@ -43,9 +43,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = warc_zip.new_store(spark)
-    warc_zip.write_archives(table(spark, sf_dir, "pages"), path)
-    found = warc_zip.read_archives(spark.read.parquet(path), payloads=False)
+    archives = warc_zip.write_archives(table(spark, sf_dir, "pages"), warc_zip.new_store(spark))
+    found = warc_zip.read_archives(archives, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

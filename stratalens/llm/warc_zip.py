@@ -2,20 +2,23 @@
 
 Writing: each page is a WARC record. Of pages with equal payloads the one with the
 largest id is the response, the others are revisits that hold headers only. Records are
-packed, inside the tasks that read them, into ZIP archives of about ``ARCHIVE_BYTES``
-with stored (uncompressed) members: the WARC file, its index (page id, offset, length) and
-a manifest. An archive is a row of a Parquet table in the shared folder, which
-compresses it at rest; ``read_files`` reads the same archives from files.
-
-Reading: the end record, the ZIP64 end record behind its locator and the central directory
-(with ZIP64 extra fields) are parsed from ranges at the archive's end; the local header of
-a stored member gives the place of its bytes; the index gives each record's range. Only
-these ranges are touched and no member is extracted. Compressed or encrypted members are
-refused with a ValueError that names them.
+packed, inside the tasks that read them, into archive files of about ``ARCHIVE_BYTES`` in
+the shared folder, with stored (uncompressed) members: the WARC file, its index (page id,
+offset, length) and a manifest. A task gives its files names of their own; the table of the
+archives (path, bytes) names those of the tasks that succeeded, so a task that was lost and
+run again leaves a file that nothing reads.
+
+Reading: an archive file is opened where it lies and only ranges of it are read: its end
+for the end record, the ZIP64 end record behind its locator and the central directory
+(with ZIP64 extra fields); the local header of a stored member, which gives the place of its
+bytes; the index; and the records, neighbours in reads of about ``READ_BYTES``. No member
+is extracted. Compressed or encrypted members are refused with a ValueError that names them.
+Folders are reached by Arrow's file systems (local and mounted folders, HDFS, S3, GCS).
 
 A null html is an empty payload, a null url gives no target header. Repeated rows with
 the largest id are all responses; a null id counts as the smallest and refers like any
-other. Extra columns are ignored.
+other. A page longer than ``ARCHIVE_BYTES`` has an archive of its own, which its task holds
+in memory. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,27 +30,35 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import base32_sha1, shared_dir, slices
+from ..session import materialize, own_dir
+from .common import base32_sha1, slices
 
-ARCHIVE_BYTES = 1 << 20
+ARCHIVE_BYTES, READ_BYTES, TASK_BYTES = 4 << 20, 1 << 20, 64 << 20
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\3\4", b"PK\1\2", b"PK\5\6", b"PK\6\6", b"PK\6\7"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 DATE = "2024-01-01T00:00:00Z"
 
 
 class Ranges:
-    """Reads of byte ranges of one archive, with a count of what was touched."""
+    """Reads of byte ranges of one archive, with a count of what was read."""
 
-    def __init__(self, data: bytes):
-        self.data, self.size, self.touched = memoryview(data), len(data), 0
+    def __init__(self, source: pa.NativeFile | bytes):
+        self.source = pa.BufferReader(source) if isinstance(source, bytes) else source
+        self.size, self.touched = self.source.size(), 0
 
     def get(self, offset: int, length: int) -> bytes:
         if offset < 0 or length < 0 or offset + length > self.size:
             raise ValueError("a range lies outside the archive")
         self.touched += length
-        return bytes(self.data[offset : offset + length])
+        return self.source.read_at(length, offset)
+
+
+def file_system(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """Arrow's file system of a folder or file, and the path in it."""
+    return pa_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
 def build_zip(members: list[tuple[str, bytes]], zip64: bool = True) -> bytes:
@@ -75,15 +86,20 @@ def build_zip(members: list[tuple[str, bytes]], zip64: bool = True) -> bytes:
 
 def directory(r: Ranges) -> dict[str, tuple[int, int, int]]:
     """``name -> (local header offset, stored size, crc)`` from the central directory."""
-    tail_at = max(0, r.size - 65557)
-    tail = r.get(tail_at, r.size - tail_at) if r.size < 4096 else r.get(r.size - 4096, 4096)
-    at = tail.rfind(END)
-    if at < 0 and r.size >= 4096:  # a long archive comment
-        tail = r.get(tail_at, r.size - tail_at)
+    end = None
+    for reach in (4096, 65557):  # the comment of an archive may be long
+        first = max(0, r.size - reach)
+        tail = r.get(first, r.size - first)
         at = tail.rfind(END)
-    if at < 0:
+        while at >= 0 and end is None:
+            # a record, not a comment's bytes: its comment ends with the archive
+            if at + 22 <= len(tail) and at + 22 + struct.unpack("<H", tail[at + 20 : at + 22])[0] == len(tail):
+                end = first + at
+            at = tail.rfind(END, 0, at + 3) if at else -1
+        if end is not None or not first:
+            break
+    if end is None:
         raise ValueError("no end record: not a ZIP archive")
-    end = r.size - len(tail) + at
     _, _, _, count, size, start, _ = struct.unpack("<HHHHIIH", r.get(end + 4, 18))
     if 0xFFFF == count or 0xFFFFFFFF in (size, start):
         locator = r.get(end - 20, 20)
@@ -170,75 +186,107 @@ def build_archive(records: list[tuple[int | None, bytes]], zip64: bool = True) -
     return build_zip([("archive/data.warc", b"".join(r for _, r in records)), ("indexes/index.txt", "\n".join(index).encode()), ("datapackage.json", manifest.encode())], zip64)
 
 
-def read_archive(data: bytes, only: set[int] | None = None) -> Iterator[dict]:
-    """The records of an archive, or those of the pages ``only``, each by its own range."""
-    r = Ranges(data)
+def read_archive(source: pa.NativeFile | bytes | Ranges, only: set[int] | None = None) -> Iterator[dict]:
+    """The records of an archive, or those of the pages ``only``. Records that follow each
+    other are read together, up to ``READ_BYTES``."""
+    r = source if isinstance(source, Ranges) else Ranges(source)
     found = directory(r)
     index_at, size, crc = found["indexes/index.txt"]
     index = r.get(member_at(r, index_at), size)
     if zlib.crc32(index) != crc:
         raise ValueError("the index is damaged")
     base = member_at(r, found["archive/data.warc"][0])
+    wanted = []
     for line in index.decode().split("\n"):
         if line:
             page, offset, length = line.split(" ")
             if only is None or (page and int(page) in only):
-                yield parse_record(r.get(base + int(offset), int(length)))
+                wanted.append((int(offset), int(length)))
+    first = 0
+    while first < len(wanted):
+        last, start = first, wanted[first][0]
+        while last + 1 < len(wanted) and wanted[last + 1][0] == sum(wanted[last]) and sum(wanted[last + 1]) - start <= READ_BYTES:
+            last += 1
+        read = r.get(base + start, sum(wanted[last]) - start)
+        for offset, length in wanted[first : last + 1]:
+            yield parse_record(read[offset - start : offset - start + length])
+        first = last + 1
 
 
 def with_references(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, refers_to``: the largest id with an equal payload, null for
     that page itself and for payloads below ``min_revisit_bytes``. The grouping moves
-    digests only; the join on them is one that adaptive execution splits at a hot payload."""
+    digests only. The table of repeated digests is written, so that its size is known: Spark
+    broadcasts it below its own bound, and beyond it joins by digest, where adaptive
+    execution splits a hot payload."""
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.unhex(F.sha2("html", 256)))
     top = p.where(F.octet_length("html") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("copies")).where("copies > 1")
-    top = top.select(F.concat(F.col("digest"), F.lit(b"")).alias("d2"), "top")
+    top = materialize(top.select(F.concat(F.col("digest"), F.lit(b"")).alias("d2"), "top"))
     joined = p.join(top, F.concat(p["digest"], F.lit(b"")) == F.col("d2"), "left")
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = True, **columns) -> None:
-    """Writes the table ``archive string, content binary`` at ``path``."""
+def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = True, **columns) -> DataFrame:
+    """Writes archive files below ``path`` and returns the table of them: ``path, bytes``."""
 
     def run(batches):
-        held, size, made = [], 0, 0
+        fs, folder = file_system(path)
+        fs.create_dir(f"{folder}/archives")
+        held, size = [], 0
+
+        def flush():
+            name, data = f"archives/{uuid.uuid4().hex}.wacz", build_archive(held, zip64)
+            with fs.open_output_stream(f"{folder}/{name}") as out:
+                out.write(data)
+            return pa.RecordBatch.from_pydict({"path": [f"{path}/{name}"], "bytes": [len(data)]})
+
         for piece in slices(batches, "html", archive_bytes):
             for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in piece.columns)):
                 raw = record(page_id, url, html.encode("utf-8", "surrogatepass"), refers_to)
                 if held and size + len(raw) > archive_bytes:
-                    yield pa.RecordBatch.from_pydict({"archive": [uuid.uuid4().hex + ".wacz"], "content": [build_archive(held, zip64)]})
+                    yield flush()
                     held, size = [], 0
                 held.append((page_id, raw))
                 size += len(raw)
         if held:
-            yield pa.RecordBatch.from_pydict({"archive": [uuid.uuid4().hex + ".wacz"], "content": [build_archive(held, zip64)]})
+            yield flush()
 
-    out = with_references(pages, **columns).mapInArrow(run, "archive string, content binary")
-    out.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
+    spark = pages.sparkSession
+    with_references(pages, **columns).mapInArrow(run, "path string, bytes long").write.parquet(f"{path}/table")
+    return spark.read.parquet(f"{path}/table")
 
 
-def read_archives(archives: DataFrame, content: str = "content", payloads: bool = True) -> DataFrame:
-    """One row per record of the archives in a binary column. ``payloads`` off: headers
-    and sizes only travel on."""
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """One row per record of the archive files in a table ``path, bytes``. ``payloads`` off:
+    headers and sizes only travel on. Files are dealt so that a task reads about
+    ``TASK_BYTES``."""
+    total = archives.agg(F.sum("bytes")).first()[0] or 0
+    tasks = max(2 * archives.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES)
 
     def run(batches):
-        for batch in slices(batches, content, 8 << 20):
-            for data in batch.column(0):
-                if data.is_valid:
-                    rows = list(read_archive(data.as_py()))
-                    if not payloads:
-                        rows = [r | {"payload": None} for r in rows]
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, file = file_system(name)
+                with fs.open_input_file(file) as source:
+                    rows, size = [], 0
+                    for r in read_archive(source):
+                        size += r["payload_bytes"] + 200
+                        rows.append(r if payloads else r | {"payload": None})
+                        if size > READ_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, size = [], 0
+                    if rows:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
-    return archives.select(content).mapInArrow(run, RECORD)
+    return archives.select("path").repartition(tasks, "path").mapInArrow(run, RECORD)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of archive files, read by Spark's own binary file source."""
-    return read_archives(spark.read.format("binaryFile").load(path), "content")
+    """Records of the archive files of a folder; Spark lists them, their bytes are not loaded."""
+    return read_archives(spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes")))
 
 
 def new_store(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/warc-{uuid.uuid4().hex}"

@@ -34,11 +34,51 @@ def test_archives_of_others_and_damage():
             list(Z.read_archive(bad))
 
 
-def test_reads_only_ranges():
-    data = Z.build_archive([(i, Z.record(i, "u", b"y" * 10_000, None)) for i in range(100)])
-    r = Z.Ranges(data)
-    Z.directory(r)
-    assert r.touched < 6000
+def test_comment_that_looks_like_an_end_record():
+    raw = Z.record(1, "u", b"x", None)
+    data = Z.build_zip([("archive/data.warc", raw), ("indexes/index.txt", f"1 0 {len(raw)}".encode())], False)
+    comment = Z.END + bytes(18) + b"tail"
+    data = data[:-2] + len(comment).to_bytes(2, "little") + comment
+    assert [r["page_id"] for r in Z.read_archive(data)] == [1]
+
+
+class Counting(io.RawIOBase):
+    """A file that counts what is read from the file system."""
+
+    def __init__(self, path):
+        self.file, self.read_bytes = open(path, "rb"), 0
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+    def seek(self, *where):
+        return self.file.seek(*where)
+
+    def tell(self):
+        return self.file.tell()
+
+    def read(self, n=-1):
+        got = self.file.read(n)
+        self.read_bytes += len(got)
+        return got
+
+
+def test_only_ranges_are_read_from_the_file(tmp_path):
+    import pyarrow as pa
+
+    data = Z.build_archive([(i, Z.record(i, "u", b"y" * 100_000, None)) for i in range(100)])
+    (tmp_path / "a.wacz").write_bytes(data)
+    file = Counting(tmp_path / "a.wacz")
+    Z.directory(Z.Ranges(pa.PythonFile(file, "r")))
+    assert 0 < file.read_bytes < 6000
+    file = Counting(tmp_path / "a.wacz")
+    assert [r["page_id"] for r in Z.read_archive(pa.PythonFile(file, "r"), {7, 8, 60})] == [7, 8, 60]
+    assert 300_000 < file.read_bytes < 320_000 < len(data) / 20
+    file = Counting(tmp_path / "a.wacz")
+    assert len(list(Z.read_archive(pa.PythonFile(file, "r")))) == 100 and file.read_bytes < len(data) + 10_000
 
 
 def test_query(spark, tmp_path):
