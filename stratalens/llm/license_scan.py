@@ -1,18 +1,24 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-A text block (a line) matches a license template when it holds at least ``threshold`` of
-the template's distinct words. Words are ordered by their number of blocks in the whole
-corpus, rare first. A match must then hold one of the template's first
-``size - ceil(threshold * size) + 1`` words (prefix filter), have enough template words at
-all (length filter), and enough of them from the shared prefix word on, on both sides
-(positional filter). What is left is counted exactly. The templates are a fixed list in this
-module, so the prefix index is tiny whatever the corpus; blocks meet it in an equi-join on
-words and carry only their template words.
-
-Phrases are found apart, where their words stand consecutively, and their labels are kept.
+A text block matches a license template when it holds at least ``threshold`` of the
+template's distinct words. Blocks are overlapping runs of a text's words, whatever its
+lines: a template of up to half of a size in ``RUNS`` meets runs of that size, which start
+every half of it, so that wherever the template stands, some run holds all of it.
+
+Words are ordered by their number of texts in the whole corpus, rare first. A match must hold
+one of the template's first ``size - ceil(threshold * size) + 1`` words (prefix filter),
+have enough template words at all (length filter), and enough of them from the shared prefix
+word on, on both sides (positional filter). What is left is counted exactly. The templates
+are a fixed list in this module, so the prefix index is tiny whatever the corpus; blocks meet
+it in an equi-join on words and carry only their template words.
+
+The documents are read once: that pass finds the phrases and the template words of each whole
+text, and keeps the words themselves only where the whole text holds enough of some template,
+without which no block can. The phrases' labels are kept beside the join's.
 
 Null and empty texts have no words and score 0. Repeated rows (same id and text) have equal
-results, once per row. A null id keeps its rows. Extra columns are ignored.
+results, once per row. A null id keeps its rows. A very long text takes memory of a few
+times its size, in its task alone. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,25 +26,32 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from ..session import materialize
 
-THRESHOLD = 0.8
+THRESHOLD, RUNS = 0.8, (8, 32, 128)
 
 # Phrases of the base scan and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Templates of the similarity join: label -> sentence of the license or its notice.
+# Templates of the similarity join: label -> words of the license or its notice.
 TEMPLATES = [
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
     ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mpl-2", "subject to the terms of the mozilla public license version 2 0"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
 ]
 
@@ -61,39 +74,21 @@ def _spaces(s: F.Column) -> F.Column:
     return (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
 
 
-def _index(spark, threshold: float) -> list[tuple[int, str, list[str], int]]:
+def _entries(threshold: float) -> list[tuple[int, str, list[str], int, int]]:
+    """(template, label, distinct words, how many a match holds, size of its runs)."""
     out = []
     for i, (label, sentence) in enumerate(TEMPLATES):
-        words = sorted(set(sentence.split()))
-        out.append((i, label, words, math.ceil(threshold * len(words) - 1e-9)))
+        words = sentence.split()
+        out.append((i, label, sorted(set(words)), math.ceil(threshold * len(set(words)) - 1e-9), next(s for s in RUNS if len(words) <= s // 2)))
     return out
 
 
-def similar_blocks(docs: DataFrame, key: str = "key", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``key, template, label, containment``: every block of ``docs`` that meets the
-    threshold, with the best containment of each template by row key."""
-    spark = docs.sparkSession
-    templates = _index(spark, threshold)
-    vocabulary = sorted({w for _, _, words, _ in templates for w in words})
-    blocks = docs.select(F.col(key).alias("key"), F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    kept = blocks.select("key", F.array_intersect(F.split(_spaced(F.col("line")), " "), F.array(*map(F.lit, vocabulary))).alias("words"))
-    # the global order: every block counts
-    counts = kept.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    known = spark.createDataFrame([(w,) for w in vocabulary], "w string")
-    ranks = known.join(counts, "w", "left").select(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w").alias("o"))
-    ordered = ranks.agg(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["w"]).alias("ordered"))
-    table = spark.createDataFrame([(i, label, words, need, len(words)) for i, label, words, need in templates], "template int, label string, members array<string>, need int, size int")
-    prefix = table.crossJoin(F.broadcast(ordered)).select("template", "label", "need", "size", F.expr("filter(ordered, w -> array_contains(members, w))").alias("members"), "ordered")
-    prefix = prefix.select("template", "label", "need", "size", "members", F.posexplode(F.expr("slice(members, 1, size - need + 1)")).alias("at", "w"))
-    least = min(need for *_, need in templates)
-    sides = kept.where(F.size("words") >= least).crossJoin(F.broadcast(ordered)).select("key", F.expr("filter(ordered, w -> array_contains(words, w))").alias("words"))
-    probes = sides.select("key", "words", F.posexplode("words").alias("pos", "w"))
-    met = probes.join(F.broadcast(prefix), "w").where(
-        (F.size("words") >= F.col("need"))  # length
-        & (1 + F.least(F.col("size") - F.col("at") - 1, F.size("words") - F.col("pos") - 1) + F.least("at", "pos") >= F.col("need"))  # position
-    )
-    held = met.select("key", "template", "label", (F.size(F.array_intersect("words", "members")) / F.col("size")).alias("containment"), F.size(F.array_intersect("words", "members")).alias("overlap"), "need")
-    return held.where("overlap >= need").groupBy("key", "template", "label").agg(F.max("containment").alias("containment"))
+def _literals(words: list[str]) -> F.Column:
+    return F.array(*map(F.lit, words))
+
+
+def _vocabulary() -> list[str]:
+    return sorted({w for _, sentence in TEMPLATES for w in sentence.split()})
 
 
 def phrase_columns(spaced: F.Column) -> dict[str, F.Column]:
@@ -110,16 +105,60 @@ def phrase_columns(spaced: F.Column) -> dict[str, F.Column]:
     return out
 
 
+def _order(spark: SparkSession, rows: DataFrame) -> list[str]:
+    """The template words by their number of texts; as many rows as the fixed list has
+    words come to the driver."""
+    counts = {r["w"]: r["n"] for r in rows.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    return sorted(_vocabulary(), key=lambda w: (counts.get(w, 0), w))
+
+
+def _runs(words: F.Column, size: int) -> F.Column:
+    """The template words of each run; a run starts at every half of the size while words
+    are left that the run before does not hold."""
+    half = size // 2
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - half - 1, F.lit(0)), F.lit(half))
+    return F.transform(starts, lambda i: F.array_intersect(F.slice(words, i + 1, F.lit(size)), _literals(_vocabulary())))
+
+
+def similar_blocks(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``key, template, label, containment``: templates that some block of ``rows`` (key,
+    held, words) meets, with the best containment."""
+    spark, entries = rows.sparkSession, _entries(threshold)
+    place = {w: k for k, w in enumerate(_order(spark, rows))}
+    prefix = []
+    for i, label, words, need, size in entries:
+        ordered = sorted(words, key=place.get)
+        prefix += [(size, w, at, i, label, ordered, need) for at, w in enumerate(ordered[: len(ordered) - need + 1])]
+    index = spark.createDataFrame(prefix, "run int, w string, at int, template int, label string, members array<string>, need int")
+    found = rows.where("words is not null").select("key", "words")
+    blocks = reduce(DataFrame.unionByName, (found.select("key", F.lit(size).alias("run"), F.explode(_runs(F.col("words"), size)).alias("words")) for size in RUNS))
+    least = reduce(F.least, [F.lit(10**6), *(F.when(F.col("run") == size, min((need for *_, need, s in entries if s == size), default=10**6)) for size in RUNS)])
+    ordered = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(F.create_map(*(x for k, v in place.items() for x in (F.lit(k), F.lit(v)))), w).alias("k"), w.alias("w")))), lambda o: o["w"])
+    sides = blocks.where(F.size("words") >= least).distinct().select("key", "run", ordered.alias("words"))
+    probes = sides.select("key", "run", "words", F.posexplode("words").alias("pos", "w"))
+    met = probes.join(index, ["run", "w"]).where(
+        (F.size("words") >= F.col("need"))  # length
+        & (1 + F.least(F.size("members") - F.col("at") - 1, F.size("words") - F.col("pos") - 1) + F.least("at", "pos") >= F.col("need"))  # position
+    )
+    overlap = F.size(F.array_intersect("words", "members"))
+    held = met.select("key", "template", "label", (overlap / F.size("members")).alias("containment"), overlap.alias("overlap"), "need")
+    return held.where("overlap >= need").groupBy("key", "template", "label").agg(F.max("containment").alias("containment"))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
+    rows = rows.select("doc_id", key.alias("key"), _spaced(F.col("text")).alias("spaced"))
+    rows = rows.select("*", F.split("spaced", " ").alias("all"))
+    rows = rows.select("*", F.array_intersect("all", _literals(_vocabulary())).alias("held"))
+    enough = reduce(lambda a, b: a | b, (F.size(F.array_intersect("held", _literals(words))) >= need for _, _, words, need, _ in _entries(threshold)))
     cols = phrase_columns(F.col("spaced"))
-    base = rows.select("doc_id", "key", _spaced(F.col("text")).alias("spaced")).select("doc_id", "key", *(c.alias(n) for n, c in cols.items()))
+    one = materialize(rows.select("doc_id", "key", "held", *(c.alias(n) for n, c in cols.items()), F.when(enough, F.col("all")).alias("words")))
     labels = sorted(set(PHRASES.values()))
     total = reduce(lambda a, b: a + b, (F.col(f"n {x}") for x in labels))
-    base = base.select("doc_id", "key", "n_words", total.alias("n_base"), F.least(*(F.col(f"first {x}") for x in labels)).alias("first_word"), F.greatest(*(F.col(f"last {x}") for x in labels)).alias("last_word"), F.array_compact(F.array(*(F.when(F.col(f"n {x}") > 0, F.lit(x)) for x in labels))).alias("base"))
-    best = similar_blocks(rows, threshold=threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    base = one.select("doc_id", "key", "n_words", total.alias("n_base"), F.least(*(F.col(f"first {x}") for x in labels)).alias("first_word"), F.greatest(*(F.col(f"last {x}") for x in labels)).alias("last_word"), F.array_compact(F.array(*(F.when(F.col(f"n {x}") > 0, F.lit(x)) for x in labels))).alias("base"))
+    best = similar_blocks(one, threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     joined = base.join(best.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2"), "left")
     empty = F.array().cast(T.ArrayType(T.StringType()))
     return joined.select(
@@ -131,9 +170,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 
 
 def oracle(threshold: float = THRESHOLD) -> str:
-    """The same rows in DuckDB's SQL: every line against every template, no filters."""
+    """The same rows in DuckDB's SQL: every run against every template of its size, no filters."""
     spaced = lambda x: f"trim(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
-    values = ", ".join(f"('{label}', {sorted(set(s.split()))})" for label, s in TEMPLATES)
+    values = ", ".join(f"({size}, '{label}', {words}, {need})" for _, label, words, need, size in _entries(threshold))
+    runs = " UNION ALL ".join(f"SELECT k, {s} AS run, list_distinct(ws[i + 1 : i + {s}]) AS ws FROM (SELECT k, ws, unnest(range(0, greatest(len(ws) - {s // 2}, 1), {s // 2})) AS i FROM w)" for s in RUNS)
     parts = []
     for phrase, label in PHRASES.items():
         k = len(phrase.split())
@@ -143,9 +183,9 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FRO
 w AS (SELECT k, sp, CASE WHEN sp = '' THEN [] ELSE string_split(sp, ' ') END AS ws FROM (SELECT k, {spaced('t')} AS sp FROM d)),
 hits AS ({' UNION ALL '.join(parts)}),
 b AS (SELECT k, count(*) AS n, min(p) AS a, max(p) AS z, list_sort(list(DISTINCT label)) AS l FROM hits GROUP BY k),
-lines AS (SELECT k, list_distinct(string_split({spaced('x')}, ' ')) AS ws FROM (SELECT k, unnest(string_split(t, chr(10))) AS x FROM d)),
-tpl(label, ts) AS (VALUES {values}),
-sim AS (SELECT k, label, len(list_intersect(ws, ts)) / len(ts) AS c, len(list_intersect(ws, ts)) AS o, len(ts) AS s FROM lines, tpl WHERE len(list_intersect(ws, ts)) >= ceil({threshold} * len(ts) - 1e-9)),
+runs AS ({runs}),
+tpl(run, label, ts, need) AS (VALUES {values}),
+sim AS (SELECT k, label, len(list_intersect(ws, ts)) / len(ts) AS c FROM runs JOIN tpl USING (run) WHERE len(list_intersect(ws, ts)) >= need),
 m AS (SELECT k, list(DISTINCT label) AS l, max(c) AS c FROM sim GROUP BY k)
 SELECT d.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.a AS BIGINT) AS first_word, CAST(b.z AS BIGINT) AS last_word,
   coalesce(array_to_string(b.l, ','), '') AS base_labels,
