@@ -118,7 +118,7 @@ entries AS (
   UNION ALL SELECT pattern, 'spam', 'add', TIMESTAMP '2024-01-01' + to_days(x * 4) FROM drawn WHERE x < 64),
 spans AS (SELECT * FROM (SELECT pattern, list_name, action, since AS a, lead(since) OVER (PARTITION BY pattern, list_name ORDER BY since) AS z FROM entries) WHERE action = 'add'),
 asked AS (SELECT page_id, url, fetched_at, host AS pattern FROM c
-  UNION SELECT page_id, url, fetched_at, array_to_string(string_split(host, '.')[i:], '.') FROM (SELECT *, unnest(range(2, greatest(len(string_split(host, '.')), 2))) AS i FROM c)
+  UNION SELECT page_id, url, fetched_at, array_to_string(string_split(host, '.')[i:], '.') FROM (SELECT *, unnest(range(2, CASE WHEN regexp_matches(host, '^[0-9.]+$|^\[') THEN 2 ELSE greatest(len(string_split(host, '.')), 2) END)) AS i FROM c)
   UNION SELECT page_id, url, fetched_at, lower(host || '/' || array_to_string(parts[:i], '/')) FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c)),
 m AS (SELECT page_id, url, fetched_at, count(DISTINCT (list_name, s.pattern)) AS n, array_to_string(list_sort(list(DISTINCT list_name)), ',') AS l
   FROM asked JOIN spans s ON asked.pattern = s.pattern AND fetched_at >= a AND (z IS NULL OR fetched_at < z) GROUP BY ALL)

@@ -89,6 +89,14 @@ def test_validity_of_dated_entries(spark):
     assert U.filter_urls(c.where("1 = 0"), e, "page_id").count() == 0
 
 
+def test_long_urls_and_addresses(spark):
+    e = spark.createDataFrame([("a", "x.org/1/2", "add", at(1)), ("a", "3.4", "add", at(1)), ("a", "1.2.3.4", "add", at(1)), ("a", "b.c.x.org", "add", at(1))], "list_name string, pattern string, action string, at timestamp_ntz")
+    long = "/".join(map(str, range(1, 50_000)))
+    urls = [f"http://x.org/{long}", "http://1.2.3.4/a", "http://0.1.3.4/a", f"http://{'q.' * 50_000}b.c.x.org", "http://a.b.c.x.org/1/2", "http://x.org/1//2/3"]
+    c = spark.createDataFrame([(i, u, at(2)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
+    assert {r.page_id: r.n_active for r in U.filter_urls(c, e, "page_id").collect()} == {0: 1, 1: 1, 2: 0, 3: 1, 4: 1, 5: 1}
+
+
 def test_queries_find_something(spark):
     d = "/root/testdata/sf0.001"
     assert Q.op2_url_filter(spark, d).agg(F.sum("n_active")).first()[0] > 0
