@@ -16,6 +16,7 @@ from ..operators.projection import Projection
 from ..session import materialize
 from ..sources.files import read_strict_csv
 from ..sources.schemas import SPECS
+from . import governance
 
 NIGHT = (21, 22, 23, 0, 1, 2)
 
@@ -287,6 +288,65 @@ class Engine:
         same = self.identities().select("id", "cluster") if focus.startswith("ACCUSED_RECORD:") else self.spark.createDataFrame([], "id long, cluster string")
         return association.expanded_edges(self.cases, self.people, same, case_id, focus, limit, offset, **filters)
 
+    # -- runs with their evidence -------------------------------------------------------
+
+    def recorded(self, path: str, analytic: str, **options) -> DataFrame:
+        """Runs ``trends``, ``hotspots``, ``anomalies`` or ``identities`` as a recorded run: one
+        row of evidence for each finding, with the cases it rests on, joined and written by
+        Spark. Returns the findings."""
+        maker = {"trends": self._trend_evidence, "hotspots": self._hotspot_evidence, "anomalies": self._anomaly_evidence, "identities": self._identity_evidence}[analytic]
+        with governance.recorded_run(self.spark, path, analytic.upper()) as run:
+            found, evidence = maker(**options)
+            run.emit_all(evidence)
+        return found
+
+    def _trend_evidence(self, level: str = "station", **options) -> tuple[DataFrame, DataFrame]:
+        keys = ["station_id", "subhead_id"] if level == "station" else ["subhead_id"]
+        found = materialize(self.trends(level, **options))
+        recent = series.with_latest(self.cases, "registered_date").where(F.col("days_ago") < 7 * options.get("recent_weeks", 2))
+        cases = recent.join(found.select(*keys, "z", "recent_total", "median"), keys).groupBy(*keys).agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"), F.first("z").alias("z"), F.first("recent_total").alias("recent_total"), F.first("median").alias("median"))
+        claim = F.format_string("%s: %d recent cases where %.1f a week are usual (z %.2f)", F.concat_ws("/", *(F.col(k).cast("string") for k in keys)), "recent_total", "median", "z")
+        return found, cases.select(claim.alias("claim"), "case_ids", F.lit("modified z of weekly counts").alias("method"))
+
+    def _hotspot_evidence(self, **options) -> tuple[DataFrame, DataFrame]:
+        found, members = self.hotspots(**options)
+        found = materialize(found)
+        cases = members.groupBy("cluster").agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"))
+        claim = F.format_string("%d cases within %.0f m of (%.4f, %.4f), mostly %s", "n_points", "radius_m", "lat", "lon", "top_kind")
+        return found, cases.join(found, "cluster").select(claim.alias("claim"), "case_ids", F.lit("density clusters").alias("method"))
+
+    def _anomaly_evidence(self, **options) -> tuple[DataFrame, DataFrame]:
+        found = materialize(self.anomalies(**options))
+        return found, found.select(F.col("reason").alias("claim"), F.col("ids").alias("case_ids"), F.lit("robust baselines").alias("method"))
+
+    def _identity_evidence(self, **options) -> tuple[DataFrame, DataFrame]:
+        found = materialize(self.identities(**options))
+        people = self.people.where("role = 'accused'").select(F.col("record_id").alias("id"), "case_id", "name")
+        cases = found.join(people, "id").groupBy("cluster", "confidence").agg(F.array_sort(F.collect_set("case_id")).alias("case_ids"), F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
+        claim = F.format_string("possibly one person: %s (%.3f)", "names", "confidence")
+        return found, cases.select(claim.alias("claim"), "case_ids", F.lit("blocked name and age scores").alias("method"))
+
+    def risk_reasons(self, predictor=None, window_days: int = 30) -> DataFrame:
+        """The forecast with ``reasons``: what moves a district's expectation, in sentences,
+        and ``confidence`` (level and basis)."""
+        f = self.risk_forecast(predictor, window_days)
+        recent = series.with_latest(self.cases, "registered_date")
+        days = F.col("days_ago")
+        top = recent.where((days < window_days) & F.col("subhead_name").isNotNull()).groupBy("district_id", "subhead_name").agg(F.count("*").alias("n"))
+        top = top.groupBy("district_id").agg(F.min_by("subhead_name", F.struct(-F.col("n"), "subhead_name")).alias("top_kind"))
+        active = recent.groupBy("district_id").agg(F.countDistinct(F.floor(days / window_days)).alias("active"))
+        j = f.join(top, "district_id", "left").join(active, "district_id", "left")
+        # The sentences, and the bounds of what they call a change.
+        ahead, moved = X.percent_change(F.col("expected"), F.col("recent")), X.percent_change(F.col("recent"), F.col("prior"))
+        window = F.lit(f"the last {window_days} days")
+        forecast = F.when(F.col("expected").isNull(), None).when(ahead >= 10, F.concat(F.lit("Forecast up "), ahead, F.lit("% vs "), window)).when(ahead <= -10, F.concat(F.lit("Forecast down "), -ahead, F.lit("% vs "), window)).otherwise(F.concat(F.lit("Forecast steady vs "), window))
+        change = F.when((F.col("prior") > 0) & (F.abs(moved) >= 10), F.concat(F.lit("Cases "), F.when(moved > 0, "rose ").otherwise("fell "), F.abs(moved), F.lit("% over the previous 30 days")))
+        count = F.concat(F.col("recent"), F.lit(" cases in "), window)
+        kind = F.when(F.col("top_kind").isNotNull(), F.concat(F.lit("Most frequent recent offence: "), F.col("top_kind")))
+        level = F.when((F.col("active") >= 6) & (F.col("recent") >= 10), "high").when((F.col("active") >= 3) & (F.col("recent") >= 3), "medium").otherwise("low")
+        basis = F.concat(F.coalesce("active", F.lit(0)), F.lit(" active periods of history, "), F.col("recent"), F.lit(" recent cases"))
+        return j.select(*f.columns, F.array_compact(F.array(forecast, change, count, kind)).alias("reasons"), F.struct(level.alias("level"), basis.alias("basis")).alias("confidence"))
+
     # -- quality ----------------------------------------------------------------------
 
     def data_quality(self) -> DataFrame:

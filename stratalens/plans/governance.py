@@ -29,6 +29,7 @@ class Run:
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     status: str = "RUNNING"
     evidence: list[tuple] = field(default_factory=list)
+    frames: list[DataFrame] = field(default_factory=list)
 
     def emit(self, claim: str, case_ids: list[int], method: str, limitations: list[str] | None = None) -> None:
         if self.status != "RUNNING":
@@ -38,21 +39,33 @@ class Run:
         self.evidence.append((self.run_id, claim, list(case_ids), method, limitations or []))
 
 
+    def emit_all(self, claims: DataFrame) -> None:
+        """``claims``: claim, case_ids, method; written as a frame, not through the driver."""
+        if self.status != "RUNNING":
+            raise ValueError("evidence belongs to a running run")
+        named = claims if self.kind == "AREA_RISK" else claims.where("size(case_ids) > 0")
+        self.frames.append(named.select(F.lit(self.run_id).alias("run_id"), "claim", F.col("case_ids").cast("array<long>").alias("case_ids"), "method", F.array().cast("array<string>").alias("limitations")))
+
+
 @contextmanager
 def recorded_run(spark: SparkSession, path: str, kind: str, scope: str | None = None):
     """Completed with its evidence, or failed without any; exceptions go on."""
-    run, error = Run(kind, scope), None
+    run, error, count = Run(kind, scope), None, 0
     try:
         yield run
         run.status = "COMPLETED"
+        frames = run.frames + ([spark.createDataFrame(run.evidence, EVIDENCE)] if run.evidence else [])
+        # evidence first: a run is completed once its row says so
+        for df in frames:
+            df.write.mode("append").parquet(f"{path}/evidence")
+        if frames:
+            count = spark.read.parquet(f"{path}/evidence").where(F.col("run_id") == run.run_id).count()
     except Exception as e:
-        run.status, error, run.evidence = "FAILED", str(e)[:500], []
+        run.status, error, count = "FAILED", str(e)[:500], 0
         raise
     finally:
         now = dt.datetime.now(dt.timezone.utc)
-        spark.createDataFrame([(run.run_id, kind, scope, run.status, len(run.evidence), error, now)], RUN).write.mode("append").parquet(f"{path}/runs")
-        if run.evidence:
-            spark.createDataFrame(run.evidence, EVIDENCE).write.mode("append").parquet(f"{path}/evidence")
+        spark.createDataFrame([(run.run_id, kind, scope, run.status, count, error, now)], RUN).write.mode("append").parquet(f"{path}/runs")
 
 
 def latest_run(runs: DataFrame, kind: str, scope: str | None) -> DataFrame:

@@ -144,3 +144,29 @@ def test_roles_and_decisions(spark, tmp_path):
     assert [r.decision for r in governance.decisions(spark.read.parquet(f"{tmp_path}/d")).collect()] == ["REJECTED"]
     with pytest.raises(PermissionError):
         governance.audit(df, "SUPERVISOR")
+
+
+def test_analytics_leave_evidence(spark, engine, tmp_path):
+    for name, options in (("trends", {}), ("anomalies", {"confirm": False}), ("identities", {}), ("hotspots", {"subhead_id": 71, "days": 90, "eps_m": 350})):
+        found = engine.recorded(str(tmp_path), name, **options)
+        run = governance.latest_run(spark.read.parquet(f"{tmp_path}/runs"), name.upper(), None).first()
+        rows = governance.evidence_page(spark.read.parquet(f"{tmp_path}/evidence"), run.run_id, limit=10_000).collect()
+        assert run.record_count == len(rows) > 0 and all(r.n_cases > 0 and r.claim for r in rows), name
+        if name != "identities":
+            assert len(rows) == found.count()
+    assert any("Ravi K, Ravi Kumar, Ravi Kumar S" in r.claim for r in spark.read.parquet(f"{tmp_path}/evidence").collect())
+
+
+def test_risk_reasons(engine):
+    got = engine.risk_reasons(lambda f: f.withColumn("expected", F.col("recent") * 2.0)).collect()
+    assert len(got) == 12 and all(r.reasons[0].startswith("Forecast up 100% vs the last 30 days") for r in got if r.recent)
+    assert all(f"{r.recent} cases in the last 30 days" in r.reasons and r.confidence.level in ("high", "medium", "low") for r in got)
+    assert all(not x.startswith("Forecast") for r in engine.risk_reasons().collect() for x in r.reasons)
+
+
+def test_units_and_arrest_districts(engine):
+    got = engine.units().collect()
+    assert len(got) == 36 and all(r.StateID == 29 and r.chain_length == 0 and not r.cycle for r in got)
+    asked = engine.cases.where("district_id = 44").select("case_id")
+    found = engine.arrest_districts(asked).collect()
+    assert found and all(r.districts == [44] for r in found)
