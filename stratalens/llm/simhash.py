@@ -235,8 +235,9 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     found = groups(keys, radius, block)
     best = keys.join(found, keys["fp"] == found["fp2"]).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "n")).alias("b"))
     best = materialize(best.select(F.col("b.key").alias("kept"), F.col("b.n").alias("rows")))
-    repeated = best.where("rows > 1").select(F.col("kept").alias("key"))
-    gone = keys.select("key").join(best, F.col("key") == F.col("kept"), "left_anti").unionByName(repeated)
+    # written, so that Spark knows their sizes before it decides how texts meet them
+    repeated = materialize(best.where("rows > 1").select(F.col("kept").alias("key")))
+    gone = materialize(keys.select("key").join(best, F.col("key") == F.col("kept"), "left_anti").unionByName(repeated))
     single = keyed.join(gone, keyed[key] == gone["key"], "left_anti")
     copies = keyed.join(repeated, keyed[key] == repeated["key"], "left_semi")
     first = copies.groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.sha2(F.to_json(F.struct(*docs.columns)), 256)).alias(f"{key}row")).select(f"{key}row.*")
