@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_tree, jpeg, langid, license_scan, simhash, toxicity, url_filter, warc_zip
+from . import bpe, decontaminate, html_tree, jpeg, langid, license_scan, minhash, ranked, simhash, token_align, toxicity, url_filter, warc_zip
 from .common import held_out, table
 
 ORACLE_SQL: dict[str, str] = {}
@@ -126,4 +126,23 @@ SELECT c.page_id, c.url, c.fetched_at, CAST(coalesce(n, 0) AS BIGINT) AS n_activ
 FROM c LEFT JOIN m ON c.page_id = m.page_id AND c.url = m.url AND c.fetched_at = m.fetched_at"""
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filter, op3_warc_zip, op4_simhash_near_dedup, op5_html_extraction, op6_bpe_encode_decode, op7_license_scan, op8_language_id, op9_toxicity, op10_media_columns)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op11_ranked_search"] = ranked.ORACLE
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_url_filter, op3_warc_zip, op4_simhash_near_dedup, op5_html_extraction, op6_bpe_encode_decode, op7_license_scan, op8_language_id, op9_toxicity, op10_media_columns, op11_ranked_search, op12_minhash_near_dedup, op13_tokenizer_alignment)}
