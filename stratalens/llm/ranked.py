@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import materialize
 from .common import map_batches
 
-K, BLOCK_TERMS, ASKED_BYTES, TILE = 10, 1 << 20, 32 << 20, 1 << 21
+K, BLOCK_TERMS, ASKED_BYTES, TILE, STEP = 10, 1 << 20, 32 << 20, 1 << 20, 1024
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")  # a maximal match in UTF-8: any byte of a character beyond ASCII
 
 
@@ -183,32 +183,38 @@ def _search(block: Block, total: int, length: int, k: int):
         n = len(block.items)
         held = [np.zeros(0, np.int64) for _ in range(3)]  # item, -score, doc (null: the smallest)
         threshold, before = block.seed.copy(), None
-        step = max(1, TILE // n)
-        for whole in batches:
-            for i in range(0, whole.num_rows, step):
-                batch = whole.slice(i, step)
+        step = max(1, min(STEP, TILE // n))
+        for batch in batches:
+            row, tid, g = _flat(batch, total, length)
+            starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            first, ids = 0, batch.column(0).fill_null(-(1 << 63)).to_numpy()
+            while first < batch.num_rows:
                 if before is None or (threshold > before).any():
                     kept, rest = block.kept_terms(threshold)
                     kept_tid, before = block.tid[kept], threshold.copy()
-                row, tid, g = _flat(batch, total, length)
-                lo, hi = np.searchsorted(kept_tid, tid), np.searchsorted(kept_tid, tid, side="right")
-                met = np.repeat(np.arange(len(tid)), hi - lo)
+                own = slice(starts[first], starts[min(first + step, batch.num_rows)])
+                lo, hi = np.searchsorted(kept_tid, tid[own]), np.searchsorted(kept_tid, tid[own], side="right")
+                # as many rows as make at most TILE parts of scores, one at least
+                parts = np.concatenate(([0], np.cumsum(hi - lo)))[starts[first : first + step + 1] - starts[first]]
+                last = first + max(1, int(np.searchsorted(parts, TILE, side="right")) - 1)
+                lo, hi = (x[: starts[last] - starts[first]] for x in (lo, hi))
+                met = np.repeat(np.arange(len(lo)), hi - lo)
                 pair = kept[np.arange(len(met)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[met]]
-                part = np.zeros(batch.num_rows * n, np.int64)
-                np.add.at(part, row[met] * n + block.own[pair], block.adds[pair] * g[met])
+                met += starts[first]
+                part = np.zeros((last - first) * n, np.int64)
+                np.add.at(part, (row[met] - first) * n + block.own[pair], block.adds[pair] * g[met])
                 at = np.flatnonzero(part)
                 at = at[part[at] + rest[at % n] >= threshold[at % n]]
-                starts = np.searchsorted(row, np.arange(batch.num_rows + 1))
-                score = block.exact(at // n, at % n, starts, tid, g)
+                score = np.concatenate([block.exact(x // n + first, x % n, starts, tid, g) for x in np.array_split(at, 1 + len(at) // STEP)])
                 good = (score >= threshold[at % n]) & (score > 0)
-                ids = batch.column(0).fill_null(-(1 << 63)).to_numpy()[at // n]
-                held = [np.concatenate((a, b[good])) for a, b in zip(held, (at % n, -score, ids))]
+                held = [np.concatenate((a, b[good])) for a, b in zip(held, (at % n, -score, ids[at // n + first]))]
                 order = np.lexsort((held[2], held[1], held[0]))
                 order = order[_first_of(held[0][order], k)]
                 held = [a[order] for a in held]
-                first = np.searchsorted(held[0], np.arange(n))
-                full = np.flatnonzero(np.searchsorted(held[0], np.arange(n), side="right") - first == k)
-                threshold[full] = np.maximum(threshold[full], -held[1][first[full] + k - 1])
+                begin = np.searchsorted(held[0], np.arange(n))
+                full = np.flatnonzero(np.searchsorted(held[0], np.arange(n), side="right") - begin == k)
+                threshold[full] = np.maximum(threshold[full], -held[1][begin[full] + k - 1])
+                first = last
         if len(held[0]):
             doc = pa.array(held[2], mask=held[2] == -(1 << 63))
             yield pa.RecordBatch.from_arrays([pa.array(block.items[held[0]]), doc, pa.array(-held[1])], ["item", "doc_id", "score"])
