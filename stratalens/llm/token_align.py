@@ -8,15 +8,17 @@ another normaliser or splitter; otherwise it raises an error. Distinct segments
 and aligned once each, however often they occur.
 
 1. One narrow pass cuts the texts in chunks of bounded size and writes, for each chunk, its
-   documents as lists of places in the chunk's own dictionary of segments, and that dictionary.
+   documents as lists of places in the chunk's own dictionary of segments, the commonest
+   first, and that dictionary.
 2. The dictionaries' segments, made distinct, are tokenised and aligned.
 3. Links of distinct segments, weighted by how often each occurs, give the count of each pair
-   of ids, and those the best count of each B id.
+   of ids, and those the best count of each B id. Their sums over a segment's links are looked
+   up in the tasks if there are at most ``LOOKED_UP`` pairs of ids, else joined.
 4. Alignments join back to the dictionaries; a chunk's documents meet its dictionary in one
    group, whose size the chunk bounds, and are composed there.
 
-What travels is one list of small numbers a document and one row for each chunk and segment;
-no row is made for each occurrence. The commonest segment is one row a chunk, a key that
+What travels is one list of small numbers a document and one row for each chunk and segment,
+with its tokens as binary numbers; no row is made for each occurrence. The commonest segment is one row a chunk, a key that
 adaptive execution splits.
 
 Null and empty texts, and texts that B's normaliser would change or that hold U+2581 (B writes
@@ -38,7 +40,7 @@ from ..session import materialize
 from .bpe import byte_symbols
 from .common import slices
 
-CHUNK_BYTES, SEGMENTS_BYTES = 8 << 20, 1 << 20
+CHUNK_BYTES, SEGMENTS_BYTES, LOOKED_UP, PART = 32 << 20, 1 << 20, 1 << 22, 1 << 16
 SEGMENT = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 MARK = "▁"
 
@@ -103,15 +105,51 @@ class Tokenizers:
         return ids_a, ids_b, np.searchsorted(np.cumsum(n_a), at_a, side="right"), at_a, at_b
 
 
-def written_groups(ids_a: list, ids_b: list, segment: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[str]:
-    """``a1,a2|b1;a3|b2`` of each segment."""
-    words_a, words_b = [str(i) for ids in ids_a for i in ids], [str(i) for ids in ids_b for i in ids]
-    out: list[list[str]] = [[] for _ in ids_a]
-    a = b = 0
-    for s, i, j in zip(segment.tolist(), at_a.tolist(), at_b.tolist()):
-        out[s].append(",".join(words_a[a : i + 1]) + "|" + ",".join(words_b[b : j + 1]))
-        a, b = i + 1, j + 1
-    return [";".join(x) for x in out]
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seven bits to a byte, the lowest first, bit 7 set where more follow; where each ends."""
+    size = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        some = size > k
+        out[(ends - size + k)[some]] = ((numbers[some] >> 7 * k) & 127) | np.where(size[some] > k + 1, 128, 0)
+    return out, ends
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).astype(np.int64)
+    if not len(raw):
+        return raw
+    start = np.flatnonzero(np.concatenate(([True], raw[:-1] < 128)))
+    place = np.arange(len(raw)) - np.repeat(start, np.diff(np.append(start, len(raw))))
+    return np.add.reduceat((raw & 127) << 7 * place, start)
+
+
+def packed_groups(ids_a: list, ids_b: list, segment: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> list[bytes]:
+    """Of each segment its groups: numbers of A and B tokens, then the ids, packed."""
+    flat = [np.fromiter((i for ids in own for i in ids), np.int64) for own in (ids_a, ids_b)]
+    size = [np.diff(at, prepend=-1) for at in (at_a, at_b)]
+    off = np.cumsum(2 + size[0] + size[1]) - (2 + size[0] + size[1])
+    out = np.zeros(int((2 + size[0] + size[1]).sum()), np.int64)
+    out[off], out[off + 1] = size
+    for ids, n, first in ((flat[0], size[0], off + 2), (flat[1], size[1], off + 2 + size[0])):
+        out[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+    data, ends = packed(out)
+    last = np.searchsorted(segment, np.arange(len(ids_a)), side="right")  # groups up to each segment's end
+    cuts = np.concatenate(([0], ends))[np.append(off, len(out))[last]].tolist()
+    whole = data.tobytes()
+    return [whole[a:b] for a, b in zip([0, *cuts], cuts)]
+
+
+def group_text(data: bytes) -> tuple[int, int, int, str]:
+    """Numbers of A tokens, B tokens and groups; ``a1,a2|b1;a3|b2``."""
+    x, i, n_a, n_b, out = unpacked(data).tolist(), 0, 0, 0, []
+    while i < len(x):
+        a, b = x[i], x[i + 1]
+        n_a, n_b = n_a + a, n_b + b
+        out.append(",".join(map(str, x[i + 2 : i + 2 + a])) + "|" + ",".join(map(str, x[i + 2 + a : i + 2 + a + b])))
+        i += 2 + a + b
+    return n_a, n_b, len(out), ";".join(out)
 
 
 def _loaded(path_a: str, path_b: str, made=[]) -> Tokenizers:  # noqa: B006  one pair a worker
@@ -121,28 +159,44 @@ def _loaded(path_a: str, path_b: str, made=[]) -> Tokenizers:  # noqa: B006  one
 
 
 def chunks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Written rows of two kinds: documents (``chunk, doc_id, places``: binary numbers, of two
-    bytes each if the dictionary has up to 65,536 entries, else four) and dictionary entries
-    (``chunk, place, segment, n``)."""
+    """Written rows of two kinds: documents (``chunk, doc_id, places``, packed) and dictionary
+    entries (``chunk, place, segment, n``)."""
 
     def run(batches):
-        own, at = TaskContext.get().partitionId() << 32, 0
+        own, at, size, known, ids, lists = TaskContext.get().partitionId() << 32, 0, 0, {}, [], []
         for batch in slices(batches, "t", chunk_bytes):
-            plain, known, lists = _loaded(path_a, path_b).plain, {}, []
-            for t in batch.column(1).to_pylist():
+            plain, texts = _loaded(path_a, path_b).plain, batch.column(1).to_pylist()
+            held = sum(len(t or "") for t in texts)
+            if ids and size + held > chunk_bytes:
+                yield from written(own + at, known, ids, lists)
+                at, size, known, ids, lists = at + 1, 0, {}, [], []
+            size += held
+            ids.append(batch.column(0))
+            for t in texts:
                 found = segments(t) if t and plain(t) else []
-                lists.append([known.setdefault(s, len(known)) for s in found])
-            kind = np.uint16 if len(known) <= 1 << 16 else np.uint32
-            n = np.zeros(len(known), np.int64)
-            for k, places in enumerate(lists):
-                lists[k] = np.array(places, kind)
-                n += np.bincount(lists[k], minlength=len(known))
-            docs, words, chunk = batch.num_rows, len(known), own + at
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * docs, pa.int64()), batch.column(0), pa.array([x.tobytes() for x in lists], pa.binary()), pa.nulls(docs, pa.int32()), pa.nulls(docs, pa.string()), pa.nulls(docs, pa.int64())], names)
-            for i in range(0, words, 1 << 16):
-                part = list(known)[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(range(i, i + len(part)), pa.int32()), pa.array(part, pa.string()), pa.array(n[i : i + len(part)])], names)
-            at += 1
+                lists.append(np.array([known.setdefault(s, len(known)) for s in found], np.int64))
+        if ids:
+            yield from written(own + at, known, ids, lists)
+
+    def written(chunk, known, ids, lists):
+        """The commonest segments get the smallest places."""
+        flat = np.concatenate(lists)
+        n = np.bincount(flat, minlength=len(known))
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(known), np.int64)
+        place[order] = np.arange(len(known))
+        data, ends = packed(place[flat])
+        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, lists)])].tolist()
+        whole, docs = data.tobytes(), len(lists)
+        for i in range(0, docs, PART):
+            part = pa.array([whole[a:b] for a, b in zip(cuts[i : i + PART], cuts[i + 1 : i + PART + 1])], pa.binary())
+            k = len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), pa.concat_arrays(ids).slice(i, k), part, pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names)
+        words = list(known)
+        for i in range(0, len(words), PART):
+            some = order[i : i + PART]
+            k = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.arange(i, i + k, dtype=np.int32)), pa.array([words[w] for w in some.tolist()], pa.string()), pa.array(n[some])], names)
 
     names = ["chunk", "doc_id", "places", "place", "segment", "n"]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
@@ -150,57 +204,75 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", te
 
 
 def aligned_segments(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Of distinct ``segment, n``: ``sid, segment, n, n_a, n_b, groups, links``, written."""
+    """Of distinct ``segment, n``, written: these, ``groups`` (packed) and ``links`` (A's id in
+    the upper half)."""
 
     def run(batches):
-        own, at = TaskContext.get().partitionId() << 32, 0
         for batch in slices(batches, "segment", SEGMENTS_BYTES):
             tools, words = _loaded(path_a, path_b), batch.column(0).to_pylist()
             ids_a, ids_b, segment, at_a, at_b = tools.align(words)
-            flat_a, flat_b = ([i for ids in own_ids for i in ids] for own_ids in (ids_a, ids_b))
+            flat_a, flat_b = (np.fromiter((i for ids in own for i in ids), np.int64) for own in (ids_a, ids_b))
             cuts = np.searchsorted(segment, np.arange(len(words) + 1)).astype(np.int32)
-            links = pa.ListArray.from_arrays(cuts, pa.array(np.array(flat_a, np.int64)[at_a] << 32 | np.array(flat_b, np.int64)[at_b]))
-            numbers = [pa.array([len(i) for i in ids], pa.int32()) for ids in (ids_a, ids_b)]
-            sid = pa.array(np.arange(at, at + len(words)) + own)
-            yield pa.RecordBatch.from_arrays([sid, *batch.columns, *numbers, pa.array(written_groups(ids_a, ids_b, segment, at_a, at_b), pa.string()), links], ["sid", "segment", "n", "n_a", "n_b", "groups", "links"])
-            at += len(words)
+            links = pa.ListArray.from_arrays(cuts, pa.array(flat_a[at_a] << 32 | flat_b[at_b]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed_groups(ids_a, ids_b, segment, at_a, at_b), pa.binary()), links], ["segment", "n", "groups", "links"])
 
-    return materialize(found.select("segment", "n").mapInArrow(run, "sid long, segment string, n long, n_a int, n_b int, groups string, links array<long>"))
+    return materialize(found.select("segment", "n").mapInArrow(run, "segment string, n long, groups binary, links array<long>"))
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
-    """``link, count, best``: of each pair of ids (A's in the upper half) how many links
-    of the corpus hold it, and whether no other pair with its B id has more."""
+    """Written ``link, count, best``: of each pair of ids how many links of the corpus hold it,
+    and whether no other pair with its B id has more."""
     counts = materialize(aligned.select(F.explode("links").alias("link"), "n").groupBy("link").agg(F.sum("n").alias("count")))
     b = F.col("link").bitwiseAND(F.lit(0xFFFFFFFF))
     top = counts.groupBy(b.alias("b")).agg(F.max("count").alias("top"))
     return materialize(counts.join(top, b == F.col("b")).select("link", "count", (F.col("count") == F.col("top")).alias("best")))
 
 
+def with_sums(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+    """``segment, groups, n_best, count_sum``: the sums over each segment's links."""
+    if counts.count() > LOOKED_UP:
+        each = aligned.select(F.col("segment").alias("s2"), F.explode("links").alias("link")).join(counts, "link")
+        sums = each.groupBy("s2").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return aligned.join(sums, F.col("segment") == F.col("s2")).select("segment", "groups", "n_best", "count_sum")
+    rows = counts.orderBy("link").toPandas()
+    shared = aligned.sparkSession.sparkContext.broadcast((rows["link"].to_numpy(np.int64), rows["count"].to_numpy(np.int64), rows["best"].to_numpy(bool)))
+
+    def run(batches):
+        link, count, best = shared.value
+        for batch in batches:
+            cuts = batch.column(2).offsets.to_numpy()
+            at = np.searchsorted(link, batch.column(2).flatten().to_numpy())
+            sums = [np.diff(np.concatenate(([0], np.cumsum(x[at], dtype=np.int64)))[cuts - cuts[0]]) for x in (best, count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, sums)], ["segment", "groups", "n_best", "count_sum"])
+
+    return aligned.select("segment", "groups", "links").mapInArrow(run, "segment string, groups binary, n_best long, count_sum long")
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of every document."""
     Tokenizers(path_a, path_b)  # a file that does not fit fails here, not in the tasks
     cut = chunks(docs, path_a, path_b, doc_id, text, chunk_bytes)
     entries = cut.where("segment is not null")
     aligned = aligned_segments(entries.groupBy("segment").agg(F.sum("n").alias("n")), path_a, path_b)
-    each = aligned.select("sid", F.explode("links").alias("link")).join(link_counts(aligned), "link")
-    sums = each.groupBy("sid").agg(F.count("*").cast("int").alias("n_groups"), F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-    known = materialize(aligned.select("sid", "segment", "n_a", "n_b", "groups").join(sums, "sid").drop("sid"))
+    known = with_sums(aligned, link_counts(aligned))
     entries = entries.select(F.col("chunk").alias("in_chunk"), "place", "segment").join(known, "segment").drop("segment")
 
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("place")
-        numbers = [right.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_best", "count_sum")]
-        groups = right.column("groups").to_pylist()
-        kind = np.uint16 if len(groups) <= 1 << 16 else np.uint32
-        rows, written = np.zeros((left.num_rows, 5), np.int64), []
-        for k, raw in enumerate(left.column("places").to_pylist()):
-            places = np.frombuffer(raw, kind)
-            rows[k] = [x[places].sum() for x in numbers]
-            written.append(";".join([groups[i] for i in places.tolist()]))
-        n_a, n_b, n_groups, n_best, count_sum = (pa.array(x) for x in np.ascontiguousarray(rows.T))
-        # at a common end one token of A and one of B end: as many links as groups
-        return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(written, pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
-
+        n_a, n_b, n_groups, texts = zip(*map(group_text, right.column("groups").to_pylist())) if right.num_rows else ((),) * 4
+        numbers = [np.array(x, np.int64) for x in (n_a, n_b, n_groups)] + [right.column(c).to_numpy() for c in ("n_best", "count_sum")]
+        out = []
+        for part in left.to_batches(max_chunksize=1024):
+            rows, written = np.zeros((5, part.num_rows), np.int64), []
+            for k, raw in enumerate(part.column(part.schema.get_field_index("places")).to_pylist()):
+                places = unpacked(raw)
+                rows[:, k] = [x[places].sum() for x in numbers]
+                written.append(";".join([texts[i] for i in places.tolist()]))
+            a, b, groups, best, count = map(pa.array, rows)
+            # at a common end one token of A and one of B end: as many links as groups
+            out.append(pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), a, b, groups, groups, best, count, pa.array(written, pa.string())], schema=result))
+        return pa.Table.from_batches(out, result)
+
+    result = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups", pa.string())])
     by_chunk = cut.where("segment is null").select("chunk", "doc_id", "places").groupBy("chunk").cogroup(entries.groupBy("in_chunk"))
     return by_chunk.applyInArrow(compose, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
