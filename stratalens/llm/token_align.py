@@ -40,7 +40,7 @@ from ..session import materialize
 from .bpe import byte_symbols
 from .common import slices
 
-CHUNK_BYTES, SEGMENTS_BYTES, LOOKED_UP, PART = 32 << 20, 1 << 20, 1 << 22, 1 << 16
+CHUNK_BYTES, SEGMENTS_BYTES, LOOKED_UP, PART, DOCS = 16 << 20, 1 << 20, 1 << 22, 1 << 16, 256
 SEGMENT = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 MARK = "▁"
 
@@ -174,24 +174,26 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", te
             ids.append(batch.column(0))
             for t in texts:
                 found = segments(t) if t and plain(t) else []
-                lists.append(np.array([known.setdefault(s, len(known)) for s in found], np.int64))
+                lists.append(np.array([known.setdefault(s, len(known)) for s in found], np.int32))
         if ids:
             yield from written(own + at, known, ids, lists)
 
     def written(chunk, known, ids, lists):
         """The commonest segments get the smallest places."""
-        flat = np.concatenate(lists)
-        n = np.bincount(flat, minlength=len(known))
+        n = np.zeros(len(known), np.int64)
+        for found in lists:
+            np.add.at(n, found, 1)
         order = np.argsort(-n, kind="stable")
-        place = np.empty(len(known), np.int64)
-        place[order] = np.arange(len(known))
-        data, ends = packed(place[flat])
-        cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, lists)])].tolist()
-        whole, docs = data.tobytes(), len(lists)
-        for i in range(0, docs, PART):
-            part = pa.array([whole[a:b] for a, b in zip(cuts[i : i + PART], cuts[i + 1 : i + PART + 1])], pa.binary())
-            k = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), pa.concat_arrays(ids).slice(i, k), part, pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names)
+        place = np.empty(len(known), np.int32)
+        place[order] = np.arange(len(known), dtype=np.int32)
+        ids = pa.concat_arrays(ids)
+        for i in range(0, len(lists), DOCS):
+            some = lists[i : i + DOCS]
+            data, ends = packed(place[np.concatenate(some)])
+            cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, some)])].tolist()
+            whole, k = data.tobytes(), len(some)
+            part = pa.array([whole[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * k, pa.int64()), ids.slice(i, k), part, pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64())], names)
         words = list(known)
         for i in range(0, len(words), PART):
             some = order[i : i + PART]
