@@ -19,7 +19,7 @@
 A parity sketch has a bit for each cell of a hash: whether an odd number of shingles falls
 there. Bits that differ between two sketches cannot outnumber the shingles that differ
 between the sets, so a pair with too many is no link: this filter loses nothing, and of pairs
-below a similarity of about 0.77 it leaves few. It takes a quarter of a byte a shingle.
+below a similarity of 0.79 it leaves few. It takes half a byte to one byte a shingle.
 
 Components of the confirmed links are the result: a link needs ``percent`` of the union in
 common, counted on whole sets. Two sets at a Jaccard similarity of exactly 0.8 share no table
@@ -82,8 +82,8 @@ def half_keys(low: np.ndarray) -> list[int]:
 
 
 def parity(found: np.ndarray) -> bytes:
-    """The parity sketch: a power of two of cells, at least two for each shingle."""
-    bits = max(LEAST_BITS, 1 << int(2 * len(found) - 1).bit_length())
+    """The parity sketch: a power of two of cells, at least four for each shingle."""
+    bits = max(LEAST_BITS, 1 << int(4 * len(found) - 1).bit_length())
     return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
 
 
