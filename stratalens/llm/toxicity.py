@@ -1,44 +1,50 @@
 """Toxicity by compression distance.
 
-Every dictionary is made by zstandard's own trainer. Two of them stand for the classes: one is
-trained on windows of toxic texts, one on windows of ordinary texts; behind both stands a
-common one of ordinary language, so that what has nothing to do with the class compresses to
-the same length with either. Windows of several words are compressed with both; what tells
-is by how many bytes the toxic dictionary is shorter.
+Every dictionary is made by zstandard's own trainer, from windows of two words. Two of them
+stand for the classes: one is trained on windows of toxic texts, one on windows of ordinary
+texts; behind both stands a common one of ordinary language, so that what has nothing to do
+with the class compresses to the same length with either. Windows are compressed with both;
+what tells is by how many bytes the toxic dictionary is shorter.
 
 The trainer keeps what is frequent, and most of a toxic text is ordinary language. So its
-samples are mined: texts are dealt to ``FOLDS``; a fold's windows are compressed with the
-dictionaries of the other folds, and only those that the toxic one shortens more than it does
-nearly all ordinary windows are samples of the next round. Ordinary windows that are shortened
-so too are the ordinary trainer's samples. There are two pairs of dictionaries, from the rounds
-of ``PHRASES`` (windows of two words) and from those of ``WORDS`` (single words of the windows
-that the former kept), each with its own size and step of the windows it is asked about.
-
-Words are runs of ASCII letters, digits and non-ASCII characters; the first ``HEAD`` bytes of
-each are written in an alphabet of their own (bit 7 turned), because where a word begins
-matters more than what it holds. A window stands behind a fixed carrier that all
-dictionaries hold and before a tail, since zstandard stores short blocks uncompressed and
-starts no match in the last 8 bytes.
-
-A text's counts and rates of windows beyond the byte thresholds of ``BOUNDS``, and the mean
-difference, go into a logistic regression. It is fitted on the folds' differences, which come
-from dictionaries that have not seen the text, with weights that undo the sample's rates;
-its probability is the score, and 0.7 the threshold.
+samples are mined: texts are dealt to ``FOLDS``; in each of ``ROUNDS`` a fold's windows are
+compressed with the dictionaries of the other folds, and only those that the toxic one
+shortens more than it does nearly all ordinary windows are samples of the next round.
+Ordinary windows that are shortened so too are samples of the ordinary trainer, beside some
+of the rest. A window counts once a text and in the first ``REPEATS`` texts that hold it, so
+copies do not lead. A round that leaves the trainer too few is the last, and not used.
+
+Words are runs of ASCII letters, digits and non-ASCII characters, cut at ``LONGEST`` bytes. Each
+is written twice, the second time in another alphabet: a word that a dictionary holds is still
+one match, one that it does not hold costs its letters twice, so bytes of length tell more. A
+window stands behind a fixed carrier that all dictionaries hold and before a tail, since
+zstandard stores short blocks uncompressed and starts no match in the last 8 bytes.
+
+A text is asked in windows of ``COARSE`` words that share one word with the next. Those that
+the toxic dictionary shortens by ``CUT`` bytes or more are asked again in their windows of two
+words. How many windows of either kind lie beyond each of ``BOUNDS``, how often, and the sums
+of differences go into a logistic regression. It is fitted on the folds' differences, which come from
+dictionaries that have not seen the text, with weights that undo the sample's rates; its
+probability is the score, and 0.7 the threshold. Sizes, rounds and cuts were chosen by the
+errors on the folds of the learning rows, not on held-out texts.
 
 The sample is bounded: about ``SAMPLE`` labelled texts of either label, none longer than
-``SAMPLE_CHARS``, drawn by a hash of the id. Prediction reads every window of every whole
-text; nothing is shuffled but the labels.
+``SAMPLE_CHARS``, drawn by a hash of the id. Prediction reads every word of every whole text;
+nothing is shuffled but the labels.
 
 Null and empty texts have no windows and get the score of a text without differences. Null
-labels are not learned from. Without toxic or without ordinary rows to learn from every score
-is 0. Repeated rows score alike; of repeated labels the largest holds. Very long texts are
-scored in pieces of ``PIECE`` words. Extra columns stay.
+labels are not learned from. Without toxic or without ordinary rows to learn from, or where the
+trainer finds their windows too few even for a dictionary of ``LEAST_BYTES``, every score is 0;
+where it only finds them too few for the wanted size, the dictionary is smaller. Repeated rows
+score alike; of repeated labels the largest holds. Very long texts are scored in pieces of
+``PIECE`` words. Extra columns stay; a column of the name of the result raises an error.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -50,38 +56,26 @@ from .common import map_batches
 from .decontaminate import words_of
 
 SAMPLE, SAMPLE_CHARS, THRESHOLD = 1500, 20_000, 0.7
-FOLDS, HEAD, PIECE = 3, 3, 45 << 9  # a piece is a multiple of each step
-COMMON_BYTES, TRAINER_WINDOWS, SEGMENT, GRAM = 8192, 60_000, 24, 6
-
-
-@dataclass(frozen=True)
-class Stage:
-    """Words of a mined window; rounds over such windows and over the single words of those
-    kept, each with the bytes of a class's dictionary and the share of ordinary windows
-    that a toxic window must exceed to be kept; bytes of the dictionaries that are asked;
-    words and step of the windows they are asked about."""
-
-    mined: int
-    rounds: tuple[tuple[int, float], ...]
-    single: tuple[tuple[int, float], ...]
-    size: int
-    words: int
-    step: int
-
-
-STAGES = (
-    Stage(2, ((8192, 0.99), (4096, 0.99)), ((4096, 0.9), (4096, 0.9)), 2048, 5, 5),
-    Stage(4, ((8192, 0.99), (8192, 0.99)), (), 8192, 12, 9),
-)
-BOUNDS = np.array([1, 2, 3, 4, 5, 6, 8])
+FOLDS, LONGEST, COARSE, CUT, FINE = 3, 24, 8, 2, 2
+PIECE = (COARSE - 1) << 11  # a piece ends with a window
+# bytes of a class's dictionary, and the share of ordinary windows that a toxic one must exceed to be kept
+ROUNDS = ((16384, 0.99), (8192, 0.995), (8192, 0.995), (4096, 0.998))
+SIZE, COMMON_BYTES, LEAST_BYTES, TRAINER_WINDOWS, REPEATS, SEGMENT, GRAM = 2048, 16384, 256, 60_000, 8, 24, 8
+BOUNDS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12])
 CARRIER = b"\x01\x02carrier\x03of\x04a\x05window\x06\x07"
 TAIL = b" \x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16"
-TURNED = bytes(b ^ 0x80 for b in range(256))
+OTHER = bytes(b ^ 0x80 for b in range(256))
+# by the format, what a trained dictionary holds stands behind its three first offsets
+OFFSETS = b"\x01\x00\x00\x00\x04\x00\x00\x00\x08\x00\x00\x00"
 
 
-def marked(text: str | None) -> list[bytes]:
-    """The words, their heads in the other alphabet."""
-    return [w[:HEAD].translate(TURNED) + w[HEAD:] for w in words_of(text)]
+class TooFew(ValueError):
+    """The trainer finds its samples too few."""
+
+
+def written(text: str | None) -> list[bytes]:
+    """The words, each in both alphabets."""
+    return [w[:LONGEST] + w[:LONGEST].translate(OTHER) for w in words_of(text)]
 
 
 def windows(words: list[bytes], size: int, step: int) -> list[bytes]:
@@ -100,14 +94,17 @@ def compressor(content: bytes) -> zs.ZstdCompressor:
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
-    """By zstandard's trainer, of at most ``TRAINER_WINDOWS`` drawn windows; the samples
-    themselves where it refuses them as too few."""
+    """What zstandard's trainer keeps of at most ``TRAINER_WINDOWS`` drawn windows, in ``size``
+    bytes, or in half as many as long as it finds the samples too few."""
     r = random.Random(0)
     samples = r.sample(samples, min(len(samples), TRAINER_WINDOWS))
-    try:
-        return zs.train_dictionary(size, samples, k=SEGMENT, d=GRAM).as_bytes()
-    except (zs.ZstdError, ValueError):
-        return b"".join(samples)[-size:]
+    while size >= LEAST_BYTES:
+        try:
+            raw = zs.train_dictionary(size, samples, k=SEGMENT, d=GRAM).as_bytes()
+            return raw[raw.index(OFFSETS) + len(OFFSETS) :]
+        except (zs.ZstdError, ValueError):
+            size //= 2
+    raise TooFew(f"{len(samples)} windows")
 
 
 class Pair:
@@ -124,8 +121,9 @@ class Pair:
 
 @dataclass
 class Model:
+    ordinary: bytes = b""
+    toxic: bytes = b""
     common: bytes = b""
-    contents: list[tuple[bytes, bytes]] = field(default_factory=list)  # ordinary, toxic, of each stage
     coef: list[float] = field(default_factory=list)
 
     def scorer(self) -> "Scorer":
@@ -135,29 +133,28 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.coef = np.array(model.coef)
-        self.pairs = [Pair(*c, model.common) for c in model.contents]
+        self.pair = Pair(model.ordinary, model.toxic, model.common)
+
+    def features(self, words: list[bytes]) -> np.ndarray:
+        """Of a text's coarse windows, and of the fine ones in those that the toxic dictionary
+        shortens."""
+        n, total, seen, step = np.zeros((2, len(BOUNDS))), [0, 0], 0, COARSE - FINE + 1
+        for at in range(0, len(words), PIECE):
+            piece = words[at : at + PIECE + FINE - 1]  # windows reach over the end of a piece
+            if at and len(piece) < FINE:
+                break  # its one word ended the last window already
+            coarse = self.pair.differences(windows(piece, COARSE, step))
+            seen += len(coarse)
+            fine = [w for k in np.flatnonzero(coarse >= CUT).tolist() for w in windows(piece[k * step : k * step + COARSE], FINE, 1)]
+            for i, d in enumerate((coarse, self.pair.differences(fine) if fine else coarse[:0])):
+                n[i] += (d[:, None] >= BOUNDS).sum(axis=0)
+                total[i] += int(d.sum())
+        return np.concatenate((features(n[0], total[0], seen), features(n[1], total[1], max(1, len(words) - FINE + 1) if words else 0)))
 
     def score(self, text: str | None) -> float:
         if not len(self.coef):
             return 0.0
-        words, x = marked(text), []
-        for stage, pair in zip(STAGES, self.pairs):
-            n, total, seen = np.zeros(len(BOUNDS)), 0, 0
-            for piece in pieces(words, stage):
-                d = pair.differences(piece)
-                n += (d[:, None] >= BOUNDS).sum(axis=0)
-                total, seen = total + int(d.sum()), seen + len(d)
-            x.append(features(n, total, seen))
-        return float(1 / (1 + math.exp(-max(-40.0, min(40.0, np.concatenate(x) @ self.coef)))))
-
-
-def pieces(words: list[bytes], stage: Stage):
-    """A text's windows, in lists of bounded length; the same as in one list."""
-    for at in range(0, len(words), PIECE):
-        found = words[at : at + PIECE + stage.words - stage.step]
-        if at and len(found) <= stage.words - stage.step:
-            break  # these words ended the last window already
-        yield windows(found, stage.words, stage.step)
+        return float(1 / (1 + math.exp(-max(-40.0, min(40.0, self.features(written(text)) @ self.coef)))))
 
 
 def features(n: np.ndarray, total: int, seen: int) -> np.ndarray:
@@ -166,10 +163,6 @@ def features(n: np.ndarray, total: int, seen: int) -> np.ndarray:
     return np.array([*np.log1p(n), *np.log1p(1000 * n / max(20, seen)) / 2, *np.minimum(n, 3) / 2, total / max(1, seen), math.log1p(seen) / 8, 1.0])
 
 
-def features_of(d: np.ndarray) -> np.ndarray:
-    return features((d[:, None] >= BOUNDS).sum(axis=0), int(d.sum()), len(d))
-
-
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -186,16 +179,20 @@ class Miner:
     """The rounds over a sample in memory; ``kept[i]`` are the windows of text i that are
     samples of the next round."""
 
-    def __init__(self, words: list[list[bytes]], labels: list[int], mined: int, common: bytes = b""):
-        self.words, self.y = words, np.array(labels)
-        self.texts = {c: np.flatnonzero(self.y == c).tolist() for c in (0, 1)}
+    def __init__(self, words: list[list[bytes]], labels: list[int]):
+        self.words, y = words, np.array(labels)
+        self.texts = {c: np.flatnonzero(y == c).tolist() for c in (0, 1)}
         self.fold = np.zeros(len(words), np.int64)
         for c in (0, 1):
             self.fold[self.texts[c]] = np.arange(len(self.texts[c])) % FOLDS
-        # a window that repeats counts where it is met first, so copies do not lead
-        met: set[bytes] = set()
-        self.own = self.kept = [[w for w in windows(x, mined, 1 + mined // 4) if not (w in met or met.add(w))] for x in words]
-        self.common = common or trained([w for i in self.texts[0] for w in self.own[i]], COMMON_BYTES)
+        met: Counter[bytes] = Counter()
+        self.own = []
+        for x in words:
+            found = list(dict.fromkeys(windows(x, FINE, 1) if len(x) >= FINE else []))  # a text of one word has no window
+            met.update(found)
+            self.own.append([w for w in found if met[w] <= REPEATS])
+        self.kept = self.own
+        self.common = trained([w for i in self.texts[0] for w in self.own[i]], COMMON_BYTES)
 
     def contents(self, fold: int | None, size: int) -> tuple[bytes, bytes]:
         """Ordinary and toxic content, of all folds but one."""
@@ -205,30 +202,28 @@ class Miner:
         rest = random.Random(1).sample(rest, min(len(rest), len(toxic) // 2))
         return trained(fooled + rest, size), trained(toxic, size)
 
-    def differences(self, size: int, of) -> list[np.ndarray]:
-        """Of each text's windows ``of(i)``, with the dictionaries of the other folds."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(self.words)
+    def round(self, size: int, share: float) -> None:
+        d: list = [None] * len(self.words)
         for f in range(FOLDS):
             pair = Pair(*self.contents(f, size), self.common)
             for i in np.flatnonzero(self.fold == f).tolist():
-                out[i] = pair.differences(of(i))
-        return out
-
-    def round(self, size: int, share: float) -> None:
-        d = self.differences(size, lambda i: self.own[i])
+                d[i] = pair.differences(self.own[i])
         cut = max(0, math.ceil(np.quantile(np.concatenate([d[i] for i in self.texts[0]]), share, method="lower")))
         self.kept = [[w for w, n in zip(own, x.tolist()) if n > cut] for own, x in zip(self.own, d)]
 
-    def mine(self, stage: Stage) -> tuple[tuple[bytes, bytes], list[np.ndarray]]:
-        """The contents of a stage, and every text's differences from the other folds'."""
-        for size, share in stage.rounds:
-            self.round(size, share)
-        if stage.single:
-            self.own = self.kept = [[b" " + v for v in sorted({v for w in kept for v in w.split(b" ") if v})] for kept in self.kept]
-            for size, share in stage.single:
+    def mine(self) -> "Miner":
+        for size, share in ROUNDS:
+            before = self.kept
+            try:
                 self.round(size, share)
-        seen = self.differences(stage.size, lambda i: windows(self.words[i], stage.words, stage.step))
-        return self.contents(None, stage.size), seen
+                for f in (*range(FOLDS), None):
+                    self.contents(f, SIZE)
+            except TooFew:
+                if before is self.own:
+                    raise
+                self.kept = before
+                break
+        return self
 
 
 def fit_texts(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0)) -> Model:
@@ -236,16 +231,21 @@ def fit_texts(texts: list[str], labels: list[int], weights: tuple[float, float]
     stand for."""
     if len(set(labels)) < 2:
         return Model()
-    words, common, mined = [marked(t) for t in texts], b"", []
-    for stage in STAGES:
-        miner = Miner(words, labels, stage.mined, common)
-        mined.append(miner.mine(stage))
-        common = miner.common
-    contents, seen = zip(*mined)
-    x, y = np.array([np.concatenate([features_of(d) for d in ds]) for ds in zip(*seen)]), np.array(labels, float)
+    words = [written(t) for t in texts]
+    try:
+        miner = Miner(words, labels).mine()
+        x: list = [None] * len(words)
+        for f in range(FOLDS):
+            scorer = Model(*miner.contents(f, SIZE), miner.common).scorer()
+            for i in np.flatnonzero(miner.fold == f).tolist():
+                x[i] = scorer.features(words[i])
+        model = Model(*miner.contents(None, SIZE), miner.common)
+    except TooFew:
+        return Model()
+    y = np.array(labels, float)
     weight = np.where(y == 1, weights[1], weights[0])
-    coef = logistic(x, y, weight * len(y) / weight.sum())
-    return Model(common, list(contents), coef.tolist())
+    model.coef = logistic(np.array(x), y, weight * len(y) / weight.sum()).tolist()
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = SAMPLE) -> Model:
