@@ -24,7 +24,7 @@ def count_baseline(df: DataFrame, group: str, value: str, min_n: int = 10) -> Da
 def hour_baseline(df: DataFrame, keys: list[str], hour: str, min_n: int = 8, floor: float = 1.5) -> DataFrame:
     """``keys, centre, sigma`` on the clock of 24 hours."""
     d, turn = df.where(F.col(hour).isNotNull()), 2 * 3.141592653589793 / 24
-    mean = d.groupBy(*keys).agg(F.count("*").alias("n"), F.atan2(F.avg(F.sin(F.col(hour) * turn)), F.avg(F.cos(F.col(hour) * turn))).alias("t")).where(F.col("n") >= min_n)
+    mean = d.groupBy(*keys).agg(F.count("*").alias("n"), F.atan2(F.round(F.avg(F.sin(F.col(hour) * turn)), 9), F.round(F.avg(F.cos(F.col(hour) * turn)), 9)).alias("t")).where(F.col("n") >= min_n)
     mean = mean.select(*keys, F.round(F.pmod(F.col("t") / turn, F.lit(24.0)), 6).alias("centre"))
     far = d.join(mean, keys).groupBy(*keys).agg(F.median(hour_distance(F.col(hour), F.col("centre"))).alias("mad"))
     return mean.join(far, keys).select(*keys, "centre", F.greatest(1.4826 * F.col("mad"), F.lit(floor)).alias("sigma"))
@@ -47,20 +47,19 @@ def anomaly_flags(cases: DataFrame, window_days: int = 30, min_score: float = 2.
         return F.when(score >= min_score, F.struct(F.lit(order).alias("order"), (-score).alias("minus"), F.lit(name).alias("signal"), score.alias("score"), reason.alias("reason")))
 
     signals = F.array_sort(F.array_compact(F.array(
-        signal("many_accused", 0, many, F.format_string("%d accused where %.1f are usual", "accused", "median")),
-        signal("odd_hour", 0, odd, F.format_string("at %d hours, usually near %.1f", "hour", centre)),
-        signal("rare_offence", 1, F.round("rare_z", 2), F.format_string("%d at this place where %.1f are expected", "observed", "expected")),
+        signal("many_accused", 0, many, F.format_string("%d accused where %.1f are usual", "accused", F.round("median", 1))),
+        signal("odd_hour", 0, odd, F.format_string("at %d hours, usually near %.1f", "hour", F.round(centre, 1))),
+        signal("rare_offence", 1, F.round("rare_z", 2), F.format_string("%d at this place where %.1f are expected", "observed", F.round("expected", 1))),
     )))
     hit = j.withColumn("signals", signals).where(F.size("signals") > 0)
     top = F.get("signals", F.lit(0))
     hit = hit.select("id", "place", "kind", top["signal"].alias("signal"), top["score"].alias("score"), F.array_join(F.transform("signals", lambda s: s["reason"]), "; ").alias("reason"))
     points = hit.where("signal <> 'rare_offence'").withColumn("ids", F.array("id"))
-    ranks = Window.partitionBy("place", "kind").orderBy("id")
-    group = hit.where("signal = 'rare_offence'").withColumn("k", F.row_number().over(ranks))
-    merged = group.groupBy("place", "kind").agg(
-        F.min("id").alias("id"), F.max("score").alias("score"), F.max_by("reason", F.struct("score", -F.col("k"))).alias("reason"),
-        F.array_sort(F.collect_list(F.when(F.col("k") <= MAX_IDS, F.col("id")))).alias("ids"),
-    )
+    group = hit.where("signal = 'rare_offence'")
+    # a row number with a bound is cut in every task before the shuffle
+    some = group.withColumn("k", F.row_number().over(Window.partitionBy("place", "kind").orderBy("id"))).where(F.col("k") <= MAX_IDS)
+    some = some.groupBy("place", "kind").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    merged = group.groupBy("place", "kind").agg(F.min("id").alias("id"), F.max("score").alias("score"), F.min("reason").alias("reason")).join(some, ["place", "kind"])
     flags = points.unionByName(merged.withColumn("signal", F.lit("rare_offence")))
     best = flags.orderBy(F.desc("score"), "id").limit(max_flags)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("rank", "id", "place", "kind", "signal", "score", severity(F.col("score")).alias("severity"), "reason", "ids")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
@@ -138,18 +140,61 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(n.withColumnRenamed("node", "a"), "a", "left_semi").join(n.withColumnRenamed("node", "b"), "b", "left_semi")
 
 
-def betweenness(edges: DataFrame, pivots: int = 500, exact: int = 2000) -> DataFrame:
-    """``node, betweenness`` from shortest paths. Every node of a component of at most
-    ``exact`` nodes is a source; of a larger one a hash draws about ``pivots``, and the
-    component's scores are scaled by its nodes over its sources. Breadth-first levels,
-    until none is left, and back-propagation are joins on (source, node), so no task holds
-    a graph."""
+def _path_scores(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Betweenness within one component (``component, a, b``, each link both ways): from every
+    node, shortest paths are counted outwards and shares of them summed up inwards."""
+    nodes, ends = pd.factorize(pd.concat([pairs["a"], pairs["b"]]))[::-1]
+    half, near = len(pairs), [[] for _ in nodes]
+    for x, y in zip(ends[:half].tolist(), ends[half:].tolist()):
+        near[x].append(y)
+    score = [0.0] * len(nodes)
+    for source in range(len(nodes)):
+        depth, paths, order = {source: 0}, {source: 1.0}, [source]
+        for x in order:
+            for y in near[x]:
+                if y not in depth:
+                    depth[y], paths[y] = depth[x] + 1, 0.0
+                    order.append(y)
+                if depth[y] == depth[x] + 1:
+                    paths[y] += paths[x]
+        share = dict.fromkeys(order, 0.0)
+        for y in reversed(order[1:]):
+            part = (1 + share[y]) / paths[y]
+            for x in near[y]:
+                if depth[x] == depth[y] - 1:
+                    share[x] += paths[x] * part
+            score[y] += share[y]
+    return pd.DataFrame({"node": np.asarray(nodes), "x": score, "component": pairs["component"].iloc[0]})
+
+
+def betweenness(edges: DataFrame, pivots: int = 500, exact: int = 2000, steps: int = 1 << 24) -> DataFrame:
+    """``node, betweenness`` from shortest paths. A component of at most ``exact`` nodes whose
+    nodes times links are at most ``steps`` is one group, scored in one task: its size is
+    bounded by both. Larger ones go by joins on (source, node), a level at a time, until none
+    is left, and back: every node of a component of at most ``exact`` nodes is a source; of a
+    larger one a hash draws about ``pivots``, and its scores are scaled by its nodes over its
+    sources."""
     n = materialize(both_ways(edges))
     comp = materialize(connected_components(n.where("a < b"), "a", "b"))
     size = comp.groupBy("component").agg(F.count("*").alias("n"))
-    drawn = comp.join(size, "component").where((F.col("n") <= exact) | (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(pivots * (1 << 20)) / F.col("n")))
+    links = n.join(comp, F.col("a") == F.col("node")).drop("node")
+    size = materialize(size.join(links.groupBy("component").agg(F.count("*").alias("m")), "component"))
+    small = (F.col("n") <= exact) & (F.col("n") * F.col("m") <= steps)
+    kind = n.schema["a"].dataType.simpleString()
+    each = links.join(size.where(small).select("component"), "component").groupBy("component").applyInPandas(_path_scores, f"node {kind}, x double, component {comp.schema['component'].dataType.simpleString()}")
+    found = each.select("node", "x", F.lit(1.0).alias("scale"))
+    large = materialize(comp.join(size.where(~small), "component"))
+    if not large.isEmpty():
+        found = found.unionByName(_by_levels(n.join(large.select(F.col("node").alias("a")), "a", "left_semi"), large, pivots, exact))
+    # each path is met from either end
+    return found.select("node", F.round(F.coalesce(F.col("x") * F.col("scale"), F.lit(0.0)) / 2, 6).alias("betweenness"))
+
+
+def _by_levels(n: DataFrame, comp: DataFrame, pivots: int, exact: int) -> DataFrame:
+    """``node, x, scale`` of components (``component, node, n``), by joins."""
+    drawn = comp.where((F.col("n") <= exact) | (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < F.lit(pivots * (1 << 20)) / F.col("n")))
     src = materialize(drawn.select("component", "node"))
-    scale = size.join(src.groupBy("component").agg(F.count("*").alias("used")), "component").select("component", (F.col("n") / F.col("used")).alias("scale"))
+    scale = comp.select("component", "n").distinct().join(src.groupBy("component").agg(F.count("*").alias("used")), "component").select("component", (F.col("n") / F.col("used")).alias("scale"))
     level = src.select(F.col("node").alias("s"), "node", F.lit(0).alias("d"), F.lit(1.0).alias("sigma"))
     levels, seen = [level], level.select("s", "node")
     while True:
@@ -168,12 +213,86 @@ def betweenness(edges: DataFrame, pivots: int = 500, exact: int = 2000) -> DataF
         delta = materialize(up.join(pay, ["s", "node"], "left").withColumn("delta", F.coalesce(F.col("sigma") * F.col("pay"), F.lit(0.0))).drop("pay"))
     gone = reduce(DataFrame.unionByName, parts) if parts else delta.limit(0)
     score = gone.where("s <> node").groupBy("node").agg(F.sum("delta").alias("x"))
-    # each path is met from either end
-    found = comp.join(scale, "component", "left").join(score, "node", "left")
-    return found.select("node", F.round(F.coalesce(F.col("x") * F.col("scale"), F.lit(0.0)) / 2, 6).alias("betweenness"))
+    return comp.join(scale, "component", "left").join(score, "node", "left").select("node", "x", "scale")
+
+
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row ``modularity`` of ``labels`` (node, community) over ``edges`` (a, b, weight)."""
+    n = _weighted_both_ways(edges)
+    at = labels.select(F.col("node").alias("a"), F.col("community").alias("ca"))
+    other = labels.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+    each = n.join(at, "a").join(other, "b").groupBy("ca").agg(F.sum("weight").alias("k"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    total = each.agg(F.sum("k").alias("all"))
+    return each.crossJoin(F.broadcast(total)).agg(F.round(F.sum(F.col("inside") / F.col("all") - resolution * F.pow(F.col("k") / F.col("all"), 2)), 9).alias("modularity"))
+
+
+def _weighted_both_ways(edges: DataFrame) -> DataFrame:
+    w = edges.where("a <> b and weight > 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("weight").cast("double")).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    return w.unionByName(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+
+
+def _moved(n: DataFrame, label: DataFrame, total: float, resolution: float, seed: int, rounds: int, patience: int) -> DataFrame:
+    """Local moving from ``label`` (node, community, k: degree): ``node, community`` with the
+    highest modularity that was met. In a round every node asks for the gain of each
+    community around it; the half that a hash draws moves to the best, so that neighbours
+    do not swap for ever. It ends when no node would gain, or when ``patience`` rounds
+    brought nothing."""
+    best, kept, idle = -2.0, label, 0
+    for turn in range(rounds):
+        sums = materialize(label.groupBy("community").agg(F.sum("k").alias("sum"), F.count("*").alias("size")))
+        votes = n.join(label.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        votes = votes.unionByName(label.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        asked = votes.join(sums, "community").join(label.select("node", F.col("community").alias("was"), "k"), "node")
+        own = F.col("community") == F.col("was")
+        gain = F.round((F.col("w") - resolution * F.col("k") * (F.col("sum") - F.when(own, F.col("k")).otherwise(0.0)) / total) / total, 12)
+        found = asked.withColumn("gain", gain).groupBy("node", "was", "k").agg(
+            F.min_by(F.struct("community", "size"), F.struct(-F.col("gain"), "community")).alias("to"), F.max("gain").alias("top"),
+            F.max(F.when(own, F.col("gain"))).alias("stay"), F.max(F.when(own, F.col("w"))).alias("inside"), F.max(F.when(own, F.col("size"))).alias("size"),
+        )
+        # of two nodes alone that want each other, one stays
+        wants = (F.col("top") > F.col("stay")) & ~((F.col("size") == 1) & (F.col("to.size") == 1) & (F.col("to.community") > F.col("was")))
+        drawn = F.pmod(F.xxhash64("node", F.lit(seed), F.lit(turn)), F.lit(2)) == 0
+        new = materialize(found.select("node", F.when(wants & drawn, F.col("to.community")).otherwise(F.col("was")).alias("community"), "k", "inside", wants.alias("wants")))
+        state = new.agg(F.sum("inside").alias("inside"), F.count_if("wants").alias("wants")).crossJoin(sums.agg(F.sum(F.pow(F.col("sum") / total, 2)).alias("squares"))).first()
+        q = state["inside"] / total - resolution * state["squares"]  # of the labels that the round began with
+        best, kept, idle = (q, label, 0) if q > best + 1e-9 else (best, kept, idle + 1)
+        if not state["wants"] or idle >= patience:
+            break
+        label = new.select("node", "community", "k")
+    return kept.select("node", "community")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 0, rounds: int = 60, patience: int = 4, levels: int = 32) -> DataFrame:
+    """``node, community`` (its smallest node) by modularity: nodes move to the community of
+    highest gain until nothing is gained, communities become the nodes of a smaller graph
+    whose links sum up theirs, and so on until none merge; at last single nodes may move
+    once more. Weighted; the hash that draws who may move depends on ``seed`` only, so a run
+    can be repeated. All steps are joins and grouped sums; links within a community go on as
+    its degree alone."""
+    n = whole = materialize(_weighted_both_ways(edges))
+    total = n.agg(F.sum("weight")).first()[0]
+    degree = nodes = materialize(n.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
+    label = degree.select("node", F.col("node").alias("community"))
+    if not total:
+        return label
+    many = degree.count()
+    for level in range(levels):
+        start = degree.select("node", F.col("node").alias("community"), "k")
+        step = materialize(_moved(n, start, total, resolution, seed + level, rounds, patience))
+        left = step.select("community").distinct().count()
+        if left == many:
+            break
+        many, up = left, step.select(F.col("node").alias("community"), F.col("community").alias("up"))
+        label = materialize(label.join(up, "community").select("node", F.col("up").alias("community")))
+        to = [step.select(F.col("node").alias(e), F.col("community").alias(f"c{e}")) for e in "ab"]
+        n = materialize(n.join(to[0], "a").join(to[1], "b").where("ca <> cb").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
+        degree = materialize(degree.join(step, "node").groupBy(F.col("community").alias("node")).agg(F.sum("k").alias("k")))
+    label = materialize(_moved(whole, label.join(nodes, "node"), total, resolution, seed + levels, rounds, patience))
+    low = label.groupBy("community").agg(F.min("node").alias("low"))
+    return label.join(low, "community").select("node", F.col("low").alias("community"))
 
 
-def communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def label_communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """``node, community`` by weighted label propagation: a node takes the label with most
     weight around it, the smallest of equal ones, and leaves its own for a better one only.
     Half of the nodes, drawn by a hash, may move in a round, so neighbours do not swap for

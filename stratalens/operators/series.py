@@ -7,14 +7,19 @@ hint: Spark broadcasts them while they are small.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import hour_distance, modified_z, severity
 
 
-def with_latest(df: DataFrame, ts: str) -> DataFrame:
-    """Adds ``days_ago``: whole days to the newest row's date."""
+def with_latest(df: DataFrame, ts: str, as_of: dt.date | None = None) -> DataFrame:
+    """Adds ``days_ago``: whole days to the newest row's date. ``as_of`` puts another date in
+    its place; later rows are left out."""
     day = F.to_date(ts)
+    if as_of is not None:
+        return df.where(day <= F.lit(as_of)).withColumn("latest", F.lit(as_of)).withColumn("days_ago", F.datediff("latest", day))
     latest = df.agg(F.max(day).alias("latest"))
     return df.where(F.col(ts).isNotNull()).crossJoin(F.broadcast(latest)).withColumn("days_ago", F.datediff("latest", day))
 
@@ -26,10 +31,10 @@ def group_velocity(df: DataFrame, keys: list[str], ts: str, window_days: int = 3
     return out.withColumn("velocity", F.round(F.col("recent") / F.when(F.col("prior") > 0, F.col("prior")), 2))
 
 
-def dense_counts(df: DataFrame, keys: list[str], ts: str, days: int, n: int) -> DataFrame:
+def dense_counts(df: DataFrame, keys: list[str], ts: str, days: int, n: int, as_of: dt.date | None = None) -> DataFrame:
     """``keys, counts``: rows per step back from the newest date, zeros included."""
     step = F.floor(F.col("days_ago") / days).cast("int")
-    g = with_latest(df, ts).withColumn("step", step).where(F.col("step") < n).groupBy(*keys, "step").agg(F.count("*").alias("n"))
+    g = with_latest(df, ts, as_of).withColumn("step", step).where(F.col("step") < n).groupBy(*keys, "step").agg(F.count("*").alias("n"))
     m = g.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("step", F.col("n").cast("long")))).alias("m"))
     return m.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("counts"))
 
@@ -40,10 +45,10 @@ def array_median(a: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
-def trend_alerts(df: DataFrame, keys: list[str], ts: str, baseline_weeks: int = 8, recent_weeks: int = 2, min_z: float = 2.5, min_recent: int = 5) -> DataFrame:
+def trend_alerts(df: DataFrame, keys: list[str], ts: str, baseline_weeks: int = 8, recent_weeks: int = 2, min_z: float = 2.5, min_recent: int = 5, as_of: dt.date | None = None) -> DataFrame:
     """Series whose recent weekly mean stands above the median of the baseline weeks."""
     df = df.dropna(subset=keys)
-    s = dense_counts(df, keys, ts, 7, baseline_weeks + recent_weeks)
+    s = dense_counts(df, keys, ts, 7, baseline_weeks + recent_weeks, as_of)
     base = F.transform(F.slice("counts", recent_weeks + 1, baseline_weeks), lambda x: x.cast("double"))
     s = s.withColumn("recent_total", F.aggregate(F.slice("counts", 1, recent_weeks), F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("median", array_median(base))
     s = s.withColumn("mad", array_median(F.transform(base, lambda x: F.abs(x - F.col("median")))))

@@ -5,11 +5,15 @@ Every query reads whole tables; limits stand only where a page or a top list is
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import exprs as X
-from ..operators import anomalies, association, attributes, components, forest, identity, network, series, space, tables as T
-from ..sources.files import time_range
+from ..operators import anomalies, association, attributes, components, forest, identity, network, regression, series, space, substring, tables as T
+from ..session import materialize, own_dir
+from ..sources import keyed
+from ..sources.files import read_range, recent_rows, time_range, write_by_month
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -177,6 +181,19 @@ def risk_tertiles(spark, d):
     return series.forecast(_features(spark, d), lambda f: f.withColumn("expected", F.col("rolling_mean_3"))).select("n_name", "expected", "level")
 
 
+@query(f"""{FEATURES}, t AS (SELECT * FROM feat WHERE w >= 1 AND w <= (SELECT max(w) - 2 FROM feat) AND target IS NOT NULL),
+v AS (SELECT avg(recent) AS m1, avg(prior) AS m2, avg(target) AS my, var_pop(recent) AS s11, var_pop(prior) AS s22, covar_pop(recent, prior) AS s12, covar_pop(recent, target) AS s1, covar_pop(prior, target) AS s2 FROM t),
+b AS (SELECT m1, m2, my, (s22 * s1 - s12 * s2) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2 - s12 * s1) / (s11 * s22 - s12 * s12) AS b2 FROM v),
+e AS (SELECT n_name, round(greatest(my + b1 * (recent - m1) + b2 * (prior - m2), 0), 4) AS expected FROM feat, b WHERE w = 0)
+SELECT n_name, expected, CASE WHEN expected >= hi THEN 'high' WHEN expected >= lo THEN 'medium' ELSE 'low' END AS level, true AS available
+FROM e, (SELECT quantile_cont(expected, 1.0/3) AS lo, quantile_cont(expected, 2.0/3) AS hi FROM e)""")
+def risk_model_forecast(spark, d):
+    """Least squares over all training windows, then the forecast of the newest window."""
+    model = regression.fit(training_rows(spark, d), ["recent", "prior"], "target")
+    expected = lambda f: regression.predictor(model)(f).withColumn("expected", F.round("expected", 4))
+    return series.forecast(_features(spark, d), expected).select("n_name", "expected", "level", "available")
+
+
 @query("""WITH l AS (SELECT o_orderkey, any_value(o_orderpriority) AS p, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
 m AS (SELECT p, median(lines) AS med, count(*) AS n FROM l GROUP BY 1), a AS (SELECT p, median(abs(lines - med)) AS mad FROM l JOIN m USING (p) GROUP BY 1)
 SELECT o_orderkey, p AS o_orderpriority, lines, round((lines - med) / greatest(1.4826 * mad, 1.0), 4) AS z FROM l JOIN m USING (p) JOIN a USING (p) WHERE n >= 10 AND round((lines - med) / greatest(1.4826 * mad, 1.0), 4) >= 1.5""")
@@ -401,13 +418,45 @@ def _people(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("int").alias("age"), F.substring("p_type", 1, 1).alias("gender"))
 
 
-@query()
+# Ratcliff-Obershelp in SQL: parts of two words are halved around their longest common run.
+LONGEST = "list_max(list_filter(flatten([[{'n': k, 'at': -i} for k in range(1, len(a) - i + 2)] for i in range(1, len(a) + 1)]), lambda r: contains(b, substr(a, -r.at, r.n))))"
+RATIO = f"""seg(t, u, a, b) AS (SELECT t, u, t, u FROM asked UNION ALL
+  SELECT t, u, p.a, p.b FROM (SELECT t, u, unnest([{{'a': substr(a, 1, -m.at - 1), 'b': substr(b, 1, strpos(b, substr(a, -m.at, m.n)) - 1)}}, {{'a': substr(a, -m.at + m.n), 'b': substr(b, strpos(b, substr(a, -m.at, m.n)) + m.n)}}]) AS p
+    FROM (SELECT *, {LONGEST} AS m FROM seg) WHERE m IS NOT NULL) WHERE p.a <> '' AND p.b <> ''),
+ratio AS (SELECT t, u, 2.0::DOUBLE * coalesce(sum(m.n), 0) / (len(t) + len(u)) AS r FROM (SELECT t, u, {LONGEST} AS m FROM seg) GROUP BY t, u)"""
+PEOPLE = "SELECT p_partkey AS id, p_name AS name, CAST(p_size AS INT) AS age, substr(p_type, 1, 1) AS gender, list_filter(string_split(regexp_replace(lower(p_name), '[^a-z ]', ' ', 'g'), ' '), lambda x: x <> '') AS ts FROM part"
+
+
+@query(f"""WITH RECURSIVE one AS (SELECT min(id) AS id, age, gender, ts FROM ({PEOPLE}) GROUP BY name, age, gender, ts),
+p AS (SELECT *, array_to_string(ts, ' ') AS clean, ts[1] AS f FROM one WHERE gender IS NOT NULL AND len(ts) > 0),
+names AS (SELECT DISTINCT gender, f, clean, ts FROM p),
+pairs AS (SELECT DISTINCT a.f, a.clean AS c1, b.clean AS c2, a.ts[2:] AS x, b.ts[2:] AS y FROM names a JOIN names b USING (gender, f) WHERE a.clean <= b.clean),
+sides AS (SELECT c1, c2, x, y FROM pairs UNION ALL SELECT c1, c2, y, x FROM pairs),
+asked AS (SELECT DISTINCT t, u FROM (SELECT t, unnest(y) AS u FROM (SELECT unnest(x) AS t, y FROM sides)) WHERE len(t) > 1),
+{RATIO},
+tm AS (SELECT t, u, CASE WHEN t = u THEN 1.0 WHEN starts_with(t, u) OR starts_with(u, t) THEN CASE WHEN least(len(t), len(u)) = 1 THEN 0.85 ELSE 0.8 END ELSE r END AS s FROM ratio),
+best AS (SELECT c1, c2, side, t, max(coalesce(s, 0)) AS s FROM (SELECT c1, c2, x, side, t, unnest(CASE WHEN y = [] THEN [NULL] ELSE y END) AS u FROM (SELECT c1, c2, x, y, x = b.x AS side, unnest(x) AS t FROM sides b) WHERE len(t) > 1) LEFT JOIN tm USING (t, u) GROUP BY ALL),
+alike AS (SELECT pairs.c1, pairs.c2, CASE WHEN pairs.c1 = pairs.c2 OR count(s) = 0 THEN 1.0 WHEN min(s) < 0.8 THEN 0.3 ELSE 0.5 + 0.5 * avg(s) END AS s FROM pairs LEFT JOIN best USING (c1, c2) GROUP BY 1, 2),
+j AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, abs(a.age - b.age) AS gap, alike.s FROM alike JOIN p a ON a.clean = c1 JOIN p b ON b.clean = c2 AND a.gender = b.gender WHERE alike.s >= 0.82 AND (c1 <> c2 OR a.id < b.id)),
+e AS (SELECT DISTINCT a, b, score FROM (SELECT a, b, gap, round(0.65 * s + 0.35 * CASE WHEN gap IS NULL THEN 0.5 WHEN gap <= 1 THEN 1.0 WHEN gap <= 3 THEN 0.85 WHEN gap <= 6 THEN 0.6 WHEN gap <= 10 THEN 0.3 ELSE 0 END, 4) AS score FROM j) WHERE score >= 0.72 AND (gap IS NULL OR gap <= 8)),
+near AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(id, c) AS (SELECT a, a FROM near UNION SELECT near.b, reach.c FROM reach JOIN near ON reach.id = near.a),
+m AS (SELECT id, min(c) AS comp, any_value(age) AS age FROM reach JOIN one USING (id) GROUP BY id),
+bands(comp, band, f) AS (SELECT comp, 0, min(age) FROM m WHERE age IS NOT NULL GROUP BY comp UNION ALL SELECT bands.comp, band + 1, min(m.age) FROM bands JOIN m ON m.comp = bands.comp AND m.age > f + 10 GROUP BY 1, 2),
+banded AS (SELECT m.id, m.comp, coalesce(max(band), 0) AS band FROM m LEFT JOIN bands ON bands.comp = m.comp AND (m.age IS NULL OR f <= m.age) GROUP BY 1, 2),
+conf AS (SELECT x.comp, x.band, round(avg(score), 3) AS confidence FROM e JOIN banded x ON e.a = x.id JOIN banded y ON e.b = y.id WHERE x.band = y.band GROUP BY 1, 2),
+n AS (SELECT comp, band, count(*) AS members FROM banded GROUP BY 1, 2)
+SELECT 'id-' || comp || '-' || band AS cluster, id, CAST(band AS INT) AS band, members, confidence FROM banded JOIN n USING (comp, band) JOIN conf USING (comp, band) WHERE members >= 2""")
 def identity_candidates(spark, d):
+    """Every record is one name, age and gender, so a link stands for one pair."""
     one = _people(spark, d).groupBy("name", "age", "gender").agg(F.min("id").alias("id"))
     return identity.candidates(one)
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS ({PEOPLE}), asked AS (SELECT DISTINCT t, u FROM (SELECT unnest(['red', 'widge']) AS t) CROSS JOIN (SELECT DISTINCT unnest(ts) AS u FROM p)),
+{RATIO}, best AS (SELECT ts, t, max(CASE WHEN t = u THEN 1.0 WHEN starts_with(u, t) THEN 0.9 WHEN contains(u, t) THEN 0.75 ELSE r END) AS s FROM (SELECT DISTINCT ts FROM p) JOIN ratio ON list_contains(ts, u) GROUP BY 1, 2),
+s AS (SELECT ts, sum(s) / 2 AS score FROM best GROUP BY ts HAVING min(s) >= 0.6 AND count(*) = 2)
+SELECT id, name, age, gender, round(score, 4) AS score FROM p JOIN s USING (ts) ORDER BY round(score, 4) DESC, id LIMIT 20""")
 def similar_search(spark, d):
     return identity.similar_people(_people(spark, d), "red widge", partial=True, limit=20)
 
@@ -465,11 +514,21 @@ f2 AS (SELECT b, min(row(one.place, edge_id)) AS o FROM one JOIN n ON a = node W
 two AS (SELECT * FROM (SELECT b AS node, row_number() OVER (ORDER BY o) + (SELECT count(*) FROM one) AS place FROM f2) WHERE place <= 59)
 SELECT 'N:3' AS node, 0 AS depth, 0 AS place UNION ALL SELECT node, 1, CAST(place AS INT) FROM one UNION ALL SELECT node, 2, CAST(place AS INT) FROM two""")
 def subgraph_limited(spark, d):
+    nodes, _, _ = network.subgraph(_order_edges(spark, d), "N:3", 2, 60)
+    return nodes
+
+
+@query(ORACLE_SQL["subgraph_limited"])
+def subgraph_keyed(spark, d):
+    """The same from the adjacency store: a level reads the buckets of its own nodes."""
+    return keyed.Adjacency(_order_edges(spark, d), own_dir(spark), 16).subgraph("N:3", 2, 60)[0]
+
+
+def _order_edges(spark, d):
     ref = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     o = table(spark, d, "orders").select(F.concat_ws("|", F.lit("R"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("edge_id"), ref("O", "o_orderkey").alias("src"), ref("C", "o_custkey").alias("dst"))
     c = table(spark, d, "customer").select(F.concat_ws("|", F.lit("L"), F.col("c_custkey").cast("string")).alias("edge_id"), ref("C", "c_custkey").alias("src"), ref("N", "c_nationkey").alias("dst"))
-    nodes, _, _ = network.subgraph(o.unionByName(c), "N:3", 2, 60)
-    return nodes
+    return o.unionByName(c)
 
 
 def _phrase_sql(attribute: str) -> str:
@@ -485,7 +544,25 @@ def narrative_profiles(spark, d):
     return found.select("p_partkey", *attributes.PHRASES)
 
 
-@query()
+@query(f"""WITH c AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, c_nationkey AS place, o_orderpriority AS kind, CAST(coalesce(n, 0) AS INT) AS accused, CAST(8 + o_orderkey % 11 AS INT) AS hour
+  FROM {STAR} LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey WHERE o_orderdate IS NOT NULL AND c_nationkey IS NOT NULL),
+at_place_m AS (SELECT place, kind, round(CASE WHEN t < 0 THEN t + 24 ELSE t END, 6) AS centre FROM (SELECT place, kind, atan2(round(avg(sin(hour * (2 * 3.141592653589793 / 24))), 9), round(avg(cos(hour * (2 * 3.141592653589793 / 24))), 9)) * (24 / (2 * 3.141592653589793)) AS t FROM c GROUP BY place, kind HAVING count(*) >= 8)),
+at_place AS (SELECT place, kind, centre, greatest(1.4826 * median(least(abs(hour - centre), 24 - abs(hour - centre))), 1.5) AS sigma FROM c JOIN at_place_m USING (place, kind) GROUP BY place, kind, centre),
+of_kind_m AS (SELECT kind, round(CASE WHEN t < 0 THEN t + 24 ELSE t END, 6) AS centre FROM (SELECT kind, atan2(round(avg(sin(hour * (2 * 3.141592653589793 / 24))), 9), round(avg(cos(hour * (2 * 3.141592653589793 / 24))), 9)) * (24 / (2 * 3.141592653589793)) AS t FROM c GROUP BY kind HAVING count(*) >= 8)),
+of_kind AS (SELECT kind, centre, greatest(1.4826 * median(least(abs(hour - centre), 24 - abs(hour - centre))), 1.5) AS sigma FROM c JOIN of_kind_m USING (kind) GROUP BY kind, centre),
+med AS (SELECT kind, median(accused) AS median FROM c GROUP BY kind HAVING count(*) >= 10), usual AS (SELECT kind, med.median, median(abs(accused - med.median)) AS mad FROM c JOIN med USING (kind) GROUP BY kind, med.median),
+pair AS (SELECT place, kind, count(*) AS observed FROM c GROUP BY 1, 2), tot AS (SELECT place, sum(observed) AS total FROM pair GROUP BY 1), shr AS (SELECT kind, sum(observed) / (SELECT count(*) FROM c) AS share FROM pair GROUP BY 1),
+rare AS (SELECT place, kind, observed, round(total * share, 4) AS expected, round((total * share - observed) / sqrt(total * share), 4) AS z FROM pair JOIN tot USING (place) JOIN shr USING (kind) WHERE total >= 20 AND share >= 0.01 AND total * share >= 3 AND observed <= 0.4 * total * share),
+j AS (SELECT c.*, usual.median, round((accused - usual.median) / greatest(1.4826 * mad, 1.0), 2) AS many, coalesce(at_place.centre, of_kind.centre) AS mid,
+  round(least(abs(hour - mid), 24 - abs(hour - mid)) / coalesce(at_place.sigma, of_kind.sigma), 2) AS odd, observed, expected, round(z, 2) AS rare
+  FROM c LEFT JOIN usual USING (kind) LEFT JOIN at_place USING (place, kind) LEFT JOIN of_kind USING (kind) LEFT JOIN rare USING (place, kind) WHERE day > (SELECT max(day) FROM c) - 90),
+s AS (SELECT id, place, kind, list_sort(list_filter([CASE WHEN many >= 1.5 THEN {{'o': 0, 'm': -many, 's': 'many_accused', 'r': accused || ' accused where ' || printf('%.1f', round(median, 1)) || ' are usual'}} END,
+  CASE WHEN odd >= 1.5 THEN {{'o': 0, 'm': -odd, 's': 'odd_hour', 'r': 'at ' || hour || ' hours, usually near ' || printf('%.1f', round(mid, 1))}} END,
+  CASE WHEN rare >= 1.5 THEN {{'o': 1, 'm': -rare, 's': 'rare_offence', 'r': observed || ' at this place where ' || printf('%.1f', round(expected, 1)) || ' are expected'}} END], lambda x: x IS NOT NULL)) AS l FROM j),
+hit AS (SELECT id, place, kind, l[1].s AS signal, -l[1].m AS score, array_to_string([x.r for x in l], '; ') AS reason FROM s WHERE len(l) > 0),
+flags AS (SELECT id, place, kind, signal, score, reason, CAST(id AS VARCHAR) AS ids FROM hit WHERE signal <> 'rare_offence'
+  UNION ALL SELECT min(id), place, kind, 'rare_offence', max(score), min(reason), array_to_string(list_sort(list(id))[:10], ',') FROM hit WHERE signal = 'rare_offence' GROUP BY place, kind)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, id) AS INT) AS rank, id, place, kind, signal, score, CASE WHEN score >= 5 THEN 'critical' WHEN score >= 3.5 THEN 'serious' WHEN score >= 2.5 THEN 'warning' END AS severity, reason, ids FROM flags QUALIFY rank <= 25""")
 def anomaly_flags(spark, d):
     """Orders as cases: lines for accused, the key's remainder for the missing hour."""
     l = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("accused"))
@@ -511,9 +588,22 @@ def path_betweenness(spark, d):
     return network.betweenness(_blocks(spark, d))
 
 
+def _repeated_pairs(spark, d):
+    """Parts that share two orders or more: a sparse relation of the tables themselves."""
+    return _edges(spark, d).where("weight >= 2")
+
+
+@query()
+def modularity_communities(spark, d):
+    """Communities by modularity, with the modularity that they reach."""
+    e = materialize(_repeated_pairs(spark, d))
+    found = materialize(network.communities(e))
+    return found.crossJoin(F.broadcast(network.modularity(e, found)))
+
+
 @query()
 def label_communities(spark, d):
-    return network.communities(_blocks(spark, d).withColumn("weight", F.lit(1)))
+    return network.label_communities(_blocks(spark, d).withColumn("weight", F.lit(1)))
 
 
 @query("""WITH u AS (SELECT 'n' || n_nationkey AS id, 'r' || n_regionkey AS parent, NULL::VARCHAR AS area FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world', CASE WHEN r_regionkey % 2 = 0 THEN r_name END FROM region UNION ALL SELECT 'world', NULL, 'all')
@@ -547,3 +637,34 @@ def coerced_casts(spark, d):
     """A cell that is not of the wanted type is null, not an error."""
     e = table(spark, d, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.col("event_type").try_cast("long").alias("bad"), F.length("props").cast("long").alias("n"))
+
+
+def _monthly(spark, d) -> str:
+    """Orders as a table of one folder a month."""
+    path = f"{own_dir(spark)}/orders-{uuid.uuid4().hex}"
+    write_by_month(table(spark, d, "orders"), path, "o_orderdate")
+    return path
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1997-03-10' AND o_orderdate < TIMESTAMP '1997-07-02'")
+def range_of_months(spark, d):
+    return read_range(spark, _monthly(spark, d), "o_orderdate", "1997-03-10", "1997-07-02").select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) > (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 70 GROUP BY 1")
+def recent_by_month(spark, d):
+    """The newest seventy days, which is what the trends read, from the last folders only."""
+    return recent_rows(spark, _monthly(spark, d), "o_orderdate", 70).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE contains(lower(text), 'apache license')")
+def substring_search(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    index = substring.build(docs, "doc_id", "text", own_dir(spark))
+    return substring.search(docs, index, "doc_id", "text", "Apache License").select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / 8.0::DOUBLE * l_discount AS raw, CAST(printf('%.2f', l_extendedprice / 8.0::DOUBLE * l_discount) AS DOUBLE) AS rounded FROM lineitem")
+def rounded_shares(spark, d):
+    raw = F.col("l_extendedprice") / F.lit(8.0) * F.col("l_discount")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), X.round_half_even(raw, 2).alias("rounded"))

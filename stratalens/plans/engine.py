@@ -11,14 +11,25 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import exprs as X
-from ..operators import anomalies, association, attributes, forest, identity, network, series, space, tables as T
+from ..operators import anomalies, association, attributes, forest, identity, network, regression, series, space, tables as T
 from ..operators.projection import Projection
 from ..session import materialize
-from ..sources.files import read_strict_csv
+from ..sources.files import read_strict_csv, write_csv
 from ..sources.schemas import SPECS
 from . import governance
 
 NIGHT = (21, 22, 23, 0, 1, 2)
+# The features in their order.
+RISK_FEATURES = ["recent", "prior", "prior2", "velocity", "rolling_mean_3", "trend_slope", "month"]
+
+
+# What analyses may see of persons.
+ANALYTIC_VIEWS = {
+    "accused": ("Accused", ["AccusedMasterID", "CaseMasterID", "AgeYear", "GenderID", "PersonID"]),
+    "victim": ("Victim", ["VictimMasterID", "CaseMasterID", "AgeYear", "GenderID", "VictimPolice"]),
+    "complainant": ("ComplainantDetails", ["ComplainantID", "CaseMasterID", "AgeYear", "GenderID"]),
+    "employee": ("Employee", ["EmployeeID", "DistrictID", "UnitID", "RankID", "DesignationID"]),
+}
 
 
 class CaseTables:
@@ -103,6 +114,36 @@ class Engine:
         """The case, and the persons in it."""
         return self.cases.where(F.col("case_id") == case_id), self.people.where(F.col("case_id") == case_id)
 
+    def subhead_consistency(self) -> DataFrame:
+        """``case_id, consistent``: whether the head that a case names is its sub-head's; null
+        where one of them is not known. A flag: nothing is corrected."""
+        c = self.tables("CaseMaster").select(F.col("CaseMasterID").alias("case_id"), F.col("CrimeMajorHeadID").alias("named"), F.col("CrimeMinorHeadID").alias("sub"))
+        heads = self.tables("CrimeSubHead").select(F.col("CrimeSubHeadID").alias("_s"), F.col("CrimeHeadID").alias("_h"))
+        return c.join(heads, F.col("sub") == F.col("_s"), "left").select("case_id", (F.col("named") == F.col("_h")).alias("consistent"))
+
+    def without_personal_data(self, role: str) -> DataFrame:
+        """Accused, victims, complainants or employees as analyses may see them: numbers of
+        records and places, age and gender; no names, birth dates, health or caste."""
+        return self.tables(ANALYTIC_VIEWS[role][0]).select(*ANALYTIC_VIEWS[role][1])
+
+    def person_index(self) -> DataFrame:
+        """One row a record: ``role, person`` (digest of name, age and gender, nulls told from
+        texts), the record, and ``others``: its further records. Persons with one name, age
+        and gender may be different people: an association, not a fact. Members stay rows,
+        so a common name is many rows and no long list."""
+        p = self.people
+        key = F.sha2(F.to_json(F.struct(F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("n"), "age", "gender"), {"ignoreNullFields": "false"}), 256)
+        p = p.withColumn("person", key)
+        n = p.groupBy(F.col("role").alias("_r"), F.col("person").alias("_p")).agg((F.count("*") - 1).alias("others"))
+        return p.join(n, (F.col("role") == F.col("_r")) & (F.col("person") == F.col("_p"))).select("role", "person", "record_id", "case_id", "name", "age", "gender", "district_id", "district_name", "others")
+
+    def person_members(self, role: str, record_id: int) -> DataFrame:
+        """All records of the person of one record, with what a list shows of their cases."""
+        index = self.person_index().where(F.col("role") == role)
+        asked = index.where(F.col("record_id") == record_id).select(F.col("person").alias("_p"))
+        cases = self.cases.select(F.col("case_id").alias("_c"), "crime_no", "subhead_name", "registered_date", "status")
+        return index.join(asked, F.col("person") == F.col("_p"), "left_semi").join(cases, F.col("case_id") == F.col("_c"), "left").drop("_c").orderBy("record_id")
+
     def complainants(self, case_id: int) -> DataFrame:
         """Without religion, caste and occupation, which no analysis may use."""
         return self.tables("ComplainantDetails").where(F.col("CaseMasterID") == case_id).select("ComplainantID", "CaseMasterID", "ComplainantName", "AgeYear", "GenderID")
@@ -195,6 +236,21 @@ class Engine:
     def risk_forecast(self, predictor=None, window_days: int = 30) -> DataFrame:
         return series.forecast(self.risk_features(window_days), predictor)
 
+    def export_risk_training(self, path: str, window_days: int = 30) -> None:
+        """Features in their fixed order and the target as CSV, nothing that names a district."""
+        write_csv(self.risk_training(window_days), path, [*RISK_FEATURES, "target"])
+
+    def train_risk(self, path: str, version: str, window_days: int = 30) -> regression.LinearModel:
+        """Fits the forecast's own model and keeps it in the model table at ``path``."""
+        model = regression.fit(self.risk_training(window_days), RISK_FEATURES, "target", version)
+        regression.save(self.spark, model, path)
+        return model
+
+    def risk_predictor(self, path: str, version: str | None = None):
+        """For ``risk_forecast`` and ``risk_reasons``; None without such a model."""
+        model = regression.load(self.spark, path, version)
+        return None if model is None else regression.predictor(model)
+
     def districts(self, window_days: int = 30) -> DataFrame:
         return series.group_velocity(self.cases.where("district_id is not null"), ["district_id", "district_name"], "registered_date", window_days).orderBy(F.desc("n_rows"), "district_id")
 
@@ -223,8 +279,12 @@ class Engine:
 
     # -- narratives -------------------------------------------------------------------
 
-    def profiles(self) -> DataFrame:
-        return attributes.profiles(self.cases, "case_id", "narrative")
+    def profiles(self, signals: DataFrame | None = None) -> DataFrame:
+        """``signals``: ``case_id, mentions`` (phrases that an outside text service saw)."""
+        if signals is None:
+            return attributes.profiles(self.cases, "case_id", "narrative")
+        seen = signals.groupBy(F.col("case_id").alias("_c")).agg(F.array_distinct(F.flatten(F.collect_list("mentions"))).alias("mentions"))
+        return attributes.profiles(self.cases.join(seen, F.col("case_id") == F.col("_c"), "left"), "case_id", "narrative", mentions="mentions")
 
     def similar_cases(self, case_id: int, limit: int = 20) -> DataFrame:
         v = attributes.profile_values(self.profiles(), "case_id")

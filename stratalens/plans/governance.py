@@ -6,6 +6,7 @@ import datetime as dt
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,10 +56,9 @@ def recorded_run(spark: SparkSession, path: str, kind: str, scope: str | None =
         yield run
         run.status = "COMPLETED"
         frames = run.frames + ([spark.createDataFrame(run.evidence, EVIDENCE)] if run.evidence else [])
-        # evidence first: a run is completed once its row says so
-        for df in frames:
-            df.write.mode("append").parquet(f"{path}/evidence")
+        # evidence first, all of it in one write; a run is completed once its row says so
         if frames:
+            reduce(DataFrame.unionByName, frames).write.mode("append").parquet(f"{path}/evidence")
             count = spark.read.parquet(f"{path}/evidence").where(F.col("run_id") == run.run_id).count()
     except Exception as e:
         run.status, error, count = "FAILED", str(e)[:500], 0
@@ -68,6 +68,13 @@ def recorded_run(spark: SparkSession, path: str, kind: str, scope: str | None =
         spark.createDataFrame([(run.run_id, kind, scope, run.status, count, error, now)], RUN).write.mode("append").parquet(f"{path}/runs")
 
 
+def completed_evidence(spark: SparkSession, path: str) -> DataFrame:
+    """The evidence of completed runs only; what a run left that ended before its row was
+    written belongs to no run and is not shown."""
+    done = spark.read.schema(RUN).parquet(f"{path}/runs").where("status = 'COMPLETED'").select("run_id")
+    return spark.read.schema(EVIDENCE).parquet(f"{path}/evidence").join(done, "run_id", "left_semi")
+
+
 def latest_run(runs: DataFrame, kind: str, scope: str | None) -> DataFrame:
     """Newest completed run of a kind and scope; no scope is a scope of its own."""
     return runs.where((F.col("status") == "COMPLETED") & (F.col("kind") == kind) & F.col("scope").eqNullSafe(F.lit(scope))).orderBy(F.desc("generated_at"), F.desc("run_id")).limit(1)

@@ -47,10 +47,10 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stratalens-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut the lineage with a table in the shared folder, whose sizes Spark then knows."""
     spark, path = df.sparkSession, f"{own_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,6 +35,37 @@ def time_range(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
     return df.where((F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) < F.lit(end).cast("timestamp_ntz")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def write_by_month(df: DataFrame, path: str, ts: str, mode: str = "overwrite") -> None:
+    """One folder a month (``month``: its first day, null for a null time). Rows of a month are
+    dealt to several tasks by a hash of their time, so a crowded month is not one file."""
+    out = df.withColumn("month", F.trunc(F.to_date(ts), "month"))
+    out.repartition("month", F.pmod(F.xxhash64(ts), F.lit(8))).write.mode(mode).partitionBy("month").parquet(path)
+
+
+def read_range(spark: SparkSession, path: str, ts: str, start: str, end: str) -> DataFrame:
+    """``time_range`` over such a table: only the months of the range are listed and read."""
+    first, last = (F.trunc(F.to_date(F.lit(x).cast("timestamp_ntz")), "month") for x in (start, end))
+    found = spark.read.parquet(path).where((F.col("month") >= first) & (F.col("month") <= last))
+    return time_range(found, ts, start, end).drop("month")
+
+
+def recent_rows(spark: SparkSession, path: str, ts: str, days: int) -> DataFrame:
+    """Rows of the newest ``days`` days. The newest month is known from the folders alone; the
+    newest day is looked up in that month, and the bound prunes the months before."""
+    rows = spark.read.parquet(path)
+    newest = rows.where("month is not null").select("month").distinct().agg(F.max("month").alias("month"))
+    day = rows.join(F.broadcast(newest), "month").agg(F.max(F.to_date(ts)).alias("newest")).select(F.date_sub("newest", days - 1).alias("since"), F.trunc(F.date_sub("newest", days - 1), "month").alias("month_since"))
+    bound = day.first()  # one row
+    if bound["since"] is None:
+        return rows.where("false").drop("month")
+    return rows.where((F.col("month") >= F.lit(bound["month_since"])) & (F.to_date(ts) >= F.lit(bound["since"]))).drop("month")
+
+
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     df.select(*columns).na.fill("").write.mode("overwrite").option("header", True).csv(path)
 
@@ -56,10 +87,13 @@ def write_json(df: DataFrame, path: str, version: str | None = None) -> None:
 
 def replace_by_run(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
     """All tables of a run or none: they are written to the run's own folder first, and one
-    appended row of ``current`` then names the run. A failed write leaves the last run."""
+    appended row of ``current`` then names the run. A failed write leaves the last run, and
+    the same run can be tried again; a run that is named is never written twice."""
     spark = next(iter(tables.values())).sparkSession
+    if exists(spark, f"{path}/current") and not spark.read.parquet(f"{path}/current").where(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"run {run_id} is complete")
     for name, df in tables.items():
-        df.withColumn("run_id", F.lit(run_id)).write.mode("errorifexists").parquet(f"{path}/runs/{run_id}/{name}")
+        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{path}/runs/{run_id}/{name}")
     spark.createDataFrame([(run_id,)], "run_id string").select("run_id", F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/current")
 
 
