@@ -17,8 +17,8 @@ and aligned once each, however often they occur.
 4. Alignments join back to the dictionaries; a chunk's documents meet its dictionary in one
    group, whose size the chunk bounds, and are composed there.
 
-What travels is one list of small numbers a document and one row for each chunk and segment,
-with its tokens as binary numbers; no row is made for each occurrence. The commonest segment is one row a chunk, a key that
+What travels is one list of small numbers a document and one row for each chunk and segment;
+alignments go back to the chunks in bundles. No row is made for each occurrence. The commonest segment is one row a chunk, a key that
 adaptive execution splits.
 
 Null and empty texts, and texts that B's normaliser would change or that hold U+2581 (B writes
@@ -33,6 +33,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -40,7 +41,7 @@ from ..session import materialize
 from .bpe import byte_symbols
 from .common import slices
 
-CHUNK_BYTES, SEGMENTS_BYTES, LOOKED_UP, PART, DOCS = 16 << 20, 1 << 20, 1 << 22, 1 << 16, 256
+CHUNK_BYTES, SEGMENTS_BYTES, LOOKED_UP, PART, DOCS, BUNDLED = 16 << 20, 1 << 20, 1 << 22, 1 << 16, 256, 1 << 18
 SEGMENT = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 MARK = "▁"
 
@@ -202,7 +203,7 @@ def chunks(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", te
 
     names = ["chunk", "doc_id", "places", "place", "segment", "n"]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
-    return materialize(rows.mapInArrow(run, "chunk long, doc_id long, places binary, place int, segment string, n long"))
+    return materialize(rows.mapInArrow(run, "chunk long, doc_id long, places binary, place int, segment string, n long"), "zstd")
 
 
 def aligned_segments(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -218,7 +219,7 @@ def aligned_segments(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
             links = pa.ListArray.from_arrays(cuts, pa.array(flat_a[at_a] << 32 | flat_b[at_b]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed_groups(ids_a, ids_b, segment, at_a, at_b), pa.binary()), links], ["segment", "n", "groups", "links"])
 
-    return materialize(found.select("segment", "n").mapInArrow(run, "segment string, n long, groups binary, links array<long>"))
+    return materialize(found.select("segment", "n").mapInArrow(run, "segment string, n long, groups binary, links array<long>"), "zstd")
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -250,6 +251,44 @@ def with_sums(aligned: DataFrame, counts: DataFrame) -> DataFrame:
     return aligned.select("segment", "groups", "links").mapInArrow(run, "segment string, groups binary, n_best long, count_sum long")
 
 
+def _bundle(places: np.ndarray, best: np.ndarray, count: np.ndarray, groups: list[bytes]) -> bytes:
+    parts = [packed(x)[0].tobytes() for x in (places, best, count, np.array([len(g) for g in groups], np.int64))] + [b"".join(groups)]
+    return zstandard.compress(np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts), 3)
+
+
+def _unbundle(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    raw = zstandard.decompress(data)
+    cuts = np.concatenate(([0], np.cumsum(np.frombuffer(raw[:20], "<u4").astype(np.int64)))) + 20
+    places, best, count, size = (unpacked(raw[a:b]) for a, b in zip(cuts[:4], cuts[1:5]))
+    ends = (np.cumsum(size) + cuts[4]).tolist()
+    return places, best, count, [raw[a:b] for a, b in zip([int(cuts[4]), *ends], ends)]
+
+
+def bundled(entries: DataFrame) -> DataFrame:
+    """``in_chunk, bundle``: the rows (in_chunk, place, groups, n_best, count_sum) of each chunk
+    that a task holds at a time, in one."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BUNDLED:
+                yield from flush(held)
+                held = []
+        if held:
+            yield from flush(held)
+
+    def flush(held):
+        t = pa.Table.from_batches(held)
+        chunk, place, best, count = (t.column(c).to_numpy().astype(np.int64) for c in ("in_chunk", "place", "n_best", "count_sum"))
+        groups, order = t.column("groups").to_pylist(), np.lexsort((place, chunk))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(chunk[order])) + 1, [len(order)]))
+        rows = [order[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([int(chunk[r[0]]) for r in rows], pa.int64()), pa.array([_bundle(place[r], best[r], count[r], [groups[i] for i in r.tolist()]) for r in rows], pa.binary())], ["in_chunk", "bundle"])
+
+    return entries.select("in_chunk", "place", "groups", "n_best", "count_sum").mapInArrow(run, "in_chunk long, bundle binary")
+
+
 def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups`` of every document."""
     Tokenizers(path_a, path_b)  # a file that does not fit fails here, not in the tasks
@@ -260,9 +299,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     entries = entries.select(F.col("chunk").alias("in_chunk"), "place", "segment").join(known, "segment").drop("segment")
 
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("place")
-        n_a, n_b, n_groups, texts = zip(*map(group_text, right.column("groups").to_pylist())) if right.num_rows else ((),) * 4
-        numbers = [np.array(x, np.int64) for x in (n_a, n_b, n_groups)] + [right.column(c).to_numpy() for c in ("n_best", "count_sum")]
+        found = [_unbundle(x) for x in right.column("bundle").to_pylist()]
+        size = sum(len(x[0]) for x in found)
+        numbers, texts = np.zeros((5, size), np.int64), [""] * size
+        for places, best, count, groups in found:
+            *own, words = zip(*map(group_text, groups))
+            numbers[:3, places], numbers[3, places], numbers[4, places] = own, best, count
+            for i, w in zip(places.tolist(), words):
+                texts[i] = w
         out = []
         for part in left.to_batches(max_chunksize=1024):
             rows, written = np.zeros((5, part.num_rows), np.int64), []
@@ -276,5 +320,5 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
         return pa.Table.from_batches(out, result)
 
     result = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")), ("groups", pa.string())])
-    by_chunk = cut.where("segment is null").select("chunk", "doc_id", "places").groupBy("chunk").cogroup(entries.groupBy("in_chunk"))
+    by_chunk = cut.where("segment is null").select("chunk", "doc_id", "places").groupBy("chunk").cogroup(bundled(entries).groupBy("in_chunk"))
     return by_chunk.applyInArrow(compose, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
