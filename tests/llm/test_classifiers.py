@@ -76,17 +76,25 @@ def test_temperature_and_ftrl():
 
 def slow_score(m, text):
     """The score from its definition: every window by itself, with compressors of its own."""
-    words = [bytes(b ^ 0x80 for b in w[:3]) + w[3:] for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())]
+    words = [w[:24] + bytes(b ^ 0x80 for b in w[:24]) for w in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())]
+
+    def shorter(found):
+        w = X.CARRIER + b"".join(b" " + v for v in found) + X.TAIL
+        a, b = (len(X.compressor(own + m.common + X.CARRIER).compress(w)) for own in (m.ordinary, m.toxic))
+        return a - b
+
+    fine, coarse = [], []
+    for i in range(0, len(words), 7):
+        if i and len(words) - i < 2:
+            break
+        found = words[i : i + 8]
+        coarse.append(shorter(found))
+        if coarse[-1] >= 2:
+            fine += [shorter(found[k : k + 2]) for k in range(max(1, len(found) - 1))]
     x = []
-    for stage, (ordinary, toxic) in zip(X.STAGES, m.contents):
-        starts = [i for i in range(0, len(words), stage.step) if i == 0 or i + stage.words - stage.step < len(words)]
-        d = []
-        for i in starts:
-            w = X.CARRIER + b"".join(b" " + v for v in words[i : i + stage.words]) + X.TAIL
-            a, b = (len(X.compressor(own + m.common + X.CARRIER).compress(w)) for own in (ordinary, toxic))
-            d.append(a - b)
-        n = [sum(k >= t for k in d) for t in (1, 2, 3, 4, 5, 6, 8)]
-        x += [math.log1p(k) for k in n] + [math.log1p(1000 * k / max(20, len(d))) / 2 for k in n] + [min(k, 3) / 2 for k in n] + [sum(d) / max(1, len(d)), math.log1p(len(d)) / 8, 1.0]
+    for d, seen in ((coarse, len(coarse)), (fine, max(1, len(words) - 1) if words else 0)):
+        n = [sum(k >= t for k in d) for t in (1, 2, 3, 4, 5, 6, 8, 10, 12)]
+        x += [math.log1p(k) for k in n] + [math.log1p(1000 * k / max(20, seen)) / 2 for k in n] + [min(k, 3) / 2 for k in n] + [sum(d) / max(1, seen), math.log1p(seen) / 8, 1.0]
     return 1 / (1 + math.exp(-sum(a * b for a, b in zip(x, m.coef))))
 
 
@@ -94,49 +102,53 @@ def test_scores_equal_windows_one_by_one(monkeypatch):
     docs, labels = corpus(400, 3)
     m = X.fit_texts([t for _, t, *_ in docs], [y for *_, y in labels])
     s = m.scorer()
-    texts = [t for _, t, *_ in corpus(12, 8)[0]] + [None, "", "one", "a b c d e", "idiot " * 9]
-    for piece in (X.PIECE, 45):
+    texts = [t for _, t, *_ in corpus(12, 8)[0]] + [None, "", "one", "a b c d e", "idiot " * 9, "idiot moron " * 4, "a b c d e f g idiot", "a b c d e f g h idiot"]
+    for piece in (X.PIECE, 14):
         monkeypatch.setattr(X, "PIECE", piece)
         for t in texts:
-            assert abs(s.score(t) - slow_score(m, t)) < 1e-9
+            assert abs(s.score(t) - slow_score(m, t)) < 1e-9, t
     assert s.score(None) == s.score("") < 0.5
     assert len(L.grams("é")) and not len(L.grams("12 　")) and len(L.grams("\U00010400"))
 
 
 def test_dictionaries_come_from_the_trainer(monkeypatch):
+    """Each of windows of two words of its class's texts, and of nothing else."""
     docs, labels = corpus(400, 3)
     made, real = {}, X.zs.train_dictionary
     monkeypatch.setattr(X.zs, "train_dictionary", lambda size, samples, **k: (d := real(size, samples, **k), made.__setitem__(d.as_bytes(), samples))[0])
     m = X.fit_texts([t for _, t, *_ in docs], [y for *_, y in labels])
-    text = {c: " ".join(t for (_, t, *_), (*_, y) in zip(docs, labels) if y == c) for c in (0, 1)}
-    own = {c: set(X.marked(t)) for c, t in text.items()}
-    for contents in m.contents:
-        for c, content in enumerate(contents):
-            assert all(w in own[c] for sample in made[content] for w in sample.split(b" ") if w)
-    assert m.common in made
-
-
-def phrased(n, seed, phrase="vale mira tonde kelu sapo"):
-    """Toxic texts differ by a phrase; its words are as common in ordinary texts."""
-    r = random.Random(0)
-    vocabulary = ["".join(r.choice("bdfgklmnprstv") + r.choice("aeiou") for _ in range(2)) for _ in range(300)] + phrase.split() * 3
-    r, rows = random.Random(seed), []
-    for _ in range(n):
-        y = int(r.random() < 0.3)
-        words = r.choices(vocabulary, k=r.randint(40, 120))
-        for _ in range(2 * y):
-            words.insert(r.randrange(len(words)), phrase)
-        rows.append((" ".join(words), y))
-    return [t for t, _ in rows], [y for _, y in rows]
-
-
-def test_toxic_phrase_of_ordinary_words():
-    """Caught in part: a window's gain is that of one match for several."""
-    s = X.fit_texts(*phrased(600, 5)).scorer()
-    texts, labels = phrased(200, 6)
-    got = [s.score(t) >= X.THRESHOLD for t in texts]
-    right = sum(g and y for g, y in zip(got, labels))
-    assert right > 0.3 * sum(labels) and right > 0.75 * sum(got)
+    pairs = {c: {b" ".join(w[i : i + 2]) for (_, t, *_), (*_, y) in zip(docs, labels) if y == c for w in [X.written(t)] for i in range(len(w) - 1)} for c in (0, 1)}
+    for c, content in ((0, m.ordinary), (1, m.toxic), (0, m.common)):
+        samples = next(v for k, v in made.items() if k.endswith(content))
+        assert content and len(samples) > 10 and all(s[1:] in pairs[c] for s in samples)
+    assert all(len(s[1:].split(b" ")) == 2 for v in made.values() for s in v)
+
+
+def test_too_little_to_train_on():
+    assert X.fit_texts(["one", "two words"], [0, 1]) == X.Model() and X.Model().scorer().score("one") == 0.0
+    docs, labels = corpus(60, 3)
+    m = X.fit_texts([t for _, t, *_ in docs], [y for *_, y in labels])
+    assert not m.coef or len(m.toxic) < X.SIZE
+
+
+def test_two_signs_in_a_text_and_endings_that_were_not_learned():
+    """Signs are caught, with other endings in part; ordinary texts stay."""
+    docs, labels = corpus(600, 5)
+    s = X.fit_texts([t for _, t, *_ in docs], [y for *_, y in labels]).scorer()
+    r, right, ended, false = random.Random(6), 0, 0, 0
+
+    def caught(words, *signs):
+        words = list(words)
+        for sign in signs:
+            words.insert(r.randrange(len(words)), sign)
+        return s.score(" ".join(words)) >= X.THRESHOLD
+
+    for _, t, *_ in corpus(150, 7)[0]:
+        words = [w for w in t.split() if not any(b in w.lower() for b in BAD)]
+        false += caught(words)
+        right += caught(words, r.choice(BAD[:2]), r.choice(BAD[:2]))
+        ended += caught(words, r.choice(BAD) + "qz", r.choice(BAD) + "vo")
+    assert right > 0.9 * 150 and ended > 0.2 * 150 and false < 0.05 * 150
 
 
 def slow_ftrl(rows, y, classes, order, alpha, beta, l1, l2):
