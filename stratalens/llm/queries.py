@@ -84,10 +84,11 @@ def capture_times(pages: DataFrame) -> DataFrame:
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
-    """Nor do they have filter lists: the MD5 of each registered domain and host says
-    whether and when lists add it, drop it and add it again."""
+    """Nor do they have filter lists: the MD5 of each registered domain, host and host with
+    its first directory says whether and when lists add it, drop it and add it again."""
     host = url_filter.host_of(F.col("url"))
-    names = pages.select(F.explode(F.array(host, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))).alias("pattern")).where("pattern <> ''").distinct()
+    first = F.get(F.filter(F.split(url_filter.path_of(F.col("url")), "/"), lambda x: x != ""), F.lit(0))
+    names = pages.select(F.explode(F.array(host, F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.when(host != "", F.lower(F.concat(host, F.lit("/"), first))))).alias("pattern")).where("pattern <> ''").distinct()
     day = lambda n: (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(n))
     a, b, c = _drawn("pattern", 1), _drawn("pattern", 3), _drawn("pattern", 5)
     entries = F.array(
@@ -107,9 +108,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op2_url_filter"] = r"""
 WITH c AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(CAST((page_id * 7919) % 525600 AS BIGINT)) AS fetched_at,
-  lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)) AS host,
+  regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)', 1)), '\.+$', '') AS host,
   list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
-names AS (SELECT DISTINCT pattern FROM (SELECT host AS pattern FROM c UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM c) WHERE pattern <> ''),
+names AS (SELECT DISTINCT pattern FROM (SELECT host AS pattern FROM c UNION ALL SELECT regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM c UNION ALL SELECT lower(host || '/' || parts[1]) FROM c WHERE host <> '' AND len(parts) > 0) WHERE pattern <> ''),
 drawn AS (SELECT pattern, CAST('0x' || substr(md5(pattern), 1, 2) AS INT) AS a, CAST('0x' || substr(md5(pattern), 3, 2) AS INT) AS b, CAST('0x' || substr(md5(pattern), 5, 2) AS INT) AS x FROM names),
 entries AS (
   SELECT pattern, 'abuse' AS list_name, 'add' AS action, TIMESTAMP '2024-01-01' + to_days(a) AS since FROM drawn WHERE a < 160

@@ -4,7 +4,7 @@ A filter list is a log of dated entries that add or remove a pattern: a host (wh
 its subdomains) or a host with a path prefix. Entries become validity intervals by a
 look-ahead over each pattern's distinct dates. A capture asks with its host, the host's
 parent domains (an IP address has none) and its path prefixes, as long as the longest pattern
-at most; an as-of equi-join on the pattern keeps the intervals that hold at the time of
+at most; dots at a host's end do not matter; an as-of equi-join on the pattern keeps the intervals that hold at the time of
 fetching. A hot host only makes a skewed join key, which adaptive
 execution splits; nothing is broadcast beyond what Spark's own size check allows.
 
@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def host_of(url: F.Column) -> F.Column:
-    """The lower-cased host; an empty string where there is none."""
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+    """The lower-cased host, an IPv6 address with its brackets, without the dots of a rooted
+    name at its end; an empty string where there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#\[]+)", 1)), r"\.+$", "")
 
 
 def path_of(url: F.Column) -> F.Column:
@@ -46,7 +47,7 @@ def intervals(entries: DataFrame, list_name: str = "list_name", pattern: str = "
     the pattern stands. Equal dates are merged before the look-ahead, so what it sorts for
     a pattern is bounded by its distinct dates."""
     e = entries.where(F.col(pattern).isNotNull() & F.col(at).isNotNull() & F.col(action).isin("add", "remove"))
-    e = e.groupBy(F.col(list_name).alias("list_name"), F.lower(F.col(pattern)).alias("pattern"), F.col(at).alias("valid_from")).agg(F.max(F.col(action) == "remove").alias("gone"))
+    e = e.groupBy(F.col(list_name).alias("list_name"), F.regexp_replace(F.lower(F.col(pattern)), r"^([^/]*[^/.])\.+(/|$)", "$1$2").alias("pattern"), F.col(at).alias("valid_from")).agg(F.max(F.col(action) == "remove").alias("gone"))
     w = Window.partitionBy("list_name", "pattern").orderBy("valid_from")
     return e.withColumn("valid_to", F.lead("valid_from").over(w)).where("not gone").select("list_name", "pattern", "valid_from", "valid_to")
 
