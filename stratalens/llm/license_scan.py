@@ -8,9 +8,14 @@ every half of it, so that wherever the template stands, some run holds all of it
 Words are ordered by their number of texts in the whole corpus, rare first. A match must hold
 one of the template's first ``size - ceil(threshold * size) + 1`` words (prefix filter),
 have enough template words at all (length filter), and enough of them from the shared prefix
-word on, on both sides (positional filter). What is left is counted exactly. The templates
-are a fixed list in this module, so the prefix index is tiny whatever the corpus; blocks meet
-it in an equi-join on words and carry only their template words.
+word on, on both sides (positional filter). What is left is counted exactly. Sizes of runs go
+on in steps of four as far as the longest template asks.
+
+Templates of up to ``LITERALS`` distinct words in all, as those of this module, are literals of
+the plan; blocks meet their prefix index in an equi-join on words and carry only their template
+words. More of them are a table: their words are ordered by a join with the texts' words, texts
+meet the prefix index by their distinct words, and each text that shares a prefix word with a
+template is counted, run by run, against that template alone (``similar_by_joins``).
 
 The documents are read once: that pass finds the phrases and the template words of each whole
 text, and keeps the words themselves only where the whole text holds enough of some template,
@@ -26,11 +31,11 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import materialize
 
-THRESHOLD, RUNS = 0.8, (8, 32, 128)
+THRESHOLD, RUNS, LITERALS = 0.8, (8, 32, 128), 2000
 
 # Phrases of the base scan and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -74,12 +79,22 @@ def _spaces(s: F.Column) -> F.Column:
     return (F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))).cast("long")
 
 
-def _entries(threshold: float) -> list[tuple[int, str, list[str], int, int]]:
-    """(template, label, distinct words, how many a match holds, size of its runs)."""
-    out = []
-    for i, (label, sentence) in enumerate(TEMPLATES):
+def _sizes(templates) -> tuple[int, ...]:
+    """Of runs: four times the size before, until half of one holds the longest template."""
+    sizes, longest = list(RUNS), max((len(sentence.split()) for _, sentence in templates), default=0)
+    while sizes[-1] // 2 < longest:
+        sizes.append(4 * sizes[-1])
+    return tuple(sizes)
+
+
+def _entries(threshold: float, templates) -> list[tuple[int, str, list[str], int, int]]:
+    """(template, label, distinct words, how many a match holds, size of its runs); a template
+    without words matches nothing."""
+    out, sizes = [], _sizes(templates)
+    for i, (label, sentence) in enumerate(templates):
         words = sentence.split()
-        out.append((i, label, sorted(set(words)), math.ceil(threshold * len(set(words)) - 1e-9), next(s for s in RUNS if len(words) <= s // 2)))
+        if words:
+            out.append((i, label, sorted(set(words)), math.ceil(threshold * len(set(words)) - 1e-9), next(s for s in sizes if len(words) <= s // 2)))
     return out
 
 
@@ -87,8 +102,8 @@ def _literals(words: list[str]) -> F.Column:
     return F.array(*map(F.lit, words))
 
 
-def _vocabulary() -> list[str]:
-    return sorted({w for _, sentence in TEMPLATES for w in sentence.split()})
+def _vocabulary(templates) -> list[str]:
+    return sorted({w for _, sentence in templates for w in sentence.split()})
 
 
 def phrase_columns(spaced: F.Column) -> dict[str, F.Column]:
@@ -105,34 +120,54 @@ def phrase_columns(spaced: F.Column) -> dict[str, F.Column]:
     return out
 
 
-def _order(spark: SparkSession, rows: DataFrame) -> list[str]:
-    """The template words by their number of texts; as many rows as the fixed list has
-    words come to the driver."""
+def _order(rows: DataFrame, templates) -> list[str]:
+    """The template words by their number of texts; at most ``LITERALS`` rows come to the driver."""
     counts = {r["w"]: r["n"] for r in rows.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return sorted(_vocabulary(), key=lambda w: (counts.get(w, 0), w))
+    return sorted(_vocabulary(templates), key=lambda w: (counts.get(w, 0), w))
+
+
+def _starts(words: F.Column, half: F.Column) -> F.Column:
+    """A run starts at every half of its size while words are left that the run before does
+    not hold."""
+    return F.sequence(F.lit(0), F.greatest(F.size(words) - half - 1, F.lit(0)), half)
+
+
+def _runs(words: F.Column, size: int, vocabulary: list[str]) -> F.Column:
+    """The template words of each run."""
+    return F.transform(_starts(words, F.lit(size // 2)), lambda i: F.array_intersect(F.slice(words, i + 1, F.lit(size)), _literals(vocabulary)))
 
 
-def _runs(words: F.Column, size: int) -> F.Column:
-    """The template words of each run; a run starts at every half of the size while words
-    are left that the run before does not hold."""
-    half = size // 2
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - half - 1, F.lit(0)), F.lit(half))
-    return F.transform(starts, lambda i: F.array_intersect(F.slice(words, i + 1, F.lit(size)), _literals(_vocabulary())))
+def similar_by_joins(rows: DataFrame, threshold: float, templates) -> DataFrame:
+    """The same as ``similar_blocks`` for any number of templates; ``rows``: key, all (words)."""
+    spark = rows.sparkSession
+    entries = spark.createDataFrame(_entries(threshold, templates), "template int, label string, members array<string>, need int, run int")
+    rows = rows.dropDuplicates(["key"])
+    words = rows.select("key", F.explode(F.array_distinct("all")).alias("w"))
+    asked = entries.select("template", "need", F.size("members").alias("size"), F.explode("members").alias("w"))
+    met = materialize(words.join(asked.select("w").distinct(), "w"))
+    order = asked.join(met.groupBy("w").agg(F.count("*").alias("n")), "w", "left")
+    rank = F.row_number().over(Window.partitionBy("template").orderBy(F.coalesce("n", F.lit(0)), "w"))
+    prefix = order.withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.col("need") + 1).select("w", "template")
+    pairs = met.join(prefix, "w").select("key", "template").distinct().join(entries, "template").join(rows, "key")
+    words = F.col("all")
+    overlaps = F.transform(_starts(words, (F.col("run") / 2).cast("int")), lambda i: F.size(F.array_intersect(F.slice(words, i + 1, F.col("run")), F.col("members"))))
+    found = pairs.select("key", "template", "label", "need", F.size("members").alias("size"), F.array_max(overlaps).alias("overlap"))
+    return found.where("overlap >= need").select("key", "template", "label", (F.col("overlap") / F.col("size")).alias("containment"))
 
 
-def similar_blocks(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_blocks(rows: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """``key, template, label, containment``: templates that some block of ``rows`` (key,
     held, words) meets, with the best containment."""
-    spark, entries = rows.sparkSession, _entries(threshold)
-    place = {w: k for k, w in enumerate(_order(spark, rows))}
+    spark, entries, sizes, vocabulary = rows.sparkSession, _entries(threshold, templates), _sizes(templates), _vocabulary(templates)
+    place = {w: k for k, w in enumerate(_order(rows, templates))}
     prefix = []
     for i, label, words, need, size in entries:
         ordered = sorted(words, key=place.get)
         prefix += [(size, w, at, i, label, ordered, need) for at, w in enumerate(ordered[: len(ordered) - need + 1])]
     index = spark.createDataFrame(prefix, "run int, w string, at int, template int, label string, members array<string>, need int")
     found = rows.where("words is not null").select("key", "words")
-    blocks = reduce(DataFrame.unionByName, (found.select("key", F.lit(size).alias("run"), F.explode(_runs(F.col("words"), size)).alias("words")) for size in RUNS))
-    least = reduce(F.least, [F.lit(10**6), *(F.when(F.col("run") == size, min((need for *_, need, s in entries if s == size), default=10**6)) for size in RUNS)])
+    blocks = reduce(DataFrame.unionByName, (found.select("key", F.lit(size).alias("run"), F.explode(_runs(F.col("words"), size, vocabulary)).alias("words")) for size in sizes))
+    least = reduce(F.least, [F.lit(10**6), *(F.when(F.col("run") == size, min((need for *_, need, s in entries if s == size), default=10**6)) for size in sizes)])
     ordered = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(F.element_at(F.create_map(*(x for k, v in place.items() for x in (F.lit(k), F.lit(v)))), w).alias("k"), w.alias("w")))), lambda o: o["w"])
     sides = blocks.where(F.size("words") >= least).distinct().select("key", "run", ordered.alias("words"))
     probes = sides.select("key", "run", "words", F.posexplode("words").alias("pos", "w"))
@@ -145,20 +180,28 @@ def similar_blocks(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return held.where("overlap >= need").groupBy("key", "template", "label").agg(F.max("containment").alias("containment"))
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+    """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
+    ``templates``: (label, words with a space between, lower case), any number of any length."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text")))
     rows = rows.select("doc_id", key.alias("key"), _spaced(F.col("text")).alias("spaced"))
     rows = rows.select("*", F.split("spaced", " ").alias("all"))
-    rows = rows.select("*", F.array_intersect("all", _literals(_vocabulary())).alias("held"))
-    enough = reduce(lambda a, b: a | b, (F.size(F.array_intersect("held", _literals(words))) >= need for _, _, words, need, _ in _entries(threshold)))
     cols = phrase_columns(F.col("spaced"))
-    one = materialize(rows.select("doc_id", "key", "held", *(c.alias(n) for n, c in cols.items()), F.when(enough, F.col("all")).alias("words")))
+    some = [c.alias(n) for n, c in cols.items()]
+    vocabulary = _vocabulary(templates)
+    if len(vocabulary) <= LITERALS:
+        rows = rows.select("*", F.array_intersect("all", _literals(vocabulary)).alias("held"))
+        enough = reduce(lambda a, b: a | b, (F.size(F.array_intersect("held", _literals(words))) >= need for _, _, words, need, _ in _entries(threshold, templates)), F.lit(False))
+        one = materialize(rows.select("doc_id", "key", "held", *some, F.when(enough, F.col("all")).alias("words")))
+        similar = similar_blocks(one, threshold, templates)
+    else:
+        one = materialize(rows.select("doc_id", "key", "all", *some))
+        similar = similar_by_joins(one.select("key", "all"), threshold, templates)
     labels = sorted(set(PHRASES.values()))
     total = reduce(lambda a, b: a + b, (F.col(f"n {x}") for x in labels))
     base = one.select("doc_id", "key", "n_words", total.alias("n_base"), F.least(*(F.col(f"first {x}") for x in labels)).alias("first_word"), F.greatest(*(F.col(f"last {x}") for x in labels)).alias("last_word"), F.array_compact(F.array(*(F.when(F.col(f"n {x}") > 0, F.lit(x)) for x in labels))).alias("base"))
-    best = similar_blocks(one, threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    best = similar.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     joined = base.join(best.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2"), "left")
     empty = F.array().cast(T.ArrayType(T.StringType()))
     return joined.select(
@@ -172,7 +215,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 def oracle(threshold: float = THRESHOLD) -> str:
     """The same rows in DuckDB's SQL: every run against every template of its size, no filters."""
     spaced = lambda x: f"trim(regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
-    values = ", ".join(f"({size}, '{label}', {words}, {need})" for _, label, words, need, size in _entries(threshold))
+    values = ", ".join(f"({size}, '{label}', {words}, {need})" for _, label, words, need, size in _entries(threshold, TEMPLATES))
     runs = " UNION ALL ".join(f"SELECT k, {s} AS run, list_distinct(ws[i + 1 : i + {s}]) AS ws FROM (SELECT k, ws, unnest(range(0, greatest(len(ws) - {s // 2}, 1), {s // 2})) AS i FROM w)" for s in RUNS)
     parts = []
     for phrase, label in PHRASES.items():
