@@ -11,13 +11,15 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
 
 
-def slow_scan(text):
+def slow_scan(text, templates=S.TEMPLATES):
     w = words(text)
     base = sorted((p, lab) for ph, lab in S.PHRASES.items() for p in range(len(w)) if w[p : p + len(ph.split())] == ph.split())
     best = {}
-    for lab, sentence in S.TEMPLATES:
+    for lab, sentence in templates:
         t = set(sentence.split())
-        size = next(n for n in (8, 32, 128) if len(sentence.split()) <= n // 2)
+        if not t:
+            continue
+        size = next(n for n in (8, 32, 128, 512, 2048, 8192) if len(sentence.split()) <= n // 2)
         for i in range(0, max(1, len(w) - size // 2), size // 2):
             got = len(set(w[i : i + size]) & t)
             if got >= 0.8 * len(t) - 1e-9:
@@ -42,6 +44,25 @@ def test_license_scan_against_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_many_templates_of_any_length(spark):
+    """600 of up to 2,000 words, by joins; one of 70 words as literals."""
+    import random
+
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    templates = [(f"l{k % 40}", " ".join(r.choices(vocabulary, k=r.choice((2, 5, 20, 70, 300, 2000))))) for k in range(600)] + [("none", "")]
+    texts = [None, "", "w1 w2"]
+    for k in range(30):
+        _, sentence = r.choice(templates[:600])
+        own = [w for w in sentence.split() if r.random() > r.choice((0, 0.1, 0.25))]
+        texts.append(" ".join(r.choices(vocabulary, k=r.choice((0, 7, 90))) + own + r.choices(vocabulary, k=50)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")
+    for t, some in ((templates, df), ([("long", " ".join(vocabulary[:70])), ("x", "w1 w2")], df)):
+        got = S.scan(some, templates=t)
+        assert all((x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels, x.labels, x.score) == slow_scan(texts[x.doc_id], t) for x in got.collect())
+        assert got.where("labels <> ''").count() >= 1 and not re.search("Python|Arrow", got._jdf.queryExecution().executedPlan().toString())
+
+
 def test_wrapped_and_unwrapped_notices(spark):
     import random
     import textwrap
@@ -97,6 +118,14 @@ def test_long_urls_and_addresses(spark):
     assert {r.page_id: r.n_active for r in U.filter_urls(c, e, "page_id").collect()} == {0: 1, 1: 1, 2: 0, 3: 1, 4: 1, 5: 1}
 
 
+def test_addresses_of_version_6_rooted_names_and_empty_tables(spark):
+    e = spark.createDataFrame([("a", "[2001:DB8::1]", "add", at(1)), ("a", "ex.com.", "add", at(1)), ("a", "[2001", "add", at(1)), ("a", "dir.org./a", "add", at(1))], "list_name string, pattern string, action string, at timestamp_ntz")
+    urls = ["http://[2001:db8::1]/a", "http://u@[2001:db8::1]:80", "http://[2001:ffff::9]/b", "http://ex.com/", "http://www.ex.com.", "http://ex.com../x", "http://dir.org/a/b", "http://dir.org./A"]
+    c = spark.createDataFrame([(i, u, at(2)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp_ntz")
+    assert {r.page_id: r.n_active for r in U.filter_urls(c, e, "page_id").collect()} == {0: 1, 1: 1, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1}
+    assert U.filter_urls(c.limit(0), e.limit(0), "page_id").collect() == [] and S.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 def test_queries_find_something(spark):
     d = "/root/testdata/sf0.001"
     assert Q.op2_url_filter(spark, d).agg(F.sum("n_active")).first()[0] > 0
