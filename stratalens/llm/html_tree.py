@@ -57,7 +57,7 @@ QUOTING, PLAIN = re.compile("((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), re.compi
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 QUOTED, BARE_LAST = re.compile("\"[^\"]*+\"|'[^']*+'"), re.compile(r"=\s*[^\s\"]\S*\Z")
 LONG_NUMBER = re.compile(r"&#0*+([0-9]{8,})")
-ATTR = re.compile(r"(?<![-\w:.])([a-z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTR = re.compile(r"(?<![-\w:.])([a-z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?+", re.I)
 
 # Words in class, id and role that hint at a block's part; stated together, by part.
 PARTS = {
@@ -74,6 +74,12 @@ PARTS = {
     "form": "form newsletter subscribe subscription signup login search",
 }
 PART_OF = {w: k for k, words in PARTS.items() for w in words.split()}
+# in a longer word these count where it begins (commentlist, adsbygoogle) or ends (mainmenu) with them
+BEGINS = re.compile("(?:" + "|".join(sorted((w for w, k in PART_OF.items() if k != "body" and (len(w) >= 5 or w == "ads")), key=len, reverse=True)) + ")(?!ary|able)")
+ENDS = re.compile("(?:" + "|".join(sorted((w for w, k in PART_OF.items() if k in ("menu", "head", "foot", "side", "advert") and len(w) >= 4), key=len, reverse=True)) + r")\Z")
+# what a paragraph's own class can say of it, and that of an inline element
+OF_TEXT, OF_INLINE = frozenset(("advert", "notice", "talk", "form")), frozenset(("advert", "share"))
+TEXT = frozenset("p pre blockquote figcaption li td th dt dd h1 h2 h3 h4 h5 h6".split())
 KINDS = ["article", "bare", "block", "part", "text"]
 
 
@@ -86,6 +92,26 @@ class Node:
     linked: int = 0
     y: int | None = None
     bare: int | None = None  # label of the runs of text that stand in it
+    gone: bool = False  # hidden, or within something hidden
+
+
+def _part(word: str) -> str | None:
+    """What a word of a class, id or role says."""
+    if word in PART_OF:
+        return PART_OF[word]
+    found = BEGINS.match(word) or ENDS.search(word)
+    return PART_OF[found[0]] if found else None
+
+
+def _marks(attrs: str) -> tuple[dict, frozenset, bool]:
+    """The attributes, the parts that they name, whether they hide the element."""
+    given = {}
+    for k, a, b, c in ATTR.findall(attrs):
+        given.setdefault(k.lower(), a or b or c)
+    said = (w for k in ("class", "id", "role", "aria-label") if k in given for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", given[k]).lower()))
+    style = re.sub(r"\s", "", given.get("style", "").lower())
+    hidden = "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or "display:none" in style or "visibility:hidden" in style
+    return given, frozenset(filter(None, map(_part, said))), hidden
 
 
 def _self_closed(attrs: str) -> bool:
@@ -175,7 +201,7 @@ def parse(page: str | None) -> list[Node]:
             if not (nodes[-1].tag == "bare" and nodes[-1].parent == at):
                 if piece.isspace():
                     return
-                nodes.append(Node("bare", at, y=nodes[at].bare))
+                nodes.append(Node("bare", at, y=nodes[at].bare, gone=nodes[at].gone))
             at = len(nodes) - 1
         nodes[at].text.append((spans, piece))
         spans += 1
@@ -230,8 +256,14 @@ def parse(page: str | None) -> list[Node]:
         if tag in INLINE:
             if tag in VOID:
                 say(" ")
-            else:
+                continue
+            words, hidden = _marks(attrs)[1:] if "=" in attrs or "hidden" in attrs.lower() else (frozenset(), False)
+            if now.hidden or not (hidden or words & OF_INLINE):
                 now.push(tag, now.stack[-1][1], False)
+            else:  # a block of its own in its block's midst
+                up = now.stack[-1][1]
+                nodes.append(Node(tag, up, words & OF_INLINE, gone=hidden or nodes[up].gone))
+                now.push(tag, len(nodes) - 1, False)
             continue
         now.start(tag)
         if tag in VOID:
@@ -241,12 +273,10 @@ def parse(page: str | None) -> list[Node]:
             if not (tag in FOREIGN and _self_closed(attrs)):
                 now.push(tag, now.stack[-1][1], tag in FOREIGN)
             continue
-        given = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)} if attrs else {}
-        words = frozenset(PART_OF[w] for k in ("class", "id", "role", "aria-label") for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", given.get(k, "")).lower()) if w in PART_OF)
-        if "hidden" in given or "display:none" in given.get("style", "").replace(" ", ""):
-            words |= {"notice"}
+        given, words, hidden = _marks(attrs) if attrs else ({}, frozenset(), False)
         label = lambda k: int(given[k]) if given.get(k) in ("0", "1") else None
-        nodes.append(Node(tag, now.stack[-1][1], words, y=label("data-y"), bare=label("data-bare")))
+        up = now.stack[-1][1]
+        nodes.append(Node(tag, up, words & OF_TEXT if tag in TEXT else words, y=label("data-y"), bare=label("data-bare"), gone=hidden or nodes[up].gone))
         now.push(tag, len(nodes) - 1, False)
     say(page[last:])
     return nodes
@@ -279,7 +309,7 @@ def kind(node: Node) -> str:
         return "article"
     if node.tag == "bare":
         return "bare"
-    return "text" if node.tag in ("p", "pre", "blockquote", "figcaption", "li", "td", "th", "dt", "dd") or re.fullmatch("h[1-6]", node.tag) else "block"
+    return "text" if node.tag in TEXT else "block"
 
 
 def _share(z: float) -> float:
@@ -312,7 +342,7 @@ class Model:
 
     def extract(self, page: str | None) -> str:
         nodes = parse(page)
-        texts = [_tidy(x) for x in nodes]
+        texts = ["" if x.gone else _tidy(x) for x in nodes]
         p = self.marginals(nodes, texts)
         pieces: list[tuple[int, str]] = []
         for i, node in enumerate(nodes):
