@@ -160,3 +160,17 @@ def test_pages_of_the_tables_against_the_standard_parser(spark):
         p = Article()
         p.feed(html[r.page_id])
         assert r.text == " ".join("".join(p.out).split())
+
+
+def test_hidden_parts_and_long_names():
+    m = H.fit(H.labelled_pages())
+    p = "<p>This is a paragraph of the article with enough words to count as content, surely.</p>"
+    text = p[3:-4]
+    for gone in ("<div hidden>{}</div>", "<div hidden=''>{}</div>", "<section aria-hidden=true>{}</section>", "<div style='visibility: hidden'>{}</div>", "<div class=adsbygoogle>{}</div>", "<ol class=commentlist><li>{}</li></ol>", "<div class=sponsoredbox>{}</div>"):
+        assert m.extract(f"<article>{p}{gone.format('Nobody of the readers sees these words, or nobody should.')}{p}</article>") == f"{text} {text}", gone
+    assert m.extract(f"<article>{p}<p>Some text <span class=ad>Buy now!</span> and <i hidden>not this</i> more of it, as it goes on.</p></article>") == f"{text} Some text and more of it, as it goes on."
+    assert m.extract(f'<article>{p}<p class="more">And there is more to say about it in this paragraph.</p></article>') == f"{text} And there is more to say about it in this paragraph."
+
+
+def test_no_pages(spark):
+    assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
