@@ -2,10 +2,12 @@
 
 The documents are cut into shards of bounded size inside the tasks that read them. A
 shard's words become integers over the benchmark's vocabulary and its word suffixes are
-sorted by prefix doubling, to the depth of the longest benchmark item: a match cannot be
-longer. Every benchmark suffix is binary-searched in every shard, with the words that both
-ends of the search have in common skipped; its neighbours there give its longest verbatim
-match. Suffixes whose longest match holds a window then get the range of their places, once
+sorted by prefix doubling. Every benchmark suffix is binary-searched in every shard, with the
+words that both ends of the search have in common skipped; its neighbours there give its
+longest verbatim match. ``longest_matches`` sorts and compares to the end of the longest item;
+which words are hit depends on windows only, so ``hits`` sorts and compares as many words as a
+window has, and a long verbatim copy takes time in proportion to its length. Suffixes whose
+match holds a window then get the range of their places, once
 for each distinct window, and the words there are marked. Suffixes of the shard that start
 with fewer than the least window of vocabulary words cannot hold a match and are left out
 of the array.
@@ -129,9 +131,11 @@ def bound(tokens, sa, test, start, limit, upper: bool = False):
 
 class Shard:
     """The suffix array of some rows of word numbers, and the longest verbatim match of
-    every test suffix in it."""
+    every test suffix in it, up to ``limit`` words (no limit: the rest of its item)."""
 
-    def __init__(self, rows: list[np.ndarray], test: TestSet):
+    def __init__(self, rows: list[np.ndarray], test: TestSet, limit: np.ndarray | None = None):
+        limit = test.left if limit is None else limit
+        depth = int(limit.max(initial=1))
         self.test, self.bases = test, np.cumsum([0, *(len(r) + 1 for r in rows)])
         end, none = np.zeros(1, np.int64), np.zeros(0, np.int64)
         tokens = np.concatenate([part for r in rows for part in (r, end)] + [np.zeros(test.depth + 1, np.int64)])
@@ -152,8 +156,8 @@ class Shard:
         np.add.at(edge, np.minimum(ends + run[ends] + 1, len(tokens)), -1)
         self.where = np.flatnonzero(near | (np.cumsum(edge[:-1]) > 0))
         self.tokens = np.concatenate((tokens[self.where], np.zeros(test.depth + 1, np.int64)))
-        self.sa = suffix_array(self.tokens, np.flatnonzero(near[self.where]), test.depth)
-        _, self.longest = bound(self.tokens, self.sa, test.tokens, test.start, test.left)
+        self.sa = suffix_array(self.tokens, np.flatnonzero(near[self.where]), depth)
+        _, self.longest = bound(self.tokens, self.sa, test.tokens, test.start, limit)
 
     def ranges(self, which: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the test suffixes ``which``: places of the suffixes with the same first words."""
@@ -177,7 +181,7 @@ class Shard:
 
 def hits(rows: list[np.ndarray], test: TestSet) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """A mask of hit words of each row, and distinct (row, item) with an occurring window."""
-    shard, items = Shard(rows, test), max(1, len(test.item_ids))
+    shard, items = Shard(rows, test, test.need), max(1, len(test.item_ids))
     edge = np.zeros(int(shard.bases[-1]) + test.depth + 2, np.int64)
     # one suffix of each distinct window that stands here
     found = np.flatnonzero(shard.longest >= test.need) if len(shard.sa) else np.zeros(0, np.int64)
