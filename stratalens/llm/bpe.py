@@ -11,7 +11,9 @@ merged once. Every text is encoded whole; nothing is shuffled.
 
 Null and empty texts give no ids and an empty decoded text. Strings of special tokens in
 a text become their ids, as the library does by default. Extra columns are not needed
-and not returned; repeated rows are encoded alike.
+and not returned; repeated rows are encoded alike. A very long text takes memory of some
+forty times its size, in its task alone. A file that asks for another normalizer, splitter,
+decoder or option than this module does raises an error.
 """
 
 from __future__ import annotations
@@ -37,6 +39,21 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer file asks for that this module would not do as the library does."""
+    kinds = lambda part, inner: [x.get("type") for x in ((part or {}).get(inner) or [part or {}])]
+    out = [k for k in ("decoder", "truncation", "padding") if spec.get(k)]
+    if kinds(spec.get("normalizer"), "normalizers") != ["NFC", "Replace", "Lowercase"]:
+        out.append("a normalizer other than NFC, white space and lower case")
+    pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [x.get("type") for x in pre] != ["Split", "ByteLevel"] or pre[0].get("behavior") != "Removed" or not pre[0].get("invert") or pre[1].get("use_regex") or pre[1].get("add_prefix_space"):
+        out.append("a pre-tokenizer other than a split by pattern and bytes")
+    model = spec.get("model") or {}
+    out += [f"model {k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    out += [f"added token {k}" for k in ("single_word", "lstrip", "rstrip", "normalized") if any(t.get(k) for t in spec.get("added_tokens", []))]
+    return out
+
+
 class Vocabulary:
     """What the tokenizer file says, ready for encoding and decoding."""
 
@@ -67,7 +84,11 @@ class Vocabulary:
             data = f.read(MAX_FILE_BYTES + 1)
         if len(data) > MAX_FILE_BYTES:
             raise ValueError(f"{path} is larger than {MAX_FILE_BYTES} bytes; it would be broadcast")
-        return json.loads(data)
+        spec = json.loads(data)
+        unknown = unsupported(spec)
+        if unknown:
+            raise ValueError(f"{path}: not supported: {', '.join(unknown)}")
+        return spec
 
     def merge(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece: best-ranked merge first, leftmost among equals."""
@@ -143,7 +164,10 @@ def encode_decode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``tokens`` with the column ``decoded``; null ids give an empty text."""
+    """``tokens`` with the column ``decoded``; null ids give an empty text. A column of that
+    name raises an error."""
+    if "decoded" in {c.lower() for c in tokens.columns}:
+        raise ValueError("rename the column decoded first")
     shared = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
     out = tokens.withColumn("decoded", F.lit("").cast("string"))
     at = out.columns.index(ids)

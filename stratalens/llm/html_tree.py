@@ -20,8 +20,8 @@ raw text (``RAW``) reach their own end tag or the end of the page; what else is
 template, which HTML would let run on). ``head`` bounds nothing, as HTML ends it at the first
 content. Once a quoted value never ends, the rest of the page is read without quotes.
 Parsing takes time in proportion to a page's length, however it is marked up; a very long
-page takes memory of a few times its size, in its task alone. Repeated rows and extra columns
-are no matter.
+page takes memory of a few times its size, in its task alone. Repeated rows are no matter, extra
+columns stay; one of the name of the result raises an error.
 """
 
 from __future__ import annotations

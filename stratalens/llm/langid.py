@@ -11,7 +11,8 @@ is the model: ``DIM`` x languages numbers, whatever the input's size.
 Null texts and texts without a letter are ``und`` with score 1. Rows without a language are
 not learned from. Without any training row every text is ``und``, with score 0 where it
 has a letter. Repeated rows and ties: the first language in sorted order. Extra columns
-are ignored.
+stay; one of the name of a result raises an error. Languages come to the driver, one row each.
+A very long text is predicted whole, in memory of a few times its size, in its task alone.
 """
 
 from __future__ import annotations
