@@ -39,3 +39,19 @@ def test_query_over_rows(spark, pair):
         assert own.decode(r.ids) == r.decoded
     assert [r.decoded for r in bpe.decode(got.drop("decoded"), path).orderBy("doc_id").collect()] == [r.decoded for r in got.orderBy("doc_id").collect()]
     assert bpe.encode_decode(df.where("1 = 0"), path).count() == 0
+
+
+def test_files_that_ask_for_more_are_refused(tmp_path, pair):
+    import json
+
+    spec = bpe.Vocabulary.load(pair[2])
+    for change in ({"decoder": {"type": "ByteLevel"}}, {"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"unk_token": "x"}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.Vocabulary.load(str(tmp_path / "t.json"))
+
+
+def test_decoding_does_not_overwrite(spark, pair):
+    df = spark.createDataFrame([(1, [1, 2], "mine")], "doc_id long, ids array<int>, decoded string")
+    with pytest.raises(ValueError):
+        bpe.decode(df, pair[2])
