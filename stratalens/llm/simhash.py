@@ -235,10 +235,13 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     found = groups(keys, radius, block)
     best = keys.join(found, keys["fp"] == found["fp2"]).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "n")).alias("b"))
     best = materialize(best.select(F.col("b.key").alias("kept"), F.col("b.n").alias("rows")))
-    # written, so that Spark knows their sizes before it decides how texts meet them
-    repeated = materialize(best.where("rows > 1").select(F.col("kept").alias("key")))
-    gone = materialize(keys.select("key").join(best, F.col("key") == F.col("kept"), "left_anti").unionByName(repeated))
-    single = keyed.join(gone, keyed[key] == gone["key"], "left_anti")
-    copies = keyed.join(repeated, keyed[key] == repeated["key"], "left_semi")
+    # texts meet both kinds of digests in one join, by merging at every size, so that the plan is
+    # the same for a large input and a small one
+    repeated = best.where("rows > 1").select(F.col("kept").alias("key"), F.lit(True).alias("again"))
+    gone = keys.select("key").join(best, F.col("key") == F.col("kept"), "left_anti").withColumn("again", F.lit(False))
+    marks = materialize(gone.unionByName(repeated)).select(F.col("key").alias(f"{key}met"), F.col("again").alias(f"{key}again"))
+    joined = keyed.where(F.col(key).isNotNull()).join(marks.hint("merge"), F.col(key) == F.col(f"{key}met"), "left")
+    single = joined.where(F.col(f"{key}met").isNull())
+    copies = joined.where(F.col(f"{key}again"))
     first = copies.groupBy(key).agg(F.min_by(F.struct(*docs.columns), F.sha2(F.to_json(F.struct(*docs.columns)), 256)).alias(f"{key}row")).select(f"{key}row.*")
     return single.select(*docs.columns).unionByName(first)
