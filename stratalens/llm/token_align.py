@@ -108,10 +108,12 @@ class Tokenizers:
 
 def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seven bits to a byte, the lowest first, bit 7 set where more follow; where each ends."""
-    size = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    numbers = numbers.astype(np.int64, copy=False)
+    most = -(-int(numbers.max(initial=1)).bit_length() // 7)
+    size = 1 + sum((numbers >> 7 * k > 0).astype(np.int64) for k in range(1, most))
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    for k in range(5):
+    for k in range(most):
         some = size > k
         out[(ends - size + k)[some]] = ((numbers[some] >> 7 * k) & 127) | np.where(size[some] > k + 1, 128, 0)
     return out, ends
@@ -142,15 +144,24 @@ def packed_groups(ids_a: list, ids_b: list, segment: np.ndarray, at_a: np.ndarra
     return [whole[a:b] for a, b in zip([0, *cuts], cuts)]
 
 
-def group_text(data: bytes) -> tuple[int, int, int, str]:
-    """Numbers of A tokens, B tokens and groups; ``a1,a2|b1;a3|b2``."""
-    x, i, n_a, n_b, out = unpacked(data).tolist(), 0, 0, 0, []
-    while i < len(x):
-        a, b = x[i], x[i + 1]
-        n_a, n_b = n_a + a, n_b + b
-        out.append(",".join(map(str, x[i + 2 : i + 2 + a])) + "|" + ",".join(map(str, x[i + 2 + a : i + 2 + a + b])))
-        i += 2 + a + b
-    return n_a, n_b, len(out), ";".join(out)
+def group_texts(numbers: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Of the groups between each two cuts: numbers of A tokens, B tokens and groups;
+    ``a1,a2|b1;a3|b2``."""
+    values, counts, out = numbers.tolist(), [], []
+    words = list(map(str, values))
+    for i, end in zip(cuts.tolist(), cuts[1:].tolist()):
+        n_a = n_b = 0
+        groups = []
+        while i < end:
+            first = i + 2
+            middle = first + values[i]
+            last = middle + values[i + 1]
+            n_a, n_b = n_a + values[i], n_b + values[i + 1]
+            groups.append(",".join(words[first:middle]) + "|" + ",".join(words[middle:last]))
+            i = last
+        counts.append((n_a, n_b, len(groups)))
+        out.append(";".join(groups))
+    return np.array(counts, np.int64).reshape(-1, 3).T, out
 
 
 def _loaded(path_a: str, path_b: str, made=[]) -> Tokenizers:  # noqa: B006  one pair a worker
@@ -252,16 +263,19 @@ def with_sums(aligned: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _bundle(places: np.ndarray, best: np.ndarray, count: np.ndarray, groups: list[bytes]) -> bytes:
-    parts = [packed(x)[0].tobytes() for x in (places, best, count, np.array([len(g) for g in groups], np.int64))] + [b"".join(groups)]
+    whole = b"".join(groups)
+    size = np.array([len(g) for g in groups], np.int64)
+    numbers = np.add.reduceat(np.frombuffer(whole, np.uint8) < 128, np.cumsum(size) - size, dtype=np.int64)  # of each entry
+    parts = [packed(x)[0].tobytes() for x in (places, best, count, numbers)] + [whole]
     return zstandard.compress(np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts), 3)
 
 
-def _unbundle(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _unbundle(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places, best, count, where each entry's numbers begin and end, all numbers."""
     raw = zstandard.decompress(data)
     cuts = np.concatenate(([0], np.cumsum(np.frombuffer(raw[:20], "<u4").astype(np.int64)))) + 20
-    places, best, count, size = (unpacked(raw[a:b]) for a, b in zip(cuts[:4], cuts[1:5]))
-    ends = (np.cumsum(size) + cuts[4]).tolist()
-    return places, best, count, [raw[a:b] for a, b in zip([int(cuts[4]), *ends], ends)]
+    places, best, count, n, numbers = (unpacked(raw[a:b]) for a, b in zip(cuts, cuts[1:]))
+    return places, best, count, np.concatenate(([0], np.cumsum(n))), numbers
 
 
 def bundled(entries: DataFrame) -> DataFrame:
@@ -302,8 +316,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
         found = [_unbundle(x) for x in right.column("bundle").to_pylist()]
         size = sum(len(x[0]) for x in found)
         numbers, texts = np.zeros((5, size), np.int64), [""] * size
-        for places, best, count, groups in found:
-            *own, words = zip(*map(group_text, groups))
+        for places, best, count, cuts, groups in found:
+            own, words = group_texts(groups, cuts)
             numbers[:3, places], numbers[3, places], numbers[4, places] = own, best, count
             for i, w in zip(places.tolist(), words):
                 texts[i] = w
