@@ -110,7 +110,7 @@ def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Seven bits to a byte, the lowest first, bit 7 set where more follow; where each ends."""
     numbers = numbers.astype(np.int64, copy=False)
     most = -(-int(numbers.max(initial=1)).bit_length() // 7)
-    size = 1 + sum((numbers >> 7 * k > 0).astype(np.int64) for k in range(1, most))
+    size = sum(((numbers >> 7 * k > 0).astype(np.int64) for k in range(1, most)), np.ones(len(numbers), np.int64))
     ends = np.cumsum(size)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(most):
