@@ -69,7 +69,7 @@ def test_counts_by_a_join_where_they_are_too_many_to_look_up(spark, monkeypatch)
 def test_packed_numbers_come_back():
     import numpy as np
 
-    x = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 2**31, 5])
+    x = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, 2**31, 2**35, 2**62, 5])
     data, ends = token_align.packed(x)
     assert token_align.unpacked(data.tobytes()).tolist() == x.tolist() and ends[-1] == len(data)
     assert token_align.unpacked(b"").tolist() == []
