@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import exprs as X
 from ..operators import anomalies, association, attributes, forest, identity, network, regression, series, space, tables as T
@@ -341,20 +341,29 @@ class Engine:
         n = self.nodes.where(F.col("node_id") == node).join(e.select(F.lit(node).alias("_n")).distinct(), F.col("node_id") == F.col("_n"), "left_semi")
         return n, e.groupBy("edge_type").agg(F.count("*").alias("n")), e.select("case_id").distinct()
 
+    @cached_property
+    def _clusters(self) -> DataFrame:
+        """Identity clusters of all accused, resolved once."""
+        return materialize(self.identities().select("id", "cluster"))
+
     def associations(self, case_id: int, focus: str | None = None, limit: int = 40, offset: int = 0, **filters) -> DataFrame:
         """Edges of the overview, or with ``focus`` of one entity's related cases too."""
         if focus is None:
             return association.seed_edges(self.cases, self.people, case_id)
-        same = self.identities().select("id", "cluster") if focus.startswith("ACCUSED_RECORD:") else self.spark.createDataFrame([], "id long, cluster string")
+        same = self._clusters if focus.startswith("ACCUSED_RECORD:") else self.spark.createDataFrame([], "id long, cluster string")
         return association.expanded_edges(self.cases, self.people, same, case_id, focus, limit, offset, **filters)
 
     # -- runs with their evidence -------------------------------------------------------
 
     def recorded(self, path: str, analytic: str, **options) -> DataFrame:
-        """Runs ``trends``, ``hotspots``, ``anomalies`` or ``identities`` as a recorded run: one
-        row of evidence for each finding, with the cases it rests on, joined and written by
-        Spark. Returns the findings."""
-        maker = {"trends": self._trend_evidence, "hotspots": self._hotspot_evidence, "anomalies": self._anomaly_evidence, "identities": self._identity_evidence}[analytic]
+        """Runs ``trends``, ``hotspots``, ``anomalies``, ``identities``, ``area_risk``, ``profiles``
+        or ``metrics`` as a recorded run: one row of evidence for each finding, with the cases
+        it rests on, joined and written by Spark. Returns the findings."""
+        makers = {
+            "trends": self._trend_evidence, "hotspots": self._hotspot_evidence, "anomalies": self._anomaly_evidence, "identities": self._identity_evidence,
+            "area_risk": self._risk_evidence, "profiles": self._profile_evidence, "metrics": self._metric_evidence,
+        }
+        maker = makers[analytic]
         with governance.recorded_run(self.spark, path, analytic.upper()) as run:
             found, evidence = maker(**options)
             run.emit_all(evidence)
@@ -386,6 +395,31 @@ class Engine:
         claim = F.format_string("possibly one person: %s (%.3f)", "names", "confidence")
         return found, cases.select(claim.alias("claim"), "case_ids", F.lit("blocked name and age scores").alias("method"))
 
+    def _risk_evidence(self, predictor=None, **options) -> tuple[DataFrame, DataFrame]:
+        """A district's reasons, with its six newest cases."""
+        found = materialize(self.risk_reasons(predictor, **options))
+        newest = Window.partitionBy("district_id").orderBy(F.desc("registered_date"), F.desc("case_id"))
+        cases = self.cases.where("district_id is not null and registered_date is not null").withColumn("k", F.row_number().over(newest)).where("k <= 6")
+        cases = cases.groupBy(F.col("district_id").alias("_d")).agg(F.array_sort(F.collect_list("case_id")).alias("case_ids"))
+        claim = F.concat_ws("; ", F.col("district_name"), F.array_join("reasons", "; "))
+        j = found.join(cases, F.col("district_id") == F.col("_d"), "left")
+        return found, j.select(claim.alias("claim"), F.coalesce("case_ids", F.array().cast("array<long>")).alias("case_ids"), F.lit("window features").alias("method"))
+
+    def _profile_evidence(self, signals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """What was read out of each narrative."""
+        found = materialize(self.profiles(signals))
+        v = attributes.profile_values(found, "case_id")
+        said = F.array_compact(F.array(*(F.when(F.col(c) != attributes.UNKNOWN, F.concat(F.lit(f"{c}: "), F.col(c))) for c in v.columns if c != "case_id")))
+        return found, v.where(F.size(said) > 0).select(F.array_join(said, ", ").alias("claim"), F.array("case_id").alias("case_ids"), F.lit("stated phrases").alias("method"))
+
+    def _metric_evidence(self) -> tuple[DataFrame, DataFrame]:
+        """What is said of a node, with the cases of the record."""
+        found = materialize(self.metrics())
+        cases = self.tables("Accused").select(F.col("AccusedMasterID").alias("_n"), F.col("CaseMasterID").alias("case_id"))
+        claim = F.format_string("%s: %s (degree %d, betweenness %.6f)", F.col("node").cast("string"), "interpretation", "degree", "betweenness")
+        j = found.where("interpretation is not null").join(cases, F.col("node") == F.col("_n"))
+        return found, j.select(claim.alias("claim"), F.array("case_id").alias("case_ids"), F.lit("case association graph").alias("method"))
+
     def risk_reasons(self, predictor=None, window_days: int = 30) -> DataFrame:
         """The forecast with ``reasons``: what moves a district's expectation, in sentences,
         and ``confidence`` (level and basis)."""

@@ -170,3 +170,36 @@ def test_units_and_arrest_districts(engine):
     asked = engine.cases.where("district_id = 44").select("case_id")
     found = engine.arrest_districts(asked).collect()
     assert found and all(r.districts == [44] for r in found)
+
+
+def test_evidence_of_risk_profiles_and_metrics(engine, tmp_path):
+    path = str(tmp_path / "runs")
+    n = {a: engine.recorded(path, a).count() for a in ("area_risk", "profiles", "metrics")}
+    assert n["area_risk"] == 12 and n["profiles"] > 0
+    shown = governance.completed_evidence(engine.spark, path)
+    risk = shown.where("method = 'window features'").collect()
+    assert len(risk) == 12 and all(0 < len(r.case_ids) <= 6 and "recent" not in r.claim[:3] for r in risk)
+    assert shown.where("method = 'stated phrases'").count() > 0 and shown.where("size(case_ids) = 0").count() == 0
+
+
+def test_risk_model_views_and_members(engine, spark, tmp_path):
+    assert engine.risk_predictor(str(tmp_path / "m")) is None
+    model = engine.train_risk(str(tmp_path / "m"), "2026-1")
+    got = engine.risk_forecast(engine.risk_predictor(str(tmp_path / "m"))).collect()
+    assert model.rows > 12 and len(got) == 12 and all(r.available and r.expected >= 0 and r.level for r in got)
+    engine.export_risk_training(str(tmp_path / "csv"))
+    table = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert table.columns == ["recent", "prior", "prior2", "velocity", "rolling_mean_3", "trend_slope", "month", "target"] and table.count() == engine.risk_training().count()
+    for role in ("accused", "victim", "complainant", "employee"):
+        assert not {c for c in engine.without_personal_data(role).columns if "Name" in c or "KGID" in c or "DOB" in c}
+    flags = {r.consistent for r in engine.subhead_consistency().select("consistent").distinct().collect()}
+    assert flags <= {True, False, None} and True in flags
+    one = engine.person_index().where("others > 0 and role = 'accused'").first()
+    if one is not None:
+        members = engine.person_members("accused", one.record_id).collect()
+        assert len(members) == one.others + 1 and len({(m.name.strip().lower(), m.age, m.gender) for m in members}) == 1
+    v = engine.profiles().where("crime_action.start is not null").first()
+    text = engine.cases.where(F.col("case_id") == v.case_id).first().narrative.strip()
+    phrase = text[v.crime_action.start : v.crime_action.end]
+    seen = engine.profiles(spark.createDataFrame([(v.case_id, [phrase.upper(), ""])], "case_id long, mentions array<string>")).where(F.col("case_id") == v.case_id).first()
+    assert abs(seen.crime_action.confidence - min(0.95, v.crime_action.confidence + 0.05)) < 1e-9
