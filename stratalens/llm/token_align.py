@@ -41,7 +41,7 @@ from ..session import materialize
 from .bpe import byte_symbols
 from .common import slices
 
-CHUNK_BYTES, SEGMENTS_BYTES, LOOKED_UP, PART, DOCS, BUNDLED = 16 << 20, 1 << 20, 1 << 22, 1 << 16, 256, 1 << 18
+CHUNK_BYTES, SEGMENTS_BYTES, LOOKED_UP, PART, DOCS, BUNDLED = 16 << 20, 1 << 18, 1 << 22, 1 << 16, 256, 1 << 18
 SEGMENT = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 MARK = "▁"
 
@@ -93,7 +93,7 @@ class Tokenizers:
     def align(self, found: list[str]) -> tuple[list, list, np.ndarray, np.ndarray, np.ndarray]:
         """Of segments: A's ids, B's ids, and of all common ends, in order, the segment and
         the places of the A and the B token that end there (over all ids in a row)."""
-        ids_a = [e.ids for e in self.a.encode_batch(found, add_special_tokens=False)]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(found, add_special_tokens=False)]  # without offsets
         # the model puts the first blank there itself; of nothing but that blank it makes nothing
         ids_b = [got or [self.b.piece_to_id(MARK)] for got in self.b.encode([s[1:] for s in found], num_threads=1)]
         flat_a, flat_b = (np.fromiter((i for ids in own for i in ids), np.int64) for own in (ids_a, ids_b))
@@ -267,12 +267,12 @@ def _bundle(places: np.ndarray, best: np.ndarray, count: np.ndarray, groups: lis
     size = np.array([len(g) for g in groups], np.int64)
     numbers = np.add.reduceat(np.frombuffer(whole, np.uint8) < 128, np.cumsum(size) - size, dtype=np.int64)  # of each entry
     parts = [packed(x)[0].tobytes() for x in (places, best, count, numbers)] + [whole]
-    return zstandard.compress(np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts), 3)
+    return len(groups).to_bytes(4, "little") + zstandard.compress(np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts), 3)
 
 
 def _unbundle(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places, best, count, where each entry's numbers begin and end, all numbers."""
-    raw = zstandard.decompress(data)
+    raw = zstandard.decompress(data[4:])
     cuts = np.concatenate(([0], np.cumsum(np.frombuffer(raw[:20], "<u4").astype(np.int64)))) + 20
     places, best, count, n, numbers = (unpacked(raw[a:b]) for a, b in zip(cuts, cuts[1:]))
     return places, best, count, np.concatenate(([0], np.cumsum(n))), numbers
@@ -313,10 +313,10 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
     entries = entries.select(F.col("chunk").alias("in_chunk"), "place", "segment").join(known, "segment").drop("segment")
 
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [_unbundle(x) for x in right.column("bundle").to_pylist()]
-        size = sum(len(x[0]) for x in found)
+        size = sum(int.from_bytes(x.as_py()[:4], "little") for x in right.column("bundle"))
         numbers, texts = np.zeros((5, size), np.int64), [""] * size
-        for places, best, count, cuts, groups in found:
+        for x in right.column("bundle"):  # one at a time
+            places, best, count, cuts, groups = _unbundle(x.as_py())
             own, words = group_texts(groups, cuts)
             numbers[:3, places], numbers[3, places], numbers[4, places] = own, best, count
             for i, w in zip(places.tolist(), words):
