@@ -55,6 +55,20 @@ def test_substring_index_finds_what_contains_finds(spark, tmp_path):
     assert substring.candidates(index, "ab") is None
 
 
+def test_substring_index_takes_time_linear_in_a_text(spark, tmp_path):
+    import time
+
+    r = random.Random(3)
+    long = "".join(chr(r.choice((97, 233, 0x4E2D, 0x1F600)) + r.randrange(20)) for _ in range(400_000))
+    df = spark.createDataFrame([("a", long), ("b", long[:200_000]), ("c", None)], "id string, text string")
+    began = time.time()
+    index = substring.build(df, "id", "text", str(tmp_path), 4)
+    assert [x.id for x in substring.search(df, index, "id", "text", long[300_000:300_040]).collect()] == ["a"]
+    assert time.time() - began < 60  # a square of the length takes hours
+    whole = index.where(F.array_contains("keys", "a")).agg(F.countDistinct("gram")).first()[0]
+    assert whole == len({long.lower()[i : i + 3] for i in range(len(long) - 2)})
+
+
 def test_monthly_tables_prune(spark, tmp_path):
     day = dt.datetime(2025, 1, 1)
     rows = [(i, day + dt.timedelta(hours=7 * i)) for i in range(2000)] + [(9000, None)]
