@@ -253,3 +253,18 @@ def test_districts_of_cases(spark):
     a = spark.createDataFrame([(1, 44), (1, 12), (1, 44), (2, None), (3, 9)], "case_id long, d long")
     got = tables.districts_of_cases(a, spark.createDataFrame([(1,), (2,), (7,)], "case_id long"), "case_id", "d").collect()
     assert [tuple(r) for r in got] == [(1, [12, 44])]
+
+
+def test_crowded_cells_are_cut_into_blocks(spark):
+    import random
+
+    r = random.Random(5)
+    points = [(12 + r.gauss(0, 0.0004), 77 + r.gauss(0, 0.0004)) for _ in range(500)] + [(12 + r.uniform(0, 0.02), 77 + r.uniform(0, 0.02)) for _ in range(100)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id long, lat double, lon double")
+    far = X.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    want = df.crossJoin(df.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))).where("id < b").where(far <= 60)
+    want = {(x.id, x.b): x.m for x in want.select("id", "b", far.alias("m")).collect()}
+    for block in (2048, 40, 7):
+        got = space.close_pairs(df, 60, block).collect()
+        assert len(got) == len(want) > 10_000 and {(x.a, x.b) for x in got} == set(want)
+        assert all(abs(x.metres - want[x.a, x.b]) < 1e-4 for x in got)
