@@ -97,7 +97,11 @@ def candidates(people: DataFrame, min_size: int = 2) -> DataFrame:
     folded = ages.select("component", F.aggregate(F.transform("ages", lambda x: x.cast("int")), start, step).alias("f"))
     banded = m.join(folded, "component", "left").select("component", "id", F.coalesce(F.element_at("f.of", F.col("age").cast("int")), F.col("f.band"), F.lit(0)).alias("band"))
     own = links.join(banded.select(F.col("id").alias("a"), F.col("component").alias("ca"), F.col("band").alias("ba")), "a").join(banded.select(F.col("id").alias("b"), F.col("band").alias("bb")), "b").where("ba = bb")
-    conf = own.groupBy(F.col("ca").alias("component"), F.col("ba").alias("band")).agg(F.round(F.sum(F.col("score") * F.col("pairs")) / F.sum("pairs"), 3).alias("confidence"))
+    # scores have four decimals and pairs are halves: whole numbers are summed, so a mean does not
+    # depend on the order; it is rounded as SQL engines round doubles, after scaling
+    own = own.select(F.col("ca").alias("component"), F.col("ba").alias("band"), F.round(F.col("score") * 10000).cast("decimal(5,0)").alias("points"), F.round(F.col("pairs") * 2).cast("decimal(19,0)").alias("halves"))
+    conf = own.groupBy("component", "band").agg(F.sum(F.col("points") * F.col("halves")).cast("double").alias("points"), F.sum("halves").cast("double").alias("halves"))
+    conf = conf.select("component", "band", (F.round(F.col("points") / 20000 / (F.col("halves") / 2) * 1000) / 1000).alias("confidence"))
     size = banded.groupBy("component", "band").agg(F.count("*").alias("members")).where(F.col("members") >= min_size)
     return banded.join(size, ["component", "band"]).join(conf, ["component", "band"]).select(F.concat_ws("-", F.lit("id"), "component", "band").alias("cluster"), "id", "band", "members", "confidence")
 

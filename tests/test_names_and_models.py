@@ -111,3 +111,24 @@ def test_forecast_with_and_without_a_model(spark):
     got = series.forecast(f, regression.predictor(model)).collect()
     assert all(x.available and abs(x.expected - 2 * x.d) < 1e-6 for x in got) and {x.level for x in got} == {"low", "medium", "high"}
     assert series.forecast(f).where("available or expected is not null").count() == 0
+
+
+def test_confidence_does_not_depend_on_the_order_of_links(spark, monkeypatch):
+    import random
+
+    import duckdb
+
+    r = random.Random(1)
+    scores = [r.choice((0.7225, 0.79, 0.7925, 0.8275, 0.8475, 0.8625, 0.895, 0.93, 0.9475, 1.0)) for _ in range(400 * 6)]
+    clusters = [scores[i : i + 6] for i in range(0, len(scores), 6)]
+    people = spark.createDataFrame([(10 * c + k, "", 30, "M") for c in range(len(clusters)) for k in range(7)], "id long, name string, age int, gender string")
+
+    def confidence(order):
+        links = [(10 * c, 10 * c + 1 + k, s, 1.0) for c, own in enumerate(clusters) for k, s in enumerate(order(own))]
+        monkeypatch.setattr(identity, "linked_pairs", lambda _: spark.createDataFrame(links, "a long, b long, score double, pairs double").coalesce(1))
+        return {int(x.cluster.split("-")[1]) // 10: x.confidence for x in identity.candidates(people).collect()}
+
+    got = [confidence(order) for order in (sorted, lambda own: sorted(own)[::-1], list)]
+    assert got[0] == got[1] == got[2]
+    whole = [duckdb.sql(f"SELECT round({sum(round(s * 10000) for s in own)} / 10000.0::DOUBLE / 6, 3)").fetchall()[0][0] for own in clusters]
+    assert got[0] == dict(enumerate(whole))
