@@ -14,8 +14,8 @@ Ordinary windows that are shortened so too are samples of the ordinary trainer,
 of the rest. A window counts once a text and in the first ``REPEATS`` texts that hold it, so
 copies do not lead. A round that leaves the trainer too few is the last, and not used.
 
-Words are runs of ASCII letters, digits and non-ASCII characters, cut at ``LONGEST`` bytes. Each
-is written twice, the second time in another alphabet: a word that a dictionary holds is still
+Words are runs of ASCII letters, digits and non-ASCII characters; one of more than ``LONGEST``
+bytes counts as so many words of at most that length, so that no byte is left out. Each is written twice, the second time in another alphabet: a word that a dictionary holds is still
 one match, one that it does not hold costs its letters twice, so bytes of length tell more. A
 window stands behind a fixed carrier that all dictionaries hold and before a tail, since
 zstandard stores short blocks uncompressed and starts no match in the last 8 bytes.
@@ -74,8 +74,8 @@ class TooFew(ValueError):
 
 
 def written(text: str | None) -> list[bytes]:
-    """The words, each in both alphabets."""
-    return [w[:LONGEST] + w[:LONGEST].translate(OTHER) for w in words_of(text)]
+    """The words, each in both alphabets; a longer one goes on in the next entry."""
+    return [w[i : i + LONGEST] + w[i : i + LONGEST].translate(OTHER) for w in words_of(text) for i in range(0, len(w), LONGEST)]
 
 
 def windows(words: list[bytes], size: int, step: int) -> list[bytes]:

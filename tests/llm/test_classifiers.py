@@ -193,3 +193,10 @@ def test_ftrl_equals_the_plain_form_and_is_sparse():
 def test_grams_are_those_of_the_letters():
     assert L.grams("Ab").tolist() == L.grams("aB").tolist() and L.grams("ab 12").tolist() == L.grams("ab?!").tolist() and len(L.grams("ab")) == 4 + 3 + 2
     assert set(L.grams("a")) <= set(L.grams("a b")) and len(set(L.grams("the cat")) & set(L.grams("the dog"))) > 5
+
+
+def test_toxicity_reads_long_words_whole():
+    for text in ("x" * 10 + "y" * 40 + "z" * 3, "字" * 30, "short 字字字 " + "0123456789" * 50):
+        halves = [w[: len(w) // 2] for w in X.written(text)]
+        assert b"".join(halves) == text.replace(" ", "").encode() and max(map(len, halves)) <= X.LONGEST
+    assert X.written("plain words") == [w + w.translate(X.OTHER) for w in (b"plain", b"words")]
