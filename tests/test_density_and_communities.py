@@ -173,3 +173,18 @@ def test_path_scores_by_groups_and_by_levels_agree(spark):
     levels = {r.node: r.betweenness for r in network.betweenness(df, steps=0).collect()}
     assert one.keys() == levels.keys() and all(abs(one[k] - levels[k]) < 1e-5 for k in one)
     assert network.betweenness(spark.createDataFrame([], EDGES)).collect() == []
+
+
+def test_labels_are_not_broadcast(spark):
+    import re
+
+    e = spark.createDataFrame([(i, i + 1, 1) for i in range(60) if i % 6 != 5], "a long, b long, weight long")
+    seen = []
+    own = network.materialize
+    try:
+        network.materialize = lambda df: seen.append(spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")) or own(df)
+        found = network.label_communities(e)
+    finally:
+        network.materialize = own
+    assert found.count() == 60 and sum("SortMergeJoin" in p for p in seen) > 1
+    assert not any(re.search("BroadcastExchange", p) for p in seen)
