@@ -268,3 +268,21 @@ def test_crowded_cells_are_cut_into_blocks(spark):
         got = space.close_pairs(df, 60, block).collect()
         assert len(got) == len(want) > 10_000 and {(x.a, x.b) for x in got} == set(want)
         assert all(abs(x.metres - want[x.a, x.b]) < 1e-4 for x in got)
+
+
+def test_jaccard_by_packed_lists(spark, monkeypatch):
+    import random
+
+    r = random.Random(6)
+    pairs = {tuple(sorted(r.sample(range(300), 2))) for _ in range(2500)} | {(5, k) for k in range(6, 250)} | {(7, 1 << 40), (1 << 40, 1 << 41), (-9, 7)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {(a, b): round(len(near[a] & near[b]) / len(near[a] | near[b]), 5) for a, b in pairs}
+    e = spark.createDataFrame(sorted(pairs), "a long, b long")
+    monkeypatch.setattr(network, "jaccard_by_cells", None)
+    for links in (1 << 21, 500):
+        monkeypatch.setattr(network, "LINKS", links)
+        got = network.jaccard(e).collect()
+        assert len(got) == len(pairs) and all(abs(x.jaccard - want[x.a, x.b]) < 2e-5 for x in got)
