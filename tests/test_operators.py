@@ -286,3 +286,39 @@ def test_jaccard_by_packed_lists(spark, monkeypatch):
         monkeypatch.setattr(network, "LINKS", links)
         got = network.jaccard(e).collect()
         assert len(got) == len(pairs) and all(abs(x.jaccard - want[x.a, x.b]) < 2e-5 for x in got)
+
+
+def test_jaccard_sends_lists_in_packed_rows_and_a_task_meets_two_blocks(spark, monkeypatch):
+    """Ids without any locality: rows that travel are a few for each two blocks, not one for
+    each node and block."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(7)
+    pairs = sorted({tuple(sorted(r.sample(range(2000), 2))) for _ in range(20_000)})
+    links = pairs + [(b, a) for a, b in pairs] + pairs[:500]  # repeats count once
+    r.shuffle(links)
+    links.sort(key=lambda x: x[0])
+    parts = [links[k : k + 1000] for k in range(0, len(links), 1000)]
+    batches = (pa.RecordBatch.from_arrays([pa.array([x[k] for x in p], pa.int64()) for k in (0, 1)], ["a", "b"]) for p in parts)
+    lists = list(network._neighbour_lists(batches))
+    assert sum(x.column(0)[0].as_py() for x in lists) == 2 * len(pairs)
+    sent = list(network._to_blocks(np.array([500, 1000, 1500]))(pa.RecordBatch.from_arrays([x.column(3)], ["held"]) for x in lists))
+    assert sum(x.num_rows for x in sent) <= 16 * len(lists) < 200
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+    got = [row for x in network._shared_in_pairs(iter(sent)) for row in zip(*(c.to_pylist() for c in x.columns))]
+    assert {(a, b): (k, n) for a, b, k, n in got} == {(a, b): (len(near[a] & near[b]), len(near[a] | near[b])) for a, b in pairs}
+    assert len(got) == len(pairs)
+
+    # what does not fit the packed lists goes by cells, whole
+    by_cells, asked = network.jaccard_by_cells, []
+    monkeypatch.setattr(network, "jaccard_by_cells", lambda e: asked.append(1) or by_cells(e))
+    turned = spark.createDataFrame([(2, 1), (2, 3), (1, 3)], "a long, b long")
+    assert {(x.a, x.b, x.jaccard) for x in network.jaccard(turned).collect()} == {(2, 1, 0.333333), (2, 3, 0.333333), (1, 3, 0.333333)}
+    hub = spark.range(1, 60).selectExpr("0L as a", "id as b")
+    monkeypatch.setattr(network, "MOST", 20)
+    assert {x.jaccard for x in network.jaccard(hub).collect()} == {0.0} and len(asked) == 2
