@@ -322,3 +322,27 @@ def test_jaccard_sends_lists_in_packed_rows_and_a_task_meets_two_blocks(spark, m
     hub = spark.range(1, 60).selectExpr("0L as a", "id as b")
     monkeypatch.setattr(network, "MOST", 20)
     assert {x.jaccard for x in network.jaccard(hub).collect()} == {0.0} and len(asked) == 2
+
+
+def test_points_of_a_place_travel_together(spark, monkeypatch):
+    """Rows that are dealt to tasks grow with the places, not with points times blocks; ids
+    may repeat, at one place or at several."""
+    import random
+
+    r = random.Random(8)
+    places = [(12 + r.uniform(0, 0.001), 77 + r.uniform(0, 0.001)) for _ in range(12)]
+    points = [(i, *places[0 if i < 300 else r.randrange(12)]) for i in range(1500)] + [(5, *places[0]), (6, *places[3]), (None, *places[1]), (7, None, 77.0)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    rows = []
+    deal = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: rows.append(self.count()) or deal(self, *a))
+    got = space.close_pairs(df, 60, digits=3).collect()
+    assert len(rows) == 2 and sum(rows) < len(points) / 2
+    far = X.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
+    other = df.select(F.col("id").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    want = df.join(other, F.col("id") < F.col("b")).where(far <= 60).select("id", "b", F.round(far, 3).alias("m")).collect()
+    assert sorted((x.a, x.b, x.metres) for x in got) == sorted((x.id, x.b, x.m) for x in want)
+    assert len(got) > 100_000 and min(x.metres for x in got) == 0
+    # the same by cut cells
+    cut = space.close_pairs(df, 60, 100, 3).collect()
+    assert sorted(map(tuple, cut)) == sorted(map(tuple, got))
