@@ -2,7 +2,10 @@
 
 from collections import Counter, defaultdict
 
-from stratalens.operators import network
+import pytest
+from pyspark.sql import functions as F
+
+from stratalens.operators import components, network
 
 
 def plan(df) -> str:
@@ -40,3 +43,31 @@ def test_cooccurrence_sends_little_of_large_groups(spark):
     want = Counter((g, a, b) for g, of in members.items() if 2 <= len(of) <= 20 for a in of for b in of if a < b)
     assert Counter(map(tuple, got.collect())) == want and len(want) == 1 + 190 + 1
     assert Counter((g, a) for g, a, _ in map(tuple, network.cooccurrence_by_group(df, "g", "m", 2).collect())) == {(2, 0): 1, (7, 4): 1}
+
+
+def test_rounds_of_components_shrink(spark, monkeypatch):
+    written, kept = [], components.materialize
+
+    def counted(df):
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "materialize", counted)
+    n = 1000
+    path = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = components.connected_components(path).collect()
+    assert {(r.node, r.component) for r in got} == {(k, 0) for k in range(n + 1)} and len(got) == n + 1
+    assert sum(written) < 6 * n  # all rounds, not each of them
+
+
+def test_components_of_odd_links(spark):
+    rows = [(5, 4), (4, 5), (5, 4), (9, 9), (None, 3), (3, None), (None, None), (-7, 4), (2**63 - 1, -(2**63)), (0, 2**63 - 1), (8, 6), (6, 10)] + [(100, k) for k in range(101, 160)]
+    e = spark.createDataFrame(rows, "a long, b long")
+    got = components.connected_components(e, "a", "b").collect()
+    low = {5: -7, 4: -7, -7: -7, 2**63 - 1: -(2**63), -(2**63): -(2**63), 0: -(2**63), 8: 6, 6: 6, 10: 6} | {k: 100 for k in range(100, 160)}
+    assert {r.node: r.component for r in got} == low and len(got) == len(low)
+    none = components.connected_components(e.where("a = b"), "a", "b")
+    assert none.dtypes == [("node", "bigint"), ("component", "bigint")] and none.count() == 0
+    with pytest.raises(RuntimeError):
+        components.connected_components(e, "a", "b", max_rounds=1)
