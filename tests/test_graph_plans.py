@@ -71,3 +71,23 @@ def test_components_of_odd_links(spark):
     assert none.dtypes == [("node", "bigint"), ("component", "bigint")] and none.count() == 0
     with pytest.raises(RuntimeError):
         components.connected_components(e, "a", "b", max_rounds=1)
+
+
+def test_subgraph_shuffles_no_edges(spark, monkeypatch):
+    """The nodes seen are few and known to be: levels and what follows read edges where they lie."""
+    plans, kept = [], network.materialize
+    monkeypatch.setattr(network, "materialize", lambda df: plans.append(plan(df)) or kept(df))
+    rows = [(f"e{k:02d}", "s", f"n{k % 9}", True) for k in range(12)] + [(f"f{k}", f"m{k}", f"n{k}", True) for k in range(5)]
+    rows += [("g", "m0", "n1", True), ("h", "s", "s", True), ("i", "s", "out", False), ("j", "s", "far", None), ("k", None, "s", True), ("l", "n3", None, True), ("m", "m0", "q", True)]
+    e = spark.createDataFrame(rows, "edge_id string, src string, dst string, mine boolean")
+    nodes, among, stubs = network.subgraph(e, "s", 2, 12, F.col("mine"))
+    assert len(plans) == 4 and not any("SortMergeJoin" in p for p in [*plans, plan(among)])
+    found = {r.node: (r.depth, r.place) for r in nodes.collect()}
+    assert found == {"s": (0, 0)} | {f"n{k}": (1, k + 1) for k in range(9)} | {"m0": (2, 10), "m1": (2, 11)}
+    assert {r.edge_id for r in among.collect()} == {f"e{k:02d}" for k in range(12)} | {"f0", "f1", "g", "h"}
+    assert {r.node: (r.more_edges, r.cross_scope) for r in stubs.collect()} == {"n2": (1, 0), "n3": (1, 0), "n4": (1, 0), "s": (0, 2)}
+    alone, own, cut = network.subgraph(e, "s", 0, 12, F.col("mine"))
+    assert [tuple(r) for r in alone.collect()] == [("s", 0, 0)] and [r.edge_id for r in own.collect()] == ["h"]
+    for seed in ("none", None):
+        nodes, among, stubs = network.subgraph(e, seed, 2, 12)
+        assert [tuple(r) for r in nodes.collect()] == [(seed, 0, 0)] and not among.count() and not stubs.count()
