@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """``node, component`` for every node with an edge; component = smallest node id.
 
     Ids are longs. Null ends and self loops are ignored, repeated edges are merged.
-    Nodes without an edge are absent: they are their own component.
+    Nodes without an edge are absent: they are their own component. The result is a written
+    table, so joins with it are planned by its size.
     """
     links = materialize(
         edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
@@ -60,7 +61,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     met = materialize(_followed(met, ends))
     low = materialize(met.groupBy("up").agg(F.min("low").alias("component")))
     met = met.join(low, "up").select(F.col("node").alias("up"), "component")
-    return first.join(met, "up").select("node", "component")
+    return materialize(first.join(met, "up").select("node", "component"))
 
 
 def _followed(ups: DataFrame, ends: DataFrame) -> DataFrame:
